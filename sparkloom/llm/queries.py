@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, gif, html_text, sentencepiece, simhash
+from . import bpe_count, gif, html_text, merkle, sentencepiece, sharding, simhash
 from .common import table, unsigned_hex
 
 
@@ -27,6 +27,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes, equal texts together."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text kept in a GIF and read back."""
     return gif.text_media(table(spark, sf_dir, "documents"))
@@ -48,8 +53,13 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every text and of its edited text."""
+    return merkle.edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op4_gif, op5_html, op6_simhash, op8_tokens)
+    f.__name__: f for f in (op1_sentencepiece, op3_sharding, op4_gif, op5_html, op6_simhash, op8_tokens, op10_merkle)
 }
 
 SQL: dict[str, str] = {}
