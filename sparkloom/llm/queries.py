@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, gif, html_text, merkle, sentencepiece, sharding, simhash
+from . import bpe_count, gif, html_text, merkle, mixing, pii, sentencepiece, sharding, simhash, toxicity
 from .common import table, unsigned_hex
 
 
@@ -27,6 +27,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents replicated so that sources weigh as the square roots of their sizes, in random order."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, seed=42)
+    return mixed.select(
+        "doc_id", "source", F.round("rate", 6).alias("rate"), F.octet_length("text").cast("long").alias("n_bytes"), "copy", "mix_key"
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes, equal texts together."""
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
@@ -48,18 +56,40 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by its nearest labelled examples."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text in the 50k byte-level vocabulary."""
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every text and of its edited text."""
     return merkle.edits(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_sharding, op4_gif, op5_html, op6_simhash, op8_tokens, op10_merkle)
+    f.__name__: f for f in (
+        op1_sentencepiece,
+        op2_mixing,
+        op3_sharding,
+        op4_gif,
+        op5_html,
+        op6_simhash,
+        op7_toxicity,
+        op8_tokens,
+        op9_pii,
+        op10_merkle,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql(temperature=0.5, seed=42)}
