@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -67,20 +68,27 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage by files in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, one below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; where that is unset, as in tests, a
-    folder below the warehouse is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage by files in the shared folder, so that lost executors cost no more than a read."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -306,3 +307,21 @@ def redact(text: str, spans: str) -> str:
         out += [text[at:a], f"<{kind.upper()}>"]
         at = b
     return "".join([*out, text[at:]])
+
+
+def redact_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span that ``find`` lists replaced by its kind, such as <EMAIL>; null texts stay null."""
+    accepted = {c for c, p in train(checkpoint(scan(docs, id_col, text_col).select("more"))).items() if p >= ACCEPT}
+
+    def clean(text: str | None) -> str | None:
+        if not text:
+            return text
+        base = base_spans(text)
+        added = [(len(BASE) + k, a, b) for k, a, b, code in candidates(text, base) if code in accepted]
+        return redact(text, listed(base + added))
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(clean, na_action=None)
+
+    return docs.withColumn(text_col, cleaned(F.col(text_col).cast("string")))

@@ -261,17 +261,18 @@ def encode_decode(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_ids: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Piece ids of every whole text and the text decoded from them again.
 
-    Returns ``id_col, n_bytes, n_pieces, n_spelt (pieces that are bytes), piece_ids (array of int, if keep_ids),
+    Returns ``id_col``, the columns named in ``keep``, then ``n_bytes, n_pieces, n_spelt (pieces that are bytes), piece_ids (array of int, if keep_ids),
     decoded, ids_sha256``. A null text counts as empty: no pieces, decoded "". Repeated rows give repeated rows, an
     empty table an empty one; other columns are ignored, whatever their names. The model is read on the driver and
     sent with the task: its size is that of its fixed vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path, scores))
     fields = [
-        docs.select(id_col).schema[0],
+        *docs.select(id_col, *keep).schema,
         T.StructField("n_bytes", T.LongType()),
         T.StructField("n_pieces", T.LongType()),
         T.StructField("n_spelt", T.LongType()),
@@ -292,7 +293,7 @@ def encode_decode(
             raw = encode(texts)
             arrays = [np.frombuffer(x, "<i4") for x in raw]
             out = {
-                id_col: part.column(0),
+                **{c: part.column(i) for i, c in enumerate([id_col, *keep])},
                 "n_bytes": [len(t.encode()) for t in texts],
                 "n_pieces": [len(a) for a in arrays],
                 "n_spelt": [int(is_byte[a].sum()) for a in arrays],
@@ -307,5 +308,5 @@ def encode_decode(
         return work
 
     return map_texts(
-        docs.select(F.col(id_col), F.col(text_col).cast("string")), [id_col, text_col], text_col, make, T.StructType(fields)
+        docs.select(id_col, *keep, F.col(text_col).cast("string").alias("__text")), [id_col, *keep, "__text"], "__text", make, T.StructType(fields)
     )

@@ -13,12 +13,13 @@ from __future__ import annotations
 from itertools import combinations, repeat
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts, shuffle_partitions
+from .common import checkpoint, map_texts, shuffle_partitions, slices
 from .components import connected_components
 
 SEED = 42
@@ -112,84 +113,88 @@ class Forest:
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """``a, b``: links between distinct fingerprints ``fp`` that connect all that are chained by ``radius`` or fewer bits."""
     blocks, choices = block_choices(radius)
-    keyed = fps.select(
-        "fp",
-        F.posexplode(
-            F.array(
-                *(
-                    F.xxhash64(F.lit(k), *(F.shiftrightunsigned("fp", blocks[b][0]).bitwiseAND((1 << blocks[b][1]) - 1) for b in choice))
-                    for k, choice in enumerate(choices)
-                )
-            )
-        ).alias("choice", "tile"),
-    )
-    # rows alone in their tile have no partner there; tiles with many rows are cut into squares
-    size = keyed.groupBy("choice", "tile").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / SQUARE).cast("int")
-    row = keyed.join(size, ["choice", "tile"]).withColumn("parts", parts)
-    row = row.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # a square is (row part, column part); each row stands in all squares of its part's row and column
-    square = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("parts") - 1),
-            lambda o: F.struct(F.least(F.col("part"), o).alias("x"), F.greatest(F.col("part"), o).alias("y")),
+    keys = F.array(
+        *(
+            F.xxhash64(F.lit(k), *(F.shiftrightunsigned("fp", blocks[b][0]).bitwiseAND((1 << blocks[b][1]) - 1) for b in choice))
+            for k, choice in enumerate(choices)
         )
     )
-    row = row.select("choice", "tile", "fp", "part", F.explode(square).alias("s")).select("choice", "tile", "s.x", "s.y", "part", "fp")
-    n = shuffle_partitions(fps.sparkSession)
-    row = row.repartition(n, "choice", "tile", "x", "y").sortWithinPartitions("choice", "tile", "x", "y", "part")
-    masks = [sum(((1 << blocks[b][1]) - 1) << blocks[b][0] for b in c) for c in choices]
+    keyed = fps.select(F.col("fp").alias("node"), "fp", F.explode(keys).alias("tile"))
+    return compare(keyed, radius)
 
-    def compare(batches):
-        import pyarrow as pa
 
-        held: list[tuple] = []
-        now = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            same = np.ones(len(cols[0]), bool)
-            same[1:] = False
-            same[1:] |= np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:4]])
-            starts = [0, *(np.flatnonzero(~same[1:]) + 1).tolist(), len(cols[0])]
-            out: list[np.ndarray] = []
-            for i, j in zip(starts, starts[1:]):
-                key = tuple(int(c[i]) for c in cols[:4])
-                if key != now and held:
-                    out.append(_square_links(now, held, radius, masks))
-                    held = []
-                now = key
-                held.append((cols[4][i:j], cols[5][i:j]))
-            found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-        if held:
-            found = _square_links(now, held, radius, masks)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    return row.mapInArrow(compare, "a long, b long")
-
-
-def _square_links(key: tuple, held: list[tuple], radius: int, masks: list[int]) -> np.ndarray:
-    """Links within one square that this choice of blocks is the first to see, thinned to a spanning forest."""
-    choice, _, x, y = key
-    part = np.concatenate([p for p, _ in held])
-    fp = np.concatenate([f for _, f in held]).view(np.uint64)
+def squares(keyed: DataFrame, payload: list[str]) -> DataFrame:
+    """``tile, x, y, part`` and ``payload`` of ``keyed (tile, node, ...)``, dealt and sorted by square (tile, x, y).
+
+    Rows alone in their tile have no partner there and go. A tile of more than ``SQUARE`` rows is cut into parts; its
+    squares are all pairs of parts, and a row stands in the squares of its part.
+    """
+    size = keyed.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1")
+    row = keyed.join(size, "tile").withColumn("parts", F.ceil(F.col("n") / SQUARE).cast("int"))
+    row = row.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct(F.least(F.col("part"), o).alias("x"), F.greatest(F.col("part"), o).alias("y")),
+    )
+    row = row.withColumn("s", F.explode(other)).select("tile", "s.x", "s.y", "part", *payload)
+    n = shuffle_partitions(keyed.sparkSession)
+    return row.repartition(n, "tile", "x", "y").sortWithinPartitions("tile", "x", "y", "part")
+
+
+def by_square(batches, columns: int):
+    """The rows of each square, as arrays, from batches sorted by the first three columns."""
+    held: list[list] = []
+    now = None
+    for batch in batches:
+        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        for i, j in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+            key = tuple(int(k[i]) for k in keys)
+            if key != now and held:
+                yield now, [pa.chunked_array(c) for c in zip(*held)]
+                held = []
+            now = key
+            held.append([batch.column(c).slice(i, j - i) for c in range(3, columns)])
+    if held:
+        yield now, [pa.chunked_array(c) for c in zip(*held)]
+
+
+def compare(keyed: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links between nodes of a tile whose fingerprints differ in at most ``radius`` bits, for ``keyed (tile, node, fp)``.
+
+    Of the links of a square, a spanning forest is returned, which connects the same nodes.
+    """
+
+    def run(batches):
+        out = []
+        for (_, x, y), (part, node, fp) in by_square(batches, 6):
+            out.append(_square_links(x, y, part.to_numpy(), node.to_numpy(), fp.to_numpy().view(np.uint64), radius))
+            if sum(map(len, out)) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return squares(keyed, ["node", "fp"]).mapInArrow(run, "a long, b long")
+
+
+def _edges(out: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.concatenate([*out, np.zeros((0, 2), np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(2)], names=["a", "b"])
+
+
+def _square_links(x: int, y: int, part: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+    """A spanning forest of the links of one square; of a square beside the diagonal, only those between its parts count."""
     if len(fp) == 2:
-        d = fp[0] ^ fp[1]
-        pairs = [(0, 1)] if np.bitwise_count(d) <= radius and (part[0] != part[1] or x == y) else []
-        rows = fp
-    else:
-        order = np.lexsort((fp, np.bitwise_count(fp), part))
-        part, rows = part[order], fp[order]
-        cut = int(np.searchsorted(part, y)) if x != y else 0
-        i, j = _squares(rows[:cut] if x != y else rows, rows[cut:], radius)
-        j = j + cut
-        keep = i < j
-        i, j = i[keep], j[keep]
-        forest = Forest(len(rows))
-        pairs = [p for p in zip(i.tolist(), j.tolist()) if forest.join(*p)]
-    signed = rows.view(np.int64)
-    return np.array([(signed[i], signed[j]) for i, j in pairs], np.int64).reshape(-1, 2)
+        near = np.bitwise_count(fp[0] ^ fp[1]) <= radius and (x == y or part[0] != part[1])
+        return node.reshape(1, 2) if near else np.zeros((0, 2), np.int64)
+    order = np.lexsort((np.bitwise_count(fp), part))
+    part, node, fp = part[order], node[order], fp[order]
+    cut = int(np.searchsorted(part, y)) if x != y else 0
+    i, j = _squares(fp[:cut] if x != y else fp, fp[cut:], radius)
+    j = j + cut
+    forest = Forest(len(fp))
+    pairs = [p for p in zip(i[i < j].tolist(), j[i < j].tolist()) if forest.join(*p)]
+    return node[np.array(pairs, np.int64).reshape(-1, 2)]
 
 
 def groups(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,3 +214,124 @@ def groups(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", tex
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select(F.col("fp").alias("own"), "component_id")
     return fps.join(classes, F.col("fp") == F.col("own")).select(id_col, "fp", "component_id")
+
+
+#: Bands of least hashes by which texts of similarity 0.8 share a tile with a chance of 1 - (1 - 0.8**3)**12 = 0.9998,
+#: and the bits up to which their fingerprints may differ: their mean is 9.7 and their standard deviation 2.9.
+BANDS, BAND_ROWS, NEAR_BITS = 12, 3, 20
+
+
+def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, hash (of the text), fp, bands``: fingerprint and band keys of every text's word shingles."""
+    schema = T.StructType(
+        [
+            T.StructField("id", docs.schema[id_col].dataType),
+            T.StructField("hash", T.LongType()),
+            T.StructField("fp", T.LongType()),
+            T.StructField("bands", T.ArrayType(T.LongType())),
+        ]
+    )
+    factors = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
+
+    def bands(hashes: np.ndarray) -> np.ndarray:
+        distinct = np.unique(hashes)
+        if not len(distinct):
+            return np.zeros(BANDS, np.int64)
+        least = np.array([(distinct * f).min() for f in factors]).reshape(BANDS, BAND_ROWS)
+        mixed = np.zeros(BANDS, np.uint64)
+        for k in range(BAND_ROWS):
+            mixed = (mixed ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return (mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+    def make():
+        def work(part, texts):
+            hashes = [shingle_hashes(t, words) for t in texts]
+            flat = np.concatenate([bands(h) for h in hashes] or [np.zeros(0, np.int64)])
+            ends = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
+            return {
+                "id": part.column(0),
+                "hash": part.column(2),
+                "fp": np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64),
+                "bands": pa.ListArray.from_arrays(ends, pa.array(flat)),
+            }
+
+        return work
+
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("hash"))
+    return map_texts(own, ["id", "text", "hash"], "text", make, schema)
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def near_groups(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``hash, least, component_id`` for each distinct text: its smallest id, and that of its group.
+
+    Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Tiles hold texts
+    that share a band of least hashes; those whose fingerprints are near form loose groups, and within these the shingle
+    sets themselves decide. Texts that ASCII case or white space alone distinguish have equal shingles and are linked.
+    """
+    rows = checkpoint(sketch(docs, words, id_col, text_col))
+    texts = checkpoint(rows.groupBy("hash").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    keyed = texts.select(F.col("hash").alias("node"), "fp", F.explode("bands").alias("tile"))
+    loose = connected_components(compare(keyed, NEAR_BITS))
+    member = loose.withColumnsRenamed({"node": "hash", "component": "tile"}).join(texts.select("hash", "least"), "hash")
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_hash(text_col).alias("hash"))
+    held = own.join(member, (own["hash"] == member["hash"]) & own["id"].eqNullSafe(member["least"])).select("tile", own["hash"].alias("node"), "text")
+    schema = "tile long, node long, words binary"
+
+    def sets(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                coded = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(coded, pa.binary())], names=["tile", "node", "words"])
+
+    # repeated rows of one id and text are one node
+    coded = held.mapInArrow(sets, schema).dropDuplicates(["node"])
+
+    def verify(batches):
+        for (_, x, y), (part, node, coded) in by_square(batches, 6):
+            yield _edges([_set_links(x, y, part.to_numpy(), node.to_numpy(), [np.frombuffer(c.as_py(), np.uint32) for c in coded], similarity)])
+
+    found = connected_components(squares(coded, ["node", "words"]).mapInArrow(verify, "a long, b long"))
+    rooted = texts.select("hash", "least").join(found, F.col("hash") == F.col("node"), "left")
+    rooted = checkpoint(rooted.select("hash", "least", F.coalesce("component", "hash").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select("hash", "least", "component_id")
+
+
+def _set_links(x: int, y: int, part: np.ndarray, node: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A spanning forest of the pairs of one square whose sets are similar enough; pairs already connected are passed over."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    forest = Forest(len(sets))
+    pairs = []
+    for a, i in enumerate(order.tolist()):
+        for j in order[a + 1 :].tolist():
+            if size[i] < similarity * size[j]:
+                break
+            if x != y and part[i] == part[j] or forest.root(i) == forest.root(j):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (size[i] + size[j] - both):
+                forest.join(i, j)
+                pairs.append((node[i], node[j]))
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest id (a null id only if there is no other).
+
+    Of rows that repeat that id and text, one stays. Columns stay as they are.
+    """
+    found = near_groups(docs, words, similarity, id_col, text_col)
+    kept = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("hash").alias("__hash"))
+    kept = kept.withColumnRenamed("component_id", "__id")
+    rows = docs.withColumn("__own", text_hash(text_col))
+    chosen = rows.join(kept, (F.col("__own") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    repeated = chosen.groupBy("__own", id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (chosen.dropDuplicates(["__own", id_col]) if repeated else chosen).drop("__own")

@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -323,3 +324,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "evidence",
     )
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shared.value.score(t or "")[0]).astype("float64")
+
+    return docs.where(rate(F.col(text_col).cast("string")) < threshold)
