@@ -75,6 +75,7 @@ MISLEADING = frozenset("version isbn issn page pages figure table chapter sectio
 WORDS = re.compile(r"[^\W\d]+")
 #: A sign of assignment, or a country's calling code, just before a span.
 LEADS_IN = re.compile(r"[:=]\s*[\"']?$|\+[0-9]{1,3} $")
+CALLING_CODE = re.compile(r"(?:\+|00)(?:1|[2-9][0-9]{0,2}) $")
 LABELERS = 6
 #: Characters to the left of a span that the context labelers read.
 CONTEXT = 40
@@ -168,7 +169,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             votes = (
                 1 if STRICT[kind].fullmatch(span) else -1,
                 structure_vote(kind, span),
-                1 if known(kind, span) or near & CUES[kind] else 0,
+                1 if known(kind, span) or near & CUES[kind] or kind == "localphone" and CALLING_CODE.search(left) else 0,
                 1 if LEADS_IN.search(left) else 0,
                 1 if entropy(span) >= (3.0 if kind == "secret" else 2.0) else -1,
                 -1 if near & MISLEADING else 0,
