@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ir_tokens(text: Column) -> Column:
     """T_ir: lower-case runs of a-z, 0-9, # - + /; other letters split words."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9#\-\+/]+"), F.lit(0))

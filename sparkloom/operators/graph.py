@@ -1,0 +1,143 @@
+"""Web graph: links, shingles and least hashes, page rank, hubs and authorities."""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import bind, canonical_url
+from ..plans.cut import checkpoint
+
+ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a\s*>", re.I | re.S)
+TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
+HIDDEN = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
+TAG = re.compile(r"<[^>]*>")
+
+
+def plain(markup: str) -> str:
+    """Markup without tags, with references decoded and white space made even."""
+    return " ".join(html.unescape(TAG.sub(" ", markup)).split())
+
+
+def page_parts(pages: DataFrame, url: str, markup: str) -> DataFrame:
+    """``url, title (180 characters at most), text, links array<struct<href, anchor>>``; scripts and styles are skipped.
+
+    Links are resolved against the page and each target keeps its longest anchor.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for u, m in zip(frame[url], frame[markup]):
+                bare = HIDDEN.sub(" ", m or "")
+                title = TITLE.search(bare)
+                links: dict[str, str] = {}
+                for href, anchor in ANCHOR.findall(bare):
+                    target = urljoin(u, html.unescape(href.strip("\"'")))
+                    text = plain(anchor)
+                    if target.startswith(("http://", "https://")) and len(text) >= len(links.get(target, "")):
+                        links[target] = text
+                rows.append((u, plain(title[1])[:180] if title else "", plain(TITLE.sub(" ", bare)), [{"href": k, "anchor": v} for k, v in links.items()]))
+            yield pd.DataFrame(rows, columns=["url", "title", "text", "links"])
+
+    return pages.select(url, markup).mapInPandas(run, "url string, title string, text string, links array<struct<href:string,anchor:string>>")
+
+
+def edges(parts: DataFrame) -> DataFrame:
+    """Distinct canonical ``src, dst`` with the longest anchor."""
+    long = parts.select(canonical_url(F.col("url")).alias("src"), F.inline("links"))
+    long = long.select("src", canonical_url(F.col("href")).alias("dst"), "anchor").where("src is not null and dst is not null")
+    return long.groupBy("src", "dst").agg(F.max_by("anchor", F.struct(F.length("anchor"), F.col("anchor"))).alias("anchor"))
+
+
+def host_authority(host: Column) -> Column:
+    """By the kind of host."""
+    return F.when(host.rlike(r"\.(gov|edu)$"), 1.0).when(host.rlike(r"\.org$"), 0.8).when(host.rlike(r"\.net$"), 0.6).otherwise(0.5)
+
+
+def shingles(text: Column, size: int = 3) -> Column:
+    """Distinct runs of words of three or more a-z, 0-9; a short text is one shingle."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+
+
+    def runs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - (size - 1), F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, size), " ")))
+
+    return bind(words, runs)
+
+
+def signature(found: Column, seeds: int) -> Column:
+    """For each seed the least of the first 16 hexadecimal digits of the SHA-1 of seed:shingle."""
+
+
+    def least(all_: Column, k: int) -> Column:
+        return F.array_min(F.transform(all_, lambda s: F.left(F.sha1(F.concat(F.lit(f"{k}:"), s)), F.lit(16))))
+
+    return bind(found, lambda all_: F.array(*(least(all_, k) for k in range(seeds))))
+
+
+def signature_similarity(a: Column, b: Column) -> Column:
+    """The share of equal places."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.size(a)
+
+
+def nodes_of(links: DataFrame) -> DataFrame:
+    return links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
+
+
+def page_rank(links: DataFrame, personal: DataFrame | None = None, teleport: float = 0.15, rounds: int = 50, cut=checkpoint) -> DataFrame:
+    """``id, rank``: teleport and dangling mass go by ``personal (id, weight)``, evenly without it; ranks sum to one.
+
+    Links out of a node count once each. A round is one join and one aggregation by node, pre-aggregated before the
+    shuffle. ``cut`` writes the nodes' state after every round, since the next one reads it several times.
+    """
+    links = links.select("src", "dst").where("src != dst or src = dst").distinct()
+    ids = nodes_of(links)
+    degree = links.groupBy("src").agg(F.count("*").alias("degree"))
+    base = ids if personal is None else ids.join(personal, "id", "left")
+    weight = F.lit(1.0) if personal is None else F.coalesce(F.col("weight"), F.lit(0.0))
+    total = base.agg(F.sum(weight)).first()[0] or 1.0
+    state = base.select("id", (weight / total).alias("p")).join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.col("p"))
+    out, state = cut(links), cut(state)
+    for _ in range(rounds):
+        loose = state.agg(F.sum(F.when(F.col("degree").isNull(), F.col("rank")))).first()[0] or 0.0
+        given = out.join(state.where("degree is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share")), "src")
+        got = given.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        flow = F.coalesce("got", F.lit(0.0)) + loose * F.col("p")
+        state = cut(state.drop("rank").join(got, "id", "left").select("id", "p", "degree", (teleport * F.col("p") + (1 - teleport) * flow).alias("rank")))
+    norm = state.agg(F.sum("rank")).first()[0] or 1.0
+    return state.select("id", (F.col("rank") / norm).alias("rank"))
+
+
+def hits(links: DataFrame, rounds: int = 20, cut=checkpoint) -> DataFrame:
+    """``id, hub, authority``: L2-normalised in each round, scaled to a maximum of 1 at the end."""
+    links = cut(links.select("src", "dst").distinct())
+    state = cut(nodes_of(links).withColumn("hub", F.lit(1.0)).withColumn("authority", F.lit(1.0)))
+
+    def step(name: str, of: str, here: str, there: str) -> DataFrame:
+        """``name`` of each node is the sum of ``of`` over its links from ``here`` to ``there``, of length one in all."""
+        given = links.join(state.select(F.col("id").alias(there), of), there).groupBy(F.col(here).alias("id")).agg(F.sum(of).alias("sum"))
+        new = cut(state.drop(name).join(given, "id", "left").withColumn(name, F.coalesce("sum", F.lit(0.0))).drop("sum"))
+        norm = new.agg(F.sqrt(F.sum(F.col(name) * F.col(name)))).first()[0] or 1.0
+        return new.withColumn(name, F.col(name) / norm)
+
+    for _ in range(rounds):
+        state = step("authority", "hub", "dst", "src")
+        state = step("hub", "authority", "src", "dst")
+    most = state.agg(F.max("hub"), F.max("authority")).first()
+    return state.select("id", (F.col("hub") / (most[0] or 1.0)).alias("hub"), (F.col("authority") / (most[1] or 1.0)).alias("authority"))
+
+
+def link_score(general: DataFrame, topical: DataFrame, hub_auth: DataFrame, anchor: DataFrame) -> DataFrame:
+    """.30 rank + .35 topic rank + .20 authority + .10 hub + .05 anchor, each by its maximum."""
+    both = general.withColumnRenamed("rank", "g").join(topical.withColumnRenamed("rank", "t"), "id").join(hub_auth, "id").join(anchor, "id", "left")
+    most = both.agg(F.max("g").alias("mg"), F.max("t").alias("mt"))
+    score = 0.30 * F.col("g") / F.col("mg") + 0.35 * F.col("t") / F.col("mt") + 0.20 * F.col("authority") + 0.10 * F.col("hub")
+    return both.crossJoin(F.broadcast(most)).select("id", (score + 0.05 * F.coalesce("anchor", F.lit(0.0))).alias("score"))

@@ -39,9 +39,12 @@ def spelling(vocab: DataFrame, words: DataFrame, word: str, pool: int = 128, lea
     Of the ``pool`` most frequent candidates, the least distance wins, then the highest df.
     """
     w, t = F.col(word), F.col("term")
-    heads = vocab.withColumn("head", F.left("term", F.lit(1)))
+    # of each first letter and length, no more than the pool (and the word itself) can be among the candidates
+    heads = vocab.withColumn("head", F.left("term", F.lit(1))).withColumn("size", F.length("term"))
+    heads = top_per_group(heads, ["head", "size"], [F.desc("df"), F.asc("term")], pool + 1, "nth").drop("nth")
     asked = words.select(word).distinct().where(F.length(w) >= 5).withColumn("head", F.left(w, F.lit(1)))
-    near = asked.join(heads, "head").where((F.abs(F.length(t) - F.length(w)) <= 2) & (t != w))
+    asked = asked.withColumn("size", F.explode(F.sequence(F.length(w) - 2, F.length(w) + 2)))
+    near = asked.join(heads, ["head", "size"]).where(t != w)
     near = top_per_group(near, [word], [F.desc("df"), F.asc("term")], pool, "nth")
     near = near.withColumn("distance", F.levenshtein(w, t, 2)).where("distance >= 0")
     near = near.where(jaccard(kgrams(w), kgrams(t)) >= least)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from .relational import top_per_group
 from .search import ranked_min_max
 
@@ -69,9 +70,12 @@ def mean_pool(vectors: DataFrame, by: list[str], vec: str) -> DataFrame:
 
 def hash_embedding(text: Column, size: int = 384) -> Column:
     """V6: the bytes of the text's SHA-256, repeated to ``size``, each as (b - 127.5) / 127.5."""
-    digest = F.sha2(text, 256)
     places = F.sequence(F.lit(0), F.lit(size - 1))
-    return F.transform(places, lambda i: (F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5)
+
+    def byte(digest: Column, i: Column) -> Column:
+        return F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double")
+
+    return bind(F.sha2(text, 256), lambda d: F.transform(places, lambda i: (byte(d, i) - 127.5) / 127.5))
 
 
 def windows(text: Column, width: int = 2000, overlap: int = 240) -> Column:
