@@ -80,22 +80,22 @@ def cluster_quality(rows: DataFrame, truth: str, cluster: str, beta: float = 1.0
     cell = rows.groupBy(F.col(truth).alias("t"), F.col(cluster).alias("c")).agg(F.count("*").alias("n"))
     t = cell.groupBy("t").agg(F.sum("n").alias("nt"))
     c = cell.groupBy("c").agg(F.sum("n").alias("nc"), F.max("n").alias("top"))
-    n = cell.agg(F.sum("n").alias("N"))
+    n = cell.agg(F.sum("n").alias("total"))
     pairs = lambda x: F.col(x) * (F.col(x) - 1) / 2
-    plogp = lambda x: -(F.col(x) / F.col("N")) * F.ln(F.col(x) / F.col("N"))
+    plogp = lambda x: -(F.col(x) / F.col("total")) * F.ln(F.col(x) / F.col("total"))
     ts = t.crossJoin(F.broadcast(n)).agg(F.sum(plogp("nt")).alias("ht"), F.sum(pairs("nt")).alias("pt"))
     cs = c.crossJoin(F.broadcast(n)).agg(F.sum(plogp("nc")).alias("hc"), F.sum(pairs("nc")).alias("pc"), F.sum("top").alias("top"))
     full = cell.join(t, "t").join(c, "c").crossJoin(F.broadcast(n))
     p, r = F.col("n") / F.col("nc"), F.col("n") / F.col("nt")
     full = full.withColumn("f", (1 + beta**2) * p * r / (beta**2 * p + r))
     mi = full.agg(
-        F.sum(F.col("n") / F.col("N") * F.ln(F.col("n") * F.col("N") / (F.col("nt") * F.col("nc")))).alias("mi"), F.sum(pairs("n")).alias("same"), F.first("N").alias("N")
+        F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("nt") * F.col("nc")))).alias("mi"), F.sum(pairs("n")).alias("same"), F.first("total").alias("total")
     )
-    best = full.groupBy("t").agg(F.max("f").alias("f"), F.first("nt").alias("nt"), F.first("N").alias("N")).agg(F.sum(F.col("nt") / F.col("N") * F.col("f")).alias("f"))
+    best = full.groupBy("t").agg(F.max("f").alias("f"), F.first("nt").alias("nt"), F.first("total").alias("total")).agg(F.sum(F.col("nt") / F.col("total") * F.col("f")).alias("f"))
     all_ = mi.crossJoin(ts).crossJoin(cs).crossJoin(best)
-    rand = (pairs("N") + 2 * F.col("same") - F.col("pt") - F.col("pc")) / pairs("N")
+    rand = (pairs("total") + 2 * F.col("same") - F.col("pt") - F.col("pc")) / pairs("total")
     return all_.select(
-        F.round(F.col("top") / F.col("N"), 6).alias("purity"),
+        F.round(F.col("top") / F.col("total"), 6).alias("purity"),
         F.round(2 * F.col("mi") / F.nullif(F.col("ht") + F.col("hc"), F.lit(0.0)), 6).alias("nmi"),
         F.round(rand, 6).alias("rand"),
         F.round("f", 6).alias("f"),
