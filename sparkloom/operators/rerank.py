@@ -94,7 +94,7 @@ def history(turns: DataFrame, conv: str, turn: str, tokens: str, focus: Column,
     """Of the turns before, up to ``back``, the k with the best .58 overlap + .32 exp(-.45 distance) + .10 focus."""
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(-back, -1)
     past = F.collect_list(F.struct(F.col(turn).alias("t"), F.col(tokens).alias("tokens"), focus.cast("int").alias("focus"))).over(w)
-    long = turns.select(conv, turn, tokens, F.explode(past).alias("p"))
+    long = turns.withColumn("__past", past).select(conv, turn, tokens, F.explode("__past").alias("p"))
     share = F.coalesce(F.size(F.array_intersect(tokens, "p.tokens")) / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0))
     score = 0.58 * share + 0.32 * F.exp(-0.45 * (F.col(turn) - F.col("p.t"))) + 0.10 * F.col("p.focus")
     scored = long.select(conv, turn, F.col("p.t").alias("past"), F.round(score, 6).alias("score"))
