@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker unpacks at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,28 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch, list[str | None]], pa.RecordBatch]]) -> DataFrame:
+    """``df`` with each slice replaced by what ``make()``'s function returns for it and its texts; columns stay the same."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for part in slices(batch, at):
+                yield work(part, part.column(at).to_pylist())
+            release()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str],
@@ -58,6 +81,8 @@ def map_texts(
                     for n in names
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                del arrays, out, texts
+            release()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -17,13 +17,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, checkpoint, map_texts
+from .common import arrow_schema, checkpoint, map_rows, map_texts
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("localphone", "account", "ssn", "payment", "secret", "name", "handle")
@@ -339,8 +338,11 @@ def redact_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         added = [(len(BASE) + k, a, b) for k, a, b, code in candidates(text, base) if code in accepted]
         return redact(text, listed(base + added))
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(clean, na_action=None)
+    def make():
+        def work(part: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+            at = part.schema.get_field_index(text_col)
+            return part.set_column(at, part.schema.field(at), pa.array([clean(t) for t in texts], part.schema.field(at).type))
+
+        return work
 
-    return docs.withColumn(text_col, cleaned(F.col(text_col).cast("string")))
+    return map_rows(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, make)

@@ -31,7 +31,7 @@ MARK = "▁"
 HELD = "﷐"
 
 #: Units whose pieces a task keeps; when there are more, it starts anew. This changes no result.
-KEPT = 250_000
+KEPT = 120_000
 
 #: Bytes up to which units are segmented together; longer ones are segmented one by one.
 TOGETHER = 96

@@ -17,13 +17,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts, slices
+from .common import checkpoint, map_rows, map_texts, slices
 
 #: Labelled rows that are read at most: examples of the index, and of these the share kept apart for calibration.
 SAMPLE = 16_000
@@ -330,8 +329,10 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str
     """The rows of ``docs`` that score below ``threshold``, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shared.value.score(t or "")[0]).astype("float64")
+    def make():
+        def work(part: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+            return part.filter(pa.array([shared.value.score(t or "")[0] < threshold for t in texts], pa.bool_()))
+
+        return work
 
-    return docs.where(rate(F.col(text_col).cast("string")) < threshold)
+    return map_rows(docs, text_col, make)
