@@ -12,6 +12,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -87,54 +88,87 @@ def _pack_bits(codes: np.ndarray, clears: np.ndarray) -> bytes:
     return out.astype(np.uint8).tobytes()[: int(at[-1] + width[-1] + 7) // 8]
 
 
+@lru_cache(maxsize=8)
+def _widths(least: int) -> np.ndarray:
+    """The width of each code after a clear: before the k-th, the table holds entries up to 2 ** least + k."""
+    known = (1 << least) + 2 + np.maximum(np.arange(TABLE_FULL + 1) - 1, 0)
+    return np.clip(np.floor(np.log2(known)).astype(np.int64) + 1, least + 1, 12)
+
+
+def _codes(data: np.ndarray, at: int, widths: np.ndarray) -> np.ndarray:
+    """Codes of the given widths from bit ``at`` on, as many as the data has in full."""
+    first = at + np.cumsum(widths) - widths
+    first = first[first + widths <= 8 * (len(data) - 3)]
+    byte = first >> 3
+    held = data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16
+    return held >> (first & 7) & ((1 << widths[: len(first)]) - 1)
+
+
+def _run(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples of codes between two clears.
+
+    Entry ``clear + 2 + j`` of the table is the stretch of samples that code j gives and the one after it. So each code that
+    names an entry copies earlier samples; where each sample comes from is followed back by doubling, for all at once.
+    """
+    n = len(codes)
+    entry = codes - (clear + 2)
+    literal = entry < 0
+    if n and (not literal[0] or (entry >= np.arange(n)).any()):
+        raise ValueError("a code names no entry")
+    source = np.where(literal, np.arange(n), entry)
+    extra = np.where(literal, 0, 1)
+    while not literal[source].all():  # lengths: one more for each entry on the way to a literal
+        extra = extra + np.where(literal[source], 0, extra[source])
+        source = source[source]
+    length = extra + 1
+    start = np.cumsum(length) - length
+    total = int(length.sum())
+    place = np.arange(total)
+    origin = np.where(np.repeat(literal, length), place, place + np.repeat(start[np.where(literal, 0, entry)] - start, length))
+    while True:
+        back = origin[origin]
+        if (back == origin).all():
+            break
+        origin = back
+    out = np.zeros(total, np.uint8)
+    out[start[literal]] = codes[literal]
+    return out[origin]
+
+
 def lzw_unpack(stream: bytes, least: int, want: int) -> bytes:
     """The samples of a code stream with ``least`` bits a sample; it ends at its end code or after ``want`` samples."""
     clear, end = 1 << least, (1 << least) + 1
-    single = [bytes([i]) for i in range(clear)]
-    out = bytearray()
-    begin = [0] * TABLE_FULL  # each entry is a stretch of the samples before
-    length = [0] * TABLE_FULL
-    width, limit, free = least + 1, 1 << (least + 1), end + 1
-    held, bits, last = 0, 0, -1
-    size = 0
-    at, n = 0, len(stream)
+    data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
+    growing, full = _widths(least), np.full(TABLE_FULL, 12, np.int64)
+    parts: list[np.ndarray] = []
+    at, size = 0, 0
     while size < want:
-        while bits < width:
-            if at >= n:
-                return bytes(out)
-            chunk = stream[at : at + 6]
-            held |= int.from_bytes(chunk, "little") << bits
-            bits += 8 * len(chunk)
-            at += 6
-        code = held & (limit - 1)
-        held >>= width
-        bits -= width
-        if code < clear:
-            out += single[code]
-            grown = 1
-        elif code == clear:
-            width, limit, free, last = least + 1, 1 << (least + 1), end + 1, -1
+        if (_codes(data, at, growing[:1]) == clear).any():
+            at += least + 1
             continue
-        elif code == end:
+        held: list[np.ndarray] = []
+        widths, done = growing, True
+        while True:
+            codes = _codes(data, at, widths)
+            stop = np.flatnonzero((codes == clear) | (codes == end))
+            if len(stop):
+                k = int(stop[0])
+                held.append(codes[:k])
+                at += int(widths[: k + 1].sum())
+                done = bool(codes[k] == end)
+                break
+            held.append(codes)
+            at += int(widths[: len(codes)].sum())
+            if len(codes) < len(widths):
+                break
+            widths = full
+        run = np.concatenate(held)
+        if len(run):
+            parts.append(_run(run, clear))
+            size += len(parts[-1])
+        if done:
             break
-        elif code < free:
-            a, grown = begin[code], length[code]
-            out += out[a : a + grown]
-        elif code == free and last >= 0:
-            grown = last + 1
-            out += out[size - last : size]
-            out.append(out[size - last])
-        else:
-            raise ValueError("a code names no entry")
-        if last >= 0 and free < TABLE_FULL:
-            begin[free], length[free] = size - last, last + 1
-            free += 1
-            if free == limit and width < 12:
-                width += 1
-                limit <<= 1
-        last = grown
-        size += grown
-    return bytes(out[:want])
+    return b"".join(p.tobytes() for p in parts)[:want]
 
 
 def encode(frames: list[tuple[np.ndarray, int]], palette: bytes, size: tuple[int, int]) -> bytes:
