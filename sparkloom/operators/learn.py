@@ -219,3 +219,78 @@ def epidemiology(exposed_cases: Column, exposed: Column, other_cases: Column, ot
     """C20: incidences, risk ratio, absolute risk reduction and number needed to treat; null where a denominator is 0."""
     a, b = exposed_cases / F.nullif(exposed, F.lit(0)), other_cases / F.nullif(others, F.lit(0))
     return {"incidence": a, "control_incidence": b, "risk_ratio": a / F.nullif(b, F.lit(0.0)), "arr": b - a, "nnt": 1 / F.nullif(F.abs(b - a), F.lit(0.0))}
+
+
+def soft_clusters(vectors: DataFrame, key: str, vec: str, k: int, rounds: int = 8, sharp: float = 6.0) -> DataFrame:
+    """K2: ``key, cluster, weight``: soft clusters with weights in proportion to exp(-6 d^2) of unit vectors, from k-means' seeds.
+
+    A round sends k weighted sums to the driver and ends when centroids move by 1e-6 or less in square.
+    """
+    hard = kmeans(vectors, key, vec, k, rounds=0)
+    dims = vectors.select(F.size(vec)).first()
+    if dims is None:
+        return hard.select(key, "cluster", F.lit(1.0).alias("weight"))
+    unit = vectors.select(key, vec, F.sqrt(dot(F.col(vec), F.col(vec))).alias("__norm")).where("__norm > 0")
+    unit = unit.select(key, F.transform(vec, lambda x: x.cast("double") / F.col("__norm")).alias("__u"))
+    first = unit.join(hard, key).groupBy("cluster").agg(*(F.avg(F.col("__u")[i]).alias(f"m{i}") for i in range(dims[0]))).orderBy("cluster").collect()
+    centre = np.array([r[1:] for r in first], float)
+
+    def weighed(c: np.ndarray) -> DataFrame:
+        table = F.array(*(F.array(*map(F.lit, row.tolist())) for row in c))
+        far = F.transform(table, lambda row: F.aggregate(F.zip_with(row, "__u", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        raw = unit.withColumn("__e", far).withColumn("__e", F.transform("__e", lambda d: F.exp(-sharp * (d - F.array_min("__e")))))
+        total = F.aggregate("__e", F.lit(0.0), lambda s, x: s + x)
+        return raw.select(key, "__u", F.posexplode(F.transform("__e", lambda e: e / total)).alias("cluster", "weight"))
+
+    for _ in range(rounds):
+        sums = weighed(centre).groupBy("cluster").agg(F.sum("weight"), *(F.sum(F.col("weight") * F.col("__u")[i]) for i in range(dims[0]))).collect()
+        new = centre.copy()
+        for r in sums:
+            if r[1] > 0:
+                new[r[0]] = np.array(r[2:], float) / r[1]
+        moved, centre = float(((new - centre) ** 2).sum()), new
+        if moved <= 1e-6:
+            break
+    return weighed(centre).select(key, "cluster", "weight")
+
+
+def divide(vectors: np.ndarray, k: int) -> np.ndarray:
+    """K5: clusters of unit vectors by splitting the one with the widest spread until there are k.
+
+    Spread is one minus the mean similarity to the centroid. A cluster is split about its member farthest from the centroid and the
+    member most similar to that one; each row goes to the more similar of the two, ties to the first.
+    """
+    owner = np.zeros(len(vectors), int)
+    while len(owner) and owner.max() + 1 < k:
+        spread = []
+        for c in range(owner.max() + 1):
+            x = vectors[owner == c]
+            mean = x.mean(0)
+            norm = np.linalg.norm(mean)
+            spread.append(1 - float((x @ mean / norm).mean()) if norm and len(x) > 1 else -1.0)
+        c = int(np.argmax(spread))
+        if spread[c] <= 0:
+            break
+        members = np.flatnonzero(owner == c)
+        x = vectors[members]
+        a = int(np.argmin(x @ x.mean(0)))
+        near = x @ x[a]
+        near[a] = -np.inf
+        b = int(np.argmax(near))
+        to_b = x @ x[b] > x @ x[a]
+        to_b[b], to_b[a] = True, False
+        owner[members[to_b]] = owner.max() + 1
+    return owner
+
+
+def choose_k(vectors: DataFrame, key: str, vec: str, vocabulary: int, least: int = 3, most: int = 8) -> int:
+    """K3: the number of clusters with the least squared distances + 2 * vocabulary * k."""
+    best = None
+    for k in range(least, most + 1):
+        found = vectors.join(kmeans(vectors, key, vec, k, rounds=5), key)
+        dims = found.select(F.size(vec)).first()[0]
+        mean = found.groupBy("cluster").agg(F.array(*(F.avg(F.col(vec)[i]) for i in range(dims))).alias("__m"))
+        gap = F.aggregate(F.zip_with(vec, "__m", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        cost = (found.join(F.broadcast(mean), "cluster").agg(F.sum(gap)).first()[0] or 0.0) + 2.0 * vocabulary * k
+        best = min(best or (cost, k), (cost, k))
+    return best[1]

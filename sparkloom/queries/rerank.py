@@ -166,15 +166,22 @@ def hash_vectors(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.slice("v", 1, 4).alias("head"), F.round(cosine(F.col("v"), F.col("v")), 6).alias("self"))
 
 
-SEPSIS_ROWS = """SELECT event_id, event_type <> 'view' AS infection, 10 + event_id % 20 AS respiratory_rate, 80 + event_id % 60 AS systolic_bp, event_id % 7 = 0 AS altered,
-    CASE WHEN event_id % 5 > 0 THEN 50 + event_id % 40 END AS map, CASE WHEN event_id % 3 > 0 THEN value / 15 END AS lactate, event_id % 120 AS minutes FROM events"""
-
-
-@query(U.sql(U.SEPSIS, f"({SEPSIS_ROWS})", "event_id"))
+SEPSIS_COLUMNS = [
+    "event_id",
+    "event_type <> 'view' AS infection",
+    "10 + event_id % 20 AS respiratory_rate",
+    "80 + event_id % 60 AS systolic_bp",
+    "event_id % 7 = 0 AS altered",
+    "CASE WHEN event_id % 5 > 0 THEN 50 + event_id % 40 END AS map",
+    "CASE WHEN event_id % 3 > 0 THEN value / 15 END AS lactate",
+    "event_id % 120 AS minutes",
+]
+
+
+@query(U.sql(U.SEPSIS, f"(SELECT {', '.join(SEPSIS_COLUMNS)} FROM events)", "event_id"))
 def rules_qsofa(t: Tables) -> DataFrame:
     """App. A: additive score, alerts and severity with missing measurements."""
-    t.events.createOrReplaceTempView("events")
-    rows = t.spark.sql(SEPSIS_ROWS)
+    rows = t.events.selectExpr(*SEPSIS_COLUMNS)
     return U.SEPSIS.apply(rows).select("event_id", "qsofa", "alerts", "severity")
 
 

@@ -205,3 +205,48 @@ def test_gauges_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r.n for r in spark.table("gauged").collect()} <= {10}
+
+
+def test_layout_blocks_of_three_shapes(spark):
+    from sparkloom.sources import layout
+
+    rows = [
+        (1, '{"blocks": [{"type": "Title", "content": " A "}, {"type": "equation", "text": "x=1", "page": 2}, {"type": "text", "content": ""}]}'),
+        (2, '{"pdf_info": [{"page_idx": 4, "para_blocks": [{"type": "text", "text": "b"}]}]}'),
+        (3, '{"pages": [{"blocks": []}, {"blocks": [{"category": "table", "content": "c", "section": "S"}]}]}'),
+        (4, "not json"),
+        (5, None),
+    ]
+    got = [tuple(r) for r in layout.blocks(spark.createDataFrame(rows, "doc long, j string"), "doc", "j").drop("bbox").orderBy("doc", "nth").collect()]
+    assert got == [
+        (1, 0, "header", "A", "Documento > Pagina 1", 1),
+        (1, 1, "formula", "$$x=1$$", "Documento > Pagina 2", 2),
+        (2, 0, "paragraph", "b", "Documento > Pagina 5", 5),
+        (3, 0, "table", "c", "S", 2),
+    ]
+
+
+def test_soft_and_divisive_clusters(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([c + r.normal(0, 0.05, (20, 3)) for c in np.eye(3) * 4])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = learn.divide(unit, 3)
+    assert len(got) == 60 and len(set(got)) == 3  # the second seed is the nearest member, so splits need not be the best
+    assert len(set(learn.divide(unit, 1))) == 1 and len(learn.divide(unit[:0], 3)) == 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    soft = learn.soft_clusters(rows, "k", "v", 3, rounds=3).collect()
+    assert len(soft) == 180
+    for i in range(60):
+        assert sum(s.weight for s in soft if s.k == i) == pytest.approx(1)
+    assert max(s.weight for s in soft if s.k == 0) > 0.9
+    assert learn.choose_k(rows, "k", "v", vocabulary=1000, least=2, most=3) == 2
+
+
+def test_window_span_and_godel(spark):
+    from sparkloom.operators import routing
+
+    row = spark.createDataFrame([(["neutropenia", "x", "fiebre", "y", "cultivos", "fiebre"],)], "t array<string>")
+    assert row.select(routing.smallest_window(F.col("t"), ["neutropenia", "fiebre"])).first()[0] == 3
+    assert row.select(routing.smallest_window(F.col("t"), ["neutropenia", "z"])).first()[0] is None
+    assert routing.from_godel(routing.godel([3, 0, 5])) == [3, 0, 5] and routing.godel([]) is None
+    assert routing.continuity([["a", "b"], ["a", "b"]]) == pytest.approx(1) and routing.continuity([["a"]]) == 0
