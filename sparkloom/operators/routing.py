@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relevance_list
@@ -270,3 +270,49 @@ def boosted_merge(rows: DataFrame, qid: str, doc: str, part: str, score: str) ->
     """H7: of a document found by several parts of a query, the highest score with a bonus of .1 for each earlier part, .08 at most."""
     bonus = F.least(F.lit(0.08), 0.1 * F.col(part))
     return rows.groupBy(qid, doc).agg(F.round(F.max(F.col(score) + bonus), 5).alias("score"), F.count("*").alias("parts"))
+
+
+def domain_search(
+    chunks: DataFrame, doc: str, text: Column, keywords: Column, questions: Column, specialty: Column, terms: list[str], specialties: list[str], k: int, pool: int | None = None
+) -> DataFrame:
+    """H4: ``doc, score, rank``: rows that hold one of up to twelve terms, best first.
+
+    A row scores one for each term it holds, 1.4 for each keyword among the terms, 1.1 for each question that holds one of the
+    first eight terms, and 1.6 for a wanted specialty; rows of wanted specialties are searched alone if there are any.
+    ``pool`` keeps the first rows by id, as a row limit without order would.
+    """
+    terms = list(dict.fromkeys(t.lower() for t in terms))[:12]
+    low = F.lower(text)
+    rows = chunks.select(doc, low.alias("__t"), keywords.alias("__k"), questions.alias("__q"), F.lower(specialty).alias("__s"))
+    rows = rows.where(_any(F.col("__t"), tuple(terms)))
+    wanted = rows.where(F.col("__s").isin(specialties)) if specialties else rows.limit(0)
+    rows = relaxed(wanted, rows)
+    if pool is not None:
+        rows = rows.orderBy(doc).limit(pool)
+    hits = sum((F.contains(F.col("__t"), F.lit(t)).cast("int") for t in terms), F.lit(0))
+    asked = F.size(F.filter("__q", lambda q: _any(F.lower(q), tuple(terms[:8]))))
+    known = F.size(F.filter("__k", lambda w: F.lower(w).isin(terms)))
+    score = hits + 1.4 * known + 1.1 * asked + F.when(F.col("__s").isin(specialties), 1.6).otherwise(0.0)
+    scored = rows.select(doc, F.round(score, 6).alias("score")).where("score > 0")
+    best = scored.orderBy(F.desc("score"), doc).limit(k)
+
+    # the k best rows alone are numbered
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), doc)))
+
+
+def merged_sources(lists: list[DataFrame], key: str, order: str, most: int) -> DataFrame:
+    """Several lists of sources as one: each key once, from the first list that has it, at most ``most``."""
+    numbered = None
+    for i, rows in enumerate(lists):
+        part = rows.withColumn("__list", F.lit(i))
+        numbered = part if numbered is None else numbered.unionByName(part)
+    once = top_per_group(numbered, [key], [F.asc("__list"), F.asc(order)], 1, "__n")
+    return once.orderBy("__list", order).limit(most).drop("__list", "__n")
+
+
+def domain_filter(rows: DataFrame, qid: str, domains: Column, wanted: Column) -> DataFrame:
+    """Rows with a wanted domain; queries none of whose rows has one keep all."""
+
+    hit = F.size(F.array_intersect(domains, wanted)) > 0
+    some = F.max(F.col("__hit").cast("int")).over(Window.partitionBy(qid))
+    return rows.withColumn("__hit", hit).withColumn("__some", some).where("__hit or __some = 0").drop("__hit", "__some")

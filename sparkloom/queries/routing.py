@@ -221,3 +221,34 @@ def near_page_pairs(t: Tables) -> DataFrame:
     a, b = sig.toDF("a", "ga", "first"), sig.toDF("b", "gb", "first")
     pairs = a.join(b, "first").where("a < b").withColumn("similarity", F.round(G.signature_similarity(F.col("ga"), F.col("gb")), 6))
     return pairs.where("similarity >= 0.75").select("a", "b", "similarity")
+
+
+TERMS = ["license", "token", "hest", "blest"]
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, lower(text) AS x, lang FROM documents WHERE {_has(tuple(TERMS))}), w AS (SELECT * FROM r WHERE lang IN ('de')), s AS (SELECT doc_id,
+    round(({' + '.join(f"contains(x, '{t}')::INT" for t in TERMS)}) + 1.1 * ({' OR '.join(f"contains(x, '{t}')" for t in TERMS)})::INT + CASE WHEN lang = 'de' THEN 1.6 ELSE 0 END, 6)::DOUBLE AS score FROM w)
+    SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM s ORDER BY score DESC, doc_id LIMIT 10"""
+)
+def domain_search(t: Tables) -> DataFrame:
+    """H4: texts are their own question; the source is the keyword."""
+    return O.domain_search(t.documents, "doc_id", F.col("text"), F.array("source"), F.array("text"), F.col("lang"), TERMS, ["de"], 10)
+
+
+@query(
+    """SELECT doc_id, lang FROM (SELECT doc_id, lang, 0 AS l FROM documents WHERE lang = 'es' UNION ALL SELECT doc_id, lang, 1 FROM documents WHERE lang = 'fr') ORDER BY l, doc_id LIMIT 130"""
+)
+def source_merge(t: Tables) -> DataFrame:
+    """Spanish documents, then those that are Spanish or French."""
+    some = lambda *langs: t.documents.where(F.col("lang").isin(*langs)).select("doc_id", "lang")
+    return O.merged_sources([some("es"), some("es", "fr")], "doc_id", "doc_id", 130)
+
+
+@query(
+    """SELECT doc_id, source FROM (SELECT doc_id, source, lang = 'es' AS hit, max((lang = 'es')::INT) OVER (PARTITION BY source) AS any_hit FROM documents) WHERE hit OR any_hit = 0"""
+)
+def domain_filter(t: Tables) -> DataFrame:
+    """Of each source its Spanish documents, or all where it has none."""
+    rows = O.domain_filter(t.documents, "source", F.array("lang"), F.array(F.lit("es")))
+    return rows.select("doc_id", "source")
