@@ -304,22 +304,38 @@ def near_groups(
     return rooted.join(named, "root").select("hash", "least", "component_id")
 
 
+def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each two sets have in common, by products of incidence matrices of ``width`` elements at a time."""
+    n = len(sets)
+    element = np.concatenate(sets)
+    order = np.argsort(element, kind="stable")
+    element = element[order]
+    row = np.repeat(np.arange(n), [len(s) for s in sets])[order]
+    fresh = np.r_[True, element[1:] != element[:-1]][: len(element)]
+    column = np.cumsum(fresh) - 1
+    common = np.bincount(column)[column] > 1  # an element of one set alone is shared by no pair
+    row = row[common]
+    column = np.unique(column[common], return_inverse=True)[1]
+    size = int(column.max(initial=-1)) + 1
+    both = np.zeros((n, n), np.float32)  # exact up to 2 ** 24
+    for c in range(0, size, width):
+        i, j = np.searchsorted(column, [c, c + width])
+        held = np.zeros((n, min(width, size - c)), np.float32)
+        held[row[i:j], column[i:j] - c] = 1
+        both += held @ held.T
+    return both
+
+
 def _set_links(x: int, y: int, part: np.ndarray, node: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """A spanning forest of the pairs of one square whose sets are similar enough; pairs already connected are passed over."""
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
+    """A spanning forest of the pairs of one square whose sets are similar enough."""
+    size = np.array([len(s) for s in sets], float)
+    both = _shared(sets)
+    near = both >= similarity * (size[:, None] + size[None, :] - both)
+    if x != y:
+        near &= part[:, None] != part[None, :]
     forest = Forest(len(sets))
-    pairs = []
-    for a, i in enumerate(order.tolist()):
-        for j in order[a + 1 :].tolist():
-            if size[i] < similarity * size[j]:
-                break
-            if x != y and part[i] == part[j] or forest.root(i) == forest.root(j):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (size[i] + size[j] - both):
-                forest.join(i, j)
-                pairs.append((node[i], node[j]))
+    i, j = np.nonzero(np.triu(near, 1))
+    pairs = [(node[a], node[b]) for a, b in zip(i.tolist(), j.tolist()) if forest.join(a, b)]
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
