@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -107,6 +108,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of frames that are gone, which it does once both garbage collectors ran."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rewritten(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"

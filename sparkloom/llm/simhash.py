@@ -10,6 +10,7 @@ A task hands on a spanning forest of what it links, so that a tile of n rows nev
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts, shuffle_partitions, slices
+from .common import checkpoint, give_back, map_texts, shuffle_partitions, slices
 from .components import connected_components
 
 SEED = 42
@@ -217,24 +218,24 @@ def groups(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", tex
 
 
 #: Bands of least hashes by which texts of similarity 0.8 share a tile with a chance of 1 - (1 - 0.8**3)**12 = 0.9998,
-#: and the bits up to which their fingerprints may differ: their mean is 9.7 and their standard deviation 2.9.
+#: and the bits up to which fingerprints differ in most such pairs, which are compared first; no pair is given up by it.
 BANDS, BAND_ROWS, NEAR_BITS = 12, 3, 20
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, hash (of the text), fp, bands``: fingerprint and band keys of every text's word shingles."""
+    """``id, hash (of the text), fp, bands, n``: fingerprint, band keys and number of every text's distinct word shingles."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
             T.StructField("hash", T.LongType()),
             T.StructField("fp", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("n", T.LongType()),
         ]
     )
     factors = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
 
-    def bands(hashes: np.ndarray) -> np.ndarray:
-        distinct = np.unique(hashes)
+    def bands(distinct: np.ndarray) -> np.ndarray:
         if not len(distinct):
             return np.zeros(BANDS, np.int64)
         least = np.array([(distinct * f).min() for f in factors]).reshape(BANDS, BAND_ROWS)
@@ -246,7 +247,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
 
     def make():
         def work(part, texts):
-            hashes = [shingle_hashes(t, words) for t in texts]
+            hashes = [np.unique(shingle_hashes(t, words)) for t in texts]
             flat = np.concatenate([bands(h) for h in hashes] or [np.zeros(0, np.int64)])
             ends = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
             return {
@@ -254,6 +255,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 "hash": part.column(2),
                 "fp": np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64),
                 "bands": pa.ListArray.from_arrays(ends, pa.array(flat)),
+                "n": [len(h) for h in hashes],
             }
 
         return work
@@ -273,35 +275,62 @@ def near_groups(
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Tiles hold texts
     that share a band of least hashes; those whose fingerprints are near form loose groups, and within these the shingle
-    sets themselves decide. Texts that ASCII case or white space alone distinguish have equal shingles and are linked.
+    sets decide first. Then the sets of all texts of a tile that are still apart decide, however far their fingerprints
+    lie from each other. Texts that ASCII case or white space alone distinguish have equal shingles and are linked.
     """
-    rows = checkpoint(sketch(docs, words, id_col, text_col))
-    texts = checkpoint(rows.groupBy("hash").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    texts = sketch(docs, words, id_col, text_col).groupBy("hash")
+    texts = checkpoint(texts.agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("n").alias("n")))
     keyed = texts.select(F.col("hash").alias("node"), "fp", F.explode("bands").alias("tile"))
     loose = connected_components(compare(keyed, NEAR_BITS))
-    member = loose.withColumnsRenamed({"node": "hash", "component": "tile"}).join(texts.select("hash", "least"), "hash")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_hash(text_col).alias("hash"))
-    held = own.join(member, (own["hash"] == member["hash"]) & own["id"].eqNullSafe(member["least"])).select("tile", own["hash"].alias("node"), "text")
-    schema = "tile long, node long, words binary"
+    member = loose.select("node", F.col("component").alias("tile"), F.col("node").alias("root"))
+    found = connected_components(_verified(docs, member, texts, words, similarity, id_col, text_col))
+    rooted = texts.join(found, F.col("hash") == F.col("node"), "left")
+    rooted = checkpoint(rooted.select("hash", "least", "bands", "n", F.coalesce("component", "hash").alias("root")))
+    # the second round needs as much disk as the first
+    del keyed, loose, member, found
+    give_back(docs.sparkSession)
+    joined = connected_components(_verified(docs, apart(rooted, similarity), texts, words, similarity, id_col, text_col))
+    rooted = rooted.join(joined, F.col("root") == F.col("node"), "left")
+    rooted = checkpoint(rooted.select("hash", "least", F.coalesce("component", "root").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select("hash", "least", "component_id")
+
+
+def apart(rooted: DataFrame, similarity: float) -> DataFrame:
+    """``node, tile, root``: texts of ``rooted (hash, bands, n, root)`` that share a band with a text of another root.
+
+    Sets whose sizes are further apart than ``similarity`` can't be that similar. Sizes are therefore cut into steps of
+    that ratio, and a tile holds two neighbouring steps, so that every pair within the ratio meets.
+    """
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / (math.log(1 / similarity) + 1e-6))
+    spread = rooted.select(F.col("hash").alias("node"), "root", step.alias("step"), F.explode("bands").alias("band"))
+    spread = spread.select("node", "root", "band", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+    spread = spread.select("node", "root", F.xxhash64("band", "step").alias("tile"))
+    mixed = spread.groupBy("tile").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+    return checkpoint(spread.join(mixed, "tile").select("node", "tile", "root"))
+
+
+def _verified(docs: DataFrame, member: DataFrame, texts: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``a, b``: links between roots of ``member (node, tile, root)`` for nodes of a tile whose shingle sets are similar enough."""
+    asked = member.select(F.col("node").alias("hash")).distinct().join(texts.select("hash", "least"), "hash")
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_hash(text_col).alias("own"))
+    held = own.join(asked, (F.col("own") == F.col("hash")) & F.col("id").eqNullSafe(F.col("least"))).select("hash", "text")
 
     def sets(batches):
         for batch in batches:
-            for part in slices(batch, 2):
-                coded = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(coded, pa.binary())], names=["tile", "node", "words"])
+            for part in slices(batch, 1):
+                coded = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], names=["hash", "words"])
 
     # repeated rows of one id and text are one node
-    coded = held.mapInArrow(sets, schema).dropDuplicates(["node"])
+    coded = held.mapInArrow(sets, "hash long, words binary").dropDuplicates(["hash"])
+    dealt = member.join(coded, F.col("node") == F.col("hash")).select("tile", "node", "root", "words")
 
     def verify(batches):
-        for (_, x, y), (part, node, coded) in by_square(batches, 6):
-            yield _edges([_set_links(x, y, part.to_numpy(), node.to_numpy(), [np.frombuffer(c.as_py(), np.uint32) for c in coded], similarity)])
+        for (_, x, y), (part, root, coded) in by_square(batches, 6):
+            yield _edges([_set_links(x, y, part.to_numpy(), root.to_numpy(), [np.frombuffer(c.as_py(), np.uint32) for c in coded], similarity)])
 
-    found = connected_components(squares(coded, ["node", "words"]).mapInArrow(verify, "a long, b long"))
-    rooted = texts.select("hash", "least").join(found, F.col("hash") == F.col("node"), "left")
-    rooted = checkpoint(rooted.select("hash", "least", F.coalesce("component", "hash").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("hash", "least", "component_id")
+    return squares(dealt, ["root", "words"]).mapInArrow(verify, "a long, b long")
 
 
 def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -327,10 +356,11 @@ def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
 
 
 def _set_links(x: int, y: int, part: np.ndarray, node: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """A spanning forest of the pairs of one square whose sets are similar enough."""
+    """A spanning forest of the pairs of one square whose nodes differ and whose sets are similar enough."""
     size = np.array([len(s) for s in sets], float)
     both = _shared(sets)
     near = both >= similarity * (size[:, None] + size[None, :] - both)
+    near &= node[:, None] != node[None, :]
     if x != y:
         near &= part[:, None] != part[None, :]
     forest = Forest(len(sets))
