@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-#: Texts of fewer characters are cut into even grains, longer ones at punctuation.
+#: All texts are cut at punctuation. Texts of fewer characters are cut into even grains as well, for likeness to each other.
 SHORT_TEXT = 256
 EVEN_GRAIN = "(?s).{1,12}"
 CLAUSE_GRAIN = "(?s)[^.!?,;]{1,64}[.!?,;]*|[.!?,;]+"
@@ -37,23 +37,27 @@ def root(sections: Column) -> Column:
     return F.sha2(F.array_join(sections, ""), 256)
 
 
-def grains(text: Column, cut: Column) -> Column:
+def grains(cut: Column, pattern: str = CLAUSE_GRAIN) -> Column:
     """Packed grains of all paragraphs in order: 32 bits of hash, then 8 of length."""
+    found = F.flatten(F.transform(F.flatten(cut), lambda p: F.regexp_extract_all(p, F.lit(pattern), F.lit(0))))
+    return F.transform(
+        found,
+        lambda g: F.shiftleft(F.xxhash64(g).bitwiseAND(0xFFFFFFFF), 8).bitwiseOR(F.least(F.char_length(g), F.lit(255)).cast("long")),
+    )
 
-    def packed(pattern: str) -> Column:
-        found = F.flatten(F.transform(F.flatten(cut), lambda p: F.regexp_extract_all(p, F.lit(pattern), F.lit(0))))
-        return F.transform(
-            found,
-            lambda g: F.shiftleft(F.xxhash64(g).bitwiseAND(0xFFFFFFFF), 8).bitwiseOR(F.least(F.char_length(g), F.lit(255)).cast("long")),
-        )
 
-    return F.when(F.char_length(text) < SHORT_TEXT, packed(EVEN_GRAIN)).otherwise(packed(CLAUSE_GRAIN))
+def even_grains(text: Column, cut: Column) -> Column:
+    """Packed even grains of a short text; null for others."""
+    return F.when(F.char_length(text) < SHORT_TEXT, grains(cut, EVEN_GRAIN))
+
 
+def fingerprint(root_node: Column, sections: Column, packed: Column, even: Column) -> Column:
+    """The root, the first 8 digits of each section's node, the grains, and a short text's even grains, as text."""
 
-def fingerprint(root_node: Column, sections: Column, packed: Column) -> Column:
-    """The root, the first 8 digits of each section's node, and the grains, as text."""
-    raw = F.unhex(F.array_join(F.transform(packed, lambda g: F.lpad(F.hex(g), 10, "0")), ""))
-    return F.concat_ws(":", root_node, F.array_join(F.transform(sections, lambda s: F.left(s, F.lit(8))), ""), F.base64(raw))
+    def coded(found: Column) -> Column:
+        return F.base64(F.unhex(F.array_join(F.transform(found, lambda g: F.lpad(F.hex(g), 10, "0")), "")))
+
+    return F.concat_ws(":", root_node, F.array_join(F.transform(sections, lambda s: F.left(s, F.lit(8))), ""), coded(packed), coded(even))
 
 
 def _weight(packed: Column) -> Column:
@@ -72,6 +76,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(by_place, by_set), F.lit(1.0))
 
 
+def either_likeness(a: Column, b: Column, even_a: Column, even_b: Column) -> Column:
+    """Likeness by grains of a kind that both texts have; of two short texts, that of the kind in which they are more alike."""
+    return F.greatest(likeness(a, b), F.when(even_a.isNotNull() & even_b.isNotNull(), likeness(even_a, even_b)))
+
+
 def first_difference(a: Column, b: Column) -> Column:
     """The place, from 0, of the first node that differs; null if none does."""
     return F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False), F.lit(0)) - 1
@@ -124,8 +133,8 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     row the next is that row itself; an empty table gives an empty one; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("cut", paragraphs(F.col("text"))).select("id", "text", grains(F.col("text"), F.col("cut")).alias("grains"))
-    both = with_next(own, "id", "text", ["grains"])
+    own = own.withColumn("cut", paragraphs(F.col("text"))).select("id", "text", grains(F.col("cut")).alias("grains"), even_grains(F.col("text"), F.col("cut")).alias("even"))
+    both = with_next(own, "id", "text", ["grains", "even"])
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     both = both.select(
@@ -133,6 +142,8 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         n.cast("long").alias("n_chars"),
         "grains",
         "next_grains",
+        "even",
+        "next_even",
         F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter)).alias("edited"),
         paragraphs(F.col("text")).alias("cut"),
     )
@@ -143,7 +154,10 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.sha2("edited", 256).alias("edited_sha256"),
         "grains",
         "next_grains",
-        grains(F.col("edited"), F.col("edited_cut")).alias("edited_grains"),
+        "even",
+        "next_even",
+        grains(F.col("edited_cut")).alias("edited_grains"),
+        even_grains(F.col("edited"), F.col("edited_cut")).alias("edited_even"),
         paragraph_nodes(F.col("cut")).alias("nodes"),
         paragraph_nodes(F.col("edited_cut")).alias("edited_nodes"),
     )
@@ -155,10 +169,10 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
-        fingerprint(root(F.col("sections")), F.col("sections"), F.col("grains")).alias("fingerprint"),
-        fingerprint(root(F.col("edited_sections")), F.col("edited_sections"), F.col("edited_grains")).alias("edited_fingerprint"),
-        likeness(F.col("grains"), F.col("edited_grains")).alias("near_edited"),
-        likeness(F.col("grains"), F.col("next_grains")).alias("near_next"),
+        fingerprint(root(F.col("sections")), F.col("sections"), F.col("grains"), F.col("even")).alias("fingerprint"),
+        fingerprint(root(F.col("edited_sections")), F.col("edited_sections"), F.col("edited_grains"), F.col("edited_even")).alias("edited_fingerprint"),
+        either_likeness(F.col("grains"), F.col("edited_grains"), F.col("even"), F.col("edited_even")).alias("near_edited"),
+        either_likeness(F.col("grains"), F.col("next_grains"), F.col("even"), F.col("next_even")).alias("near_next"),
         "edit_section",
         F.when(
             here.isNotNull(),

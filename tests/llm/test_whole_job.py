@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sparkloom.llm import simhash
+from sparkloom.llm import merkle, simhash
 
 
 def shingles(text, words=5):
@@ -55,3 +55,23 @@ def test_near_copies_with_distant_fingerprints_are_linked(spark, kind):
     found = simhash.near_groups(rows).collect()
     of = {x["least"]: x["component_id"] for x in found}
     assert [of[i] for i in range(len(texts))] == brute_groups(texts)
+
+
+def test_likeness_across_the_limit_of_short_texts(spark):
+    r = random.Random(5)
+
+    def prose(n):
+        t = ""
+        while len(t) < n:
+            t += "".join(r.choice("abcdefgh") for _ in range(5)) + r.choice("    ,.") + " "
+        return t[:n]
+
+    base = prose(250)
+    rows = [(1, base), (2, base + "ten more c"), (3, ""), (4, prose(200))]
+    for k, n in enumerate((256, 290, 320, 341)):
+        rows += [(10 + 2 * k, prose(n)), (11 + 2 * k, "")]
+    rows += [(50, prose(100)), (51, prose(100))]
+    got = {x.doc_id: x for x in merkle.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next > 0.8
+    assert all(got[10 + 2 * k].near_edited > 0.6 for k in range(4))
+    assert got[50].near_next < 0.3 and got[4].near_next < 0.3
