@@ -200,21 +200,45 @@ def test_toxicity_of_held_out_rows(spark, docs, empty):
     assert toxicity.score(docs, bare).where("predicted = 1").count() == 0
 
 
-def test_block_max_search_is_exact():
+def test_every_text_with_a_known_term_has_evidence_and_its_own_neighbours(spark):
+    texts, labels = labelled(spark)
+    model = toxicity.train(texts, labels)
+    asked = spark.createDataFrame([(-1, "abc " * 3), (-2, "zork"), (-3, "qqqqqq wwwwww"), (-4, ""), (-5, None)], "doc_id long, text string")
+    for x in texts.limit(200).union(asked.where("doc_id = -2")).collect():
+        query = model.vectors.vectors([x.text])[0]
+        assert (len(model.scores([x.text])[0][1]) > 0) == (query is not None and len(query[0]) > 0)
+    got = {r.doc_id: r for r in toxicity.score(asked, model).collect()}
+    assert got[-2].predicted == 1 and got[-3].evidence == got[-4].evidence == got[-5].evidence == []
+    assert got[-4].score == got[-5].score == model.bare
+
+
+def test_an_example_is_its_own_nearest(spark):
+    texts, labels = labelled(spark)
+    model = toxicity.train(texts, labels)
+    by_id = {r.doc_id: r.text for r in texts.collect()}
+    for place, name in list(enumerate(model.index.names))[:100]:
+        (rows, cosine), = model.index.nearest(model.vectors.vectors([by_id[name]]), 15)
+        assert abs(cosine[0] - 1) < 1e-4 and (rows[0] == place or by_id[model.index.names[rows[0]]] == by_id[name] or cosine[1] == cosine[0])
+
+
+@pytest.mark.parametrize("frequent", [0, 5, 256])
+def test_block_max_search_is_exact(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    monkeypatch.setattr(toxicity, "OPENED", 2)
     r = np.random.default_rng(11)
     vectors = []
     for _ in range(500):
-        t = np.unique(np.r_[0, r.integers(1, 60, r.integers(1, 8))])
+        t = np.unique(r.integers(0, 60, r.integers(1, 8)))
         w = r.random(len(t)) + 0.05
-        vectors.append((t, w / np.sqrt((w**2).sum())))
-    index = toxicity.Index(vectors, [0] * 500, list(range(500)))
-    for q in vectors[:60]:
+        vectors.append((t, np.rint(w / np.sqrt((w**2).sum()) / toxicity.UNIT) * toxicity.UNIT))
+    index = toxicity.Index(vectors, [0] * 500, list(range(500)), 60)
+    place = {name: i for i, name in enumerate(index.names)}
+    asked = vectors[:60] + [(np.zeros(0, np.int64), np.zeros(0))]
+    for q, (rows, cosine) in zip(asked, index.nearest(asked, 15)):
         dense = np.zeros(60)
         dense[q[0]] = q[1]
-        all_ = [(-(dense[t] * w).sum(), i) for i, (t, w) in enumerate(vectors) if len(np.intersect1d(t[t > 0], q[0][q[0] > 0]))]
-        want = sorted((round(s, 9), i) for s, i in all_)[:15]
-        rows, cosine = index.nearest(q, 15)
-        assert [(round(-c, 9), i) for c, i in zip(cosine, rows.tolist())] == want
+        all_ = [(-(dense[t] * w).sum(), place[i]) for i, (t, w) in enumerate(vectors) if len(np.intersect1d(t, q[0]))]
+        assert [(-c, i) for c, i in zip(cosine.tolist(), rows.tolist())] == sorted(all_)[:15]
 
 
 def edited(texts, i):
