@@ -208,6 +208,8 @@ def decode(data: bytes) -> list[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     columns, rows, flags = struct.unpack_from("<HHB", data, 6)
+    if rows * columns > MOST_SAMPLES:
+        raise ValueError("a canvas beyond the limit")
     at, shared = 13, np.zeros((256, 3), np.uint8)
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
@@ -230,9 +232,11 @@ def decode(data: bytes) -> list[Frame]:
         if bits & 0x80:
             colours, at = _palette(data, at, bits)
         stream, after = _blocks(data, at + 1)
-        raw = np.zeros(w * h, np.uint8)
-        got = np.frombuffer(lzw_unpack(stream, data[at], w * h), np.uint8)
-        raw[: len(got)] = got
+        if not 1 <= data[at] <= 8 or w * h > MOST_SAMPLES:
+            raise ValueError("an image that can't be")
+        raw = np.frombuffer(lzw_unpack(stream, data[at], w * h), np.uint8)
+        if len(raw) < w * h:
+            raise ValueError("a code stream that ends early")
         at = after
         index = raw.reshape(h, w)
         if bits & 0x40:
@@ -260,6 +264,9 @@ def histogram(frame: Frame) -> list[int]:
     return np.bincount((c[:, 0] << 4) | (c[:, 1] << 2) | c[:, 2], minlength=64).tolist()
 
 
+#: Samples of a canvas or an image that are unpacked at most, since a few bytes can ask for gigabytes.
+MOST_SAMPLES = 1 << 26
+
 GREY = bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
 
 
@@ -362,8 +369,9 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def gif_frames(media: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """One row for each frame of each GIF: ``id_col, nth, delay_ms, rows, columns, rgb, histogram`` (64 colour bins).
 
-    Frames are the canvases as shown, after palettes, transparency and disposal. A null or a file that is no whole GIF
-    gives no row; repeated rows give repeated rows.
+    Frames are the canvases as shown, after palettes, transparency and disposal. A null, a file that is no whole
+    GIF and one whose canvas has more than ``MOST_SAMPLES`` samples give no row; repeated rows give repeated rows and an
+    empty table an empty one; other columns are ignored.
     """
     import pyarrow as pa
 

@@ -1,9 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass classifies each block from its share of stop words, its
-length and its share of characters in links, and from the elements around it (a menu is boilerplate whatever its
-words, a block of the article is never boilerplate for its words alone). What stays ambiguous, mostly short blocks,
-takes in the second pass the label of the nearest decided block before or after it.
+A page is cut into blocks at block-level tags. Blocks of elements that are never main text (menus, forms, footers,
+comments, adverts and the like) are boilerplate. The first pass classifies every other block from its share of stop
+words, its length and its share of characters in links; in an article, prose needs less to be good, but a list of links
+is boilerplate there as well. What stays ambiguous, mostly short blocks, takes in the second pass the label of the
+nearest decided block before or after it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ STOP_WORDS = frozenset(
 #: Thresholds of the first pass (fixed values of the method): share of characters in links, lengths, stop-word shares.
 MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.30
 
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button xmp noembed".split())
+#: Elements whose content is dropped: of the first, all is plain text up to their end tag; the others may be nested.
+PLAIN = frozenset("script style title textarea iframe xmp noembed".split())
+DROPPED = PLAIN | frozenset("noscript template svg math object select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
@@ -49,6 +52,12 @@ AWAY_WORDS = frozenset(
     "subscription signup login search masthead topbar toolbar widget skip legal copyright".split()
 )
 HEADER_WORDS = frozenset("header head topheader".split())
+#: Words that say nothing of a name's content; a name such as ``share-buttons`` is boilerplate, ``social-science`` is not.
+FRAME_WORDS = frozenset(
+    "container box wrapper wrap inner outer block section area bar list item items link links button buttons panel content main left right "
+    "top bottom site page global primary secondary mobile desktop title text body row col column grid group module component slot unit zone "
+    "space icon icons form field fixed sticky inline float post article entry story the my js is has no new small large big show hide".split()
+)
 MAIN_IDS = re.compile(r"(?:article|post|entry|story)[-_]?(?:body|content|text)|articlebody", re.I)
 
 TOKEN = re.compile(
@@ -60,6 +69,7 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\s*(
 WORD_BREAK = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[^\W\d_]+")
+DROPPED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))})(?=[\s/>])[^>]*>", re.I)
 
 
 @dataclass
@@ -77,6 +87,36 @@ class _Open:
     outer: int | None = field(default=None)
 
 
+def _away(name: str, tag: str, outer: int | None) -> bool:
+    """Whether a class, id or property names boilerplate: all its words do or say nothing, and one does."""
+    words = {w for w in WORD_BREAK.split(CAMEL.sub("-", name).lower()) if w and not w.isdigit()}
+    if words & AWAY_WORDS:
+        return words <= AWAY_WORDS | FRAME_WORDS | HEADER_WORDS
+    return outer != 1 and tag == "div" and bool(words & HEADER_WORDS) and words <= FRAME_WORDS | HEADER_WORDS
+
+
+def dropped_ends(page: str) -> dict[int, int]:
+    """Where each element whose content is dropped ends, by the place of its start tag; those never closed are left out."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    missing: set[str] = set()
+    at = 0
+    while m := DROPPED_TAG.search(page, at):
+        tag, at = m[2].lower(), m.end()
+        if m[1]:
+            if opened.get(tag):
+                found[opened[tag].pop()] = m.end()
+        elif tag not in PLAIN:
+            opened.setdefault(tag, []).append(m.start())
+        elif tag not in missing:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end is None:
+                missing.add(tag)
+            else:
+                found[m.start()] = at = end.end()
+    return found
+
+
 def _region(tag: str, attributes: str, outer: int | None) -> int | None:
     """The region of an element inside ``outer``."""
     if outer == -1:
@@ -98,8 +138,7 @@ def _region(tag: str, attributes: str, outer: int | None) -> int | None:
             if MAIN_IDS.search(value):
                 region = 1
                 continue
-            words = set(WORD_BREAK.split(CAMEL.sub("-", value).lower()))
-            if words & AWAY_WORDS and tag not in ("body", "html", "article", "main") or words & HEADER_WORDS and outer != 1 and tag == "div":
+            if tag not in ("body", "html", "article", "main") and any(_away(name, tag, outer) for name in value.split()):
                 return -1
     return region
 
@@ -112,30 +151,32 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     opened: Counter[str] = Counter()
     region: int | None = None
-    in_link = False
+    in_link, link_depth, dropping = False, 0, False
+    ends_at = dropped_ends(page)
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal in_link
+        nonlocal dropping
+        dropping = False
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 found.append(Block(text, len(" ".join(html.unescape(" ".join(linked)).split())), region))
             parts.clear()
             linked.clear()
-        in_link = False
 
     def close(tag: str) -> None:
-        nonlocal region
+        nonlocal region, in_link
         while stack:
             top = stack.pop()
             opened[top.tag] -= 1
             region = top.outer
+            in_link = in_link and len(stack) >= link_depth
             if top.tag == tag:
                 return
 
     def keep(text: str) -> None:
-        if text:
+        if text and not dropping:
             parts.append(text)
             if in_link:
                 linked.append(text)
@@ -157,17 +198,16 @@ def blocks(page: str) -> list[Block]:
                 keep(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag, ends = m[2].lower(), bool(m[1])
-        if tag in RAW:
+        if tag in DROPPED:
             if not ends and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
-            if tag not in INLINE:
-                parts.append(" ")
+                # one that is never closed ends where the next block begins
+                at, dropping = (ends_at[lt], dropping) if lt in ends_at else (at, True)
+            parts.append(" ")
             continue
         if tag == "br":
             keep(" ")
         elif tag == "a":
-            in_link = not ends
+            in_link, link_depth = not ends, len(stack)
         elif tag in INLINE:
             continue
         else:
@@ -195,56 +235,57 @@ def first_pass(block: Block) -> str:
     length = len(block.text)
     words = LETTERS.findall(block.text.lower())
     stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
-    links = block.linked / length
-    if block.region == 1:
-        return "good" if links <= MAX_LINKS and (stops >= STOP_LOW or length > LONG) else "near"
-    if links > MAX_LINKS:
+    inside = block.region == 1
+    if block.linked / length > MAX_LINKS:
         return "bad"
     if length < SHORT:
+        if inside:
+            return "good" if stops >= STOP_HIGH else "near" if stops >= STOP_LOW else "short"
         return "bad" if block.linked else "short"
-    if stops >= STOP_HIGH:
+    if stops >= (STOP_LOW if inside else STOP_HIGH):
+        return "good" if inside or length > LONG else "near"
+    if inside:
         return "good" if length > LONG else "near"
-    if stops >= STOP_LOW:
-        return "near"
-    return "bad"
+    return "near" if stops >= STOP_LOW else "bad"
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Labels all blocks good or bad. An ambiguous block of the article looks at the article's blocks alone."""
-    for b in found:
-        b.label = first_pass(b)
+    """Labels all blocks good or bad.
+
+    An ambiguous block takes the label of the nearest decided one; at equal distances, one that is rather good or stands in
+    the article becomes good. A block of the article looks at the article's blocks alone and is good if none is decided;
+    for other blocks all beyond the page's edges is bad.
+    """
+    first = [first_pass(b) for b in found]
     n = len(found)
     for inside in (True, False):
         member = [i for i in range(n) if not inside or found[i].region == 1]
-        before: list[int | None] = [None] * n
-        after: list[int | None] = [None] * n
-        last = None
-        for i in member:
-            before[i] = last
-            last = i if found[i].label in ("good", "bad") else last
-        last = None
-        for i in reversed(member):
-            after[i] = last
-            last = i if found[i].label in ("good", "bad") else last
         chosen = {}
+        before, after = _decided(member, first), _decided(member[::-1], first)
         for i in member:
-            b = found[i]
-            if b.label in ("good", "bad") or not inside and b.region == 1:
-                continue
-            a, z = before[i], after[i]
-            if inside and a is None and z is None:
-                chosen[i] = "good"
+            if first[i] in ("good", "bad") or not inside and found[i].region == 1:
                 continue
-            # beyond the page's edges all is boilerplate; the article looks no further than its own blocks
-            sides = [(i - a, found[a].label)] if a is not None else [] if inside else [(i + 1, "bad")]
-            sides += [(z - i, found[z].label)] if z is not None else [] if inside else [(n - i, "bad")]
-            nearest = {label for d, label in sides if d == min(d for d, _ in sides)}
-            chosen[i] = nearest.pop() if len(nearest) == 1 else "good" if b.label == "near" else "bad"
+            sides = [(abs(i - k), first[k]) for k in (before[i], after[i]) if k is not None]
+            if not inside:
+                sides += [(i + 1, "bad")] * (before[i] is None) + [(n - i, "bad")] * (after[i] is None)
+            nearest = {label for d, label in sides if d == min(sides)[0]}
+            chosen[i] = "bad" if nearest == {"bad"} or "bad" in nearest and first[i] == "short" and not inside else "good"
         for i, label in chosen.items():
-            found[i].label = label
+            first[i] = label
+    for b, label in zip(found, first):
+        b.label = label
     return found
 
 
+def _decided(order: list[int], labels: list[str]) -> dict[int, int | None]:
+    """For each block the last one before it in ``order`` that is good or bad."""
+    out, last = {}, None
+    for i in order:
+        out[i] = last
+        last = i if labels[i] in ("good", "bad") else last
+    return out
+
+
 def main_text(page: str) -> tuple[str, int, int]:
     """The main text of a page, its number of blocks and how many of them are kept."""
     found = classify(blocks(page))

@@ -16,6 +16,8 @@ from .common import checkpoint, shuffle_partitions
 
 #: Sources up to which their table is broadcast; its rows hold at most some hundred numbers. Beyond, rows are joined.
 BROADCAST_SOURCES = 10_000
+#: Tasks over which each source's rows are spread where sources are joined.
+SALTS = 16
 #: The largest mean that is inverted at once; a higher one is the sum of equal parts, each with a hash of its own.
 PART_MEAN = 32.0
 #: A uniform number is made of so many hexadecimal digits of a hash.
@@ -84,23 +86,29 @@ def mix(
     the text's hash; repeated rows get equal numbers of copies each; an empty table gives an empty one. Columns of
     ``docs`` named like the new ones are replaced.
     """
-    docs = docs.drop("rate", "copy", "mix_key")
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size).alias("size"))
-    table = checkpoint(rates(sizes, weights, temperature, epochs))
-    small = table.count() <= BROADCAST_SOURCES
-    table = table.select(F.col("source").alias("__source"), "rate", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    joined = docs.join(F.broadcast(table) if small else table, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    drawn = F.transform(
-        F.sequence(F.lit(1), F.col("__parts")),
-        lambda p: F.size(F.filter("__cdf", lambda c: c <= uniform(seed, F.col("__key"), p))),
+    own = docs.drop("rate", "copy", "mix_key").columns
+    rows = docs.select(
+        F.struct(*own).alias("row"),
+        F.col(source_col).cast("string").alias("own_source"),
+        F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("key"),
     )
-    copies = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
-    joined = joined.withColumn("__key", key).withColumn("__copies", copies).where("__copies > 0")
-    out = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    order = F.left(F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("__key"), F.col("copy").cast("string"))), F.lit(16))
-    out = out.select(*docs.columns, "rate", "copy", order.alias("mix_key"))
+    sizes = rows.groupBy(F.col("own_source").alias("source")).agg(F.sum("size").alias("size"))
+    table = checkpoint(rates(sizes, weights, temperature, epochs)).drop("size")
+    same = F.col("own_source").eqNullSafe(F.col("source"))
+    if table.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(table), same)
+    else:
+        # a source's rows are dealt to several tasks, as one source may hold a third of them
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        table = table.withColumn("own_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(table, same & (F.col("salt") == F.col("own_salt")))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: uniform(seed, F.col("key"), p))
+    drawn = F.transform(numbers, lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
+    joined = joined.withColumn("copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).where("copies > 0")
+    out = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    order = F.left(F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("key"), F.col("copy").cast("string"))), F.lit(16))
+    out = out.select("row.*", "rate", "copy", order.alias("mix_key"))
     return out.repartition(shuffle_partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
 
 

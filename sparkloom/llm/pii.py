@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,7 @@ LABELERS = 6
 #: Characters to the left of a span that the context labelers read.
 CONTEXT = 40
 ACCEPT = 0.5
+FORMS = 8 * 4 * 16 * 4
 
 SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
 CANDIDATE = T.StructType([*SPAN.fields, T.StructField("code", T.IntegerType())])
@@ -146,20 +148,34 @@ def entropy(span: str) -> float:
     return -sum(n / len(span) * math.log2(n / len(span)) for n in counts)
 
 
+def form(span: str, before: str) -> int:
+    """Length in steps of 8, share of digits in quarters, kinds of characters, and kind of the character before, as one number below ``FORMS``."""
+    digits = sum(c.isdigit() for c in span)
+    kinds = (digits > 0) + 2 * any(c.isupper() for c in span) + 4 * any(c.islower() for c in span) + 8 * any(not c.isalnum() for c in span)
+    left = 0 if not before or before.isspace() else 1 if before in "=:\"'" else 2 if before.isalnum() else 3
+    return ((min(7, len(span) // 8) * 4 + min(3, 4 * digits // len(span))) * 16 + kinds) * 4 + left
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(kind, begin, end, code) of further spans that overlap neither base spans nor each other.
 
-    The code holds the votes, each as 0 (against), 1 (none) or 2 (for), then the kind and two features of the form.
+    The code holds the votes, each as 0 (against), 1 (none) or 2 (for), then the kind and the span's form.
     """
     out = []
     digit = DIGIT.search(text) is not None
-    busy = sorted((a, b) for _, a, b in taken)
+    busy: list[tuple[int, int]] = []  # disjoint, in order
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if busy and a < busy[-1][1]:
+            busy[-1] = busy[-1][0], max(b, busy[-1][1])
+        else:
+            busy.append((a, b))
     for k, kind in enumerate(ADDED):
         if kind == "handle" and "@" not in text or kind not in ("name", "handle") and not digit:
             continue
         for m in LOOSE[kind].finditer(text):
             a, b = m.span()
-            if any(x < b and a < y for x, y in busy):
+            before = bisect_left(busy, (b,))
+            if before and busy[before - 1][1] > a:
                 continue
             span = m[0]
             left = text[max(0, a - CONTEXT) : a].lower()
@@ -176,9 +192,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             code = 0
             for v in votes:
                 code = code * 3 + v + 1
-            form = min(3, len(span) // 12) * 3 + min(2, 3 * sum(c.isdigit() for c in span) // len(span))
-            out.append((k, a, b, (code * len(ADDED) + k) * 12 + form))
-            busy.append((a, b))
+            out.append((k, a, b, (code * len(ADDED) + k) * FORMS + form(span, text[a - 1 : a])))
+            insort(busy, (a, b))
     return out
 
 
@@ -188,9 +203,8 @@ def estimate(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     Given the truth, labelers vote independently; a labeler's votes for (truth, vote) are shared by all kinds, the
     share of true spans is that of the kind. The start is the majority vote.
     """
-    form = codes // 12
-    kind = form % len(ADDED)
-    votes = np.stack([form // len(ADDED) // 3 ** (LABELERS - 1 - i) % 3 for i in range(LABELERS)], 1)
+    kind = codes // FORMS % len(ADDED)
+    votes = np.stack([codes // FORMS // len(ADDED) // 3 ** (LABELERS - 1 - i) % 3 for i in range(LABELERS)], 1)
     balance = (votes - 1).sum(1)
     p = 1 / (1 + np.exp(-balance.astype(float)))
     table = np.zeros((2, LABELERS, 3))
@@ -211,13 +225,15 @@ def estimate(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def features(codes: np.ndarray) -> np.ndarray:
-    """One column for each vote of each labeler, kind and feature of the form, and a constant."""
-    form, base = codes % 12, codes // 12
+    """One column for each vote of each labeler, kind and feature of the span's form, which labelers don't see, and a constant."""
+    shape, base = codes % FORMS, codes // FORMS
     columns = [np.ones(len(codes)), *(base % len(ADDED) == k for k in range(len(ADDED)))]
     for i in range(LABELERS):
         vote = base // len(ADDED) // 3 ** (LABELERS - 1 - i) % 3
         columns += [vote == 0, vote == 2]
-    columns += [form // 3 == i for i in range(1, 4)] + [form % 3 == i for i in range(1, 3)]
+    left, kinds, share, length = shape % 4, shape // 4 % 16, shape // 64 % 4, shape // 256
+    columns += [left == i for i in range(1, 4)] + [share == i for i in range(1, 4)] + [length == i for i in range(1, 8)]
+    columns += [kinds >> i & 1 for i in range(4)]
     return np.stack(columns, 1).astype(float)
 
 
@@ -264,7 +280,10 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train(found: DataFrame) -> dict[int, float]:
-    """The probability of each code that occurs in ``more``, from its count over all rows (at most 61,236 codes)."""
+    """The probability of each code that occurs in ``more``, from its count over all rows.
+
+    There are at most 3 ** 6 * 7 * 2,048 codes, of which real texts show some hundreds, however many they are.
+    """
     rows = found.select(F.explode("more.code").alias("code")).groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
     return classify(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float))
 

@@ -27,9 +27,6 @@ from .common import map_texts
 
 MARK = "▁"
 
-#: A literal marker in a text is replaced by this while it is encoded; U+FDD0 is no character of any text.
-HELD = "﷐"
-
 #: Units whose pieces a task keeps; when there are more, it starts anew. This changes no result.
 KEPT = 120_000
 
@@ -228,22 +225,21 @@ def encoder(model: dict) -> Callable[[list[str]], list[bytes]]:
     spelling = model["byte_ids"][list(MARK.encode())].astype("<i4").tobytes()
 
     def learn(new: list[str]) -> None:
-        together, alone = [], []
-        for u in new:
-            (alone if HELD in u or len(u) * 4 > TOGETHER else together).append(u)
+        together = [u for u in new if len(u) * 4 <= TOGETHER]
         kept.update(zip(together, segment([u.encode() for u in together], model)))
-        for u in alone:
-            parts = [segment([p.encode()], model)[0] if p else b"" for p in u.split(HELD)]
-            kept[u] = spelling.join(parts)
+        for u in new:
+            if u not in kept:
+                kept[u] = segment([u.encode()], model)[0]
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(kept) > KEPT:
             kept.clear()
-        cut = [units(f" {t.replace(MARK, HELD) if MARK in t else t}".replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut) - kept.keys()
+        # a marker that a text holds parts it; between the parts it is spelt in bytes
+        cut = [[units(part.replace(" ", MARK)) for part in f" {t}".split(MARK)] if t else [] for t in texts]
+        new = {u for parts in cut for part in parts for u in part} - kept.keys()
         if new:
             learn(list(new))
-        return [b"".join(map(kept.__getitem__, c)) for c in cut]
+        return [spelling.join(b"".join(map(kept.__getitem__, part)) for part in parts) for parts in cut]
 
     return encode
 
