@@ -7,26 +7,33 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Edges of a node from which on its join is spread over several tasks; a larger table has a higher bound, so that at most
+#: 100,000 such nodes, a few MB, are ever broadcast.
+HOT = 1000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node, component`` for every node of ``edges (a, b)``: the component is its smallest node.
 
     Alternates large-star and small-star steps until the edges no longer change, which takes about log(n) rounds even
-    for long chains. Each node's edges are aggregated by a minimum first, so that no step gathers a node's
-    neighbours, and every round is checkpointed in the shared folder. Node values must be orderable and not null;
-    loops and repeated edges do no harm.
+    for long chains. A node's neighbours are never gathered: their minimum is aggregated first, and the join that hands
+    it to them is spread where a node has many. Every round is checkpointed in the shared folder. Node values must be
+    orderable and not null; loops and repeated edges do no harm.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     links = checkpoint(links)
-    before = None
+    before = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(max_rounds):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star: every smaller neighbour of u, and u itself, is linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hot = max(HOT, before[0] // 100_000)
+        # large star: every larger neighbour u of v is linked to the smallest of v and its neighbours
+        least = links.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        crowded = links.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        large = _beside(links, "v", "u", least, crowded, hot).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # small star: every smaller neighbour v of u, and u itself, is linked to the smallest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        crowded = low.where(F.col("n") > hot).select("u", "n")
+        low = low.select("u", "m")
+        rest = _beside(large, "u", "v", low, crowded, hot).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpoint(rest.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -36,3 +43,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def _beside(links: DataFrame, key: str, other: str, found: DataFrame, crowded: DataFrame, hot: int) -> DataFrame:
+    """``links`` with the ``m`` that ``found (key, m)`` has for ``key``, or null; edges of ``crowded (key, n)`` go to several tasks."""
+    spread = F.broadcast(crowded.select(key, F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    one = F.coalesce("parts", F.lit(1))
+    left = links.join(spread, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), one).cast("int"))
+    right = found.join(spread, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1)))
+    return left.select("u", "v", "salt").join(right.select(key, "salt", "m"), [key, "salt"], "left")

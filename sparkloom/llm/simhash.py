@@ -6,11 +6,13 @@ link is found in the first of these where both agree and no link is lost. Within
 their bit counts and are compared square by square by exclusive-or and bit count; squares whose bit counts lie further
 apart than the radius are skipped. Groups that share a tile key in great number are cut into squares that are spread over the tasks.
 A task hands on a spanning forest of what it links, so that a tile of n rows never yields more than n - 1 links for a square side.
+
+``near_groups`` links texts by their sets of shingles: tiles are then bands of least hashes, the comparison in tiles finds
+who may be alike, and the sets decide.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, give_back, map_texts, shuffle_partitions, slices
+from .common import checkpoint, map_texts, shuffle_partitions, slices
 from .components import connected_components
 
 SEED = 42
@@ -124,21 +126,26 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return compare(keyed, radius)
 
 
-def squares(keyed: DataFrame, payload: list[str]) -> DataFrame:
+def squares(keyed: DataFrame, payload: list[str], weight: str | None = None, diagonal: bool = False) -> DataFrame:
     """``tile, x, y, part`` and ``payload`` of ``keyed (tile, node, ...)``, dealt and sorted by square (tile, x, y).
 
-    Rows alone in their tile have no partner there and go. A tile of more than ``SQUARE`` rows is cut into parts; its
-    squares are all pairs of parts, and a row stands in the squares of its part.
+    Rows alone in their tile have no partner there and go. A tile of more than ``SQUARE`` rows, or of more ``weight``
+    than ``ELEMENTS``, is cut into parts; its squares are all pairs of parts, and a row stands in the squares of its
+    part. With ``diagonal``, parts are not paired; the row whose ``pivot`` is true stands in all of them instead.
     """
-    size = keyed.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1")
-    row = keyed.join(size, "tile").withColumn("parts", F.ceil(F.col("n") / SQUARE).cast("int"))
+    n = shuffle_partitions(keyed.sparkSession)
+    dealt = keyed.repartition(n, "tile")
+    heavy = F.sum(weight) / F.lit(ELEMENTS) if weight else F.lit(0.0)
+    size = dealt.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / SQUARE, heavy)).cast("int").alias("parts"), F.count("*").alias("n"))
+    row = dealt.join(size.where("n > 1").drop("n"), "tile")
     row = row.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(F.least(F.col("part"), o).alias("x"), F.greatest(F.col("part"), o).alias("y")),
-    )
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    if diagonal:
+        own = F.when(F.col("pivot"), every).otherwise(F.array("part"))
+        other = F.transform(own, lambda o: F.struct(o.alias("x"), o.alias("y")))
+    else:
+        other = F.transform(every, lambda o: F.struct(F.least(F.col("part"), o).alias("x"), F.greatest(F.col("part"), o).alias("y")))
     row = row.withColumn("s", F.explode(other)).select("tile", "s.x", "s.y", "part", *payload)
-    n = shuffle_partitions(keyed.sparkSession)
     return row.repartition(n, "tile", "x", "y").sortWithinPartitions("tile", "x", "y", "part")
 
 
@@ -163,38 +170,61 @@ def by_square(batches, columns: int):
 def compare(keyed: DataFrame, radius: int) -> DataFrame:
     """``a, b``: links between nodes of a tile whose fingerprints differ in at most ``radius`` bits, for ``keyed (tile, node, fp)``.
 
-    Of the links of a square, a spanning forest is returned, which connects the same nodes.
+    If ``keyed`` has ``s0, s1``, the sketches of two nodes must also differ in at most ``FAR_SYMBOLS`` places. Of the links of
+    a square, a spanning forest is returned, which connects the same nodes.
     """
+    more = [c for c in ("s0", "s1") if c in keyed.columns]
+    kind = keyed.schema["node"].dataType
 
     def run(batches):
         out = []
-        for (_, x, y), (part, node, fp) in by_square(batches, 6):
-            out.append(_square_links(x, y, part.to_numpy(), node.to_numpy(), fp.to_numpy().view(np.uint64), radius))
+        for (_, x, y), (part, node, fp, *sketches) in by_square(batches, 6 + len(more)):
+            numbers = [c.to_numpy().view(np.uint64) for c in (fp, *sketches)]
+            out.append(_square_links(x, y, part.to_numpy(), node.to_numpy(), numbers, radius))
             if sum(map(len, out)) > 10_000:
-                yield _edges(out)
+                yield _edges(out, kind)
                 out = []
-        yield _edges(out)
+        yield _edges(out, kind)
+
+    return squares(keyed, ["node", "fp", *more]).mapInArrow(run, _edge_schema(kind))
+
 
-    return squares(keyed, ["node", "fp"]).mapInArrow(run, "a long, b long")
+def _edge_schema(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
 
-def _edges(out: list[np.ndarray]) -> pa.RecordBatch:
-    found = np.concatenate([*out, np.zeros((0, 2), np.int64)])
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(2)], names=["a", "b"])
+def _edges(out: list[np.ndarray], kind: T.DataType) -> pa.RecordBatch:
+    found = np.concatenate([np.zeros((0, 2), np.int64), *out])
+    column = pa.int64() if isinstance(kind, T.LongType) else pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i]), column) for i in range(2)], names=["a", "b"])
 
 
-def _square_links(x: int, y: int, part: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """A spanning forest of the links of one square; of a square beside the diagonal, only those between its parts count."""
-    if len(fp) == 2:
-        near = np.bitwise_count(fp[0] ^ fp[1]) <= radius and (x == y or part[0] != part[1])
-        return node.reshape(1, 2) if near else np.zeros((0, 2), np.int64)
-    order = np.lexsort((np.bitwise_count(fp), part))
-    part, node, fp = part[order], node[order], fp[order]
+#: One bit of each two-bit symbol of a sketch.
+SYMBOLS = np.uint64(0x5555555555555555)
+
+
+def _square_links(x: int, y: int, part: np.ndarray, node: np.ndarray, numbers: list[np.ndarray], radius: int) -> np.ndarray:
+    """A spanning forest of the links of one square; of a square beside the diagonal, only those between its parts count.
+
+    ``numbers`` are the fingerprints and, if there are any, both halves of the sketches.
+    """
+    order = np.lexsort((np.bitwise_count(numbers[0]), part))
+    part, node, (fp, *sketches) = part[order], node[order], (c[order] for c in numbers)
     cut = int(np.searchsorted(part, y)) if x != y else 0
     i, j = _squares(fp[:cut] if x != y else fp, fp[cut:], radius)
     j = j + cut
-    forest = Forest(len(fp))
-    pairs = [p for p in zip(i[i < j].tolist(), j[i < j].tolist()) if forest.join(*p)]
+    i, j = i[i < j], j[i < j]
+    if sketches:
+        apart = [h[i] ^ h[j] for h in sketches]
+        far = sum(np.bitwise_count((d | d >> np.uint64(1)) & SYMBOLS).astype(np.int64) for d in apart)
+        i, j = i[far <= FAR_SYMBOLS], j[far <= FAR_SYMBOLS]
+    return _forest_of(i, j, node)
+
+
+def _forest_of(i: np.ndarray, j: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Links of a spanning forest of the pairs (i, j), as nodes."""
+    forest = Forest(len(node))
+    pairs = [p for p in zip(i.tolist(), j.tolist()) if forest.join(*p)]
     return node[np.array(pairs, np.int64).reshape(-1, 2)]
 
 
@@ -217,120 +247,136 @@ def groups(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", tex
     return fps.join(classes, F.col("fp") == F.col("own")).select(id_col, "fp", "component_id")
 
 
-#: Bands of least hashes by which texts of similarity 0.8 share a tile with a chance of 1 - (1 - 0.8**3)**12 = 0.9998,
-#: and the bits up to which fingerprints differ in most such pairs, which are compared first; no pair is given up by it.
-BANDS, BAND_ROWS, NEAR_BITS = 12, 3, 20
+#: Bands of least hashes by which texts of similarity 0.8 share a tile with a chance of 1 - (1 - 0.8**3)**20 = 1 - 6e-7.
+BANDS, BAND_ROWS = 20, 3
+#: What two texts of similarity 0.8 may differ in: bits of the fingerprint (more differ in 1 of 900,000 pairs of sets of 4
+#: and 5 shingles, and in fewer of larger sets) and symbols of the sketch (more differ in 2 of 10,000,000 pairs).
+NEAR_BITS, FAR_SYMBOLS = 28, 26
+#: Shingles of the sets in a part of a square, which bounds memory.
+ELEMENTS = 500_000
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, hash (of the text), fp, bands, n``: fingerprint, band keys and number of every text's distinct word shingles."""
+    """``id, node, fp, s0, s1, bands, n`` of every text, all from its set of word shingles.
+
+    ``node`` is half of the text's SHA-256, ``fp`` the fingerprint of the distinct shingles, ``s0`` and ``s1`` 64 symbols of
+    two bits, each of one least hash, ``bands`` the keys of ``BANDS`` times ``BAND_ROWS`` least hashes and ``n`` the size.
+    """
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
-            T.StructField("hash", T.LongType()),
-            T.StructField("fp", T.LongType()),
+            T.StructField("node", T.BinaryType()),
+            *(T.StructField(c, T.LongType()) for c in ("fp", "s0", "s1")),
             T.StructField("bands", T.ArrayType(T.LongType())),
             T.StructField("n", T.LongType()),
         ]
     )
-    factors = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
+    rows = max(64, BANDS * BAND_ROWS)
+    factors = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(rows)], np.uint64)
+    places = np.arange(32, dtype=np.uint64) * np.uint64(2)
 
-    def bands(distinct: np.ndarray) -> np.ndarray:
+    def signs(distinct: np.ndarray) -> np.ndarray:
+        """Both sketches and all band keys."""
         if not len(distinct):
-            return np.zeros(BANDS, np.int64)
-        least = np.array([(distinct * f).min() for f in factors]).reshape(BANDS, BAND_ROWS)
+            return np.zeros(2 + BANDS, np.uint64)
+        least = np.full(rows, ~np.uint64(0))
+        for i in range(0, len(distinct), 512):
+            least = np.minimum(least, (distinct[None, i : i + 512] * factors[:, None]).min(1))
+        grouped = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
         mixed = np.zeros(BANDS, np.uint64)
         for k in range(BAND_ROWS):
-            mixed = (mixed ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ grouped[:, k]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-        return (mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        symbols = (least[:64] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(62)).reshape(2, 32) << places
+        return np.r_[np.bitwise_or.reduce(symbols, 1), mixed + np.arange(BANDS, dtype=np.uint64)]
 
     def make():
         def work(part, texts):
             hashes = [np.unique(shingle_hashes(t, words)) for t in texts]
-            flat = np.concatenate([bands(h) for h in hashes] or [np.zeros(0, np.int64)])
+            made = np.array([signs(h) for h in hashes], np.uint64).reshape(-1, 2 + BANDS).view(np.int64)
             ends = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
             return {
                 "id": part.column(0),
-                "hash": part.column(2),
+                "node": part.column(2),
                 "fp": np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64),
-                "bands": pa.ListArray.from_arrays(ends, pa.array(flat)),
+                "s0": np.ascontiguousarray(made[:, 0]),
+                "s1": np.ascontiguousarray(made[:, 1]),
+                "bands": pa.ListArray.from_arrays(ends, pa.array(made[:, 2:].ravel())),
                 "n": [len(h) for h in hashes],
             }
 
         return work
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("hash"))
-    return map_texts(own, ["id", "text", "hash"], "text", make, schema)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_node(text_col).alias("node"))
+    return map_texts(own, ["id", "text", "node"], "text", make, schema)
 
 
-def text_hash(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def text_node(text_col: str):
+    """Half of the text's SHA-256, which names it; a null text counts as empty."""
+    return F.unhex(F.left(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), F.lit(32)))
 
 
 def near_groups(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``hash, least, component_id`` for each distinct text: its smallest id, and that of its group.
+    """``node, least, copies, component_id`` for each distinct text: its smallest id, how many rows have both, and the group's smallest id.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Tiles hold texts
-    that share a band of least hashes; those whose fingerprints are near form loose groups, and within these the shingle
-    sets decide first. Then the sets of all texts of a tile that are still apart decide, however far their fingerprints
-    lie from each other. Texts that ASCII case or white space alone distinguish have equal shingles and are linked.
+    that share a band of least hashes; those whose fingerprints and sketches are near form loose groups. Within these the
+    shingle sets decide: first within parts of a group, which all hold its first text, then, where a group is not yet
+    one, between all its parts. A pair of similarity 0.8 or more is missed with a chance of 2e-6 at most, the sum of those
+    stated at ``BANDS`` and ``NEAR_BITS``. Texts that ASCII case or white space alone distinguish have equal shingles and
+    are linked.
     """
-    texts = sketch(docs, words, id_col, text_col).groupBy("hash")
-    texts = checkpoint(texts.agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("n").alias("n")))
-    keyed = texts.select(F.col("hash").alias("node"), "fp", F.explode("bands").alias("tile"))
+    rows = sketch(docs, words, id_col, text_col).groupBy("node", "id")
+    rows = rows.agg(F.count("*").alias("copies"), *(F.min(c).alias(c) for c in ("fp", "s0", "s1", "bands", "n")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "copies")).alias("first")
+    texts = rows.groupBy("node").agg(first, *(F.min(c).alias(c) for c in ("fp", "s0", "s1", "bands", "n")))
+    texts = checkpoint(texts.select("node", F.col("first.id").alias("least"), F.col("first.copies").alias("copies"), "fp", "s0", "s1", "bands", "n"))
+    keyed = texts.select("node", "fp", "s0", "s1", F.explode("bands").alias("tile"))
     loose = connected_components(compare(keyed, NEAR_BITS))
-    member = loose.select("node", F.col("component").alias("tile"), F.col("node").alias("root"))
-    found = connected_components(_verified(docs, member, texts, words, similarity, id_col, text_col))
-    rooted = texts.join(found, F.col("hash") == F.col("node"), "left")
-    rooted = checkpoint(rooted.select("hash", "least", "bands", "n", F.coalesce("component", "hash").alias("root")))
-    # the second round needs as much disk as the first
-    del keyed, loose, member, found
-    give_back(docs.sparkSession)
-    joined = connected_components(_verified(docs, apart(rooted, similarity), texts, words, similarity, id_col, text_col))
-    rooted = rooted.join(joined, F.col("root") == F.col("node"), "left")
-    rooted = checkpoint(rooted.select("hash", "least", F.coalesce("component", "root").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("hash", "least", "component_id")
-
-
-def apart(rooted: DataFrame, similarity: float) -> DataFrame:
-    """``node, tile, root``: texts of ``rooted (hash, bands, n, root)`` that share a band with a text of another root.
-
-    Sets whose sizes are further apart than ``similarity`` can't be that similar. Sizes are therefore cut into steps of
-    that ratio, and a tile holds two neighbouring steps, so that every pair within the ratio meets.
-    """
-    step = F.floor(F.log(F.greatest("n", F.lit(1))) / (math.log(1 / similarity) + 1e-6))
-    spread = rooted.select(F.col("hash").alias("node"), "root", step.alias("step"), F.explode("bands").alias("band"))
-    spread = spread.select("node", "root", "band", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
-    spread = spread.select("node", "root", F.xxhash64("band", "step").alias("tile"))
-    mixed = spread.groupBy("tile").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-    return checkpoint(spread.join(mixed, "tile").select("node", "tile", "root"))
-
-
-def _verified(docs: DataFrame, member: DataFrame, texts: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``a, b``: links between roots of ``member (node, tile, root)`` for nodes of a tile whose shingle sets are similar enough."""
-    asked = member.select(F.col("node").alias("hash")).distinct().join(texts.select("hash", "least"), "hash")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_hash(text_col).alias("own"))
-    held = own.join(asked, (F.col("own") == F.col("hash")) & F.col("id").eqNullSafe(F.col("least"))).select("hash", "text")
-
-    def sets(batches):
+    sets = checkpoint(_sets(docs, loose.join(texts.select("node", "least", "n"), "node"), words, id_col, text_col))
+    sure = connected_components(_verified(sets.withColumn("root", F.col("node")), similarity, diagonal=True))
+    rooted = sets.select("node", "component").join(sure.withColumnRenamed("component", "root"), "node", "left")
+    rooted = checkpoint(rooted.select("node", "component", F.coalesce("root", "node").alias("root")))
+    mixed = rooted.groupBy("component").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("component")
+    left = rooted.join(mixed, "component").select("node", "root")
+    joined = connected_components(_verified(sets.join(left, "node"), similarity, diagonal=False))
+    ends = rooted.join(joined.select(F.col("node").alias("root"), F.col("component").alias("end")), "root", "left")
+    ends = ends.select("node", F.coalesce("end", "root").alias("root"))
+    known = texts.select("node", "least", "copies").join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = checkpoint(known)
+    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.join(named, "root").select("node", "least", "copies", "component_id")
+
+
+def _sets(docs: DataFrame, asked: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``node, component, n, words``: the sorted shingle hashes of each text in ``asked (node, component, least, n)``."""
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_node(text_col).alias("own"))
+    held = own.join(asked.select("node", "least"), (F.col("own") == F.col("node")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "text")
+
+    def code(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                coded = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], names=["hash", "words"])
+                coded = [np.unique(shingle_hashes(t, words)).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], names=["node", "words"])
 
     # repeated rows of one id and text are one node
-    coded = held.mapInArrow(sets, "hash long, words binary").dropDuplicates(["hash"])
-    dealt = member.join(coded, F.col("node") == F.col("hash")).select("tile", "node", "root", "words")
+    coded = held.mapInArrow(code, "node binary, words binary").dropDuplicates(["node"])
+    return asked.select("node", "component", "n").join(coded, "node")
+
+
+def _verified(sets: DataFrame, similarity: float, diagonal: bool) -> DataFrame:
+    """``a, b``: links between roots of ``sets (node, component, root, n, words)`` for texts of a component whose sets are similar enough."""
+    dealt = sets.withColumn("tile", F.xxhash64("component")).withColumn("pivot", F.col("node") == F.col("component"))
+    kind = T.BinaryType()
 
     def verify(batches):
         for (_, x, y), (part, root, coded) in by_square(batches, 6):
-            yield _edges([_set_links(x, y, part.to_numpy(), root.to_numpy(), [np.frombuffer(c.as_py(), np.uint32) for c in coded], similarity)])
+            held = [np.frombuffer(c.as_py(), np.uint64) for c in coded]
+            yield _edges([_set_links(x, y, part.to_numpy(), root.to_numpy(), held, similarity)], kind)
 
-    return squares(dealt, ["root", "words"]).mapInArrow(verify, "a long, b long")
+    return squares(dealt, ["root", "words"], "n", diagonal).mapInArrow(verify, _edge_schema(kind))
 
 
 def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -339,7 +385,7 @@ def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     element = np.concatenate(sets)
     order = np.argsort(element, kind="stable")
     element = element[order]
-    row = np.repeat(np.arange(n), [len(s) for s in sets])[order]
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])[order]
     fresh = np.r_[True, element[1:] != element[:-1]][: len(element)]
     column = np.cumsum(fresh) - 1
     common = np.bincount(column)[column] > 1  # an element of one set alone is shared by no pair
@@ -359,25 +405,29 @@ def _set_links(x: int, y: int, part: np.ndarray, node: np.ndarray, sets: list[np
     """A spanning forest of the pairs of one square whose nodes differ and whose sets are similar enough."""
     size = np.array([len(s) for s in sets], float)
     both = _shared(sets)
-    near = both >= similarity * (size[:, None] + size[None, :] - both)
-    near &= node[:, None] != node[None, :]
+    # the small term keeps products such as 0.8 * 15 from being a little more than the whole number
+    near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+    _, number = np.unique(node, return_inverse=True)
+    near &= number[:, None] != number[None, :]
     if x != y:
         near &= part[:, None] != part[None, :]
-    forest = Forest(len(sets))
-    i, j = np.nonzero(np.triu(near, 1))
-    pairs = [(node[a], node[b]) for a, b in zip(i.tolist(), j.tolist()) if forest.join(a, b)]
-    return np.array(pairs, np.int64).reshape(-1, 2)
+    return _forest_of(*np.nonzero(np.triu(near, 1)), node)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest id (a null id only if there is no other).
 
-    Of rows that repeat that id and text, one stays. Columns stay as they are.
+    Of rows that repeat that id and text, one stays, the same at every run. Columns stay as they are, whatever their
+    names. An empty table gives an empty one; null and empty texts are copies of each other; texts without words have
+    empty sets, which are alike.
     """
     found = near_groups(docs, words, similarity, id_col, text_col)
-    kept = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("hash").alias("__hash"))
-    kept = kept.withColumnRenamed("component_id", "__id")
-    rows = docs.withColumn("__own", text_hash(text_col))
-    chosen = rows.join(kept, (F.col("__own") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    repeated = chosen.groupBy("__own", id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return (chosen.dropDuplicates(["__own", id_col]) if repeated else chosen).drop("__own")
+    kept = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("node", "copies")).alias("k"))
+    kept = checkpoint(kept.select(F.col("component_id").alias("id"), "k.node", "k.copies"))
+    rows = docs.select(F.struct("*").alias("row"), text_node(text_col).alias("own"))
+    once = rows.join(kept.where("copies = 1"), (F.col("own") == F.col("node")) & F.col(f"row.{id_col}").eqNullSafe(F.col("id")), "left_semi")
+    if kept.where("copies > 1").limit(1).count():
+        again = rows.join(kept.where("copies > 1"), (F.col("own") == F.col("node")) & F.col(f"row.{id_col}").eqNullSafe(F.col("id")))
+        again = again.groupBy("own").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))).alias("row"), F.first("own").alias("o"))
+        once = once.select("row").union(again.select("row"))
+    return once.select("row.*")

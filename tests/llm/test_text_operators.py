@@ -165,6 +165,71 @@ def test_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def brute_labels(found):
+    """The two passes written out: every ambiguous block looks at all others."""
+    first = [html_text.first_pass(b) for b in found]
+    now = list(first)
+    for inside in (True, False):
+        new = list(now)
+        for i, b in enumerate(found):
+            if now[i] in ("good", "bad") or (b.region == 1) != inside:
+                continue
+            seen = [(abs(i - k), now[k]) for k, o in enumerate(found) if now[k] in ("good", "bad") and (not inside or o.region == 1)]
+            if not inside:
+                seen += [(d, "bad") for d, side in ((i + 1, range(i)), (len(found) - i, range(i + 1, len(found)))) if not any(now[k] in ("good", "bad") for k in side)]
+            labels = {label for d, label in seen if d == min(seen)[0]}
+            new[i] = "good" if not labels or labels == {"good"} else "bad" if labels == {"bad"} else "good" if inside or first[i] == "near" else "bad"
+        now = new
+    return now
+
+
+def test_both_passes_equal_brute_force():
+    import duckdb
+
+    pages = [h for h, in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    cases = [html_text.blocks(p or "") for p in pages]
+    r = random.Random(12)
+    some = ["the cat is in the house " * 9, "the cat is in it", "Nouns verbs words", "junk " * 50, "the cat " * 2 + "words " * 12]
+    for _ in range(3000):
+        cases.append([])
+        for _ in range(r.randrange(12)):
+            text = r.choice(some)
+            cases[-1].append(html_text.Block(text, r.choice([0, 0, 0, len(text)]), r.choice([None, None, 1, 1, -1])))
+    seen = set()
+    for found in cases:
+        want = brute_labels(found)
+        assert [b.label for b in html_text.classify(found)] == want
+        seen |= {(b.region, html_text.first_pass(b), b.label) for b in found}
+    assert len(seen) >= 11
+
+
+def test_density_decides(monkeypatch):
+    prose = "The cat of the house is in the garden and it was on the wall for a while with the dog. " * 4
+    links = "".join(f"<li><a href=/{i}>Read topic number {i}</a></li>" for i in range(4))
+    page = f"<article><h1>Title</h1><p>{prose}</p><ul>{links}</ul><p>{prose}</p></article>"
+    got = html_text.main_text(page)[0]
+    assert "topic" not in got and got.startswith("Title The cat") and got.count("The cat") == 8
+    bare = f"<div><a><div>Some linked words</div></a><p>{prose}<p>Buy now: cheap shoes, best deals, free shipping, low prices, hot offers, new stock.<p>{'word ' * 60}</div>"
+    assert html_text.main_text(bare)[0] == prose.strip()
+    monkeypatch.setattr(html_text, "first_pass", lambda b: "bad" if b.region == -1 else "good")
+    assert html_text.main_text(page)[0] != got and html_text.main_text(bare)[0] != prose.strip()
+
+
+@pytest.mark.parametrize("tag", ["button", "svg", "select", "object", "script", "iframe", "textarea"])
+def test_unclosed_elements_keep_the_rest_of_the_page(tag):
+    prose = "The cat of the house is in the garden and it was on the wall for a while with the dog. " * 4
+    got = html_text.main_text(f"<article><p>{prose}<{tag} x=y>Share<p>Second {prose}</article>")[0]
+    assert got == f"{prose}Second {prose}".strip()
+    got = html_text.main_text(f"<article><p>{prose}<{tag}>Share <p>in</p></{tag}><p>Second {prose}</article>")[0]
+    assert got == f"{prose}Second {prose}".strip()
+
+
+def test_names_of_classes():
+    prose = "The cat of the house is in the garden and it was on the wall for a while with the dog."
+    for name, stays in [("social-science", True), ("ad", False), ("share-buttons", False), ("siteFooter", False), ("legal-theory", True), ("cookie-banner-2", False)]:
+        assert (html_text.main_text(f'<article><p>{prose * 4}<div class="{name}">Own {prose}</div></article>')[0].count("Own") == 1) == stays
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
