@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import checkpoint, map_rows, map_texts, slices
 
 #: Labelled rows that are read at most: examples of the index, and of these the share kept apart for calibration.
-SAMPLE = 8_000
+SAMPLE = 6_000
 CALIBRATION_SHARE = 4  # one of so many
 #: Terms: beginnings of so many letters, and whole words.
 BEGINNINGS = (5,)
