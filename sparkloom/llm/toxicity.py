@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_rows, map_texts, slices
+from .common import checkpoint, map_rows, map_texts, release, slices
 
 #: Labelled rows that are read at most: examples of the index, and of these the share kept apart for calibration.
-SAMPLE = 6_000
+SAMPLE = 4_000
 CALIBRATION_SHARE = 4  # one of so many
 #: Terms: beginnings of so many letters, and whole words.
 BEGINNINGS = (5,)
@@ -37,7 +37,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Terms kept as matrices, blocks that a query opens first, and queries answered together. None of them changes a result.
 FREQUENT, OPENED, TOGETHER = 256, 8, 64
-#: Weights are whole multiples of this, so that sums of products are exact whatever their order.
+#: Weights are whole multiples of this (and fit 32 bits), so that sums of products are exact whatever their order.
 UNIT = 2.0**-24
 WORD = re.compile(r"\w{3,}")
 #: Distance below which two examples count the same.
@@ -319,22 +319,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
                 got = vectors.vectors(part.column(2).to_pylist())
                 columns = [
                     pa.array([None if v is None else v[i] for v in got], pa.list_(t))
-                    for i, t in enumerate((pa.int64(), pa.float64()))
+                    for i, t in enumerate((pa.int32(), pa.float32()))
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 3)), *columns], names=["id", "y", "apart", "terms", "weights"])
 
     id_type = sample.schema["id"].dataType.simpleString()
-    made = sample.select("id", "y", "text", "apart").mapInArrow(vectorise, f"id {id_type}, y int, apart boolean, terms array<long>, weights array<double>").toArrow()
+    made = sample.select("id", "y", "text", "apart").mapInArrow(vectorise, f"id {id_type}, y int, apart boolean, terms array<int>, weights array<float>").toArrow()
     rows = [(i, y, a, None if t.as_py() is None else (t.values.to_numpy(), w.values.to_numpy())) for i, y, a, t, w in zip(
         *(made.column(c).to_pylist() for c in range(3)), made.column(3), made.column(4)
     )]
     rows.sort(key=lambda r: r[:2])
+    del counted, made
     inside = [r for r in rows if r[3] is not None and not r[2]]
     index = Index([r[3] for r in inside], [r[1] for r in inside], [r[0] for r in inside], len(keys))
     asked = [(y, v) for _, y, a, v in rows if a and v is not None]
     votes = [(found[0], y) for (y, _), found in zip(asked, index.votes([v for _, v in asked], NEIGHBOURS)) if found is not None]
     bare = [y for _, y, _, v in rows if v is None]
     steps = isotonic(np.array([v for v, _ in votes]), np.array([y for _, y in votes], float))
+    del rows, inside, asked
+    release()
     return Model(vectors, index, steps, (sum(bare) + rate) / (len(bare) + 1))
 
 
