@@ -27,13 +27,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         hot = max(HOT, before[0] // 100_000)
         # large star: every larger neighbour u of v is linked to the smallest of v and its neighbours
         least = links.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
-        crowded = links.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-        large = _beside(links, "v", "u", least, crowded, hot).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = _beside(links, "v", "u", least, _crowded(links, "v", hot), hot).select("u", F.coalesce("m", "v").alias("v")).distinct()
         # small star: every smaller neighbour v of u, and u itself, is linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        crowded = low.where(F.col("n") > hot).select("u", "n")
-        low = low.select("u", "m")
-        rest = _beside(large, "u", "v", low, crowded, hot).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        rest = _beside(large, "u", "v", low, _crowded(links, "u", hot), hot).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpoint(rest.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -45,10 +42,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _beside(links: DataFrame, key: str, other: str, found: DataFrame, crowded: DataFrame, hot: int) -> DataFrame:
-    """``links`` with the ``m`` that ``found (key, m)`` has for ``key``, or null; edges of ``crowded (key, n)`` go to several tasks."""
-    spread = F.broadcast(crowded.select(key, F.ceil(F.col("n") / hot).cast("int").alias("parts")))
-    one = F.coalesce("parts", F.lit(1))
+def _crowded(links: DataFrame, key: str, hot: int) -> DataFrame | None:
+    """``key, parts``: nodes with more than ``hot`` edges at their ``key`` end, and over how many tasks to spread them; none if there are none.
+
+    The large star never adds edges at the ``u`` end, so what ``links`` has there bounds the small star as well.
+    """
+    found = links.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    return found if found.limit(1).count() else None
+
+
+def _beside(links: DataFrame, key: str, other: str, found: DataFrame, crowded: DataFrame | None, hot: int) -> DataFrame:
+    """``links`` with the ``m`` that ``found (key, m)`` has for ``key``, or null; edges of ``crowded`` nodes go to several tasks."""
+    if crowded is None:
+        return links.join(found, key, "left")
+    spread, one = F.broadcast(crowded), F.coalesce("parts", F.lit(1))
     left = links.join(spread, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), one).cast("int"))
     right = found.join(spread, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1)))
     return left.select("u", "v", "salt").join(right.select(key, "salt", "m"), [key, "salt"], "left")

@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,29 +174,22 @@ def compare(keyed: DataFrame, radius: int) -> DataFrame:
     a square, a spanning forest is returned, which connects the same nodes.
     """
     more = [c for c in ("s0", "s1") if c in keyed.columns]
-    kind = keyed.schema["node"].dataType
-
     def run(batches):
         out = []
         for (_, x, y), (part, node, fp, *sketches) in by_square(batches, 6 + len(more)):
             numbers = [c.to_numpy().view(np.uint64) for c in (fp, *sketches)]
             out.append(_square_links(x, y, part.to_numpy(), node.to_numpy(), numbers, radius))
             if sum(map(len, out)) > 10_000:
-                yield _edges(out, kind)
+                yield _edges(out)
                 out = []
-        yield _edges(out, kind)
-
-    return squares(keyed, ["node", "fp", *more]).mapInArrow(run, _edge_schema(kind))
-
+        yield _edges(out)
 
-def _edge_schema(kind: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return squares(keyed, ["node", "fp", *more]).mapInArrow(run, "a long, b long")
 
 
-def _edges(out: list[np.ndarray], kind: T.DataType) -> pa.RecordBatch:
-    found = np.concatenate([np.zeros((0, 2), np.int64), *out])
-    column = pa.int64() if isinstance(kind, T.LongType) else pa.binary()
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i]), column) for i in range(2)], names=["a", "b"])
+def _edges(out: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.concatenate([*out, np.zeros((0, 2), np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(2)], names=["a", "b"])
 
 
 #: One bit of each two-bit symbol of a sketch.
@@ -257,15 +250,15 @@ ELEMENTS = 500_000
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, node, fp, s0, s1, bands, n`` of every text, all from its set of word shingles.
+    """``id, digest, fp, s0, s1, bands, n`` of every text, all from its set of word shingles.
 
-    ``node`` is half of the text's SHA-256, ``fp`` the fingerprint of the distinct shingles, ``s0`` and ``s1`` 64 symbols of
+    ``digest`` is half of the text's SHA-256, ``fp`` the fingerprint of the distinct shingles, ``s0`` and ``s1`` 64 symbols of
     two bits, each of one least hash, ``bands`` the keys of ``BANDS`` times ``BAND_ROWS`` least hashes and ``n`` the size.
     """
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
-            T.StructField("node", T.BinaryType()),
+            T.StructField("digest", T.BinaryType()),
             *(T.StructField(c, T.LongType()) for c in ("fp", "s0", "s1")),
             T.StructField("bands", T.ArrayType(T.LongType())),
             T.StructField("n", T.LongType()),
@@ -297,7 +290,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
             ends = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
             return {
                 "id": part.column(0),
-                "node": part.column(2),
+                "digest": part.column(2),
                 "fp": np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64),
                 "s0": np.ascontiguousarray(made[:, 0]),
                 "s1": np.ascontiguousarray(made[:, 1]),
@@ -307,11 +300,11 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
 
         return work
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_node(text_col).alias("node"))
-    return map_texts(own, ["id", "text", "node"], "text", make, schema)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_digest(text_col).alias("digest"))
+    return map_texts(own, ["id", "text", "digest"], "text", make, schema)
 
 
-def text_node(text_col: str):
+def text_digest(text_col: str):
     """Half of the text's SHA-256, which names it; a null text counts as empty."""
     return F.unhex(F.left(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), F.lit(32)))
 
@@ -319,7 +312,7 @@ def text_node(text_col: str):
 def near_groups(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``node, least, copies, component_id`` for each distinct text: its smallest id, how many rows have both, and the group's smallest id.
+    """``digest, least, copies, component_id`` for each distinct text: its smallest id, how many rows have both, and the group's smallest id.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Tiles hold texts
     that share a band of least hashes; those whose fingerprints and sketches are near form loose groups. Within these the
@@ -328,14 +321,17 @@ def near_groups(
     stated at ``BANDS`` and ``NEAR_BITS``. Texts that ASCII case or white space alone distinguish have equal shingles and
     are linked.
     """
-    rows = sketch(docs, words, id_col, text_col).groupBy("node", "id")
-    rows = rows.agg(F.count("*").alias("copies"), *(F.min(c).alias(c) for c in ("fp", "s0", "s1", "bands", "n")))
+    made = ("fp", "s0", "s1", "bands", "n")
+    rows = sketch(docs, words, id_col, text_col).groupBy("digest", "id").agg(F.count("*").alias("copies"), *(F.min(c).alias(c) for c in made))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "copies")).alias("first")
-    texts = rows.groupBy("node").agg(first, *(F.min(c).alias(c) for c in ("fp", "s0", "s1", "bands", "n")))
-    texts = checkpoint(texts.select("node", F.col("first.id").alias("least"), F.col("first.copies").alias("copies"), "fp", "s0", "s1", "bands", "n"))
+    texts = rows.groupBy("digest").agg(first, *(F.min(c).alias(c) for c in made))
+    # texts go by numbers; should two texts have the same 64 bits, the second takes the number after
+    short = F.xxhash64("digest")
+    nth = F.row_number().over(Window.partitionBy(short).orderBy("digest")) - 1
+    texts = checkpoint(texts.select("digest", (short + nth).alias("node"), F.col("first.id").alias("least"), F.col("first.copies").alias("copies"), *made))
     keyed = texts.select("node", "fp", "s0", "s1", F.explode("bands").alias("tile"))
     loose = connected_components(compare(keyed, NEAR_BITS))
-    sets = checkpoint(_sets(docs, loose.join(texts.select("node", "least", "n"), "node"), words, id_col, text_col))
+    sets = checkpoint(_sets(docs, loose.join(texts.select("digest", "node", "least", "n"), "node"), words, id_col, text_col))
     sure = connected_components(_verified(sets.withColumn("root", F.col("node")), similarity, diagonal=True))
     rooted = sets.select("node", "component").join(sure.withColumnRenamed("component", "root"), "node", "left")
     rooted = checkpoint(rooted.select("node", "component", F.coalesce("root", "node").alias("root")))
@@ -344,16 +340,16 @@ def near_groups(
     joined = connected_components(_verified(sets.join(left, "node"), similarity, diagonal=False))
     ends = rooted.join(joined.select(F.col("node").alias("root"), F.col("component").alias("end")), "root", "left")
     ends = ends.select("node", F.coalesce("end", "root").alias("root"))
-    known = texts.select("node", "least", "copies").join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = texts.select("digest", "node", "least", "copies").join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = checkpoint(known)
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(named, "root").select("node", "least", "copies", "component_id")
+    return known.join(named, "root").select("digest", "least", "copies", "component_id")
 
 
 def _sets(docs: DataFrame, asked: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, component, n, words``: the sorted shingle hashes of each text in ``asked (node, component, least, n)``."""
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_node(text_col).alias("own"))
-    held = own.join(asked.select("node", "least"), (F.col("own") == F.col("node")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "text")
+    """``node, component, n, words``: the sorted shingle hashes of each text in ``asked (digest, node, component, least, n)``."""
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_digest(text_col).alias("own"))
+    held = own.join(asked.select("digest", "node", "least"), (F.col("own") == F.col("digest")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "text")
 
     def code(batches):
         for batch in batches:
@@ -362,21 +358,20 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], names=["node", "words"])
 
     # repeated rows of one id and text are one node
-    coded = held.mapInArrow(code, "node binary, words binary").dropDuplicates(["node"])
+    coded = held.mapInArrow(code, "node long, words binary").dropDuplicates(["node"])
     return asked.select("node", "component", "n").join(coded, "node")
 
 
 def _verified(sets: DataFrame, similarity: float, diagonal: bool) -> DataFrame:
     """``a, b``: links between roots of ``sets (node, component, root, n, words)`` for texts of a component whose sets are similar enough."""
     dealt = sets.withColumn("tile", F.xxhash64("component")).withColumn("pivot", F.col("node") == F.col("component"))
-    kind = T.BinaryType()
 
     def verify(batches):
         for (_, x, y), (part, root, coded) in by_square(batches, 6):
             held = [np.frombuffer(c.as_py(), np.uint64) for c in coded]
-            yield _edges([_set_links(x, y, part.to_numpy(), root.to_numpy(), held, similarity)], kind)
+            yield _edges([_set_links(x, y, part.to_numpy(), root.to_numpy(), held, similarity)])
 
-    return squares(dealt, ["root", "words"], "n", diagonal).mapInArrow(verify, _edge_schema(kind))
+    return squares(dealt, ["root", "words"], "n", diagonal).mapInArrow(verify, "a long, b long")
 
 
 def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -422,12 +417,12 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     empty sets, which are alike.
     """
     found = near_groups(docs, words, similarity, id_col, text_col)
-    kept = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("node", "copies")).alias("k"))
-    kept = checkpoint(kept.select(F.col("component_id").alias("id"), "k.node", "k.copies"))
-    rows = docs.select(F.struct("*").alias("row"), text_node(text_col).alias("own"))
-    once = rows.join(kept.where("copies = 1"), (F.col("own") == F.col("node")) & F.col(f"row.{id_col}").eqNullSafe(F.col("id")), "left_semi")
+    kept = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("digest", "copies")).alias("k"))
+    kept = checkpoint(kept.select(F.col("component_id").alias("id"), "k.digest", "k.copies"))
+    rows = docs.select(F.struct("*").alias("row"), text_digest(text_col).alias("own"))
+    same = (F.col("own") == F.col("digest")) & F.col(f"row.{id_col}").eqNullSafe(F.col("id"))
+    once = rows.join(kept.where("copies = 1"), same, "left_semi").select("row")
     if kept.where("copies > 1").limit(1).count():
-        again = rows.join(kept.where("copies > 1"), (F.col("own") == F.col("node")) & F.col(f"row.{id_col}").eqNullSafe(F.col("id")))
-        again = again.groupBy("own").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))).alias("row"), F.first("own").alias("o"))
-        once = once.select("row").union(again.select("row"))
+        again = rows.join(kept.where("copies > 1"), same)
+        once = once.union(again.groupBy("own", "id").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))).alias("row")).select("row"))
     return once.select("row.*")
