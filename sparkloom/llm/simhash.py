@@ -28,6 +28,8 @@ from .components import connected_components
 SEED = 42
 #: Rows of a square's side. A tile of more rows is cut into squares that go to different tasks.
 SQUARE = 512
+#: Large tiles up to which their table (16 bytes each) is broadcast.
+BROADCAST_TILES = 1_000_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -129,15 +131,16 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 def squares(keyed: DataFrame, payload: list[str], weight: str | None = None, diagonal: bool = False) -> DataFrame:
     """``tile, x, y, part`` and ``payload`` of ``keyed (tile, node, ...)``, dealt and sorted by square (tile, x, y).
 
-    Rows alone in their tile have no partner there and go. A tile of more than ``SQUARE`` rows, or of more ``weight``
+    Rows alone in their square have no partner there and go. A tile of more than ``SQUARE`` rows, or of more ``weight``
     than ``ELEMENTS``, is cut into parts; its squares are all pairs of parts, and a row stands in the squares of its
     part. With ``diagonal``, parts are not paired; the row whose ``pivot`` is true stands in all of them instead.
     """
     n = shuffle_partitions(keyed.sparkSession)
-    dealt = keyed.repartition(n, "tile")
     heavy = F.sum(weight) / F.lit(ELEMENTS) if weight else F.lit(0.0)
-    size = dealt.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / SQUARE, heavy)).cast("int").alias("parts"), F.count("*").alias("n"))
-    row = dealt.join(size.where("n > 1").drop("n"), "tile")
+    size = keyed.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / SQUARE, heavy)).cast("int").alias("parts"))
+    # only large tiles have several parts; they are few, and none of their rows meet before they are dealt to squares
+    large = checkpoint(size.where("parts > 1"))
+    row = keyed.join(F.broadcast(large) if large.count() <= BROADCAST_TILES else large, "tile", "left").fillna({"parts": 1})
     row = row.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     if diagonal:
@@ -145,8 +148,10 @@ def squares(keyed: DataFrame, payload: list[str], weight: str | None = None, dia
         other = F.transform(own, lambda o: F.struct(o.alias("x"), o.alias("y")))
     else:
         other = F.transform(every, lambda o: F.struct(F.least(F.col("part"), o).alias("x"), F.greatest(F.col("part"), o).alias("y")))
-    row = row.withColumn("s", F.explode(other)).select("tile", "s.x", "s.y", "part", *payload)
-    return row.repartition(n, "tile", "x", "y").sortWithinPartitions("tile", "x", "y", "part")
+    row = row.withColumn("s", F.explode(other)).select("tile", "s.x", "s.y", "part", *payload).repartition(n, "tile", "x", "y")
+    square = Window.partitionBy("tile", "x", "y").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the window's partitioning and order are those of the squares
+    return row.withColumn("rows", F.count("*").over(square)).where("rows > 1").drop("rows")
 
 
 def by_square(batches, columns: int):
