@@ -75,8 +75,8 @@ def edit_distance(a: Column, b: Column, cutoff: int) -> Column:
 
 
 def soundex_strict(word: Column) -> Column:
-    """A Soundex in which every letter without a code, h and w included, ends a run of equal codes."""
-    letters = F.regexp_replace(F.upper(word), "[^A-Z]", "")
+    """A Soundex in which every letter without a code, h and w included, ends a run of equal codes; marks are folded."""
+    letters = F.regexp_replace(F.upper(fold(word)), "[^A-Z]", "")
     codes = F.translate(letters, "BFPVCGJKQSXZDTLMNRAEIOUYHW", "11112222222233455600000000")
     once = F.regexp_replace(codes, r"(.)\1+", "$1")
     tail = F.regexp_replace(F.substring(once, F.lit(2), F.length(once)), "0", "")

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, canonical_url
+from ..functions.text import bind, canonical_url, fold
 from ..plans.cut import checkpoint
 
 ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a\s*>", re.I | re.S)
@@ -56,16 +56,70 @@ def edges(parts: DataFrame) -> DataFrame:
     return long.groupBy("src", "dst").agg(F.max_by("anchor", F.struct(F.length("anchor"), F.col("anchor"))).alias("anchor"))
 
 
-def host_authority(host: Column) -> Column:
-    """By the kind of host."""
-    return F.when(host.rlike(r"\.(gov|edu)$"), 1.0).when(host.rlike(r"\.org$"), 0.8).when(host.rlike(r"\.net$"), 0.6).otherwise(0.5)
+#: How far hosts and those below them are trusted.
+AUTHORITIES = {
+    "who.int": 1.00, "cdc.gov": 0.98, "nih.gov": 0.98, "pubmed.ncbi.nlm.nih.gov": 0.99, "nejm.org": 0.95, "thelancet.com": 0.94, "bmj.com": 0.93,
+    "jamanetwork.com": 0.93, "scielo.org": 0.90,
+}
+#: Words of spam, and parts of addresses that hint at it.
+SPAM_TERMS = (
+    "miracle", "cure", "garantia", "garantizado", "sponsor", "sponsored", "promocion", "promo", "casino", "crypto", "bet", "click aqui", "click here",
+    "buy now", "oferta",
+)
+SPAM_URL = ("redirect", "aff", "utm_", "click", "promo")
+
+
+def host_authority(host: Column, hints: dict[str, float] = AUTHORITIES) -> Column:
+    """.55, more for hosts at or below a trusted one and for .gov (.92) and .edu (.88)."""
+    low = F.lower(host)
+    known = [F.when((low == d) | F.endswith(low, F.lit(f".{d}")), v).otherwise(0.55) for d, v in hints.items()]
+    kind = F.when(F.endswith(low, F.lit(".gov")), 0.92).when(F.endswith(low, F.lit(".edu")), 0.88).otherwise(0.55)
+    return F.greatest(*known, kind)
+
+
+def crawl_priority(host: Column, depth: Column, hints: dict[str, float] = AUTHORITIES) -> Column:
+    """From 1 to 100: the host's authority in percent, eight less for each step of depth up to ten."""
+    score = (host_authority(host, hints) * 100 - F.greatest(F.lit(0), F.least(F.lit(10), depth)) * 8).cast("int")
+    return F.greatest(F.lit(1), F.least(F.lit(100), score))
+
+
+def queue_of(priority: Column, queues: int) -> Column:
+    """Which of the front queues a priority goes to, 0 the first."""
+    return F.greatest(F.lit(0), F.least(F.lit(queues - 1), F.floor((100 - priority) * queues / 101))).cast("int")
+
+
+def spam_score(title: Column, snippet: Column, url: Column) -> Column:
+    """points for a short snippet, cries, long runs of a character, spam words (three at most), capitals and the address; spam from 3 on."""
+    both = F.concat_ws(" ", title, snippet)
+    low, place = fold(both), fold(url)
+    has = lambda c, words: sum((F.contains(c, F.lit(w)).cast("int") for w in words), F.lit(0))
+    letters, capitals = F.regexp_count(both, F.lit(r"\p{L}")), F.regexp_count(both, F.lit(r"\p{Lu}"))
+    loud = (letters > 24) & (capitals / F.nullif(letters, F.lit(0)) >= 0.45)
+    cries = F.contains(snippet, F.lit("!!!")) | F.contains(snippet, F.lit("$$$"))
+    return (
+        (F.length(fold(snippet)) < 40).cast("int")
+        + 2 * cries.cast("int")
+        + 2 * F.rlike(low, F.lit(r"(.)\1{5,}")).cast("int")
+        + F.least(F.lit(3), has(low, SPAM_TERMS))
+        + F.coalesce(loud, F.lit(False)).cast("int")
+        + (has(place, SPAM_URL) > 0).cast("int")
+    )
+
+
+def bare_url(url: Column) -> Column:
+    """Scheme, host and path alone, https where there is no scheme; an address without host in lower case."""
+    trimmed = F.trim(F.coalesce(url, F.lit("")))
+    scheme = F.lower(F.regexp_extract(trimmed, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    host = F.lower(F.regexp_extract(trimmed, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(trimmed, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#;]*)", 1), "/+$", "")
+    whole = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit("://"), host, F.when(path == "", "/").otherwise(path))
+    return F.when(host == "", F.lower(trimmed)).otherwise(whole)
 
 
 def shingles(text: Column, size: int = 3) -> Column:
     """Distinct runs of words of three or more a-z, 0-9; a short text is one shingle."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
-
     def runs(w: Column) -> Column:
         last = F.greatest(F.size(w) - (size - 1), F.lit(1))
         return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, size), " ")))
@@ -73,14 +127,20 @@ def shingles(text: Column, size: int = 3) -> Column:
     return bind(words, runs)
 
 
-def signature(found: Column, seeds: int) -> Column:
-    """For each seed the least of the first 16 hexadecimal digits of the SHA-1 of seed:shingle."""
+def signatures(rows: DataFrame, key: str, text: Column, seeds: int = 24) -> DataFrame:
+    """``key, signature``: for each seed the least of the first 16 hexadecimal digits of the SHA-1 of seed:shingle.
 
+    Shingles are exploded, so hashing runs in generated code and the least numbers are aggregated before the shuffle. A
+    number of 64 bits is compared without its sign, by flipping the highest bit.
+    """
+    top = F.lit(-(2**63))
+    long = rows.select(key, F.explode(shingles(text)).alias("s"))
 
-    def least(all_: Column, k: int) -> Column:
-        return F.array_min(F.transform(all_, lambda s: F.left(F.sha1(F.concat(F.lit(f"{k}:"), s)), F.lit(16))))
+    def number(k: int) -> Column:
+        return F.conv(F.left(F.sha1(F.concat(F.lit(f"{k}:"), "s")), F.lit(16)), 16, -10).cast("long").bitwiseXOR(top)
 
-    return bind(found, lambda all_: F.array(*(least(all_, k) for k in range(seeds))))
+    least = long.groupBy(key).agg(*(F.min(number(k)).alias(f"m{k}") for k in range(seeds)))
+    return least.select(key, F.array(*(F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseXOR(top))), 16, "0") for k in range(seeds))).alias("signature"))
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -88,6 +148,46 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
+def near_signatures(found: DataFrame, key: str, seeds: int = 24, threshold: float = 0.90) -> tuple[DataFrame, DataFrame]:
+    """``key, class`` (the smallest key with the same signature) and links ``a, b, similarity`` between classes, none lost.
+
+    Two signatures that reach the threshold differ in m places at most, so of m + 1 bands of places they agree on one.
+    """
+    apart = int((1 - threshold) * seeds + 1e-9)
+    edges = [seeds * i // (apart + 1) for i in range(apart + 2)]
+    classes = found.groupBy("signature").agg(F.min(key).alias("class"))
+    bands = F.array(*(F.xxhash64(F.lit(i), F.slice("signature", a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+    banded = classes.select("class", "signature", F.explode(bands).alias("band"))
+    a, b = banded.toDF("a", "sa", "band"), banded.toDF("b", "sb", "band")
+    met = a.join(b, "band").where("a < b").withColumn("similarity", signature_similarity(F.col("sa"), F.col("sb")))
+    links = met.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity")).distinct()
+    return found.join(classes, "signature").select(key, "class"), links
+
+
+def first_wins(members: DataFrame, links: DataFrame, key: str, cut=checkpoint, most: int = 1000) -> DataFrame:
+    """``key, kept``: a page stays unless it is like an earlier page that stays; copies of a page go.
+
+    Decided in rounds: of the classes not decided yet, those without an earlier one among their links stay, and those linked to
+    one that stays go. A round decides at least the first of each group.
+    """
+    open_ = cut(links.select("a", "b"))
+    gone = None
+    for _ in range(most):
+        stays = open_.select(F.col("a").alias("c")).distinct().join(open_.select(F.col("b").alias("c")).distinct(), "c", "left_anti")
+        out = open_.join(stays, open_["a"] == stays["c"]).select(F.col("b").alias("c")).distinct()
+        out = cut(out)
+        gone = out if gone is None else gone.union(out)
+        rest = open_.join(out.withColumnRenamed("c", "a"), "a", "left_anti").join(out.withColumnRenamed("c", "b"), "b", "left_anti")
+        rest = rest.join(stays.withColumnRenamed("c", "a"), "a", "left_anti")
+        open_ = cut(rest.select("a", "b"))
+        if not open_.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"not decided after {most} rounds")
+    marked = members.join(gone.distinct().select(F.col("c").alias("class"), F.lit(True).alias("__gone")), "class", "left")
+    return marked.select(key, ((F.col(key) == F.col("class")) & F.col("__gone").isNull()).alias("kept"))
+
+
 def nodes_of(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
 
@@ -95,46 +195,85 @@ def nodes_of(links: DataFrame) -> DataFrame:
 def page_rank(links: DataFrame, personal: DataFrame | None = None, teleport: float = 0.15, rounds: int = 50, cut=checkpoint) -> DataFrame:
     """``id, rank``: teleport and dangling mass go by ``personal (id, weight)``, evenly without it; ranks sum to one.
 
-    Links out of a node count once each. A round is one join and one aggregation by node, pre-aggregated before the
-    shuffle. ``cut`` writes the nodes' state after every round, since the next one reads it several times.
+    Links out of a node count once each. Links are kept by their source and the state by id, so a round is one shuffle,
+    pre-aggregated, and one job, which also sums the mass of nodes without links for the next round.
     """
-    links = links.select("src", "dst").where("src != dst or src = dst").distinct()
+    links = links.select("src", "dst").distinct()
     ids = nodes_of(links)
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
     base = ids if personal is None else ids.join(personal, "id", "left")
     weight = F.lit(1.0) if personal is None else F.coalesce(F.col("weight"), F.lit(0.0))
     total = base.agg(F.sum(weight)).first()[0] or 1.0
     state = base.select("id", (weight / total).alias("p")).join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.col("p"))
-    out, state = cut(links), cut(state)
+    out, state = cut(links.repartition("src")), cut(state)
+    dangling = F.sum(F.when(F.col("degree").isNull(), F.col("rank"))).alias("loose")
+    loose = state.agg(dangling).first()[0] or 0.0
     for _ in range(rounds):
-        loose = state.agg(F.sum(F.when(F.col("degree").isNull(), F.col("rank")))).first()[0] or 0.0
         given = out.join(state.where("degree is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share")), "src")
         got = given.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         flow = F.coalesce("got", F.lit(0.0)) + loose * F.col("p")
-        state = cut(state.drop("rank").join(got, "id", "left").select("id", "p", "degree", (teleport * F.col("p") + (1 - teleport) * flow).alias("rank")))
+        state = state.drop("rank").join(got, "id", "left").select("id", "p", "degree", (teleport * F.col("p") + (1 - teleport) * flow).alias("rank"))
+        seen = Observation()
+        state = cut(state.observe(seen, dangling))
+        loose = seen.get["loose"] or 0.0
     norm = state.agg(F.sum("rank")).first()[0] or 1.0
     return state.select("id", (F.col("rank") / norm).alias("rank"))
 
 
 def hits(links: DataFrame, rounds: int = 20, cut=checkpoint) -> DataFrame:
-    """``id, hub, authority``: L2-normalised in each round, scaled to a maximum of 1 at the end."""
+    """``id, hub, authority``: L2-normalised in each round, scaled to a maximum of 1 at the end.
+
+    A job sums a step's squares while it writes it, and the next step divides by their root.
+    """
     links = cut(links.select("src", "dst").distinct())
     state = cut(nodes_of(links).withColumn("hub", F.lit(1.0)).withColumn("authority", F.lit(1.0)))
+    norm = {"hub": 1.0, "authority": 1.0}
 
     def step(name: str, of: str, here: str, there: str) -> DataFrame:
         """``name`` of each node is the sum of ``of`` over its links from ``here`` to ``there``, of length one in all."""
-        given = links.join(state.select(F.col("id").alias(there), of), there).groupBy(F.col(here).alias("id")).agg(F.sum(of).alias("sum"))
-        new = cut(state.drop(name).join(given, "id", "left").withColumn(name, F.coalesce("sum", F.lit(0.0))).drop("sum"))
-        norm = new.agg(F.sqrt(F.sum(F.col(name) * F.col(name)))).first()[0] or 1.0
-        return new.withColumn(name, F.col(name) / norm)
+        given = links.join(state.select(F.col("id").alias(there), (F.col(of) / norm[of]).alias(of)), there)
+        given = given.groupBy(F.col(here).alias("id")).agg(F.sum(of).alias("sum"))
+        new = state.drop(name).join(given, "id", "left").withColumn(name, F.coalesce("sum", F.lit(0.0))).drop("sum")
+        seen = Observation()
+        new = cut(new.observe(seen, F.sum(F.col(name) * F.col(name)).alias("squares")))
+        norm[name] = (seen.get["squares"] or 0.0) ** 0.5 or 1.0
+        return new
 
     for _ in range(rounds):
         state = step("authority", "hub", "dst", "src")
         state = step("hub", "authority", "src", "dst")
-    most = state.agg(F.max("hub"), F.max("authority")).first()
+    most = state.agg(F.max("hub"), F.max("authority")).first() or (1.0, 1.0)
     return state.select("id", (F.col("hub") / (most[0] or 1.0)).alias("hub"), (F.col("authority") / (most[1] or 1.0)).alias("authority"))
 
 
+def anchor_relevance(anchors: DataFrame, asked: list[str]) -> DataFrame:
+    """``id, anchor``: 1.5 times the share of the query's words among those of the anchors ``(id, words)`` that lead to a node, at most 1."""
+    long = anchors.select("id", F.explode("words").alias("w"))
+    share = F.count_if(F.col("w").isin(asked)) / F.count("*")
+    return long.groupBy("id").agg(F.least(F.lit(1.0), 1.5 * share).alias("anchor"))
+
+
+def base_set(links: DataFrame, anchors: DataFrame, candidates: DataFrame, asked: list[str], topic: DataFrame, most: int = 120) -> DataFrame:
+    """``id``: the candidates, the nodes whose anchors have most of the query's words, and what these link to or are linked from.
+
+    Half of ``most`` roots are taken by anchor words, then topic rank; neighbours fill up to ``most`` in the order of their roots' ranks.
+    """
+    hits_ = anchors.select("id", F.explode("words").alias("w")).where(F.col("w").isin(asked)).groupBy("id").agg(F.count("*").alias("n"))
+    best = hits_.join(topic, "id", "left").orderBy(F.desc("n"), F.desc_nulls_last("rank"), F.desc("id")).limit(max(1, most // 2)).select("id")
+    roots = candidates.select("id", F.lit(0).alias("o")).union(best.select("id", F.lit(1)))
+    roots = roots.groupBy("id").agg(F.min("o").alias("o"))
+    ahead = links.join(roots, links["src"] == roots["id"]).select(F.col("dst").alias("id"), (F.col("o") + 2).alias("o"))
+    behind = links.join(roots, links["dst"] == roots["id"]).select(F.col("src").alias("id"), (F.col("o") + 2).alias("o"))
+    every = roots.union(ahead).union(behind).groupBy("id").agg(F.min("o").alias("o")).join(topic, "id", "left")
+    return every.orderBy("o", F.desc_nulls_last("rank"), F.desc("id")).limit(most).select("id")
+
+
+def query_hits(links: DataFrame, base: DataFrame, rounds: int = 12, cut=checkpoint) -> DataFrame:
+    """Hubs and authorities of the links within a base set."""
+    inside = links.join(base.select(F.col("id").alias("src")), "src", "left_semi").join(base.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return hits(inside, rounds, cut)
+
+
 def link_score(general: DataFrame, topical: DataFrame, hub_auth: DataFrame, anchor: DataFrame) -> DataFrame:
     """.30 rank + .35 topic rank + .20 authority + .10 hub + .05 anchor, each by its maximum."""
     both = general.withColumnRenamed("rank", "g").join(topical.withColumnRenamed("rank", "t"), "id").join(hub_auth, "id").join(anchor, "id", "left")

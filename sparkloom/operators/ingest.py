@@ -197,27 +197,92 @@ def quality_gate(chunked: DataFrame, doc: str, chars: Column) -> DataFrame:
     return found.select(doc, "n_chunks", "total_chars", reasons.alias("reasons"))
 
 
+#: Specialties by parts of a path, in this order, then by parts of a file's name.
+PATH_SPECIALTIES = {
+    "docs/40_": "pneumology", "docs/41_": "pediatrics_neonatology", "docs/42_": "critical_ops", "docs/43_": "critical_ops", "docs/44_": "pneumology",
+    "docs/45_": "medicolegal", "docs/46_": "medicolegal", "docs/47_": "sepsis", "docs/48_": "critical_ops", "docs/49_": "scasest", "docs/50_": "scasest",
+    "docs/51_": "scasest", "docs/52_": "scasest", "docs/53_": "critical_ops", "docs/54_": "critical_ops", "docs/55_": "critical_ops",
+    "docs/56_": "critical_ops", "docs/57_": "scasest", "docs/58_": "resuscitation", "docs/59_": "resuscitation", "docs/60_": "resuscitation",
+    "docs/61_": "resuscitation",
+}
+NAME_SPECIALTIES = (
+    ("sepsis", "sepsis"), ("scasest", "scasest"), ("coronari", "scasest"), ("troponina", "scasest"), ("reanimacion", "resuscitation"),
+    ("soporte_vital", "resuscitation"), ("medico_legal", "medicolegal"), ("bioetica", "medicolegal"), ("neurolog", "neurology"),
+    ("gastro", "gastro_hepato"), ("hepato", "gastro_hepato"), ("reuma", "rheum_immuno"), ("inmuno", "immunology"), ("psiquiatr", "psychiatry"),
+    ("hematolog", "hematology"), ("endocrin", "endocrinology"), ("nefrolog", "nephrology"), ("neumolog", "pneumology"), ("geriatr", "geriatrics"),
+    ("oncolog", "oncology"), ("anestesi", "anesthesiology"), ("paliativ", "palliative"), ("urolog", "urology"), ("oftalmolog", "ophthalmology"),
+    ("genetic", "genetic_recurrence"), ("genet", "genetic_recurrence"), ("ginecolog", "gynecology_obstetrics"), ("obstetric", "gynecology_obstetrics"),
+    ("pediatri", "pediatrics_neonatology"), ("neonat", "pediatrics_neonatology"),
+)
+
+
 def infer(column: Column, rules: list[tuple[str, str]]) -> Column:
-    """The label of the first rule whose text the column holds, else null."""
+    """The label of the first rule whose text the column holds, else null."""
     out = F.lit(None).cast("string")
     for text, label in reversed(rules):
         out = F.when(F.contains(F.lower(column), F.lit(text)), label).otherwise(out)
     return out
 
 
-def questions(title: Column, section: Column, text: Column, rules: list[tuple[str, str]], most: int = 6) -> Column:
-    """D3: two fixed questions and those of the rules whose word the text holds, each once, at most ``most``."""
+def specialty(path: Column) -> Column:
+    """By the path, else by the file's name."""
+    place = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    name = F.regexp_replace(F.element_at(F.split(place, "/"), -1), "[^a-z0-9_.-]", "")
+    return F.coalesce(infer(place, list(PATH_SPECIALTIES.items())), infer(name, list(NAME_SPECIALTIES)))
+
+
+#: Keywords, words that are no topic, and what a question is asked for.
+KEYWORDS = (
+    "sepsis", "lactato", "qsofa", "scasest", "troponina", "grace", "ecg", "rcp", "acls", "shock", "reanimacion", "hipotermia", "ictus", "hsa",
+    "aspects", "trauma", "abcde", "consentimiento", "bioetica", "anticoagulacion", "antiagregantes", "heparina", "warfarina", "fibrinolisis",
+    "intervension", "cateterismos", "paro cardiaco", "asistolia", "fibrilacion", "torsades", "bradicardia", "taquicardia", "arritmia", "sop",
+    "sinusitis", "neumonía", "embolia", "hemotorax", "neumotorax", "tension", "taponamiento", "tamponade", "quilotorax", "efusion", "hematoma",
+    "edema", "gangrena", "necrosis", "apoptosis",
+)
+QUESTION_STOP = (
+    "para", "como", "desde", "hasta", "entre", "sobre", "donde", "cuando", "porque", "ademas", "segun", "tras", "ante", "con", "sin", "del", "las",
+    "los", "una", "uno", "unos", "unas", "este", "esta", "estos", "estas", "que",
+)
+QUESTION_RULES = (
+    (("criterio",), "¿Que criterios de decision se describen en {}?"),
+    (("algoritmo", "protocolo"), "¿Que algoritmo o protocolo se recomienda para {}?"),
+    (("tratamiento", "manejo"), "¿Que tratamiento o manejo se propone en {}?"),
+    (("riesgo", "alerta", "red flag"), "¿Que alertas o factores de riesgo aparecen en {}?"),
+    (("diagnostico",), "¿Que enfoque diagnostico se indica en {}?"),
+)
+
+
+def keywords(text: Column, lexicon: tuple[str, ...] = KEYWORDS) -> Column:
+    """The lexicon's words that the text holds and comparisons such as GRACE > 140, sorted."""
+    hits = F.filter(F.array(*map(F.lit, lexicon)), lambda w: F.contains(F.lower(text), w))
+    comparisons = F.regexp_extract_all(text, F.lit(r"\b[A-Z]+\s*(?:[><]=?|=)\s*\d+\b"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.concat(hits, comparisons)))
+
+
+def questions(text: Column, section: Column, most: int = 6) -> Column:
+    """D3: two fixed questions on the section's last part, those whose words the text holds, and two on its keywords and first long words."""
     low = F.lower(text)
-    fixed = [F.concat(F.lit("¿Que indica "), title, F.lit("?")), F.concat(F.lit("¿Que dice la seccion "), section, F.lit("?"))]
-    more = [F.when(F.contains(low, F.lit(w)), F.lit(q)) for w, q in rules]
-    return F.slice(F.array_distinct(F.array_compact(F.array(*fixed, *more))), 1, most)
+    topic = F.trim(F.element_at(F.split(F.coalesce(section, F.lit("")), ">"), -1))
+    topic = F.left(F.when(topic == "", "este protocolo").otherwise(F.regexp_replace(topic, r"\s+", " ")), F.lit(96))
 
+    def about(template: str, what: Column) -> Column:
+        before, _, after = template.partition("{}")
+        return F.concat(F.lit(before), what, F.lit(after))
 
-def keywords(text: Column, lexicon: list[str]) -> Column:
-    """The lexicon's words that the text holds and comparisons such as PAFI<200, sorted."""
-    hits = F.filter(F.array(*map(F.lit, lexicon)), lambda w: F.contains(F.lower(text), w))
-    comparisons = F.regexp_extract_all(text, F.lit(r"[A-Z]+\s*[<>]=?\s*\d+"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.concat(hits, comparisons)))
+    def holds(words: tuple[str, ...]) -> Column:
+        out = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            out = out | F.contains(low, F.lit(w))
+        return out
+
+    words = F.filter(F.regexp_extract_all(low, F.lit(r"[a-zA-Z0-9\-]+"), F.lit(0)), lambda w: (F.length(w) >= 5) & ~w.isin(*QUESTION_STOP))
+    first = lambda found: F.array_join(F.slice(found, 1, 2), ", ")
+    known, own = keywords(text), F.array_distinct(words)
+    asked = [about("¿Cual es el manejo operativo de {}?", topic), about("¿Cuales son los pasos iniciales para {}?", topic)]
+    asked += [F.when(holds(w), about(q, topic)) for w, q in QUESTION_RULES]
+    asked.append(F.when(F.size(known) > 0, about("¿Que recomendaciones practicas se dan para {}?", first(known))))
+    asked.append(F.when(F.size(own) > 0, about("¿Como se integran {} dentro del plan operativo?", first(own))))
+    return F.slice(F.array_distinct(F.array_compact(F.array(*asked))), 1, most)
 
 
 def reading_order(rows: DataFrame, page: str, x0: str, y0: str, nth: str) -> DataFrame:
@@ -238,14 +303,18 @@ def without_repeated_edges(rows: DataFrame, doc: str, page: str, order: str, tex
 
 def sentences(text: Column, least: int = 35, most: int = 5) -> Column:
     """Sentences of at least ``least`` characters, the first ``most``."""
-    found = F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+"), F.trim), lambda s: F.length(s) >= least)
+    found = F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
     return F.slice(found, 1, most) if most else found
 
 
+#: Fixed value: where clauses are parted.
+CLAUSE_END = r"(?i)[,;]\s+|\s+(?:y|pero|aunque|si|cuando|mientras|porque|debido\s+a|por\s+lo\s+que)\s+"
+
+
 def discourse_units(text: Column, least: int = 18, most: int = 14) -> Column:
-    """Clauses of sentences."""
-    parts = F.flatten(F.transform(F.split(text, r"(?<=[.!?;:])\s+"), lambda s: F.split(s, r"\s*,\s+")))
-    return F.slice(F.filter(F.transform(parts, F.trim), lambda p: F.length(p) >= least), 1, most)
+    """Clauses of sentences, the first ``most`` that are not too short."""
+    parts = F.flatten(F.transform(F.split(text, r"(?<=[.!?;:])\s+|\n+"), lambda s: F.split(s, CLAUSE_END)))
+    return F.slice(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) >= least), 1, most)
 
 
 def kwic(tokens: Column, asked: Column, around: int = 14) -> Column:

@@ -63,17 +63,51 @@ def expand(queries: DataFrame, qid: str, term: str, thesaurus: DataFrame, per_te
 def cached_superset(asked: DataFrame, cached: DataFrame, qid: str, cid: str, tokens: str) -> DataFrame:
     """The smallest cached query whose tokens hold all of an asked query's, ties by id.
 
-    Pairs are met through the asked query's rarest token, which any superset must have.
+    Pairs are met through the asked query's rarest token, which any superset must have; the tokens themselves are read for these pairs alone.
     """
-    entry = cached.select(cid, F.col(tokens).alias("__c"))
-    long = entry.select(cid, "__c", F.explode("__c").alias("__t"))
+    long = cached.select(cid, F.explode(tokens).alias("__t"))
     often = long.groupBy("__t").agg(F.count("*").alias("__n"))
     rare = asked.select(qid, F.col(tokens).alias("__q"), F.explode(tokens).alias("__t")).join(often, "__t", "left")
     rare = top_per_group(rare.fillna({"__n": 0}), [qid], [F.asc("__n"), F.asc("__t")], 1, "__r").drop("__n", "__r")
-    hit = rare.join(long, "__t").where(F.size(F.array_except("__q", "__c")) == 0)
+    met = rare.join(long, "__t").join(cached.select(cid, F.col(tokens).alias("__c")), cid)
+    hit = met.where(F.size(F.array_except("__q", "__c")) == 0)
     return top_per_group(hit.withColumn("size", F.size("__c")), [qid], [F.asc("size"), F.asc(cid)], 1, "__r").select(qid, cid, "size")
 
 
+def intents(text: Column, markers: dict[str, tuple[str, ...]], expansion: dict[str, tuple[str, ...]]) -> Column:
+    """Struct of the ``intents`` whose words the text holds and the distinct terms that ``expand`` them."""
+    low = F.lower(text)
+    found = F.array_compact(F.array(*(F.when(_any(low, words), F.lit(name)) for name, words in markers.items())))
+    none = F.array().cast("array<string>")
+    terms = F.concat(*(F.when(_any(low, words), F.array(*map(F.lit, expansion.get(name, ()))).cast("array<string>")).otherwise(none) for name, words in markers.items()))
+    return F.struct(found.alias("intents"), F.array_distinct(terms).alias("expand"))
+
+
+#: Words that a compacted query drops.
+COMPACT_STOP = ("con", "sin", "para", "por", "del", "las", "los", "que", "como", "and", "the", "with", "from", "hasta", "entre", "sobre")
+COMPACT_PLAIN = ("pasos", "criterios", "acciones", "inicial", "iniciales")
+
+
+def compacted(text: Column, complexity_: Column, extra: Column, most: int = 8, least: int = 4) -> Column:
+    """A complex query's first ``most`` words of four letters or more, with those of ``extra``; others, and too short ones, stay as they are."""
+    words = F.concat(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9\-/+]+"), F.lit(0)), extra)
+    kept = F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*COMPACT_STOP, *COMPACT_PLAIN))), 1, most)
+    return F.when((complexity_ == "complex") & (F.size(kept) >= least), F.array_join(kept, " ")).otherwise(text)
+
+
+#: Words that part a query's intents.
+SEGMENT_END = r"(?i)[;\n]+|\s(?:ademas|además|junto\s+con|asociado\s+a|concomitante\s+con)\s+"
+SOFT_END = r"(?i)\s(?:y|e|mas|más)\s+"
+
+
+def segments(text: Column, least: int = 12, most: int = 4) -> Column:
+    """H7: the parts of a query with several intents; one that has no hard parts is cut at plain connectors. Short parts go."""
+    long = lambda parts: F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) >= least))
+    hard = long(F.split(text, SEGMENT_END))
+    soft = long(F.split(text, SOFT_END))
+    return F.slice(F.when(F.size(hard) >= 2, hard).when(F.size(soft) >= 2, soft).otherwise(F.array(text)), 1, most)
+
+
 def salient(rows: DataFrame, key: str, text: str, most: int = 6) -> DataFrame:
     """A text's most frequent words of four or more letters, longer first on ties."""
     long = rows.select(key, F.explode(relevance_list(F.col(text))).alias("word")).where(F.length("word") >= 4)
@@ -95,15 +129,22 @@ def pair_score(asked: Column, tokens: Column, retrieval: Column, evidence: Colum
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def boundaries(units: list[list[str]], window: int = 2) -> list[float]:
+    """Cosine of the word counts before and after each boundary between units."""
+    counts = [Counter(u) for u in units]
+    sums = lambda part: sum(part, Counter())
+    found = []
+    for i in range(1, len(units)):
+        left, right = sums(counts[max(0, i - window) : i]), sums(counts[i : i + window])
+        norm = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
+        found.append(sum(v * right[w] for w, v in left.items()) / norm if norm else 0.0)
+    return found
+
+
 def continuity(units: list[list[str]], window: int = 2) -> float:
-    """Mean cosine of the word counts before and after each boundary between units; 0 for fewer than two units."""
-    sims = []
-    for i in range(len(units) - 1):
-        left = Counter(w for u in units[max(0, i - window + 1) : i + 1] for w in u)
-        right = Counter(w for u in units[i + 1 : i + 1 + window] for w in u)
-        norm = math.sqrt(sum(v * v for v in left.values())) * math.sqrt(sum(v * v for v in right.values()))
-        sims.append(sum(v * right[w] for w, v in left.items()) / norm if norm else 0.0)
-    return sum(sims) / len(sims) if sims else 0.0
+    """The mean over all boundaries; 0 for fewer than two units."""
+    found = boundaries(units, window)
+    return sum(found) / len(found) if found else 0.0
 
 
 def topic_continuity(rows: DataFrame, key: str, units: str) -> DataFrame:

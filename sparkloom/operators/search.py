@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ir_tokens, jaccard, kgrams
+from ..plans.cut import checkpoint, small
 from .relational import top_per_group
 
 #: Default weights of the zones and of the score's parts (fixed values).
@@ -68,8 +69,15 @@ def query_terms(queries: DataFrame, qid: str, text: Column, cap: int = 24) -> Da
 
 
 def candidate_pool(terms: DataFrame, counts: DataFrame, qid: str, doc: str, pool: int) -> DataFrame:
-    """Documents with any term of the query, the first ``pool`` of them by id."""
-    hits = terms.select(qid, "term").join(counts.select("term", doc).distinct(), "term").select(qid, doc).distinct()
+    """Documents with any term of the query, the first ``pool`` of them by id.
+
+    Only a term's first ``pool`` documents can be among them. Spark limits them before it shuffles, so that a term that most
+    documents hold sends no more than that from each task.
+    """
+    asked = small(checkpoint(terms.select("term").distinct()))
+    held = counts.join(asked, "term", "left_semi").select("term", doc).distinct()
+    held = top_per_group(held, ["term"], [F.asc(doc)], pool, "nth").select("term", doc)
+    hits = terms.select(qid, "term").join(held, "term").select(qid, doc).distinct()
     return top_per_group(hits, [qid], [F.asc(doc)], pool, "nth").select(qid, doc)
 
 
@@ -94,22 +102,26 @@ def ranked_min_max(value: Column, rank: Column, w) -> Column:
     return F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(1.0 - (rank - 1) / n)
 
 
-def features(queries: DataFrame, chunks: DataFrame, qid: str, doc: str, text: Column, zones: dict[str, Column], pool: int) -> DataFrame:
-    """``qid, doc`` with cosine, zone, combined, bm25, bim, qlm (Dirichlet) and qlm_jm scores over the query's pool.
+def features(queries: DataFrame, counts: DataFrame, qid: str, doc: str, text: Column, pool: int) -> DataFrame:
+    """``qid, doc`` with cosine, zone, combined, bm25, bim, qlm (Dirichlet), qlm_jm, active and present over the query's pool.
 
-    All statistics (N, df, lengths, collection shares) are those of the pool, not of the corpus. Pools have a fixed
-    size, so the join of pools and counts grows with the number of queries alone; counts are computed once.
+    ``counts`` is a stored index as ``zone_counts`` makes it. All statistics (N, df, lengths, collection shares) are those of
+    the pool, not of the corpus. Pools have a fixed size, so what is read of the index after the pool grows with the
+    number of queries alone. ``active`` holds the query's terms that count, ``present`` how many of them the body holds.
     """
-    counts = zone_counts(chunks, doc, zones)
-    terms = query_terms(queries, qid, text)
-    pooled = candidate_pool(terms, counts, qid, doc, pool)
+    terms = checkpoint(query_terms(queries, qid, text))
+    pooled = checkpoint(candidate_pool(terms, counts, qid, doc, pool))
+    counts = checkpoint(counts.join(small(pooled.select(doc).distinct()), doc, "left_semi"))
     lengths = counts.groupBy(doc).agg(F.greatest(F.lit(1), F.sum(F.when(F.col("zone") == "body", F.col("tf")).otherwise(0))).alias("len"))
     size = pooled.groupBy(qid).agg(F.count("*").alias("N"))
     mean = pooled.join(lengths, doc).groupBy(qid).agg(F.avg("len").alias("avg_len"))
     weight = F.create_map(*[x for z, v in ZONES.items() for x in (F.lit(z), F.lit(v))])[F.col("zone")]
     hit = terms.join(counts, "term").join(pooled, [qid, doc], "left_semi")
     hit = hit.groupBy(qid, "term", "qtf", "place", doc).agg(
-        F.sum(weight * (1 + F.ln("tf"))).alias("sub"), F.sum(weight * F.col("tf")).alias("wtf"), F.sum(weight).alias("present")
+        F.sum(weight * (1 + F.ln("tf"))).alias("sub"),
+        F.sum(weight * F.col("tf")).alias("wtf"),
+        F.sum(weight).alias("present"),
+        F.bool_or(F.col("zone") == "body").alias("in_body"),
     )
     df = hit.groupBy(qid, "term").agg(F.count("*").alias("df"), F.sum("wtf").alias("ctf"))
     stats = terms.join(df, [qid, "term"], "left").join(size, qid).fillna({"df": 0, "ctf": 0.0})
@@ -118,6 +130,7 @@ def features(queries: DataFrame, chunks: DataFrame, qid: str, doc: str, text: Co
     w = Window.partitionBy(qid)
     active = active.withColumn("qw", (1 + F.ln("qtf")) * F.col("idf"))
     active = active.withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(w))).withColumn("n_terms", F.count("*").over(w))
+    active = active.withColumn("active", F.array_sort(F.collect_list("term").over(w)))
     active = active.withColumn("cprob", F.greatest(F.lit(1e-12), F.col("ctf") / F.nullif(F.sum("ctf").over(w), F.lit(0.0))))
     rows = active.drop("qtf", "place").join(hit, [qid, "term"]).join(lengths, doc).join(mean, qid)
     n, d = F.col("N"), F.col("df")
@@ -137,14 +150,59 @@ def features(queries: DataFrame, chunks: DataFrame, qid: str, doc: str, text: Co
         F.sum(F.col("qtf") * F.ln(F.greatest(F.lit(1e-12), dirichlet))).alias("qlm"),
         F.sum(F.col("qtf") * F.ln(F.greatest(F.lit(1e-12), jm))).alias("qlm_jm"),
         F.first(F.col("len") / F.greatest(F.lit(1.0), F.col("avg_len"))).alias("rel_len"),
+        F.first("active").alias("active"),
+        F.count_if("in_body").alias("in_body"),
     )
     cosine = F.col("dot") / (F.sqrt("sq") * F.col("qnorm"))
     pivot = F.greatest(F.lit(0.2), 0.8 + 0.2 * F.col("rel_len"))
     return out.select(
-        qid, doc, cosine.alias("cosine"), "zone", ((0.8 * cosine + 0.2 * F.col("zone")) / pivot).alias("combined"), "bm25", "bim", "qlm", "qlm_jm"
+        qid, doc, cosine.alias("cosine"), "zone", ((0.8 * cosine + 0.2 * F.col("zone")) / pivot).alias("combined"), "bm25", "bim", "qlm", "qlm_jm", "active", F.col("in_body").alias("present")
     )
 
 
+#: What a source's headings add to its static quality.
+SECTION_MARKERS = ("algoritmo", "validacion", "riesgos", "pasos")
+
+
+def static_quality(title: Column, source: Column, section: Column, specialty: Column) -> Column:
+    """How good a source is by its headings and place, from 0 to 1."""
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in (title, source, section)]
+    has = lambda c, w: F.contains(c, F.lit(w))
+    marked = has(low[2], SECTION_MARKERS[0])
+    for word in SECTION_MARKERS[1:]:
+        marked = marked | has(low[2], word)
+    parts = [
+        (has(low[0], "motor operativo"), 0.45),
+        (F.startswith(low[1], F.lit("docs/")), 0.20),
+        (has(low[1], "pdf_raw"), 0.08),
+        (marked, 0.10),
+        (F.trim(F.coalesce(specialty, F.lit(""))) != "", 0.07),
+        (has(low[2], "recomendacion") | has(low[2], "recommendation"), 0.10),
+    ]
+    return F.least(F.lit(1.0), sum((F.when(p, v).otherwise(0.0) for p, v in parts), F.lit(0.0)))
+
+
+def proximity(scored: DataFrame, texts: DataFrame, qid: str, doc: str, tokens: Column) -> DataFrame:
+    """``scored (qid, doc, active, present)`` with ``span`` and ``proximity``: terms by span, at most 1.
+
+    The span is the length of the shortest run of the document's tokens that holds all active terms, of which there must be two; it is
+    sought only in documents that hold them all. A shortest run ends at a place of a term and begins at the earliest of all
+    terms' last places up to there.
+    """
+    whole = scored.where((F.size("active") >= 2) & (F.col("present") == F.size("active"))).select(qid, doc, "active")
+    body = texts.join(small(checkpoint(whole.select(doc).distinct())), doc, "left_semi").select(doc, F.posexplode(tokens).alias("place", "term"))
+    at = whole.withColumn("term", F.explode("active")).join(body, [doc, "term"]).select(qid, doc, "term", "place", F.size("active").alias("n"))
+    # a run that ends at one of these places holds all terms if each has a place up to there; the gap to its term's next place bounds it
+    following = F.lead("place").over(Window.partitionBy(qid, doc, "term").orderBy("place"))
+    ranges = at.withColumn("until", F.coalesce(following, F.lit(2**31 - 1)) - 1)
+    ends = at.select(qid, doc, F.col("place").alias("end"))
+    met = ends.join(ranges, [qid, doc]).where((F.col("place") <= F.col("end")) & (F.col("end") <= F.col("until")))
+    runs = met.groupBy(qid, doc, "end").agg(F.min("place").alias("begin"), F.count("*").alias("terms"), F.first("n").alias("n")).where("terms = n")
+    best = runs.groupBy(qid, doc).agg(F.min(F.col("end") - F.col("begin") + 1).alias("span"))
+    joined = scored.join(best, [qid, doc], "left")
+    return joined.withColumn("proximity", F.when(F.col("span").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.size("active") / F.col("span"))))
+
+
 def blend(scored: DataFrame, qid: str, quality: Column, proximity: Column) -> DataFrame:
     """Convex blends with bm25 (.65) and qlm (.30), then bim (.10), quality (.12) and proximity (.10) bonuses."""
     w = Window.partitionBy(qid)

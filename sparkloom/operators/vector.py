@@ -62,10 +62,17 @@ def feedback_terms(
 
 
 def mean_pool(vectors: DataFrame, by: list[str], vec: str) -> DataFrame:
-    """V5: the element-wise mean of each group's vectors, without gathering them."""
-    long = vectors.select(*by, F.posexplode(vec).alias("i", "x"))
-    means = long.groupBy(*by, "i").agg(F.avg("x").alias("x"))
-    return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vec))
+    """V5: the element-wise mean of each group's vectors, summed where they lie before anything is shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    dense = vectors.select(*by, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias(vec))
+    return dense.groupBy(*by).agg(Summarizer.mean(F.col(vec)).alias(vec)).select(*by, vector_to_array(vec).alias(vec))
+
+
+def distance_score(distance: Column) -> Column:
+    """V4: 1 / (1 + distance)."""
+    return 1.0 / (1.0 + distance)
 
 
 def hash_embedding(text: Column, size: int = 384) -> Column:

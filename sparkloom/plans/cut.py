@@ -1,14 +1,28 @@
-"""Cutting lineage in iterative plans."""
+"""Cutting lineage in iterative plans, and broadcasts of checked size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a narrow table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` read from files in the folder of ``spark.checkpoint.dir``; where that is unset, below the warehouse."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    """``df`` read from files in the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a folder below its warehouse; a cluster's would be one machine's own, so there it is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``rows`` rows at most; it is counted, so it should be cut before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

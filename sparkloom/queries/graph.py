@@ -1,4 +1,4 @@
-"""Web graph and evaluation. The link graph is that of nations: customers' to suppliers', through orders."""
+"""Web graph and evaluation. Customers link to the suppliers that they order from, suppliers to customers who send goods back."""
 
 from __future__ import annotations
 
@@ -10,30 +10,31 @@ from ..operators import evaluate as E
 from ..operators import graph as G
 from ..plans.cut import checkpoint
 from .registry import Tables, query
+from .search import RANK, _features, _top, _top_sql
+
+
+def _trade(t: Tables) -> DataFrame:
+    """Line items with the ids of customer and supplier as nodes of one graph: even and odd numbers."""
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") * 2).cast("long").alias("c"))
+    return t.lineitem.select("l_orderkey", (F.col("l_suppkey") * 2 + 1).cast("long").alias("s"), "l_returnflag").join(orders, "l_orderkey")
 
 
 def _links(t: Tables) -> DataFrame:
-    """Edges of which a nation's share of trade is large enough to make the graph sparse."""
-    trade = (
-        t.lineitem.select("l_orderkey", "l_suppkey")
-        .join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-        .join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src")), "o_custkey")
-        .join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
-    )
-    pairs = trade.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return pairs.where("(src * 7 + dst * 3) % 5 < 2").select(F.col("src").cast("long"), F.col("dst").cast("long"))
+    trade = _trade(t)
+    there = trade.select(F.col("c").alias("src"), F.col("s").alias("dst"))
+    return there.union(trade.where("l_returnflag = 'R'").select("s", "c")).distinct()
 
 
-LINKS = """e AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE (c_nationkey * 7 + s_nationkey * 3) % 5 < 2), ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
-  deg AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src)"""
+LINKS = """tr AS (SELECT l_suppkey::BIGINT * 2 + 1 AS s, o_custkey::BIGINT * 2 AS c, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  e AS MATERIALIZED (SELECT c AS src, s AS dst FROM tr UNION SELECT s, c FROM tr WHERE l_returnflag = 'R'), ids AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e),
+  deg AS MATERIALIZED (SELECT src AS id, count(*) AS degree FROM e GROUP BY src)"""
 
 
-def _rank_sql(personal: str, rounds: int = 6) -> str:
-    parts = [f"WITH {LINKS}, p0 AS (SELECT ids.id, {personal} AS w FROM ids), p AS (SELECT id, w / (SELECT sum(w) FROM p0) AS p FROM p0), r0 AS (SELECT id, p AS r FROM p)"]
+def _rank_sql(personal: str, rounds: int = 50) -> str:
+    parts = [f"WITH {LINKS}, p0 AS (SELECT ids.id, {personal} AS w FROM ids), p AS MATERIALIZED (SELECT id, w / (SELECT sum(w) FROM p0) AS p FROM p0), r0 AS MATERIALIZED (SELECT id, p AS r FROM p)"]
     for i in range(rounds):
         parts.append(
-            f""", r{i + 1} AS (SELECT p.id, 0.15 * p.p + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT id FROM deg)) * p.p) AS r FROM p LEFT JOIN
+            f""", r{i + 1} AS MATERIALIZED (SELECT p.id, 0.15 * p.p + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT id FROM deg)) * p.p) AS r FROM p LEFT JOIN
             (SELECT dst AS id, sum(r / degree) AS got FROM e JOIN r{i} ON e.src = r{i}.id JOIN deg ON deg.id = e.src GROUP BY dst) g ON p.id = g.id)"""
         )
     return " ".join(parts) + f" SELECT id, round(r / (SELECT sum(r) FROM r{rounds}), 6) AS rank FROM r{rounds}"
@@ -41,44 +42,73 @@ def _rank_sql(personal: str, rounds: int = 6) -> str:
 
 @query(_rank_sql("1.0::DOUBLE"))
 def pagerank(t: Tables) -> DataFrame:
-    """Six rounds."""
-    return G.page_rank(_links(t), rounds=6).select("id", F.round("rank", 6).alias("rank"))
+    """G9, J9."""
+    return G.page_rank(_links(t)).select("id", F.round("rank", 6).alias("rank"))
+
 
+def _suppliers(links: DataFrame) -> DataFrame:
+    return G.nodes_of(links).where("id % 2 = 1").withColumn("weight", F.lit(1.0))
 
-@query(_rank_sql("CASE WHEN id % 6 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE"))
+
+@query(_rank_sql("CASE WHEN id % 2 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE"))
 def topic_pagerank(t: Tables) -> DataFrame:
-    """Teleport to trusted nodes alone."""
-    trusted = G.nodes_of(_links(t)).where("id % 6 = 0").withColumn("weight", F.lit(1.0))
-    return G.page_rank(_links(t), trusted, rounds=6).select("id", F.round("rank", 6).alias("rank"))
+    """Teleport to suppliers alone."""
+    links = checkpoint(_links(t))
+    return G.page_rank(links, _suppliers(links)).select("id", F.round("rank", 6).alias("rank"))
 
 
 def _hits_sql(rounds: int) -> str:
     parts = [f"WITH {LINKS}, h0 AS (SELECT id, 1.0::DOUBLE AS h FROM ids)"]
     for i in range(rounds):
         parts.append(
-            f""", x{i + 1} AS (SELECT ids.id, coalesce(s, 0) AS a FROM ids LEFT JOIN (SELECT dst AS id, sum(h) AS s FROM e JOIN h{i} ON e.src = h{i}.id GROUP BY dst) g ON g.id = ids.id),
-            a{i + 1} AS (SELECT id, a / (SELECT sqrt(sum(a * a)) FROM x{i + 1}) AS a FROM x{i + 1}),
-            y{i + 1} AS (SELECT ids.id, coalesce(s, 0) AS h FROM ids LEFT JOIN (SELECT src AS id, sum(a) AS s FROM e JOIN a{i + 1} ON e.dst = a{i + 1}.id GROUP BY src) g ON g.id = ids.id),
-            h{i + 1} AS (SELECT id, h / (SELECT sqrt(sum(h * h)) FROM y{i + 1}) AS h FROM y{i + 1})"""
+            f""", x{i + 1} AS MATERIALIZED (SELECT ids.id, coalesce(s, 0) AS a FROM ids LEFT JOIN (SELECT dst AS id, sum(h) AS s FROM e JOIN h{i} ON e.src = h{i}.id GROUP BY dst) g ON g.id = ids.id),
+            a{i + 1} AS MATERIALIZED (SELECT id, a / (SELECT sqrt(sum(a * a)) FROM x{i + 1}) AS a FROM x{i + 1}),
+            y{i + 1} AS MATERIALIZED (SELECT ids.id, coalesce(s, 0) AS h FROM ids LEFT JOIN (SELECT src AS id, sum(a) AS s FROM e JOIN a{i + 1} ON e.dst = a{i + 1}.id GROUP BY src) g ON g.id = ids.id),
+            h{i + 1} AS MATERIALIZED (SELECT id, h / (SELECT sqrt(sum(h * h)) FROM y{i + 1}) AS h FROM y{i + 1})"""
         )
     return " ".join(parts) + f" SELECT h.id, round(h / (SELECT max(h) FROM h{rounds}), 6) AS hub, round(a / (SELECT max(a) FROM a{rounds}), 6) AS authority FROM h{rounds} h JOIN a{rounds} a ON h.id = a.id"
 
 
-@query(_hits_sql(4))
+@query(_hits_sql(20))
 def hits(t: Tables) -> DataFrame:
-    """Four rounds."""
-    found = G.hits(_links(t), rounds=4)
-    return found.select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+    """G11."""
+    return G.hits(_links(t)).select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+
+
+#: What the link queries ask for; the type of a part stands for the anchor of a link to its supplier.
+ASKED = ["promo", "steel", "copper"]
+
+
+def _anchors(t: Tables) -> DataFrame:
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.regexp_extract_all(F.lower("p_type"), F.lit("[a-z]{3,}"), F.lit(0)).alias("words"))
+    return t.lineitem.select((F.col("l_suppkey") * 2 + 1).cast("long").alias("id"), "l_partkey").join(parts, "l_partkey").select("id", "words")
+
+
+@query(
+    """WITH w AS (SELECT l_suppkey::BIGINT * 2 + 1 AS id, unnest(regexp_extract_all(lower(p_type), '[a-z]{3,}')) AS w FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT id, round(least(1, 1.5 * count(*) FILTER (w IN ('promo', 'steel', 'copper')) / count(*))::DOUBLE, 6) AS anchor FROM w GROUP BY id"""
+)
+def anchor_relevance(t: Tables) -> DataFrame:
+    """G13."""
+    return G.anchor_relevance(_anchors(t), ASKED).select("id", F.round("anchor", 6).alias("anchor"))
 
 
 @query()
 def link_score(t: Tables) -> DataFrame:
-    """G13, G14."""
+    """General and topical rank, authority, hub and anchors of all nodes."""
     links = checkpoint(_links(t))
-    trusted = G.nodes_of(links).where("id % 6 = 0").withColumn("weight", F.lit(1.0))
-    anchor = G.nodes_of(links).select("id", (F.col("id") % 5 / 5.0).alias("anchor"))
-    ranks = G.page_rank(links, rounds=6), G.page_rank(links, trusted, rounds=6)
-    return G.link_score(*ranks, G.hits(links, rounds=6), anchor)
+    ranks = G.page_rank(links), G.page_rank(links, _suppliers(links))
+    return G.link_score(*ranks, G.hits(links), G.anchor_relevance(_anchors(t), ASKED)).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def query_focused_hits(t: Tables) -> DataFrame:
+    """Suppliers whose anchors name what is asked for, and their neighbours."""
+    links = checkpoint(_links(t))
+    topic = checkpoint(links.groupBy(F.col("dst").alias("id")).agg(F.count("*").cast("double").alias("rank")))
+    base = checkpoint(G.base_set(links, _anchors(t), topic.limit(0).select("id"), ASKED, topic))
+    found = G.query_hits(links, base)
+    return found.select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
 @query()
@@ -99,18 +129,35 @@ def url_canonical(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.canonical_url(F.col("url")).alias("canonical"))
 
 
+AUTH = "greatest(0.55, " + ", ".join(f"CASE WHEN h = '{d}' OR h LIKE '%.{d}' THEN {v} ELSE 0 END" for d, v in G.AUTHORITIES.items()) + ", CASE WHEN h LIKE '%.gov' THEN 0.92 WHEN h LIKE '%.edu' THEN 0.88 ELSE 0 END)::DOUBLE"
+
+
 @query(
-    r"""SELECT page_id, CASE WHEN h LIKE '%.gov' OR h LIKE '%.edu' THEN 1.0 WHEN h LIKE '%.org' THEN 0.8 WHEN h LIKE '%.net' THEN 0.6 ELSE 0.5 END::DOUBLE AS authority
-    FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS h FROM pages)"""
+    f"""SELECT page_id, authority, priority, greatest(0, least(3, floor((100 - priority) * 4 / 101)))::INT AS queue FROM (SELECT page_id, authority,
+    greatest(1, least(100, trunc(authority * 100 - least(10, d) * 8)::INT))::INT AS priority FROM (SELECT page_id, {AUTH} AS authority, d FROM
+    (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS h, len(regexp_extract_all(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'))::INT AS d FROM pages)))"""
 )
 def host_authority(t: Tables) -> DataFrame:
-    """G7, T3."""
-    return t.pages.select("page_id", G.host_authority(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1))).alias("authority"))
+    """A page's depth is the number of steps in its path."""
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1))
+    depth = F.regexp_count(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1), F.lit("/"))
+    rows = t.pages.select("page_id", G.host_authority(host).alias("authority"), G.crawl_priority(host, depth).alias("priority"))
+    return rows.withColumn("queue", G.queue_of(F.col("priority"), 4))
+
+
+@query(
+    r"""SELECT page_id, CASE WHEN h = '' THEN lower(u) ELSE (CASE WHEN s = '' THEN 'https' ELSE s END) || '://' || h || (CASE WHEN p = '' THEN '/' ELSE p END) END AS url FROM (SELECT page_id, trim(url) AS u,
+    lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS h,
+    regexp_replace(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#;]*)', 1), '/+$', '') AS p FROM pages)"""
+)
+def url_bare(t: Tables) -> DataFrame:
+    """G2."""
+    return t.pages.select("page_id", G.bare_url(F.col("url")).alias("url"))
 
 
 SHINGLES = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{3,}') AS w FROM documents),
  s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w)"""
-SEEDS = 8
+SEEDS = 24
 
 
 @query(f"WITH {SHINGLES} SELECT doc_id, len(s)::INT AS n_shingles, md5(array_to_string(list_sort(s), '|')) AS digest FROM s")
@@ -126,31 +173,62 @@ def word_shingles(t: Tables) -> DataFrame:
     + "] AS signature FROM s"
 )
 def minhash_signature(t: Tables) -> DataFrame:
-    """G4, with eight seeds."""
-    return t.documents.select("doc_id", G.signature(G.shingles(F.col("text")), SEEDS).alias("signature"))
+    """G4."""
+    return G.signatures(t.documents, "doc_id", F.col("text"), SEEDS)
+
+
+PAGE_SIGNATURES = (
+    r"""w AS (SELECT page_id, regexp_extract_all(lower(html), '[a-z0-9]{3,}') AS w FROM pages), s AS (SELECT page_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w),
+    m AS MATERIALIZED (SELECT page_id, ["""
+    + ", ".join(f"list_min(list_transform(s, lambda x: left(sha1('{k}:' || x), 16)))" for k in range(SEEDS))
+    + "] AS g FROM s)"
+)
+
+
+def _near_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
+    found = checkpoint(G.signatures(t.pages, "page_id", F.col("html"), SEEDS))
+    return G.near_signatures(found, "page_id", SEEDS, 0.90)
+
+
+@query(
+    f"""WITH {PAGE_SIGNATURES}, c AS (SELECT g, min(page_id) AS class FROM m GROUP BY g), p AS (SELECT a.class AS a, b.class AS b FROM c a JOIN c b ON a.class < b.class
+      WHERE len(list_filter(range(1, {SEEDS + 1}), lambda i: a.g[i] = b.g[i])) / {SEEDS}.0 >= 0.9),
+    n AS (SELECT class, count(*) AS links FROM (SELECT a AS class FROM p UNION ALL SELECT b FROM p) GROUP BY class)
+    SELECT page_id, class, coalesce(links, 0) AS links FROM m JOIN c USING (g) LEFT JOIN n USING (class)"""
+)
+def near_page_pairs(t: Tables) -> DataFrame:
+    """The class of each page (the first of those with its signature) and its number of links to other classes."""
+    members, links = _near_pages(t)
+    both = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(both, "class", "left").select("page_id", "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query()
+def near_page_filter(t: Tables) -> DataFrame:
+    """Which pages a crawl in the order of page_id would keep."""
+    members, links = _near_pages(t)
+    return G.first_wins(checkpoint(members), links, "page_id")
 
 
 # evaluation
 
 
-RELEVANT = """r AS (SELECT b.item_id AS qid, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id)::INT AS rank, CASE WHEN l.quality = 1 THEN 2 WHEN l.toxic = 0 THEN 1 ELSE 0 END AS gain
-  FROM benchmark b JOIN documents d ON left(b.text, 3) = left(d.text, 3) LEFT JOIN labels l ON d.doc_id = l.doc_id), n AS (SELECT qid, count(*) FILTER (gain > 0) AS total FROM r GROUP BY qid)"""
+RELEVANT = f"""{RANK}, r AS (SELECT qid, doc_id, rank, CASE WHEN l.quality = 1 THEN 2 WHEN l.toxic = 0 THEN 1 ELSE 0 END AS gain FROM ({_top_sql('bm25', k=10)}) LEFT JOIN labels l USING (doc_id)),
+  n AS (SELECT qid, greatest(1, count(*) FILTER (gain > 0)) AS total FROM r GROUP BY qid)"""
 
 
 def _ranked(t: Tables) -> DataFrame:
+    """The best ten documents for each passage; a judged document's gain is 2 for good quality, 1 for no toxicity; all others 0."""
     from pyspark.sql import Window
 
-    docs = t.documents.select("doc_id", F.left("text", F.lit(3)).alias("head"))
-    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.left("text", F.lit(3)).alias("head"))
-    w = Window.partitionBy("qid")
-    rows = asked.join(docs, "head").join(t.labels, "doc_id", "left")
+    rows = _top(_features(t), "bm25", 10).join(t.labels, "doc_id", "left")
     gain = F.when(F.col("quality") == 1, 2).when(F.col("toxic") == 0, 1).otherwise(0)
-    rows = rows.select("qid", "doc_id", F.row_number().over(w.orderBy("doc_id")).alias("rank"), gain.alias("gain"))
-    return rows.withColumn("total", F.count_if(F.col("gain") > 0).over(w))
+    rows = rows.select("qid", "doc_id", "rank", gain.alias("gain"))
+    return rows.withColumn("total", F.greatest(F.lit(1), F.count_if(F.col("gain") > 0).over(Window.partitionBy("qid"))))
 
 
 @query(
-    f"""WITH {RELEVANT}, k AS (SELECT r.*, total, CASE WHEN gain > 0 THEN 1 ELSE 0 END AS rel FROM r JOIN n USING (qid) WHERE rank <= 10),
+    f"""WITH {RELEVANT}, k AS (SELECT r.*, total, CASE WHEN gain > 0 THEN 1 ELSE 0 END AS rel FROM r JOIN n USING (qid)),
     s AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS seen, row_number() OVER (PARTITION BY qid ORDER BY gain DESC, rank) AS ideal FROM k),
     g AS (SELECT qid, sum(rel) AS hits, any_value(total) AS total, sum(rel * seen / rank) AS ap, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(gain / log2(rank + 1)) AS dcg,
       sum(gain / log2(ideal + 1)) AS idcg FROM s GROUP BY qid)
@@ -158,7 +236,7 @@ def _ranked(t: Tables) -> DataFrame:
     round(ap / greatest(1, total), 6) AS ap, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg FROM g"""
 )
 def eval_ranking(t: Tables) -> DataFrame:
-    """A16, A17."""
+    """Of the keyword ranking of all documents; the number of relevant ones is what was observed, at least 1."""
     return E.ranking_metrics(_ranked(t), "qid", "rank", "gain", "total", 10)
 
 

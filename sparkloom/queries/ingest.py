@@ -28,26 +28,38 @@ def token_estimate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(
-    """SELECT doc_id, list_sort(list_distinct(list_concat(list_filter(['the', 'license', 'token', 'that', 'von'], lambda w: contains(lower(text), w)),
-    regexp_extract_all(text, '[A-Z]+\\s*[<>]=?\\s*\\d+'))))::VARCHAR[] AS keywords FROM documents"""
-)
+KEYS = "[" + ", ".join(f"'{w}'" for w in I.KEYWORDS) + "]"
+#: Every third document gets words of the domain, so that keywords and questions have something to find.
+DOMAIN_TEXT = "CASE doc_id % 3 WHEN 0 THEN text || ' Shock y sepsis: criterio GRACE > 140, tratamiento' WHEN 1 THEN text || ' algoritmo de riesgo con ECG' ELSE text END"
+FOUND = f"list_sort(list_distinct(list_concat(list_filter({KEYS}, lambda w: contains(lower(text), w)), regexp_extract_all(text, '\\b[A-Z]+\\s*(?:[><]=?|=)\\s*\\d+\\b'))))::VARCHAR[]"
+
+
+def _domain_texts(t: Tables) -> DataFrame:
+    return t.documents.selectExpr("doc_id", "lang", f"{DOMAIN_TEXT} AS text")
+
+
+@query(f"SELECT doc_id, {FOUND} AS keywords FROM (SELECT doc_id, {DOMAIN_TEXT} AS text FROM documents)")
 def keyword_extract(t: Tables) -> DataFrame:
     """D2."""
-    return t.documents.select("doc_id", I.keywords(F.col("text"), ["the", "license", "token", "that", "von"]).alias("keywords"))
+    return _domain_texts(t).select("doc_id", I.keywords(F.col("text")).alias("keywords"))
 
 
-RULES = [("license", "¿Que licencia tiene?"), ("token", "¿Que credencial hay?"), ("http", "¿Que enlace hay?"), ("the", "¿Esta en ingles?")]
+def _asked(words: tuple[str, ...], template: str) -> str:
+    return f"CASE WHEN {' OR '.join(f'contains(lower(text), {w!r})' for w in words)} THEN replace('{template}', '{{}}', topic) END"
 
 
 @query(
-    """SELECT doc_id, list_filter(['¿Que indica ' || source || '?', '¿Que dice la seccion ' || lang || '?', CASE WHEN contains(lower(text), 'license') THEN '¿Que licencia tiene?' END,
-    CASE WHEN contains(lower(text), 'token') THEN '¿Que credencial hay?' END, CASE WHEN contains(lower(text), 'http') THEN '¿Que enlace hay?' END,
-    CASE WHEN contains(lower(text), 'the') THEN '¿Esta en ingles?' END], lambda q: q IS NOT NULL) AS questions FROM documents"""
+    f"""WITH d AS (SELECT doc_id, 'seccion ' || lang AS topic, {DOMAIN_TEXT} AS text FROM documents), k AS (SELECT *, {FOUND} AS k,
+      list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9\\-]+'), lambda w: length(w) >= 5 AND w NOT IN ({', '.join(f"'{w}'" for w in I.QUESTION_STOP)})) AS w FROM d),
+    u AS (SELECT *, list_filter(w, lambda x, i: list_position(w, x) = i) AS own FROM k)
+    SELECT doc_id, list_filter(['¿Cual es el manejo operativo de ' || topic || '?', '¿Cuales son los pasos iniciales para ' || topic || '?', {', '.join(_asked(w, q) for w, q in I.QUESTION_RULES)},
+    CASE WHEN len(k) > 0 THEN '¿Que recomendaciones practicas se dan para ' || array_to_string(k[1:2], ', ') || '?' END,
+    CASE WHEN len(own) > 0 THEN '¿Como se integran ' || array_to_string(own[1:2], ', ') || ' dentro del plan operativo?' END], lambda q: q IS NOT NULL)[1:6] AS questions FROM u"""
 )
 def question_generation(t: Tables) -> DataFrame:
-    """D3, D19."""
-    return t.documents.select("doc_id", I.questions(F.col("source"), F.col("lang"), F.col("text"), RULES).alias("questions"))
+    """D3."""
+    section = F.concat(F.lit("Documento > seccion  "), "lang")
+    return _domain_texts(t).select("doc_id", I.questions(F.col("text"), section).alias("questions"))
 
 
 @query("SELECT doc_id, md5(rtrim(left(source || ' | ' || lang, 180)) || chr(10) || text) AS decorated FROM documents")
@@ -56,12 +68,15 @@ def chunk_decoration(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(I.decorate(F.col("text"), F.col("source"), F.col("lang"))).alias("decorated"))
 
 
-@query(
-    """SELECT event_id, CASE event_type WHEN 'view' THEN 'paragraph' ELSE 'paragraph' END AS kind, CASE lower(trim(props)) WHEN 'table' THEN 'table' ELSE 'paragraph' END AS other FROM events"""
-)
+NAMES = [*I.CONTENT_TYPES, "nothing known"]
+CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in I.CONTENT_TYPES.items())
+
+
+@query(f"SELECT event_id, CASE lower(trim(name)) {CASES} ELSE 'paragraph' END AS kind FROM (SELECT event_id, ' ' || upper([{', '.join(f'{n!r}' for n in NAMES)}][event_id % {len(NAMES)} + 1]) AS name FROM events)")
 def content_type(t: Tables) -> DataFrame:
-    """D9, D18."""
-    return t.events.select("event_id", I.content_type(F.col("event_type")).alias("kind"), I.content_type(F.col("props")).alias("other"))
+    """Events as blocks that go by all names of types in turn."""
+    name = F.concat(F.lit(" "), F.upper(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES) + 1).cast("int"))))
+    return t.events.select("event_id", I.content_type(name).alias("kind"))
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -93,14 +108,16 @@ def rejection_histogram(t: Tables) -> DataFrame:
     return _gate(t).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+PATHS = "CASE doc_id % 4 WHEN 0 THEN 'docs/47_' || source || '.md' WHEN 1 THEN 'docs/pdf_raw/Neurologia ' || source || '.pdf' WHEN 2 THEN 'docs/58_' || source || '.md' ELSE 'docs/otros/' || source || '.md' END"
+
+
 @query(
-    r"""SELECT page_id, CASE WHEN contains(lower(url), '/de/') THEN 'german' WHEN contains(lower(url), '/fr/') THEN 'french' WHEN contains(lower(url), '/es/') THEN 'spanish'
-    WHEN contains(lower(url), 'blog.') THEN 'blog' END AS specialty FROM pages"""
+    f"""SELECT doc_id, CASE {' '.join(f"WHEN contains(p, '{k}') THEN '{v}'" for k, v in I.PATH_SPECIALTIES.items())} {' '.join(f"WHEN contains(b, '{k}') THEN '{v}'" for k, v in I.NAME_SPECIALTIES)} END AS specialty
+    FROM (SELECT doc_id, lower(path) AS p, regexp_replace(regexp_extract(lower(path), '([^/]*)$', 1), '[^a-z0-9_.-]', '', 'g') AS b FROM (SELECT doc_id, {PATHS} AS path FROM documents))"""
 )
 def specialty_infer(t: Tables) -> DataFrame:
-    """D14."""
-    rules = [("/de/", "german"), ("/fr/", "french"), ("/es/", "spanish"), ("blog.", "blog")]
-    return t.pages.select("page_id", I.infer(F.col("url"), rules).alias("specialty"))
+    """Documents under paths of the kinds that the maps know."""
+    return t.documents.selectExpr("doc_id", f"{PATHS} AS path").select("doc_id", I.specialty(F.col("path")).alias("specialty"))
 
 
 @query("SELECT d.doc_id, coalesce(l.quality::VARCHAR, d.lang) AS specialty FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -110,11 +127,15 @@ def specialty_backfill(t: Tables) -> DataFrame:
     return t.documents.join(own, "doc_id", "left").select("doc_id", F.coalesce("own", "lang").alias("specialty"))
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(value, 1e9), event_id)::INT AS place FROM events")
+BOX = ["event_id", "user_id AS page", "CASE WHEN event_id % 7 > 0 THEN value END AS y0", "CASE WHEN event_id % 5 > 0 THEN value % 10 END AS x0"]
+
+
+@query(f"SELECT event_id, page, row_number() OVER (ORDER BY page, coalesce(y0, 1e9), coalesce(x0, 1e9), event_id)::INT AS place FROM (SELECT {', '.join(BOX)} FROM events) ORDER BY place LIMIT 500")
 def block_order(t: Tables) -> DataFrame:
-    """Reading order of blocks (events of a user, by value)."""
-    w = Window.partitionBy("user_id").orderBy(F.coalesce("value", F.lit(1e9)), "event_id")
-    return t.events.select("event_id", F.row_number().over(w).alias("place"))
+    """The first 500 blocks in reading order; events are blocks, their users pages, and some have no box."""
+    first = I.reading_order(t.events.selectExpr(*BOX), "page", "x0", "y0", "event_id").limit(500)
+    w = Window.orderBy("page", F.coalesce("y0", F.lit(1e9)), F.coalesce("x0", F.lit(1e9)), "event_id")
+    return first.select("event_id", "page", F.row_number().over(w).alias("place"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import learn as L
 from ..operators.relational import top_per_group
+from ..plans.cut import checkpoint, small
 from .registry import Tables, query
 
 #: Terms of the learning queries: runs of three or more a-z, 0-9 of the lower-case text.
@@ -25,18 +26,44 @@ def _counts(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {COUNTS}, cell AS (SELECT lang, term, sum(tf) AS n FROM c GROUP BY ALL), s AS (SELECT lang, sum(n) AS total FROM cell GROUP BY lang), v AS (SELECT count(DISTINCT term) AS v FROM cell),
-    g AS (SELECT d.doc_id, s.lang, ln(total / (SELECT sum(total) FROM s)) + sum(tf * ln((coalesce(n, 0) + 1) / (total + v.v))) AS score
-      FROM (SELECT doc_id, term, tf FROM c) d CROSS JOIN s CROSS JOIN v LEFT JOIN cell ON cell.term = d.term AND cell.lang = s.lang GROUP BY d.doc_id, s.lang, total)
+    pr AS (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS prior FROM documents GROUP BY lang),
+    g AS (SELECT d.doc_id, s.lang, any_value(ln(prior)) + sum(tf * ln((coalesce(n, 0) + 1) / (total + v.v))) AS score
+      FROM (SELECT doc_id, term, tf FROM c) d CROSS JOIN (SELECT * FROM s JOIN pr USING (lang)) s CROSS JOIN v LEFT JOIN cell ON cell.term = d.term AND cell.lang = s.lang GROUP BY d.doc_id, s.lang, total)
     SELECT doc_id, guess, round(score, 4) AS score FROM (SELECT doc_id, lang AS guess, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS n FROM g) WHERE n = 1"""
 )
 def nb_multinomial(t: Tables) -> DataFrame:
-    """The likeliest language."""
-    c = _counts(t)
-    scored = L.multinomial_bayes(c.select("lang", "term", "tf"), c.drop("lang"), "doc_id", "lang")
+    """The likeliest language; priors are the languages' shares of documents."""
+    c = checkpoint(_counts(t))
+    share = t.documents.groupBy("lang").agg(F.count("*").alias("n"))
+    priors = L.class_priors(share, "lang", size="n")
+    scored = L.multinomial_bayes(c.select("lang", "term", "tf"), c.drop("lang"), "doc_id", "lang", priors)
     best = top_per_group(scored, ["doc_id"], [F.desc("score"), F.asc("lang")], 1, "n")
     return best.select("doc_id", F.col("lang").alias("guess"), F.round("score", 4).alias("score"))
 
 
+@query("SELECT lang, round((1 + CASE WHEN lang = 'de' THEN 0.35 ELSE 0 END + CASE WHEN lang IN ('fr', 'es') THEN 0.20 ELSE 0 END) / sum(1 + CASE WHEN lang = 'de' THEN 0.35 ELSE 0 END + CASE WHEN lang IN ('fr', 'es') THEN 0.20 ELSE 0 END) OVER ()::DOUBLE, 6) AS prior FROM (SELECT DISTINCT lang FROM documents)")
+def boosted_priors(t: Tables) -> DataFrame:
+    """German as the specialty, French and Spanish as matched domains."""
+    return L.class_priors(t.documents.select("lang").distinct(), "lang", "DE", ("fr", " es")).select("lang", F.round("prior", 6).alias("prior"))
+
+
+BERNOULLI = f"""h AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents), cl AS (SELECT DISTINCT lang, term FROM h JOIN documents USING (doc_id)), v AS (SELECT count(DISTINCT term) AS v FROM cl),
+ n AS (SELECT lang, count(*) AS total, count(*) OVER () AS k FROM cl GROUP BY lang), m AS (SELECT doc_id, count(*) AS m FROM h GROUP BY doc_id), o AS (SELECT doc_id, lang, count(*) AS own FROM h JOIN cl USING (term) GROUP BY ALL),
+ b AS (SELECT doc_id, n.lang, ln(1.0 / k) + (total - coalesce(own, 0)) * ln(1 / 3.0) + (v - total - (m - coalesce(own, 0))) * ln(2 / 3.0) + coalesce(own, 0) * ln(2 / 3.0) + (m - coalesce(own, 0)) * ln(1 / 3.0) AS score
+   FROM m CROSS JOIN n CROSS JOIN v LEFT JOIN o USING (doc_id, lang))"""
+
+
+@query(
+    f"""WITH {BERNOULLI} SELECT doc_id, guess, round(score, 3) AS score FROM (SELECT doc_id, lang AS guess, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, lang) AS n FROM b) WHERE n = 1"""
+)
+def nb_bernoulli(t: Tables) -> DataFrame:
+    """By presence of terms alone."""
+    c = checkpoint(_counts(t))
+    scored = L.bernoulli_bayes(c, c, "doc_id", "lang").withColumn("near", F.round("score", 6))
+    best = top_per_group(scored, ["doc_id"], [F.desc("near"), F.asc("lang")], 1, "n")
+    return best.select("doc_id", F.col("lang").alias("guess"), F.round("score", 3).alias("score"))
+
+
 CHI = f"""h AS (SELECT DISTINCT doc_id, lang, unnest({TOKENS}) AS term FROM documents), cell AS (SELECT term, lang, count(*)::DOUBLE AS a FROM h GROUP BY ALL),
  t AS (SELECT term, lang, a, sum(a) OVER (PARTITION BY term) - a AS b, nc - a AS c, n - nc - (sum(a) OVER (PARTITION BY term) - a) AS d, n FROM cell
    JOIN (SELECT lang, count(*)::DOUBLE AS nc FROM documents GROUP BY lang) USING (lang), (SELECT count(*)::DOUBLE AS n FROM documents)),
@@ -72,10 +99,66 @@ def svm_ova(t: Tables) -> DataFrame:
     return L.ova_svm(t.embeddings, "label", "embedding", "vec_id")
 
 
+SURE = """v AS (SELECT user_id, event_type, sum(value) / 100.0 AS s FROM events GROUP BY ALL), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY user_id)) AS e FROM v), p AS (SELECT user_id, event_type, e / sum(e) OVER (PARTITION BY user_id) AS p FROM e),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_type) AS n FROM p)"""
+
+
+@query(
+    f"""WITH {SURE}, g AS (SELECT user_id, max(CASE WHEN n = 1 THEN event_type END) AS top, max(p) AS probability, coalesce(max(CASE WHEN n = 2 THEN p END), 0) AS second, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(greatest(2, count(*))) AS entropy FROM r GROUP BY user_id)
+    SELECT user_id, top, round(probability, 6) AS probability, round(probability - second, 6) AS margin, round(entropy, 6) AS entropy FROM g"""
+)
+def class_certainty(t: Tables) -> DataFrame:
+    """Softmax, margin and entropy of what kind of event a user's values speak for."""
+    scored = t.events.groupBy("user_id", "event_type").agg((F.sum("value") / 100.0).alias("score"))
+    sure = L.certainty(scored, "user_id", "event_type")
+    return sure.select("user_id", "top", *(F.round(c, 6).alias(c) for c in ("probability", "margin", "entropy")))
+
+
+PROTOTYPES = {"en": ("the", "that", "with", "from"), "de": ("der", "nicht", "und", "verein", "keit"), "fr": ("des", "que", "ment"), "es": ("que", "las", "cion", "mente")}
+
+
+@query()
+def prototype_posterior(t: Tables) -> DataFrame:
+    """C11: languages as classes, given by parts of words."""
+    found = L.prototype_posterior(t.documents, "doc_id", F.col("text"), PROTOTYPES)
+    return found.select("doc_id", "top", "ood_level", "uncertainty", "abstain", "priority", *(F.round(c, 6).alias(c) for c in ("probability", "margin", "entropy", "coverage", "ood")))
+
+
+@query()
+def rerank_cascade(t: Tables) -> DataFrame:
+    """Each document's language by its class mean, put right by Bayes and then by its prototype."""
+    c = checkpoint(_counts(t))
+    best = lambda s: top_per_group(s.withColumn("score", F.round("score", 6)), ["doc_id"], [F.desc("score"), F.asc("lang")], 1, "n")
+    mean = L.rocchio(L.tfidf(c.drop("lang"), "doc_id", t.documents.agg(F.count("*").alias("n_docs"))), t.documents.select("doc_id", "lang"), "doc_id", "lang")
+    first = top_per_group(mean.withColumn("score", F.round("score", 6)), ["doc_id"], [F.desc("score"), F.asc("lang")], 3, "n")
+    first = first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "lang"))), lambda s: s["lang"]).alias("first"))
+    bayes = best(L.multinomial_bayes(c.select("lang", "term", "tf"), c.drop("lang"), "doc_id", "lang")).select("doc_id", F.col("lang").alias("bayes"))
+    proto = L.prototype_posterior(t.documents, "doc_id", F.col("text"), PROTOTYPES).where("not abstain").select("doc_id", F.col("top").alias("proto"))
+    rows = first.join(bayes, "doc_id", "left").join(proto, "doc_id", "left")
+    return rows.select("doc_id", L.cascade(F.col("first"), [F.col("bayes"), F.col("proto")]).alias("classes"))
+
+
+GAIN = """cd AS (SELECT event_type AS id, CASE WHEN event_type IN ('view', 'click') THEN 'browse' ELSE 'act' END AS cluster, count(*) / (SELECT count(*) FROM events)::DOUBLE AS prior, avg((value > 50)::INT) AS high, avg((value > 90)::INT) AS top, avg((user_id % 2 = 0)::INT) AS even FROM events GROUP BY event_type),
+ g AS (SELECT id, cluster, prior, f AS feature, CASE f WHEN 'high' THEN high WHEN 'top' THEN top ELSE even END AS l FROM cd, (SELECT unnest(['high', 'top', 'even']) AS f)),
+ u AS (SELECT *, prior * greatest(0.05, least(0.95, l)) AS y0, prior * greatest(0.05, least(0.95, 1 - l)) AS n0 FROM g),
+ q AS (SELECT *, y0 / sum(y0) OVER (PARTITION BY feature) AS y, n0 / sum(n0) OVER (PARTITION BY feature) AS n FROM u),
+ s AS (SELECT feature, greatest(0, sum(-prior * log2(prior)) - 0.5 * sum(-y * log2(y)) - 0.5 * sum(-n * log2(n))) AS ig, 1 - sum(prior * prior) AS con, CASE WHEN arg_max(cluster, (round(y, 12), prior, id)) = arg_max(cluster, (round(n, 12), prior, id)) THEN 0.2 ELSE 1.0 END::DOUBLE AS div FROM q GROUP BY feature)"""
+
+
+@query(f"WITH {GAIN} SELECT feature, round(0.5 * ig + 0.35 * div + 0.15 * con, 4) AS gain, round(ig, 4) AS ig, round(div, 4) AS div, round(con, 4) AS con, row_number() OVER (ORDER BY round(0.5 * ig + 0.35 * div + 0.15 * con, 4) DESC, feature)::INT AS rank FROM s")
+def question_gain(t: Tables) -> DataFrame:
+    """C14: what to ask of an event to tell its kind."""
+    marks = {"high": F.col("value") > 50, "top": F.col("value") > 90, "even": F.col("user_id") % 2 == 0}
+    known = t.events.groupBy(F.col("event_type").alias("id")).agg(F.count("*").cast("double").alias("p"), *(F.avg(m.cast("int")).alias(n) for n, m in marks.items()))
+    known = checkpoint(known.withColumn("cluster", F.when(F.col("id").isin("view", "click"), "browse").otherwise("act")))
+    like = known.select("id", F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("p")) for n in marks))))
+    return L.question_gain(known.select("id", "cluster", "p"), like)
+
+
 @query()
 def kmeans_clusters(t: Tables) -> DataFrame:
     """K1."""
-    return L.kmeans(t.embeddings, "vec_id", "embedding", 8, rounds=5)
+    return L.kmeans(t.embeddings, "vec_id", "embedding", 8)
 
 
 @query()
@@ -152,11 +235,51 @@ def epidemiology_rates(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT cluster, label, n, round(share, 6) AS share FROM (SELECT *, n / sum(n) OVER (PARTITION BY cluster) AS share, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS r FROM
-    (SELECT vec_id % 7 AS cluster, label, count(*) AS n FROM embeddings GROUP BY ALL)) WHERE r = 1"""
+    f"""WITH c AS (SELECT source AS cluster, doc_id, lang FROM documents), {COUNTS.replace('c AS (', 'w AS (', 1)}, cell AS (SELECT cluster, term, sum(tf) AS n FROM w JOIN c USING (doc_id) GROUP BY ALL),
+    i AS (SELECT cluster, sum(n) AS inside FROM cell GROUP BY cluster), a AS (SELECT term, sum(n) AS a FROM cell GROUP BY term),
+    s AS (SELECT cluster, term, round(n / greatest(1, inside) - (a - n) / greatest(1, (SELECT sum(inside) FROM i) - inside), 9) AS score FROM cell JOIN i USING (cluster) JOIN a USING (term)),
+    b AS (SELECT cluster, list(term ORDER BY r) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term DESC) AS r FROM s WHERE score > 0) WHERE r <= 3 GROUP BY cluster),
+    d AS (SELECT cluster, lang AS dominant FROM (SELECT cluster, lang, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, lang) AS r FROM c GROUP BY cluster, lang) WHERE r = 1)
+    SELECT cluster, size, dominant, terms FROM (SELECT cluster, count(*) AS size FROM c GROUP BY cluster) JOIN d USING (cluster) LEFT JOIN b USING (cluster)"""
 )
 def cluster_labels(t: Tables) -> DataFrame:
-    """K8: the label that dominates each cluster."""
-    cell = t.embeddings.groupBy((F.col("vec_id") % 7).alias("cluster"), "label").agg(F.count("*").alias("n"))
-    cell = cell.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("cluster")), 6))
-    return top_per_group(cell, ["cluster"], [F.desc("n"), F.asc("label")], 1, "r").drop("r")
+    """K8: sources as clusters of documents."""
+    members = t.documents.select("doc_id", F.col("source").alias("cluster"), "lang")
+    return L.cluster_terms(members, checkpoint(_counts(t)), "doc_id", "lang")
+
+
+def _hard_clusters(t: Tables) -> DataFrame:
+    return checkpoint(t.embeddings.join(L.kmeans(t.embeddings, "vec_id", "embedding", 8), "vec_id"))
+
+
+@query()
+def cluster_candidates(t: Tables) -> DataFrame:
+    """K9: every 50th vector as a query against the clusters of all."""
+    from ..operators.vector import cosine, mean_pool
+
+    rows = _hard_clusters(t)
+    mean = small(checkpoint(mean_pool(rows, ["cluster"], "embedding").withColumnRenamed("embedding", "mean")))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding").crossJoin(mean)
+    scores = asked.select("qid", "cluster", cosine(F.col("embedding"), F.col("mean")).alias("similarity"))
+    found = L.cluster_candidates(scores, rows, "qid", "label")
+    return found.select("qid", "cluster", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "classes", "singleton")
+
+
+@query()
+def cluster_objective(t: Tables) -> DataFrame:
+    """K7: the objective of hard clusters of vectors against their labels, for six and eight clusters."""
+    from ..operators.evaluate import cluster_quality
+
+    out = None
+    for k in (6, 8):
+        rows = t.embeddings.select("vec_id", F.col("label").cast("string").alias("label")).join(L.kmeans(t.embeddings, "vec_id", "embedding", k), "vec_id")
+        q = cluster_quality(checkpoint(rows).select("label", "cluster"), "label", "cluster")
+        part = q.select(F.lit(k).alias("k"), F.round(L.cluster_objective(F.col("f"), F.col("nmi"), F.col("purity"), k, 6), 6).alias("objective"), "purity", "nmi", "f")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query()
+def soft_clusters(t: Tables) -> DataFrame:
+    """K2: the weights of each vector in four soft clusters."""
+    return L.soft_clusters(t.embeddings, "vec_id", "embedding", 4).select("vec_id", "cluster", F.round("weight", 6).alias("weight"))

@@ -109,22 +109,6 @@ def active_sources(t: Tables) -> DataFrame:
     return t.events.where(F.col("value").isNull() | (F.col("value") > 50)).select("event_id")
 
 
-@query(
-    r"""SELECT doc_id, (CASE WHEN length(text) < 60 THEN 1 ELSE 0 END + CASE WHEN contains(text, '!!!') THEN 1 ELSE 0 END
-    + least(3, CASE WHEN contains(lower(text), 'click') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'free') THEN 1 ELSE 0 END
-      + CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END)
-    + CASE WHEN length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.35 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 1 ELSE 0 END) AS spam
-    FROM documents"""
-)
-def spam_score(t: Tables) -> DataFrame:
-    """points for short texts, exclamation, spam terms and capitals."""
-    text = F.col("text")
-    terms = sum(F.lower(text).contains(w).cast("int") for w in ("click", "free", "the"))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]", "")) > 0.35 * F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    score = (F.length(text) < 60).cast("int") + text.contains("!!!").cast("int") + F.least(F.lit(3), terms) + capitals.cast("int")
-    return t.documents.select("doc_id", score.alias("spam"))
-
-
 @query(
     """SELECT count(*) AS failing_steps FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
     WHERE o.o_orderstatus = 'F' AND l.l_returnflag = 'R'"""

@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evidence as V
 from ..operators import rerank as K
 from ..operators import rules as U
+from ..operators import routing as O
+from ..operators.ingest import discourse_units
+from ..operators.relational import top_per_group
 from ..operators.vector import cosine, hash_embedding, mean_pool, windows
+from ..plans.cut import checkpoint, small
 from ..streaming.throttle import throttle
 from .registry import Tables, query
+from .search import RANK, _features, _top, _top_sql
 
 TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'))"
 STOP = "(" + ", ".join(f"'{w}'" for w in X.RELEVANCE_STOP_WORDS) + ")"
@@ -18,12 +24,12 @@ STOP = "(" + ", ".join(f"'{w}'" for w in X.RELEVANCE_STOP_WORDS) + ")"
 
 @query()
 def mmr_rerank(t: Tables) -> DataFrame:
-    """For each label, its vectors as candidates and its mean vector as the query; pools are fixed to 200 rows."""
+    """For each label its mean vector is the query; the pool is its 200 vectors of highest relevance, of all."""
     asked = mean_pool(t.embeddings, ["label"], "embedding").withColumnRenamed("embedding", "asked")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    pool = t.embeddings.withColumn("n", F.row_number().over(w)).where("n <= 200").drop("n")
-    rows = pool.join(F.broadcast(asked), "label").withColumn("lexical", (F.col("vec_id") % 10).cast("double"))
-    return K.mmr(rows, "label", "vec_id", "embedding", "asked", "lexical", 5)
+    rows = t.embeddings.join(small(checkpoint(asked)), "label").withColumn("lexical", (F.col("vec_id") % 10).cast("double"))
+    rows = rows.withColumn("near", 0.7 * cosine(F.col("embedding"), F.col("asked"), clip=False) + 0.3 * F.col("lexical") / 9)
+    pool = top_per_group(rows, ["label"], [F.desc("near"), F.asc("vec_id")], 200, "n").drop("n", "near")
+    return K.mmr(pool, "label", "vec_id", "embedding", "asked", "lexical", 5)
 
 
 PAIR = r"""p AS (SELECT a.conv_id, a.turn, {q} AS q, {r} AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""".format(
@@ -35,55 +41,178 @@ def _pairs(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = t.conversations.select("conv_id", "turn", "text", F.lead("text").over(w).alias("answer"), F.lead("turn").over(w).alias("nt")).where("nt = turn + 1")
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    return rows.select("conv_id", "turn", tokens(F.col("text")).alias("q"), tokens(F.col("answer")).alias("r"))
+    return rows.select("conv_id", "turn", "answer", tokens(F.col("text")).alias("q"), tokens(F.col("answer")).alias("r"))
 
 
-@query(
-    f"""WITH {PAIR} SELECT conv_id, turn, round(CASE WHEN len(q) = 0 THEN 0 ELSE coalesce(list_sum(list_transform(q, lambda t: CASE WHEN list_contains(r, t) THEN 1.0
-    WHEN length(t) >= 5 AND len(list_filter(r, lambda w: length(w) >= 5 AND left(w, 5) = left(t, 5))) > 0 THEN 1.0
-    WHEN length(t) >= 3 AND len(list_filter(r, lambda w: length(w) >= 3 AND left(w, 3) = left(t, 3))) > 0 THEN 0.5 ELSE 0.0 END)), 0)::DOUBLE / log2(2.0 + len(q)) END, 6) AS score FROM p"""
-)
+def _in(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _count(words: tuple[str, ...], text: str = "x") -> str:
+    return "(" + " + ".join(f"contains({text}, '{w}')::INT" for w in words) + ")"
+
+
+OVERLAP = f"""CASE WHEN len(q) = 0 THEN 0 ELSE round(least(1.0, (len(list_intersect(q, r)) + 0.7 * coalesce(list_sum(list_transform(q, lambda t: CASE WHEN list_contains(r, t) OR length(t) < 5 OR t IN {_in(V.SOFT_EXCLUDED)} THEN 0.0
+    WHEN len(list_filter(r, lambda w: length(w) >= 5 AND left(w, 5) = left(t, 5))) > 0 THEN 1.0
+    WHEN length(t) >= 8 AND len(list_filter(r, lambda w: length(w) >= 8 AND left(w, 3) = left(t, 3))) > 0 THEN 0.5 ELSE 0.0 END)), 0)) / log2(2.0 + len(q)))::DOUBLE, 4) END"""
+
+
+@query(f"WITH {PAIR} SELECT conv_id, turn, {OVERLAP} AS score FROM p")
 def overlap_score(t: Tables) -> DataFrame:
-    """X2."""
-    return _pairs(t).select("conv_id", "turn", F.round(K.overlap_score(F.col("q"), F.col("r")), 6).alias("score"))
+    """A turn and the next one."""
+    return _pairs(t).select("conv_id", "turn", V.overlap(F.col("q"), F.col("r")).alias("score"))
+
+
+EVIDENCE = f"round(least(1.0, 0.12 * {_count(V.EVIDENCE_TERMS)} + 0.06 * len(regexp_extract_all(x, '{V.EVIDENCE_NUMBER}')))::DOUBLE, 4)"
+
+
+@query(f"SELECT doc_id, {EVIDENCE} AS evidence FROM (SELECT doc_id, lower(text) AS x FROM documents)")
+def evidence_score(t: Tables) -> DataFrame:
+    """X3."""
+    return t.documents.select("doc_id", V.evidence(F.col("text")).alias("evidence"))
 
 
 @query(
-    """SELECT doc_id, round(least(1.0, 0.12 * (contains(lower(text), 'license')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'token')::INT)
-    + 0.06 * len(regexp_extract_all(text, '[0-9]+')))::DOUBLE, 6) AS evidence FROM documents"""
+    f"""WITH {PAIR}, x AS (SELECT conv_id, turn, {OVERLAP} AS o, {EVIDENCE} AS e, list_filter(regexp_extract_all(x, '[a-z0-9]{{2,}}'), lambda w: w NOT IN {_in(V.ACTION_STOP_WORDS)}) AS w
+      FROM (SELECT p.*, lower(c.text) AS x FROM p JOIN conversations c ON p.conv_id = c.conv_id AND c.turn = p.turn + 1)),
+    y AS (SELECT *, len(w) AS n, len(list_filter(w, lambda z: z IN {_in(V.AUXILIARIES)})) / greatest(1, len(w)) AS aux, least(1.0, len(list_filter(w, lambda z: z IN {_in(V.ACTIONS)})) / 3.0) AS act,
+      len(list_distinct(w)) / greatest(1, len(w)) AS varied FROM x)
+    SELECT conv_id, turn, CASE WHEN n = 0 THEN 0 ELSE floor(round(greatest(0, least(1, 0.35 * o + 0.25 * e + 0.20 * 0.5 + 0.12 * act + 0.08 * varied - 0.18 * greatest(0, aux - 0.35)))::DOUBLE, 9) * 10000 + 0.5) / 10000 END AS score,
+    CASE WHEN n = 0 THEN 1 ELSE round(aux, 4) END::DOUBLE AS aux_ratio FROM y"""
 )
-def evidence_score(t: Tables) -> DataFrame:
-    """X3, X4."""
-    return t.documents.select("doc_id", F.round(K.evidence_score(F.col("text"), ["license", "the", "token"]), 6).alias("evidence"))
+def actionability(t: Tables) -> DataFrame:
+    """The next turn as an answer, at a retrieval score of a half."""
+    rows = _pairs(t).withColumn("a", V.actionability(F.col("answer"), V.overlap(F.col("q"), F.col("r")), F.lit(0.5), V.evidence(F.col("answer"))))
+    return rows.select("conv_id", "turn", "a.score", "a.aux_ratio")
+
+
+def _best(words: dict[str, tuple[str, ...]]) -> str:
+    counts = {z: _count(w) for z, w in words.items()}
+    top = f"greatest({', '.join(counts.values())})"
+    return f"CASE WHEN {top} = 0 THEN 'none' " + " ".join(f"WHEN {c} = {top} THEN '{z}'" for z, c in counts.items()) + " END"
 
 
 @query(
-    """SELECT doc_id, CASE WHEN greatest(c, e, 0) = 0 THEN 'background' WHEN c = greatest(c, e) THEN 'claim' ELSE 'evidence' END AS zone FROM (SELECT doc_id,
-    contains(lower(text), 'license')::INT + contains(lower(text), 'that')::INT AS c, contains(lower(text), 'token')::INT + contains(lower(text), 'from')::INT AS e FROM documents)"""
+    f"""SELECT doc_id, {_best(V.ZONES)} AS zone, CASE WHEN n + s = 0 THEN 'neutral' WHEN n >= s THEN 'nucleus' ELSE 'satellite' END AS role,
+    CASE WHEN n + s = 0 THEN 0.5 ELSE round(greatest(0.55, greatest(n, s) / (n + s)), 4) END::DOUBLE AS sure, round(0.55 * ({_count(V.CLAIMS)} > 0)::INT + 0.45 * ({_count(V.PREMISES)} > 0)::INT, 4)::DOUBLE AS claim_premise
+    FROM (SELECT *, {_count(V.NUCLEUS)} AS n, {_count(V.SATELLITE)} AS s FROM (SELECT doc_id, lower(text) AS x FROM documents))"""
 )
 def argument_zone(t: Tables) -> DataFrame:
-    """X7, X13."""
-    return t.documents.select("doc_id", K.argument_zone(F.col("text"), {"claim": ["license", "that"], "evidence": ["token", "from"]}).alias("zone"))
+    """Zone, role, claims and premises."""
+    text = F.col("text")
+    rows = t.documents.select("doc_id", V.argument_zone(text).alias("zone"), V.rhetorical_role(text).alias("r"), V.claim_premise(text).alias("claim_premise"))
+    return rows.select("doc_id", "zone", "r.role", "r.sure", "claim_premise")
 
 
-SENT = rf"""s AS (SELECT b.doc_id, generate_subscripts(string_split(text, '. '), 1)::INT - 1 AS nth, unnest(string_split(text, '. ')) AS sentence FROM documents b),
- k AS (SELECT item_id AS qid, {TOK.format('text')} AS q, lower(left(text, 2)) AS head FROM benchmark),
- c AS (SELECT qid, doc_id, nth, sentence, round(len(list_intersect(q, {TOK.format('sentence')})) / nullif(len(q), 0), 6) AS score FROM s JOIN k ON lower(left(sentence, 2)) = head AND length(sentence) >= 20)"""
+BIAS = f"""b AS (SELECT d.doc_id, d.item_id, d.q, 'docs/' || CASE WHEN d.lang = 'en' THEN '' ELSE 'pdf_raw/' END || d.source AS place, d.text AS query, list_distinct(list_filter(regexp_extract_all(lower(d.source || ' ' || d.lang), '[a-z0-9]{{3,}}'), lambda w: w NOT IN {STOP})) AS r
+  FROM (SELECT documents.doc_id, source, lang, item_id, benchmark.text, list_distinct(list_filter(regexp_extract_all(lower(benchmark.text), '[a-z0-9]{{3,}}'), lambda w: w NOT IN {STOP})) AS q FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark)) d)"""
 
 
 @query(
-    f"""WITH {SENT}, d AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, nth) AS dr FROM c WHERE score >= 0.05),
-    e AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, nth) AS qr FROM d WHERE dr <= 2)
-    SELECT qid, doc_id, left(string_agg(sentence, ' ' ORDER BY nth), 280) AS context FROM e WHERE qr <= 8 GROUP BY qid, doc_id"""
+    f"""WITH {BIAS}, f AS (SELECT *, {OVERLAP} AS focus, contains(place, 'docs/pdf_raw/') AS raw, {_count(V.OPERATIONAL_QUERY, 'lower(query)')} > 0 AND len(list_filter(q, lambda t: length(t) >= 6 AND t NOT IN {_in(V.GENERIC_TOKENS)})) <= 2 AS generic,
+      {_count(V.OPERATIONAL_SOURCE, 'place')} > 0 AS op FROM b)
+    SELECT doc_id, generic, round(greatest(-0.28, least(0.28, CASE WHEN raw THEN 0 ELSE 0.12 END + 0.12 * op::INT + least(0.08, 0.10 * focus) - 0.04 * raw::INT - 0.18 * (raw AND generic AND NOT op)::INT - 0.08 * (raw AND generic AND focus < 0.18)::INT))::DOUBLE, 4) AS bias FROM f"""
 )
+def source_bias(t: Tables) -> DataFrame:
+    """Each document as a source for the benchmark passage of its number; other languages stand for raw files."""
+    n = t.benchmark.count()
+    asked = t.benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("query"), X.relevance_set(F.col("text")).alias("q"))
+    rows = t.documents.withColumn("item", F.pmod("doc_id", F.lit(max(1, n)))).join(small(checkpoint(asked)), "item")
+    place = F.concat(F.when(F.col("lang") == "en", "docs/").otherwise("docs/pdf_raw/"), "source")
+    bias = V.source_bias(F.col("query"), F.col("q"), place, F.col("lang"), F.col("source"))
+    return rows.select("doc_id", V.is_generic(F.col("query"), F.col("q")).alias("generic"), bias.alias("bias"))
+
+
+def _passages(t: Tables, k: int = 8) -> DataFrame:
+    """``qid, doc, text, query, asked, retrieval``: the best documents for each benchmark passage; scores by the query's best."""
+    found = _top(_features(t), "bm25", k).withColumn("most", F.max("score").over(Window.partitionBy("qid")))
+    found = found.select("qid", F.col("doc_id").alias("doc"), F.greatest(F.lit(0.0), F.coalesce(F.col("score") / F.nullif("most", F.lit(0.0)), F.lit(0.0))).alias("retrieval"))
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("query"), X.relevance_set(F.col("text")).alias("asked"))
+    docs = t.documents.select(F.col("doc_id").alias("doc"), "text", "source", "lang")
+    return checkpoint(found.join(asked, "qid").join(docs, "doc"))
+
+
+def _sentences(t: Tables) -> DataFrame:
+    long = V.passage_sentences(_passages(t), ["qid", "doc", "retrieval", "asked", "query", "source", "lang"], "text", most=0)
+    return long.withColumn("tokens", X.relevance_set(F.col("sentence")))
+
+
+@query()
 def extractive_compress(t: Tables) -> DataFrame:
-    """Candidates are sentences that begin like the query, so that queries and sentences meet on a key."""
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    s = t.documents.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("nth", "sentence")).where(F.length("sentence") >= 20)
-    s = s.withColumn("head", F.lower(F.left("sentence", F.lit(2))))
-    q = t.benchmark.select(F.col("item_id").alias("qid"), tokens(F.col("text")).alias("q"), F.lower(F.left("text", F.lit(2))).alias("head"))
-    rows = s.join(q, "head").withColumn("score", F.round(F.size(F.array_intersect("q", tokens(F.col("sentence")))) / F.nullif(F.size("q"), F.lit(0)), 6))
-    return K.compress(rows, "qid", "doc_id", "nth", "score", "sentence", least=0.05)
+    """The sentences of a passage's best documents that answer it, in their order."""
+    rows = _sentences(t)
+    section = X.relevance_set(F.concat_ws(" ", "source", "lang"))
+    rows = rows.withColumn("score", V.sentence_relevance(F.col("sentence"), F.col("tokens"), F.col("asked"), section, F.col("retrieval")))
+    return K.compress(rows, "qid", "doc", "nth", "score", "sentence")
+
+
+@query()
+def overlap_compress(t: Tables) -> DataFrame:
+    """The best documents squeezed to 400 characters."""
+    return V.squeezed(_passages(t), ["qid", "doc"], "text", "asked", 400)
+
+
+def _measured(t: Tables) -> DataFrame:
+    rows = _passages(t).withColumn("tokens", X.relevance_list(F.col("text")))
+    rows = rows.withColumn("overlap", V.overlap(F.col("asked"), F.array_distinct("tokens"))).withColumn("evidence", V.evidence(F.col("text")))
+    action = V.actionability(F.col("text"), F.col("overlap"), F.col("retrieval"), F.col("evidence"))["score"]
+    return rows.withColumn("action", action)
+
+
+@query()
+def discourse_rerank(t: Tables) -> DataFrame:
+    """The best documents for each passage by retrieval and coherence."""
+    rows = _measured(t).withColumn("units", discourse_units(F.col("text"), most=10))
+    salient = O.salient(rows.select("qid", "query").distinct(), "qid", "query").groupBy("qid").agg(F.array_sort(F.collect_list("word")).alias("entities"))
+    rows = rows.join(salient, "qid", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    rows = rows.withColumn("overlaps", F.transform("units", lambda u: V.overlap(F.col("asked"), X.relevance_set(u)))).withColumn("r", V.rhetorical_role(F.col("text")))
+    rows = checkpoint(rows)
+    more = V.coherence(rows, ["qid", "doc"], "asked", "entities", "units", "overlaps")
+    rows = rows.join(more, ["qid", "doc"]).select(
+        "*",
+        V.centering(F.col("tokens"), F.col("entities")).alias("centering"),
+        V.cohesion(F.col("tokens"), F.col("asked"), F.col("overlap")).alias("cohesion"),
+        V.claim_premise(F.col("text")).alias("claim"),
+        V.argument_zone(F.col("text")).alias("zone"),
+        F.col("r.role").alias("role"),
+        F.col("r.sure").alias("sure"),
+    )
+    return V.discourse_rerank(rows, "qid", "doc")
+
+
+@query()
+def evidential_reflection(t: Tables) -> DataFrame:
+    """Of the best documents those that together are evidence enough."""
+    base = 0.35 * F.col("overlap") + 0.25 * F.col("evidence") + 0.20 * F.col("retrieval") + 0.20 * F.col("action")
+    rows = _measured(t).select("qid", "doc", "asked", F.array_distinct("tokens").alias("tokens"), F.round(base, 4).alias("base"))
+    return V.reflect(rows, "qid", "doc", "base", "tokens", "asked")
+
+
+@query()
+def extractive_answer(t: Tables) -> DataFrame:
+    """Five sentences that answer each passage."""
+    rows = _sentences(t)
+    bias = V.source_bias(F.col("query"), F.col("asked"), F.concat(F.lit("docs/"), "source"), F.col("lang"), F.col("source"))
+    return V.extractive_answer(rows.withColumn("bias", bias).withColumn("generic", V.is_generic(F.col("query"), F.col("asked"))), "qid")
+
+
+@query()
+def early_goal(t: Tables) -> DataFrame:
+    """Whether the best sentence already answers a passage."""
+    rows = _sentences(t).withColumn("o", V.overlap(F.col("asked"), F.col("tokens"))).withColumn("e", V.evidence(F.col("sentence")))
+    rows = rows.withColumn("action", V.actionability(F.col("sentence"), F.col("o"), F.col("retrieval"), F.col("e"))["score"])
+    return V.early_goal(rows.withColumn("score", V.goal_score(F.col("o"), F.col("action"), F.col("e"), F.col("retrieval"))), "qid")
+
+
+@query(
+    f"""WITH {RANK}, r AS (SELECT qid, doc_id, score, score / max(score) OVER (PARTITION BY qid) AS v FROM ({_top_sql('bm25')})),
+    c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, count(*) FILTER (v >= 0.5) OVER (PARTITION BY qid) AS good FROM r)
+    SELECT qid, doc_id, round(greatest(v, 0.7 * 0.6 + 0.3 * v), 4) AS score FROM c WHERE v >= 0.5 AND good >= least(2, n)"""
+)
+def verifier_filter(t: Tables) -> DataFrame:
+    """Documents whose score is half of the best or more, if there are two, blended with a retrieval score of .6."""
+    found = _top(_features(t), "bm25").withColumn("v", F.col("score") / F.max("score").over(Window.partitionBy("qid"))).drop("score")
+    return V.verified(found.withColumn("retrieval", F.lit(0.6)), "qid", "v", "retrieval").select("qid", "doc_id", "score")
 
 
 @query(f"WITH {PAIR} SELECT conv_id, turn, round(coalesce(len(list_intersect(r, q)) / nullif(len(r), 0), 0), 6) AS faithfulness FROM p")
@@ -133,17 +262,11 @@ def dialogue_state(t: Tables) -> DataFrame:
     SELECT conv_id, turn, round(coalesce(list_max(list_transform(bank, lambda x: CASE WHEN len(list_intersect(q, x)) >= 2 THEN 0.75 * len(list_intersect(q, x)) / len(q) + 0.15 * len(list_intersect(q, x)) / len(x) ELSE 0 END)), 0)::DOUBLE, 5) AS score FROM d, b"""
 )
 def qa_shortcut(t: Tables) -> DataFrame:
-    """H8: every turn against the bank of questions, here the benchmark, a table of fixed size."""
+    """H8: every turn against the benchmark as the bank of questions."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    bank = t.benchmark.select("item_id", tokens.alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "k"))), lambda s: s["k"]).alias("bank"))
-    rows = t.conversations.select("conv_id", "turn", tokens.alias("q")).crossJoin(F.broadcast(bank))
-    return rows.select("conv_id", "turn", F.round(K.question_shortcut(F.col("q"), F.col("bank")), 5).alias("score"))
-
-
-@query()
-def lexical_chains(t: Tables) -> DataFrame:
-    """X10."""
-    return t.documents.select("doc_id", F.round(K.lexical_chains(X.relevance_list(F.col("text"))), 6).alias("chained"))
+    asked = t.conversations.select("conv_id", "turn", tokens.alias("k"))
+    found = K.question_shortcut(asked, t.benchmark.select("item_id", tokens.alias("k")), ["conv_id", "turn"], "k", "item_id")
+    return found.select("conv_id", "turn", F.round("score", 5).alias("score"))
 
 
 @query("SELECT doc_id, len(w)::INT AS windows FROM (SELECT doc_id, range(0, greatest(0, ceil((length(text) - 2000) / 1760.0))::INT + 1) AS w FROM documents)")

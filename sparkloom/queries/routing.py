@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph as G
 from ..operators import routing as O
 from ..operators.ingest import discourse_units
 from .registry import Tables, query
@@ -57,13 +56,13 @@ QT = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'))"
 
 
 @query(
-    f"""WITH a AS (SELECT item_id AS qid, {QT.format('left(text, 24)')} AS q FROM benchmark), c AS (SELECT doc_id AS cid, {QT.format('text')} AS c FROM documents)
+    f"""WITH a AS (SELECT item_id AS qid, {QT.format('text')} AS q FROM benchmark), c AS (SELECT doc_id AS cid, {QT.format('text')} AS c FROM documents)
     SELECT qid, cid, size FROM (SELECT qid, cid, len(c)::INT AS size, row_number() OVER (PARTITION BY qid ORDER BY len(c), cid) AS n FROM a JOIN c ON len(q) > 0 AND list_has_all(c, q)) WHERE n = 1"""
 )
 def cache_superset(t: Tables) -> DataFrame:
-    """Cached texts that hold all tokens of a query's beginning."""
+    """Cached texts that hold all tokens of a query."""
     tok = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    asked = t.benchmark.select(F.col("item_id").alias("qid"), tok(F.left("text", F.lit(24))).alias("k"))
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), tok(F.col("text")).alias("k"))
     return O.cached_superset(asked, t.documents.select(F.col("doc_id").alias("cid"), tok(F.col("text")).alias("k")), "qid", "cid", "k")
 
 
@@ -117,10 +116,9 @@ def window_span(t: Tables) -> DataFrame:
 def lsi_scores(t: Tables) -> DataFrame:
     """Over each query's pool."""
     from ..operators import search as S
-    from .search import POOL
+    from .search import POOL, _counts
 
-    docs = t.documents.select("doc_id", "text")
-    counts = S.zone_counts(docs, "doc_id", {"body": F.col("text")})
+    counts = _counts(t).where("zone = 'body'")
     asked = S.query_terms(t.benchmark.withColumnRenamed("item_id", "qid"), "qid", F.col("text"))
     pool = S.candidate_pool(asked, counts, "qid", "doc_id", POOL)
     rows = pool.join(counts, "doc_id").select("qid", "doc_id", "term", (1 + F.ln("tf")).alias("w"))
@@ -209,20 +207,6 @@ def segment_merge(t: Tables) -> DataFrame:
     return O.boosted_merge(rows, "o_custkey", "o_orderpriority", "part", "s")
 
 
-@query(
-    r"""WITH w AS (SELECT page_id, regexp_extract_all(lower(html), '[a-z0-9]{3,}') AS w FROM pages), s AS (SELECT page_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w),
-    m AS (SELECT page_id, [list_min(list_transform(s, lambda x: left(sha1('0:' || x), 16))), list_min(list_transform(s, lambda x: left(sha1('1:' || x), 16))), list_min(list_transform(s, lambda x: left(sha1('2:' || x), 16))),
-      list_min(list_transform(s, lambda x: left(sha1('3:' || x), 16)))] AS g FROM s)
-    SELECT a.page_id AS a, b.page_id AS b, round(len(list_filter(range(1, 5), lambda i: a.g[i] = b.g[i])) / 4.0::DOUBLE, 6) AS similarity FROM m a JOIN m b ON a.page_id < b.page_id AND a.g[1] = b.g[1] WHERE len(list_filter(range(1, 5), lambda i: a.g[i] = b.g[i])) >= 3"""
-)
-def near_page_pairs(t: Tables) -> DataFrame:
-    """Pages that share their first least hash and most others."""
-    sig = t.pages.select("page_id", G.signature(G.shingles(F.col("html")), 4).alias("g")).withColumn("first", F.col("g")[0])
-    a, b = sig.toDF("a", "ga", "first"), sig.toDF("b", "gb", "first")
-    pairs = a.join(b, "first").where("a < b").withColumn("similarity", F.round(G.signature_similarity(F.col("ga"), F.col("gb")), 6))
-    return pairs.where("similarity >= 0.75").select("a", "b", "similarity")
-
-
 TERMS = ["license", "token", "hest", "blest"]
 
 

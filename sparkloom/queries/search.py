@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import search as S
 from ..operators.relational import top_per_group
 from ..plans import boolean as B
+from ..plans.cut import checkpoint
 from .registry import Tables, query
 
 TOK = r"regexp_extract_all(lower(text), '[a-z0-9#\-\+/]+')"
@@ -173,10 +174,21 @@ f AS (SELECT *, (0.8 * cosine + 0.2 * zone) / greatest(0.2, 0.8 + 0.2 * rel_len)
 """
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _counts(t: Tables) -> DataFrame:
+    """The index of ``documents``, written once for each session and folder."""
+    key = t.spark.sparkContext.applicationId, t.folder
+    if key not in _STORED:
+        docs = t.documents.select("doc_id", "source", "text")
+        zones = {"title": F.concat_ws(" ", "source", "source"), "section": F.lit("Documento"), "body": F.col("text")}
+        _STORED[key] = checkpoint(S.zone_counts(docs, "doc_id", zones))
+    return _STORED[key]
+
+
 def _features(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "source", "text")
-    zones = {"title": F.concat_ws(" ", "source", "source"), "section": F.lit("Documento"), "body": F.col("text")}
-    return S.features(t.benchmark.withColumnRenamed("item_id", "qid"), docs, "qid", "doc_id", F.col("text"), zones, POOL)
+    return S.features(t.benchmark.withColumnRenamed("item_id", "qid"), _counts(t), "qid", "doc_id", F.col("text"), POOL)
 
 
 def _top(scored: DataFrame, score: str, k: int = 10) -> DataFrame:
@@ -224,19 +236,34 @@ def _mm(c: str) -> str:
     return f"CASE WHEN max({c}) {w} > min({c}) {w} THEN ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) ELSE 0 END"
 
 
-BLEND = f"""b AS (SELECT f.qid, f.doc_id, 0.70 * (0.35 * combined + 0.65 * {_mm('bm25')}) + 0.30 * {_mm('qlm')} + 0.10 * {_mm('bim')}
-   + 0.12 * CASE WHEN l.quality = 1 THEN 0.6 ELSE 0.07 END AS score, CASE WHEN l.quality = 1 THEN 0 ELSE 1 END AS tier FROM f LEFT JOIN labels l ON f.doc_id = l.doc_id)"""
+#: Places of a query's active terms in the documents that hold them all, and the shortest run with all of them.
+SPAN = f"""pl AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS place FROM documents),
+ wh AS (SELECT a2.qid, hit.doc_id, any_value(n_terms) AS n FROM a2 JOIN hit ON a2.qid = hit.qid AND a2.term = hit.term
+   WHERE EXISTS (SELECT 1 FROM cnt WHERE cnt.doc_id = hit.doc_id AND cnt.term = hit.term AND zone = 'body') GROUP BY a2.qid, hit.doc_id HAVING count(*) = any_value(n_terms) AND any_value(n_terms) >= 2),
+ pt AS (SELECT wh.qid, wh.doc_id, n, term, pl.place AS place FROM wh JOIN a2 USING (qid) JOIN pl USING (doc_id, term)),
+ en AS (SELECT e.qid, e.doc_id, e.place AS stop, p.term, any_value(p.n) AS n, max(p.place) AS newest FROM pt e JOIN pt p ON e.qid = p.qid AND e.doc_id = p.doc_id AND p.place <= e.place GROUP BY ALL),
+ sp AS (SELECT qid, doc_id, min(stop - begin + 1) AS span, any_value(n) AS n FROM (SELECT qid, doc_id, stop, min(newest) AS begin, any_value(n) AS n FROM en GROUP BY qid, doc_id, stop HAVING count(*) = any_value(n)) GROUP BY ALL)"""
+#: Documents of good quality stand for those of the curated folder.
+GOOD = "CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 0.72 ELSE 0.07 END"
+BLEND = f"""{SPAN}, fs AS (SELECT f.*, span, n FROM f LEFT JOIN sp ON f.qid = sp.qid AND f.doc_id = sp.doc_id), b AS (SELECT fs.qid, fs.doc_id, 0.70 * (0.35 * combined + 0.65 * {_mm('bm25')}) + 0.30 * {_mm('qlm')} + 0.10 * {_mm('bim')}
+   + 0.12 * {GOOD} + 0.10 * CASE WHEN span IS NULL THEN 0 ELSE least(1, n / span) END AS score, CASE WHEN {GOOD} >= 0.55 THEN 0 ELSE 1 END AS tier
+   FROM fs LEFT JOIN labels l ON fs.doc_id = l.doc_id)"""
 
 
 def _blended(t: Tables) -> DataFrame:
-    quality = F.when(F.col("quality") == 1, 0.6).otherwise(0.07)
-    joined = _features(t).join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return S.blend(joined, "qid", quality, F.lit(0.0)).withColumn("tier", F.when(F.col("quality") == 1, 0).otherwise(1))
+    near = S.proximity(checkpoint(_features(t)), t.documents, "qid", "doc_id", X.ir_tokens(F.col("text")))
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    sources = t.documents.select("doc_id", "source", "lang").join(t.labels, "doc_id", "left")
+    title = F.when(good, F.concat(F.lit("Motor operativo "), "source")).otherwise(F.col("source"))
+    place = F.when(good, F.concat(F.lit("docs/"), "source")).otherwise(F.col("source"))
+    sources = sources.select("doc_id", S.static_quality(title, place, F.lit("Documento"), F.col("lang")).alias("static"))
+    scored = S.blend(near.join(sources, "doc_id"), "qid", F.col("static"), F.col("proximity"))
+    return scored.withColumn("tier", F.when(F.col("static") >= 0.55, 0).otherwise(1))
 
 
 @query(f"WITH {RANK}, {BLEND} {_top_sql('score', '(SELECT * FROM b WHERE score > 0)')}")
 def keyword_search(t: Tables) -> DataFrame:
-    """The flagship, all features blended."""
+    """The flagship, all features blended with proximity and static quality."""
     return _top(_blended(t), "score")
 
 
@@ -245,7 +272,7 @@ def keyword_search(t: Tables) -> DataFrame:
     FROM b WHERE score > 0) WHERE rank <= 10"""
 )
 def tiered_rank(t: Tables) -> DataFrame:
-    """R20, R22."""
+    """Documents of high static quality first."""
     rows = _blended(t).withColumn("score", F.round("score", 6))
     return top_per_group(rows, ["qid"], [F.asc("tier"), F.desc("score"), F.asc("doc_id")], 10).select("qid", "doc_id", "tier", "rank")
 
@@ -318,7 +345,7 @@ def prf_terms(t: Tables) -> DataFrame:
     from ..operators.vector import feedback_terms
 
     docs = t.documents.select("doc_id", "text")
-    counts = S.zone_counts(docs, "doc_id", {"body": F.col("text")})
+    counts = _counts(t).where("zone = 'body'")
     seeds = _top(_features(t), "bm25", 3).select("qid", "doc_id")
     asked = S.query_terms(t.benchmark.withColumnRenamed("item_id", "qid"), "qid", F.col("text"))
     return feedback_terms(seeds, counts, asked, docs, "qid", "doc_id", seeds_per_query=3, k=6)
