@@ -71,6 +71,23 @@ def match_rate(ai: Column, human: Column) -> Column:
     return F.round(100.0 * F.avg(ai.eqNullSafe(human).cast("int")), 2)
 
 
+#: The flags that each domain's reviews compare; a log has ai_<flag> and human_<flag> of each.
+AUDITED = {
+    "screening": ("hiv_screening_suggested", "sepsis_route_suggested", "persistent_covid_suspected", "long_acting_candidate"),
+    "medicolegal": ("consent_required", "judicial_notification_required", "chain_of_custody_required"),
+    "scasest": ("escalation_required", "immediate_antiischemic_strategy"),
+    "cardio_risk": ("non_hdl_target_required", "pharmacologic_strategy_suggested", "intensive_lifestyle_required"),
+    "resuscitation": ("shock_recommended", "reversible_causes_completed", "airway_plan_adequate"),
+}
+
+
+def domain_audit(rows: DataFrame, flags: tuple[str, ...], by: list[str], kind: str = "classification") -> DataFrame:
+    """A3: a domain's counts and rates of matches, under- and over-calls, and the rate at which each flag agrees."""
+    rates = [F.round(100.0 * F.avg(F.col(f"ai_{f}").eqNullSafe(F.col(f"human_{f}")).cast("int")), 2).alias(f"{f}_match_rate") for f in flags]
+    whole = rows.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col(kind) == k).alias(k) for k in ("match", "under", "over")), *rates)
+    return whole.select("*", percent(F.col("under"), F.col("total")).alias("under_rate"), percent(F.col("over"), F.col("total")).alias("over_rate"))
+
+
 def quality_status(total: Column, under_rate: Column, over_rate: Column) -> Column:
     """No data, degraded (under above 10 or over above 20), attention (any deviation), stable."""
     return (
@@ -100,6 +117,12 @@ def frequent_items(rows: DataFrame, by: list[str], item: str, first_seen: Column
     return top_per_group(counted, by, [F.desc("n"), F.asc("first_seen"), F.asc(item)], k)
 
 
+def frequent_in_arrays(rows: DataFrame, by: list[str], items: str, order: str, k: int) -> DataFrame:
+    """The k most frequent items of arrays, ties by where they were first seen: the row by ``order``, then the place."""
+    long = rows.select(*by, order, F.posexplode(items).alias("__place", "item"))
+    return frequent_items(long, by, "item", F.struct(order, "__place"), k)
+
+
 def minutes_between(a: Column, b: Column) -> Column:
     """Minutes from a to b with two digits, null if either is missing."""
     micros = [F.unix_micros(c.cast("timestamp")) for c in (a, b)]

@@ -207,3 +207,38 @@ def snippet_clean(t: Tables) -> DataFrame:
     """D25."""
     bare = F.regexp_replace(F.regexp_replace("text", "[*#`|>]+", " "), "[ \\t\\n\\r]+", " ")
     return t.documents.select("doc_id", F.left(F.trim(bare), F.lit(220)).alias("snippet"))
+
+
+@query()
+def page_manifest(t: Tables) -> DataFrame:
+    """Pages as files with their manifest lines."""
+    from ..operators.graph import page_parts
+    from ..sources.sinks import page_records
+
+    parts = page_parts(t.pages, "url", "html")
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1))
+    pages = parts.select("url", host.alias("host"), F.lit(1).alias("depth"), F.lit("seed").alias("discovered_from"), "title", "text", F.lit(0.0).alias("fetched_at"), F.lit(200).alias("status_code"), "links")
+    return page_records(pages)
+
+
+@query()
+def parsed_markdown_blocks(t: Tables) -> DataFrame:
+    """Documents with a heading and a page mark before every other line."""
+    from ..sources.sinks import parsed_blocks
+
+    text = F.concat(F.lit("# "), "source", F.lit("\n[Page 2]\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return parsed_blocks(t.documents.select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN p LIKE '%.md' THEN 'markdown' WHEN p LIKE '%.txt' THEN 'text' ELSE 'unsupported' END AS parser, length(trim(text)) AS chars, 1 AS pages, p NOT LIKE '%.bin' AND length(trim(text)) > 0 AS ok FROM
+    (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'a.md' WHEN 1 THEN 'b.txt' ELSE 'c.bin' END AS p FROM documents)"""
+)
+def parse_traces(t: Tables) -> DataFrame:
+    """S3: documents as files of three kinds."""
+    from ..sources.sinks import parse_trace
+
+    path = F.when(F.col("doc_id") % 3 == 0, "A.md").when(F.col("doc_id") % 3 == 1, "b.TXT").otherwise("c.bin")
+    rows = t.documents.select("doc_id", path.alias("path"), "text")
+    found = parse_trace(rows.select(F.concat("path", F.lit("")).alias("path"), "text", "doc_id").withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit("/"), "path")), "path", "text")
+    return found.select(F.split_part("path", F.lit("/"), F.lit(1)).cast("long").alias("doc_id"), "parser", "chars", "pages", "ok")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..sources import tables as S
+from ..sources import sinks
 from .registry import Tables, query
 
 
@@ -283,6 +284,53 @@ def json_sum(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(k).alias("n"))
 
 
+FLAGS = R.AUDITED["cardio_risk"]
+FLAG_SQL = ", ".join(f"event_id % {3 + i} = 0 AS ai_{f}, CASE WHEN event_id % 11 > 0 THEN (event_id + user_id) % {3 + i} = 0 END AS human_{f}" for i, f in enumerate(FLAGS))
+CALLED = "CASE WHEN event_id % 4 = 0 THEN 'under' WHEN event_id % 4 = 1 THEN 'over' ELSE 'match' END AS classification"
+
+
+@query(
+    f"""SELECT event_type, total, match, under, over, {', '.join(f'{f}_match_rate' for f in FLAGS)}, round(100.0 * under / total, 2) AS under_rate, round(100.0 * over / total, 2) AS over_rate FROM
+    (SELECT event_type, count(*) AS total, count(*) FILTER (classification = 'match') AS match, count(*) FILTER (classification = 'under') AS under, count(*) FILTER (classification = 'over') AS over,
+    {', '.join(f"round(100.0 * avg((ai_{f} IS NOT DISTINCT FROM human_{f})::INT), 2) AS {f}_match_rate" for f in FLAGS)} FROM (SELECT event_type, {CALLED}, {FLAG_SQL} FROM events) GROUP BY event_type)"""
+)
+def domain_audits(t: Tables) -> DataFrame:
+    """A3: events as reviews of one domain, some without a human flag."""
+    rows = t.events.selectExpr("event_type", CALLED, *FLAG_SQL.replace(", CASE", "\n CASE").replace(", event_id", "\n event_id").split("\n"))
+    return R.domain_audit(rows, FLAGS, ["event_type"])
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, unnest(list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 200)) AS item, generate_subscripts(list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 200), 1) AS place FROM conversations)
+    SELECT conv_id, item, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, seen, item)::INT AS rank FROM (SELECT conv_id, item, count(*) AS n, min((turn, place)) AS seen FROM w GROUP BY conv_id, item)) WHERE rank <= 5""".replace("list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 200)", "regexp_extract_all(lower(text), '[a-z]{3,}')")
+)
+def memory_top_facts(t: Tables) -> DataFrame:
+    """The words that a conversation's turns name most."""
+    rows = t.conversations.select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("words"))
+    return R.frequent_in_arrays(rows, ["conv_id"], "words", "turn", 5).select("conv_id", "item", "n", "rank")
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY n, o, line)::INT AS nth, line FROM (SELECT 'runs_total' AS n, 1 AS o, 'runs_total{kind="' || event_type || '"} ' || count(*)::VARCHAR AS line FROM events GROUP BY event_type
+    UNION ALL SELECT 'runs_total', 0, unnest(['# HELP runs_total Runs by kind', '# TYPE runs_total gauge']))"""
+)
+def metrics_exposition(t: Tables) -> DataFrame:
+    """S24."""
+    gauges = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
+    return sinks.exposition(gauges, F.lit("runs_total"), F.col("n"), {"kind": F.col("event_type")}, "Runs by kind")
+
+
+@query(
+    """SELECT to_json({query: q, expected_answer: a, domain: d})::VARCHAR AS value FROM (SELECT left(text, 40) AS q, arg_min(source, doc_id) AS a, arg_min(lang, doc_id) AS d FROM documents WHERE length(text) > 200 GROUP BY 1)
+    WHERE q NOT LIKE '%"%' AND q NOT LIKE '%\\%' AND NOT regexp_matches(q, '[\\x00-\\x1f/]')"""
+)
+def regression_export(t: Tables) -> DataFrame:
+    """Documents as answers; queries without characters that JSON writers spell in different ways."""
+    runs = t.documents.select(F.col("doc_id").alias("id"), F.left("text", F.lit(40)).alias("query"), F.col("source").alias("answer"), F.col("lang").alias("domain"), "text")
+    plain = ~F.rlike("query", F.lit(r'[\x00-\x1f/"\\]'))
+    return sinks.regression_set(runs, (F.length("text") > 200) & plain)
+
+
 @query(
     """SELECT user_id, event_type, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_seen, event_type)::INT AS rank
     FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY ALL)) WHERE rank <= 3"""

@@ -45,3 +45,58 @@ def test_bulk_payload(spark):
 def test_checkpoint_cuts_lineage(spark):
     cut = checkpoint(spark.range(10).withColumn("x", F.col("id") * 2))
     assert "Range" not in cut._jdf.queryExecution().toString() and cut.count() == 10
+
+
+def test_page_sink_and_snapshot(spark, tmp_path):
+    from sparkloom.sources import sinks
+
+    page = [("http://Ex.com/a", "Ex.com", 1, "seed", "", "body", 1.5, 200, [("http://y.org/", "to y"), ("http://z.org/", None)])]
+    schema = "url string, host string, depth int, discovered_from string, title string, text string, fetched_at double, status_code int, links array<struct<href:string,anchor:string>>"
+    pages = spark.createDataFrame(page, schema)
+    r = sinks.page_records(pages).first()
+    assert r.file.startswith("ex.com/") and r.file.endswith(".md") and len(r.file) == len("ex.com/") + 14 + 3
+    assert r.markdown == "# Web source\n\n- source_url: http://Ex.com/a\n- host: Ex.com\n- fetched_at_epoch: 1.500\n- depth: 1\n\nbody\n"
+    line = json.loads(r.manifest)
+    assert line["outgoing_edges"] == [{"url": "http://y.org/", "anchor": "to y"}, {"url": "http://z.org/", "anchor": ""}] and line["links_discovered"] == 2
+    sinks.write_pages(pages, str(tmp_path / "out"))
+    sinks.write_pages(pages, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out/manifest")).count() == 2 and spark.read.json(str(tmp_path / "out/pages")).count() == 2
+    rank = spark.createDataFrame([(1, 0.2), (2, 0.8)], "id long, rank double")
+    hub = spark.createDataFrame([(1, 0.5, 1.0), (2, 1.0, 0.5)], "id long, hub double, authority double")
+    anchors = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"])], "id long, words array<string>")
+    sinks.write_snapshot(sinks.link_snapshot(rank, rank, hub, anchors), str(tmp_path / "snap"))
+    got = {r.id: r for r in sinks.read_snapshot(spark, str(tmp_path / "snap")).collect()}
+    assert got["1"].global_pagerank_norm == 0.25 and got["1"].incoming_anchor_terms == {"a": 2, "b": 1} and got["2"].hits_hub_norm == 1.0
+
+
+def test_parsed_blocks_traces_and_thesaurus(spark, tmp_path):
+    from sparkloom.sources import sinks
+
+    text = "intro\n[Page 2]\nmore\n# A\n\n## B\n|x|y|\n|1|2|\n# C\nend"
+    docs = spark.createDataFrame([(1, text), (2, None)], "d long, t string")
+    got = [tuple(r) for r in sinks.parsed_blocks(docs, "d", "t").collect()]
+    assert got == [
+        (1, 0, "text", "intro", "Documento > Pagina 1", 1), (1, 1, "text", "more", "Documento > Pagina 2", 2),
+        (1, 2, "table", "|x|y|\n|1|2|", "Documento > A > B", 2), (1, 3, "text", "end", "Documento > C", 2),
+    ]
+    files = spark.createDataFrame([("x.MD", "[Page 1]\na\n[page 2]\nb"), ("y.bin", "z"), ("e.txt", " ")], "path string, content string")
+    assert [tuple(r)[1:] for r in sinks.parse_trace(files, "path", "content").collect()] == [("markdown", 21, 2, True), ("unsupported", 1, 1, False), ("text", 0, 1, False)]
+    (tmp_path / "t.json").write_text(json.dumps({" Sepsis ": ["a", "A", "sepsis", "b", "", "c", "d", "e"]}))
+    got = sinks.thesaurus(spark, str(tmp_path / "t.json")).collect()
+    assert {r.synonym for r in got} == {"a", "b", "c", "d"} and {r.term for r in got} == {"sepsis"}
+
+
+def test_audit_rows_regression_and_gauges(spark):
+    from sparkloom.operators import relational
+    from sparkloom.sources import sinks
+
+    rows = spark.createDataFrame([(1, 2, 3), (2, 3, 3), (3, 3, 1)], "id long, ai int, human int")
+    assert [r.classification for r in sinks.audit_row(rows, F.col("ai"), F.col("human")).orderBy("id").collect()] == ["under", "match", "over"]
+    runs = spark.createDataFrame([(2, "q", "b", "d"), (1, "q", "a", "d"), (3, "z", "c", "d")], "id long, query string, answer string, domain string")
+    assert [json.loads(r.value)["expected_answer"] for r in sinks.regression_set(runs, F.col("query") == "q").collect()] == ["a"]
+    gauge = sinks.exposition(runs, F.lit("g"), F.col("id"), {"q": F.concat("query", F.lit('"'))}, "what").orderBy("nth").collect()
+    assert [r.line for r in gauge][:3] == ["# HELP g what", "# TYPE g gauge", 'g{q="q\\""} 1']
+    flags = relational.AUDITED["scasest"]
+    log = spark.createDataFrame([("match", True, True, None, None), ("under", True, False, True, None)], "classification string, " + ", ".join(f"ai_{f} boolean, human_{f} boolean" for f in flags))
+    r = relational.domain_audit(log, flags, []).first()
+    assert (r.total, r.under_rate, r[f"{flags[0]}_match_rate"], r[f"{flags[1]}_match_rate"]) == (2, 50.0, 50.0, 50.0)
