@@ -87,8 +87,8 @@ def contracts(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT conv_id, turn, text, lower(text) AS x, {TOKENS.format('text')} AS k FROM conversations), s AS (SELECT *, floor(round(greatest(0, least(1, 0.47 * greatest(0, (8.0 - least(len(k), 8)) / 8.0)
-      + CASE WHEN regexp_matches(text, '[0-9]') THEN 0 ELSE 0.28 END + CASE WHEN contains(x, 'license') THEN 0 ELSE 0.20 END + 0.20 * least(1, {_count(A.AMBIGUOUS)} / 2.0)))::DOUBLE, 9) * 10000 + 0.5) / 10000 AS score FROM c)
+    f"""WITH c AS (SELECT conv_id, turn, text, strip_accents(lower(text)) AS x, {TOKENS.format('text')} AS k FROM conversations), s AS (SELECT *, round(round(greatest(0, least(1, 0.47 * greatest(0, (8.0 - least(len(k), 8)) / 8.0)
+      + CASE WHEN regexp_matches(text, '[0-9]') THEN 0 ELSE 0.28 END + CASE WHEN contains(x, 'license') THEN 0 ELSE 0.20 END + 0.20 * least(1, {_count(A.AMBIGUOUS)} / 2.0)))::DOUBLE, 9)::DECIMAL(12, 9), 4)::DOUBLE AS score FROM c)
     SELECT conv_id, turn, score, score >= 0.62 AND len(k) <= 16 AS ask FROM s"""
 )
 def query_ambiguity(t: Tables) -> DataFrame:

@@ -77,7 +77,7 @@ def evidence_score(t: Tables) -> DataFrame:
       FROM (SELECT p.*, lower(c.text) AS x FROM p JOIN conversations c ON p.conv_id = c.conv_id AND c.turn = p.turn + 1)),
     y AS (SELECT *, len(w) AS n, len(list_filter(w, lambda z: z IN {_in(V.AUXILIARIES)})) / greatest(1, len(w)) AS aux, least(1.0, len(list_filter(w, lambda z: z IN {_in(V.ACTIONS)})) / 3.0) AS act,
       len(list_distinct(w)) / greatest(1, len(w)) AS varied FROM x)
-    SELECT conv_id, turn, CASE WHEN n = 0 THEN 0 ELSE floor(round(greatest(0, least(1, 0.35 * o + 0.25 * e + 0.20 * 0.5 + 0.12 * act + 0.08 * varied - 0.18 * greatest(0, aux - 0.35)))::DOUBLE, 9) * 10000 + 0.5) / 10000 END AS score,
+    SELECT conv_id, turn, CASE WHEN n = 0 THEN 0 ELSE round(round(greatest(0, least(1, 0.35 * o + 0.25 * e + 0.20 * 0.5 + 0.12 * act + 0.08 * varied - 0.18 * greatest(0, aux - 0.35)))::DOUBLE, 9)::DECIMAL(12, 9), 4) END::DOUBLE AS score,
     CASE WHEN n = 0 THEN 1 ELSE round(aux, 4) END::DOUBLE AS aux_ratio FROM y"""
 )
 def actionability(t: Tables) -> DataFrame:
