@@ -54,6 +54,50 @@ def faithfulness(answer: Column, contexts: list[Column]) -> Column:
     return F.coalesce(F.size(F.array_intersect(answer, union)) / F.nullif(F.size(answer), F.lit(0)), F.lit(0.0))
 
 
+def gate_tokens(text: Column, longer_than: int) -> Column:
+    """Distinct white-space words without brackets and stops at their ends, longer than so many characters."""
+    words = F.transform(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$", ""))
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) > longer_than))
+
+
+#: Answers that say nothing.
+GENERIC_ANSWERS = ("no tengo informacion suficiente", "necesito mas contexto", "es dificil decir", "depende de muchos factores")
+
+
+def gatekeeper(rows: DataFrame, key: str, query: str, answer: str, passages: str, least_context: float = 0.15, least_faith: float = 0.20) -> DataFrame:
+    """``key, context_relevance, faithfulness, issues, valid`` for rows with an array of passages.
+
+    Context relevance is the share of the query's words that the best of six passages holds, faithfulness the share of the answer's
+    that five passages hold together. An answer that is short or general, not supported or beside the question is not valid; one that
+    cites no passage (no long word of the first two) only gets a note.
+    """
+    q, a = gate_tokens(F.col(query), 3), gate_tokens(F.col(answer), 4)
+    share = lambda part, whole: F.coalesce(F.size(F.array_intersect(part, whole)) / F.nullif(F.size(part), F.lit(0)), F.lit(0.0))
+    best = F.array_max(F.transform(F.slice(passages, 1, 6), lambda p: share(q, gate_tokens(p, 3))))
+    held = F.flatten(F.transform(F.slice(passages, 1, 5), lambda p: gate_tokens(p, 4)))
+    low = F.lower(F.coalesce(F.col(answer), F.lit("")))
+    long = lambda p: F.slice(F.filter(F.split(F.lower(p), r"\s+"), lambda w: F.length(w) > 6), 1, 6)
+    cited = F.exists(F.flatten(F.transform(F.slice(passages, 1, 2), long)), lambda w: F.contains(low, w))
+    general = F.lit(False)
+    for phrase in GENERIC_ANSWERS:
+        general = general | F.contains(low, F.lit(phrase))
+    scored = rows.select(
+        key, F.round(F.coalesce(best, F.lit(0.0)), 6).alias("context_relevance"), F.round(share(a, held), 6).alias("faithfulness"), (F.size(passages) > 0).alias("some"),
+        ((F.length(F.trim(low)) < 80) | general).alias("general"), cited.alias("cited"), (F.size(F.array_intersect(q, gate_tokens(F.col(answer), 3))) > 0).alias("on"),
+    )
+    issues = F.array_compact(
+        F.array(
+            F.when(F.col("general"), "risk:generic"),
+            F.when(F.col("some") & ~F.col("cited"), "note:no_citation"),
+            F.when(F.col("some") & (F.col("context_relevance") < least_context), "note:context"),
+            F.when(F.col("some") & (F.col("faithfulness") < least_faith), "risk:unsupported"),
+            F.when(~F.col("on"), "risk:beside_the_question"),
+        )
+    )
+    judged = scored.withColumn("issues", issues)
+    return judged.select(key, "context_relevance", "faithfulness", "issues", (~F.exists("issues", lambda i: F.startswith(i, F.lit("risk")))).alias("valid"))
+
+
 def answer_quality(question: Column, answer: Column, context: Column) -> dict[str, Column]:
     """Relevance, context relevance and groundedness of an answer, and its status."""
     relevance, grounded = overlap_f1(question, answer), faithfulness(answer, [context])

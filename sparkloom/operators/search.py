@@ -52,6 +52,23 @@ def spelling(vocab: DataFrame, words: DataFrame, word: str, pool: int = 128, lea
     return top_per_group(near, [word], [F.asc("distance"), F.desc("df"), F.asc("term")], 1, "nth").select(word, "term", "distance", "df")
 
 
+def bigram_counts(index: DataFrame, pairs: DataFrame, doc: str) -> DataFrame:
+    """``a, b, n``: in how many documents the words of each pair ``(a, b)`` stand side by side in this order."""
+    places = index.select("term", doc, F.explode("places").alias("place"))
+    first = places.join(pairs.withColumnRenamed("a", "term").distinct(), "term").select(F.col("term").alias("a"), "b", doc, (F.col("place") + 1).alias("place"))
+    met = first.join(places.withColumnRenamed("term", "b"), ["b", doc, "place"]).groupBy("a", "b").agg(F.count_distinct(doc).alias("n"))
+    return pairs.distinct().join(met, ["a", "b"], "left").fillna({"n": 0})
+
+
+def relaxed_union(strict: DataFrame, index: DataFrame, words: list[str], doc: str, explicit: bool, most: int = 16) -> DataFrame:
+    """The strict result; where it is empty and the query has no operators of its own, documents with any of its first words."""
+    if explicit:
+        return strict
+    loose = index.where(F.col("term").isin(list(dict.fromkeys(words))[:most])).select(doc).distinct()
+    none = strict.limit(1).agg((F.count("*") == 0).alias("none"))
+    return strict.union(loose.crossJoin(F.broadcast(none)).where("none").select(doc))
+
+
 def zone_counts(chunks: DataFrame, doc: str, zones: dict[str, Column]) -> DataFrame:
     """``doc, zone, term, tf``."""
     long = None

@@ -46,6 +46,14 @@ def fuse(a: DataFrame, b: DataFrame, qid: str, doc: str, wa: float, wb: float) -
     return both.select(qid, doc, ((wa * F.coalesce("sa", F.lit(0.0)) + wb * F.coalesce("sb", F.lit(0.0))) / (wa + wb)).alias("fused"))
 
 
+def hybrid(keyword: DataFrame, vector: DataFrame | None, qid: str, doc: str, wk: float = 0.5, wv: float = 0.5) -> DataFrame:
+    """H1, H2: both lists fused, or the keyword list alone, normalised, where there is no vector side or it weighs nothing."""
+    if vector is None or wv <= 0:
+        w = Window.partitionBy(qid)
+        return keyword.select(qid, doc, ranked_min_max(F.col("score"), F.col("rank"), w).alias("fused"))
+    return fuse(keyword, vector, qid, doc, wk, wv)
+
+
 def feedback_terms(
     seeds: DataFrame, counts: DataFrame, asked: DataFrame, docs: DataFrame, qid: str, doc: str, seeds_per_query: int, k: int, beta: float = 0.75
 ) -> DataFrame:

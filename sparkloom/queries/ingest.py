@@ -242,3 +242,14 @@ def parse_traces(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", path.alias("path"), "text")
     found = parse_trace(rows.select(F.concat("path", F.lit("")).alias("path"), "text", "doc_id").withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit("/"), "path")), "path", "text")
     return found.select(F.split_part("path", F.lit("/"), F.lit(1)).cast("long").alias("doc_id"), "parser", "chars", "pages", "ok")
+
+
+@query("SELECT doc_id, nth::INT AS nth, CASE nth WHEN 0 THEN 'header' WHEN 1 THEN 'formula' ELSE 'paragraph' END AS type, CASE nth WHEN 0 THEN source WHEN 1 THEN '$$' || lang || '$$' ELSE 'x' END AS content, nth::INT + 1 AS page FROM documents, (SELECT unnest([0, 1, 2]) AS nth)")
+def layout_blocks(t: Tables) -> DataFrame:
+    """Documents as layouts of three blocks, one on each page."""
+    from ..sources.layout import blocks
+
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("content"))
+    pages = F.array(*(F.struct(F.array(b).alias("blocks")) for b in (block("Title", F.col("source")), block("equation", F.col("lang")), block("other", F.lit("x")))))
+    rows = t.documents.select("doc_id", F.to_json(F.struct(pages.alias("pages"))).alias("json"))
+    return blocks(rows, "doc_id", "json").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "nth")).alias("n"), "type", "content", "page").select("doc_id", (F.col("n") - 1).alias("nth"), "type", "content", "page")

@@ -477,3 +477,67 @@ def replace_by_source(t: Tables) -> DataFrame:
 def bulk_payload(t: Tables) -> DataFrame:
     """S18."""
     return S.bulk_payload(t.documents.select("doc_id", "lang"), "doc_id", "chunks")
+
+
+GAPS = """g AS (SELECT user_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS gap FROM events),
+ b AS (SELECT user_id, floor(log2(gap))::INT + 1 AS bits FROM g WHERE gap > 0)"""
+
+
+@query(
+    f"""WITH {GAPS} SELECT user_id, count(*) AS n, sum(ceil(bits / 7))::BIGINT AS byte_size, 4 + ceil(sum(2 * bits - 1) / 8)::BIGINT AS gamma_size, true AS same FROM b GROUP BY user_id"""
+)
+def postings_codecs(t: Tables) -> DataFrame:
+    """Each user's events as postings in both codes: their sizes, and whether decoding gives the postings back."""
+    import pandas as pd
+
+    from ..functions import codecs
+
+    def code(frames):
+        for f in frames:
+            rows = []
+            for user, ids in zip(f["user_id"], f["ids"]):
+                gaps = codecs.to_gaps([int(i) for i in ids])
+                short, gamma = codecs.encode_bytes(gaps), codecs.encode_gamma(gaps)
+                same = codecs.decode_bytes(short) == gaps == codecs.decode_gamma(gamma)
+                rows.append((user, len(gaps), len(short), len(gamma), same))
+            yield pd.DataFrame(rows, columns=["user_id", "n", "byte_size", "gamma_size", "same"])
+
+    ids = t.events.groupBy("user_id").agg(F.array_sort(F.collect_set("event_id")).alias("ids"))
+    kind = t.events.schema["user_id"].dataType.simpleString()
+    return ids.mapInPandas(code, f"user_id {kind}, n long, byte_size long, gamma_size long, same boolean").where("n > 0")
+
+
+@query(
+    """SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL"""
+)
+def event_windows(t: Tables) -> DataFrame:
+    """The batch form of the windowed gauges of a stream."""
+    w = F.window("ts", "10 minutes")
+    return t.events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select("w.start", "event_type", "n", "mean")
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def event_sessions(t: Tables) -> DataFrame:
+    """Sessions that end after half an hour without an event."""
+    found = t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("SELECT event_id, (2 ** (event_id % 3 + 1) * 3 ** (user_id % 4 + 1) * 5 ** (event_id % 2 + 1))::BIGINT::VARCHAR AS code, true AS same FROM events")
+def number_codes(t: Tables) -> DataFrame:
+    """Three steps of a plan as one number, and whether it gives them back."""
+    import pandas as pd
+
+    from ..operators.routing import from_godel, godel
+
+    def code(frames):
+        for f in frames:
+            codes = [godel([a, b, c]) for a, b, c in zip(f["a"].tolist(), f["b"].tolist(), f["c"].tolist())]
+            same = [from_godel(x) == [a, b, c] for x, a, b, c in zip(codes, f["a"], f["b"], f["c"])]
+            yield pd.DataFrame({"event_id": f["event_id"], "code": codes, "same": same})
+
+    rows = t.events.selectExpr("event_id", "event_id % 3 AS a", "user_id % 4 AS b", "event_id % 2 AS c")
+    return rows.mapInPandas(code, "event_id long, code string, same boolean")

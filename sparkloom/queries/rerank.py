@@ -331,3 +331,11 @@ def toxic_threshold(t: Tables) -> DataFrame:
 def login_throttle(t: Tables) -> DataFrame:
     """Errors are failed attempts."""
     return throttle(t.events.withColumn("failed", F.col("event_type") == "error"), "user_id", "ts", "event_id", "failed")
+
+
+@query()
+def gatekeeper(t: Tables) -> DataFrame:
+    """The second of a passage's best documents as the answer, the others as evidence."""
+    rows = _passages(t).groupBy("qid").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct((-F.col("retrieval")).alias("r"), "doc", "text"))).alias("p"))
+    rows = rows.select("qid", "query", F.get("p", F.lit(1))["text"].alias("answer"), F.transform(F.filter("p", lambda x, i: i != 1), lambda x: x["text"]).alias("passages"))
+    return K.gatekeeper(rows, "qid", "query", "answer", "passages")

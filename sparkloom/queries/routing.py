@@ -236,3 +236,25 @@ def domain_filter(t: Tables) -> DataFrame:
     """Of each source its Spanish documents, or all where it has none."""
     rows = O.domain_filter(t.documents, "source", F.array("lang"), F.array(F.lit("es")))
     return rows.select("doc_id", "source")
+
+
+MARKERS = {"plan": ("pasos", "the"), "dosis": ("dosis", "ment"), "riesgo": ("riesgo", "ver")}
+EXPANSION = {"plan": ("bundle", "ruta"), "dosis": ("pauta", "ruta")}
+
+
+@query(
+    f"""SELECT conv_id, turn, list_filter([{', '.join(f"CASE WHEN {_has(w, 'x')} THEN '{n}' END" for n, w in MARKERS.items())}], lambda v: v IS NOT NULL) AS intents,
+    list_filter(e, lambda v, i: list_position(e, v) = i) AS expand FROM (SELECT *, list_concat({', '.join(f"CASE WHEN {_has(MARKERS[n], 'x')} THEN {list(w)} ELSE [] END" for n, w in EXPANSION.items())}) AS e
+    FROM (SELECT conv_id, turn, lower(text) AS x FROM conversations))"""
+)
+def query_intents(t: Tables) -> DataFrame:
+    """What a turn asks for, and the terms that this adds to a search."""
+    rows = t.conversations.select("conv_id", "turn", O.intents(F.col("text"), MARKERS, EXPANSION).alias("i"))
+    return rows.select("conv_id", "turn", "i.intents", "i.expand")
+
+
+@query()
+def query_compaction(t: Tables) -> DataFrame:
+    """Turns in their parts, and complex ones in eight words."""
+    none = F.array().cast("array<string>")
+    return t.conversations.select("conv_id", "turn", O.segments(F.col("text")).alias("parts"), O.compacted(F.col("text"), O.complexity(F.col("text")), none).alias("compact"))

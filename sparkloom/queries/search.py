@@ -349,3 +349,67 @@ def prf_terms(t: Tables) -> DataFrame:
     seeds = _top(_features(t), "bm25", 3).select("qid", "doc_id")
     asked = S.query_terms(t.benchmark.withColumnRenamed("item_id", "qid"), "qid", F.col("text"))
     return feedback_terms(seeds, counts, asked, docs, "qid", "doc_id", seeds_per_query=3, k=6)
+
+
+@query(
+    f"""WITH {RANK}, k AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(bm25, 6) AS score FROM f)),
+    n AS (SELECT qid, doc_id, s AS fused FROM {_rmm('k')}) {_top_sql('fused', 'n')}"""
+)
+def keyword_only(t: Tables) -> DataFrame:
+    """H2: hybrid search without its vector side."""
+    from ..operators.vector import hybrid
+
+    found = top_per_group(_features(t).select("qid", "doc_id", F.round("bm25", 6).alias("score")), ["qid"], [F.desc("score"), F.asc("doc_id")], 20)
+    return _top(hybrid(found, None, "qid", "doc_id"), "fused")
+
+
+PAIRED = "pr AS (SELECT DISTINCT a.term AS a, b.term AS b FROM (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM k) a JOIN (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM k) b ON a.item_id = b.item_id AND b.i = a.i + 1)"
+
+
+@query(
+    f"""WITH {POST}, k AS (SELECT item_id, list_slice({TOK}, 1, 5) AS w FROM benchmark), {PAIRED},
+    m AS (SELECT x.term AS a, y.term AS b, count(DISTINCT x.chunk_id) AS n FROM p x JOIN p y ON x.chunk_id = y.chunk_id AND y.place = x.place + 1 WHERE (x.term, y.term) IN (SELECT (a, b) FROM pr) GROUP BY ALL)
+    SELECT a, b, coalesce(n, 0) AS n FROM pr LEFT JOIN m USING (a, b)"""
+)
+def context_bigrams(t: Tables) -> DataFrame:
+    """How often the first five words of each passage stand side by side in documents."""
+    words = t.benchmark.select(F.slice(X.ir_tokens(F.col("text")), 1, 5).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, greatest(size(w) - 1, 0))").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b"))).alias("p"))
+    return S.bigram_counts(_index(t), pairs.select("p.a", "p.b"), "chunk_id")
+
+
+@query(
+    f"""WITH {POST} SELECT chunk_id FROM p WHERE term IN ('hest', 'blest', 'nowhereword') AND NOT EXISTS (SELECT 1 FROM p WHERE term = 'nowhereword') GROUP BY chunk_id"""
+)
+def relaxed_union(t: Tables) -> DataFrame:
+    """Nothing has all three words, so documents with any of them."""
+    index = checkpoint(_index(t))
+    strict = B.evaluate("hest blest nowhereword", index)
+    return S.relaxed_union(strict, index, ["hest", "blest", "nowhereword"], "chunk_id", explicit=False)
+
+
+@query(f"WITH {POST}, o AS (SELECT chunk_id, bool_or(term IN ('well-known', 'wellknown', 'the-and', 'theand')) AS b FROM p GROUP BY chunk_id), s AS (SELECT DISTINCT x.chunk_id FROM p x JOIN p y ON x.chunk_id = y.chunk_id AND y.place = x.place + 1 WHERE (x.term, y.term) IN (('the', 'and'), ('well', 'known'))) SELECT chunk_id FROM o WHERE b UNION SELECT chunk_id FROM s")
+def term_variants(t: Tables) -> DataFrame:
+    """Hyphenated words as they are, without their hyphen, or as two words."""
+    return B.evaluate("well-known OR the-and", _index(t))
+
+
+@query(
+    """SELECT conv_id, turn, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]{3,}') AS w FROM conversations)"""
+)
+def ordered_distinct(t: Tables) -> DataFrame:
+    """Words once, in the order in which they come."""
+    return t.conversations.select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("words"))
+
+
+@query(
+    """SELECT a.vec_id AS qid, b.vec_id, round(1 / (1 + list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0"""
+)
+def distance_scores(t: Tables) -> DataFrame:
+    """V3, V4: every 50th vector and the next."""
+    from ..operators.vector import distance_score
+
+    a = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
+    both = a.join(t.embeddings.select("vec_id", "embedding"), F.col("vec_id") == F.col("qid") + 1)
+    gap = F.aggregate(F.zip_with("e", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return both.select("qid", "vec_id", F.round(distance_score(F.sqrt(gap)), 6).alias("score"))
