@@ -199,23 +199,23 @@ def static_quality(title: Column, source: Column, section: Column, specialty: Co
     return F.least(F.lit(1.0), sum((F.when(p, v).otherwise(0.0) for p, v in parts), F.lit(0.0)))
 
 
-def proximity(scored: DataFrame, texts: DataFrame, qid: str, doc: str, tokens: Column) -> DataFrame:
+def proximity(scored: DataFrame, texts: DataFrame, qid: str, doc: str, tokens: Column, most: int = 24) -> DataFrame:
     """``scored (qid, doc, active, present)`` with ``span`` and ``proximity``: terms by span, at most 1.
 
     The span is the length of the shortest run of the document's tokens that holds all active terms, of which there must be two; it is
-    sought only in documents that hold them all. A shortest run ends at a place of a term and begins at the earliest of all
+    sought only in documents that hold them all. A query has ``most`` terms at most. A shortest run ends at a place of a term and begins at the earliest of all
     terms' last places up to there.
     """
     whole = scored.where((F.size("active") >= 2) & (F.col("present") == F.size("active"))).select(qid, doc, "active")
     body = texts.join(small(checkpoint(whole.select(doc).distinct())), doc, "left_semi").select(doc, F.posexplode(tokens).alias("place", "term"))
-    at = whole.withColumn("term", F.explode("active")).join(body, [doc, "term"]).select(qid, doc, "term", "place", F.size("active").alias("n"))
-    # a run that ends at one of these places holds all terms if each has a place up to there; the gap to its term's next place bounds it
-    following = F.lead("place").over(Window.partitionBy(qid, doc, "term").orderBy("place"))
-    ranges = at.withColumn("until", F.coalesce(following, F.lit(2**31 - 1)) - 1)
-    ends = at.select(qid, doc, F.col("place").alias("end"))
-    met = ends.join(ranges, [qid, doc]).where((F.col("place") <= F.col("end")) & (F.col("end") <= F.col("until")))
-    runs = met.groupBy(qid, doc, "end").agg(F.min("place").alias("begin"), F.count("*").alias("terms"), F.first("n").alias("n")).where("terms = n")
-    best = runs.groupBy(qid, doc).agg(F.min(F.col("end") - F.col("begin") + 1).alias("span"))
+    own = whole.select(qid, doc, F.posexplode("active").alias("k", "term"), F.size("active").alias("n"))
+    at = own.join(body, [doc, "term"]).select(qid, doc, "k", "place", "n")
+    # going through the places in order, the last one of each of the query's terms
+    before = Window.partitionBy(qid, doc).orderBy("place")
+    newest = F.array(*(F.last(F.when(F.col("k") == i, F.col("place")), ignorenulls=True).over(before) for i in range(most)))
+    ends = at.withColumn("newest", newest).withColumn("newest", F.slice("newest", 1, F.col("n")))
+    ends = ends.where(~F.exists("newest", lambda x: x.isNull()))
+    best = ends.groupBy(qid, doc).agg(F.min(F.col("place") - F.array_min("newest") + 1).alias("span"))
     joined = scored.join(best, [qid, doc], "left")
     return joined.withColumn("proximity", F.when(F.col("span").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.size("active") / F.col("span"))))
 
