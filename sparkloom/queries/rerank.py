@@ -339,3 +339,71 @@ def gatekeeper(t: Tables) -> DataFrame:
     rows = _passages(t).groupBy("qid").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct((-F.col("retrieval")).alias("r"), "doc", "text"))).alias("p"))
     rows = rows.select("qid", "query", F.get("p", F.lit(1))["text"].alias("answer"), F.transform(F.filter("p", lambda x, i: i != 1), lambda x: x["text"]).alias("passages"))
     return K.gatekeeper(rows, "qid", "query", "answer", "passages")
+
+
+def _flag(n: int, name: str) -> str:
+    """A finding that events have every n-th time, and don't know every seventh."""
+    return f"CASE WHEN event_id % 7 > 0 THEN (event_id + user_id) % {n} = 0 END AS {name}"
+
+
+def _choice(values: tuple[str, ...], name: str, step: int = 1) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE (event_id + {step} * user_id) % {len(values)} {cases} END AS {name}"
+
+
+def _flags(*names: str) -> list[str]:
+    return [_flag(2 + i % 5, n) for i, n in enumerate(names)]
+
+
+SITES = ("torax", "espalda", "cara", "tronco", "mejillas", "extremidades_superiores", "nariz")
+ENGINES = {
+    "rules_sepsis": (U.SEPSIS_BUNDLE, [*SEPSIS_COLUMNS, *_flags("vasopressor", "cultures", "antibiotics"), "CASE WHEN event_id % 3 > 0 THEN event_id % 50 END AS fluids"]),
+    "rules_scasest": (
+        U.SCASEST,
+        ["event_id", *_flags("chest_pain", "dyspnea", "syncope", "st_depression", "t_inversion", "troponin", "unstable", "arrhythmia", "refractory", "no_antiplatelet", "no_anticoagulation"),
+         "CASE WHEN event_id % 3 > 0 THEN 100 + event_id % 90 END AS grace", "CASE WHEN event_id % 5 > 0 THEN 40 + event_id % 60 END AS heart_rate", "80 + event_id % 20 AS oxygen"],
+    ),
+    "rules_respiratory": (
+        U.RESPIRATORY,
+        ["event_id", "20 + event_id % 70 AS age", *_flags("immunosuppressed", "vaccinated", "needs_oxygen", "no_oral"), "event_id % 3 AS comorbidities", "CASE WHEN event_id % 5 > 0 THEN 120 + event_id % 50 END AS baseline_bp",
+         "90 + event_id % 60 AS current_bp", "CASE WHEN event_id % 4 > 0 THEN event_id % 200 END AS onset_hours", _choice(("negativo", "positivo", "no_realizado"), "antigen"), _choice(("covid", "gripe", "vrs", "otro"), "pathogen", 3)],
+    ),
+    "rules_pityriasis": (
+        U.PITYRIASIS,
+        ["event_id", "event_id % 80 AS age", "event_id % 10 AS itch", *_flags("fine_scaling", "scratch_sign", "recurrent", "herald_patch", "tree_pattern", "prodrome", "atopic", "sensory_loss", "warm_pain", "systemic"),
+         _choice(SITES, "site"), _choice(("amarillo_naranja", "negativo", "no_realizado"), "wood", 2), _choice(("positivo_spaghetti_albondigas", "negativo"), "koh", 5), _choice(("hipocromica", "hipercromica", "normal"), "colour", 7)],
+    ),
+    "rules_acne": (
+        U.ACNE_ROSACEA,
+        ["event_id", *_flags("comedones", "hyperandrogenism", "flushing", "telangiectasias", "triggers", "photosensitive", "ocular", "phymatous", "severe_nodules", "systemic", "raised_markers"),
+         _choice(SITES, "site"), _choice(("polimorfo", "papulo_pustuloso", "nodulo_quistico"), "pattern", 2), _choice(("femenino", "masculino"), "sex", 3)],
+    ),
+    "rules_cardio": (
+        U.CARDIO_RISK,
+        ["event_id", "30 + event_id % 60 AS age", "110 + event_id % 70 AS systolic_bp", "120 + event_id % 140 AS non_hdl", "CASE WHEN event_id % 3 > 0 THEN 70 + event_id % 80 END AS apob",
+         *_flags("smoker", "diabetes", "kidney_disease", "family_history", "inflammatory", "established")],
+    ),
+}
+
+
+def _engine_query(name: str):
+    engine, columns = ENGINES[name]
+
+    def run(t: Tables) -> DataFrame:
+        return engine.apply(t.events.selectExpr(*columns)).select("event_id", *engine.scores, *engine.flags, *engine.lists, "severity")
+
+    run.__name__, run.__module__ = name, __name__
+    run.__doc__ = "App. A: one of the rule engines over findings made of events, a part of them unknown."
+    return query(U.sql(engine, f"(SELECT {', '.join(columns)} FROM events)", "event_id"))(run)
+
+
+for _name in ENGINES:
+    _engine_query(_name)
+
+
+@query()
+def cardio_plan(t: Tables) -> DataFrame:
+    """App. A: targets and treatment by the level of cardiovascular risk."""
+    engine, columns = ENGINES["rules_cardio"]
+    plan = U.cardio_plan(engine.apply(t.events.selectExpr(*columns)))
+    return plan.select("event_id", "severity", "risk_percent", "ldl_target", "non_hdl_target", "intensive_lifestyle", "drug_suggested")

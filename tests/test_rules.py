@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.operators import assistant, evidence, graph, ingest, learn, rerank, routing, search, vector
+from sparkloom.operators import assistant, evidence, graph, ingest, learn, rerank, routing, rules, search, vector
 from sparkloom.plans import boolean
 
 
@@ -341,3 +341,41 @@ def test_shortcut_specialties_questions(spark):
     rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [5.0, 5.0])], "g string, v array<double>")
     assert {r.g: r.v for r in vector.mean_pool(rows, ["g"], "v").collect()} == {"a": [2.0, 4.0], "b": [5.0, 5.0]}
     assert np.isclose(sum(learn.class_priors(rows.select("g").distinct(), "g").toPandas()["prior"]), 1)
+
+
+def judged(spark, engine, **values):
+    """The one row of an engine over these findings; what is not named is unknown."""
+    text = " ".join([p for parts in (*engine.scores.values(), *engine.lists.values()) for p, _ in parts] + [*engine.flags.values()] + [p for _, p in engine.levels])
+    import re
+
+    words = set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", text))) - {"coalesce", "false", "greatest", "least", "abs", *engine.scores, *engine.flags}
+    kind = lambda n: "string" if n in ("site", "wood", "koh", "colour", "pattern", "sex", "antigen", "pathogen") else None
+    numbers = {"respiratory_rate", "systolic_bp", "lactate", "map", "fluids", "minutes", "grace", "heart_rate", "oxygen", "age", "itch", "comorbidities", "baseline_bp", "current_bp", "onset_hours", "non_hdl", "apob"}
+    row = {n: values.get(n) for n in words | values.keys()}
+    schema = ", ".join(f"{n} {kind(n) or ('double' if n in numbers else 'boolean')}" for n in row)
+    frame = spark.createDataFrame([tuple(float(v) if n in numbers and v is not None else v for n, v in row.items())], schema)
+    return engine.apply(frame).first()
+
+
+def test_engines_by_hand(spark):
+    r = judged(spark, rules.SEPSIS_BUNDLE, respiratory_rate=24, systolic_bp=90, infection=True, antibiotics=True, lactate=4.5, fluids=30, minutes=61)
+    assert (r.qsofa, r.high_risk, r.shock, r.severity) == (2, True, True, "critical")
+    assert r.bundle == ["Extraer hemocultivos antes de antibiotico si no retrasa inicio."] and len(r.escalation) == 4 and len(r.alerts) == 4
+    r = judged(spark, rules.SEPSIS_BUNDLE)
+    assert (r.qsofa, r.severity, r.alerts) == (0, "low", ["Sin infeccion sospechada: validar pertinencia del protocolo."])
+    r = judged(spark, rules.SCASEST, dyspnea=True, troponin=True, grace=141, no_antiplatelet=True, heart_rate=60, oxygen=89)
+    assert (r.suspected, r.high_risk, r.severity) == (True, True, "high") and len(r.treatment) == 2 and len(r.escalation) == 2 and len(r.alerts) == 2
+    r = judged(spark, rules.SCASEST, grace=150)
+    assert (r.suspected, r.high_risk, r.escalation) == (False, False, ["Estratificar destino segun GRACE y evolucion clinica."])
+    r = judged(spark, rules.RESPIRATORY, age=70, pathogen="covid", onset_hours=121, antigen="negativo", baseline_bp=140, current_bp=110)
+    assert r.vulnerable and r.relative_shock and r.antiviral == ["Valorar Remdesivir IV 3 dias (<7 dias de inicio)."] and len(r.isolation) == 2
+    r = judged(spark, rules.PITYRIASIS, age=20, site="tronco", scratch_sign=True, koh="positivo_spaghetti_albondigas", warm_pain=True)
+    assert (r.versicolor, r.rosada, r.alba, r.severity) == (10, 0, 0, "versicolor") and len(r.red_flags) == 1
+    assert judged(spark, rules.PITYRIASIS, age=12, herald_patch=True).severity == "indeterminado"  # 4 against 3
+    r = judged(spark, rules.ACNE_ROSACEA, comedones=True, site="espalda", flushing=True)
+    assert (r.acne, r.rosacea, r.severity) == (5, 2, "acne") and judged(spark, rules.ACNE_ROSACEA).severity == "rosacea"
+    r = judged(spark, rules.CARDIO_RISK, age=66, smoker=True, systolic_bp=150, non_hdl=165)
+    assert (r.score, r.severity) == (7, "high") and judged(spark, rules.CARDIO_RISK, established=True).severity == "very_high"
+    frame = spark.createDataFrame([("moderate", 131.0, None, True, None), ("low", 100.0, None, None, None)], "severity string, non_hdl double, established boolean, diabetes boolean, smoker boolean")
+    got = rules.cardio_plan(frame).collect()
+    assert (got[0].ldl_target, got[0].drug_suggested, got[0].intensive_lifestyle) == (100, True, True) and (got[1].risk_percent, got[1].drug_suggested) == (4.0, False)
