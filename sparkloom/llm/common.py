@@ -95,8 +95,10 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, one below the warehouse."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local session, as in tests, takes one below its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
 
 
