@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One query of each kind; the driver compares all.
-SOME = "keyword_search boolean_expr phrase_match wildcard_kgram audit_summary scorecard_rollup episode_kpi alert_rules memory_topn context_pack quality_gate question_generation minhash_signature eval_ranking cluster_quality nb_multinomial rocchio bayes_posterior history_select extractive_compress rules_qsofa gap_encoding vector_topk".split()
+SOME = "keyword_search boolean_expr phrase_match wildcard_kgram audit_summary scorecard_rollup episode_kpi alert_rules memory_topn context_pack quality_gate question_generation minhash_signature eval_ranking cluster_quality nb_multinomial rocchio bayes_posterior history_select actionability near_page_pairs rules_sepsis rules_qsofa gap_encoding vector_topk".split()
 
 
 @pytest.fixture(scope="module")
