@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, gif, html_text, merkle, mixing, pii, sentencepiece, sharding, simhash, toxicity
+from . import bpe_count, gif, html_text, merkle, mixing, pii, secret_scan, sentencepiece, sharding, simhash, toxicity
 from .common import table, unsigned_hex
 
 
@@ -77,6 +77,18 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edits(table(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    found = secret_scan.find(table(spark, sf_dir, "documents"))
+    base = secret_scan.of_kinds(F.col("found"), [r.kind for r in secret_scan.BASE])
+    return found.select(
+        "doc_id",
+        *(F.size(secret_scan.of_kinds(F.col("found"), [r.kind])).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece,
@@ -89,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tokens,
         op9_pii,
         op10_merkle,
+        op13_secrets,
     )
 }
 
