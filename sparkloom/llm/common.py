@@ -116,11 +116,22 @@ def give_back(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def rewritten(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read again, and the folder, which ``remove`` deletes."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again."""
+    return stored(df)[0]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

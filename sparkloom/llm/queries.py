@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, gif, html_text, merkle, mixing, pii, secret_scan, sentencepiece, sharding, simhash, toxicity
-from .common import table, unsigned_hex
+from . import bpe_count, gif, html_text, lexical_search, merkle, mixing, pii, secret_scan, sentencepiece, sharding, simhash, toxicity
+from .common import checkpoint, table, unsigned_hex
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,6 +77,14 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edits(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best of all documents for every benchmark passage."""
+    index = lexical_search.build(table(spark, sf_dir, "documents"))
+    found = checkpoint(lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=50))
+    index.drop()
+    return found
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""
     found = secret_scan.find(table(spark, sf_dir, "documents"))
@@ -101,8 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tokens,
         op9_pii,
         op10_merkle,
+        op11_lexical,
         op13_secrets,
     )
 }
 
-SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql(temperature=0.5, seed=42)}
+SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql(temperature=0.5, seed=42), "op11_lexical": lexical_search.search_sql(k=50)}
