@@ -110,6 +110,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``rows`` rows at most; it is counted, so it should be cut before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def give_back(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle and checkpoint files of frames that are gone, which it does once both garbage collectors ran."""
     gc.collect()

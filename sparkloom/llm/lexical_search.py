@@ -1,17 +1,18 @@
 """Ranked lexical search with block-max pruning over a forward index in blocks of consecutive documents.
 
-The index is a table with one row for a block: its documents, each one's terms and how often it holds them, and for
-each term of the block the largest part that it can add to a score there. A query sorts blocks by the sum of its terms'
-largest parts, its bound, and scores documents block by block until the bound falls below the score of the k-th best.
-A first round over each query's few best blocks of the whole table gives the score to begin with, so that tasks that
-hold none of the best documents open next to nothing. All scores are whole numbers, and the result is exact.
+The index is two tables: the forward index has a row for each document with its terms and how often it holds them, the
+other for each block of documents the largest part that each of its terms can add to a score there. The sum of a query's
+terms' largest parts is its bound in a block. Each query sorts the blocks by it and scores the documents of the first
+few; then it goes on through the blocks until the bound falls below the score of the k-th best so far. The documents of
+blocks that no query opens are never read into Python. All scores are whole numbers, and the result is exact.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -23,13 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, checkpoint, release, remove, slices, stored
+from .common import arrow_schema, checkpoint, release, remove, slices, small, stored
 
 #: Bytes of text in a block; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Blocks of each query that are scored first, and queries that are answered together.
 SEED_BLOCKS = 4
-TOGETHER = 10_000
+TOGETHER = 1_000
+#: Terms of a block that make a row of the table of maxima, so that its rows are small.
+TERMS_A_ROW = 256
+#: Rows of forward index up to which what to open is sent to all tasks; beyond, it is joined by a shuffle.
+SENT_BLOCKS = 20_000
 #: Bytes to terms: letters A to Z become small, all signs of ASCII but letters and digits become spaces.
 SIGNS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
@@ -53,55 +58,42 @@ def parts(tf: np.ndarray, lengths: np.ndarray, documents: int, terms: int) -> np
 
 @dataclass(frozen=True)
 class Index:
-    """Blocks as a table (columns of ``block_schema``) in a folder, with the totals that scores need."""
+    """The forward index and the blocks' maxima as tables in folders, with the totals that scores need.
 
-    blocks: DataFrame
-    path: str
+    ``forward``: ``block, doc_id, n`` (terms with repeats), ``terms`` and ``tf``. ``maxima``: ``block``, some of its
+    ``terms``, how many of its documents hold each (``held``) and the largest part of each (``most``).
+    """
+
+    forward: DataFrame
+    maxima: DataFrame
+    paths: tuple[str, str]
     documents: int
     terms: int
 
     def drop(self) -> None:
         """Deletes the index."""
-        remove(self.blocks.sparkSession, self.path)
+        for path in self.paths:
+            remove(self.forward.sparkSession, path)
 
 
-def block_schema(id_type: T.DataType) -> T.StructType:
-    """``block``, its documents with their terms' number, places of the entries of each, entries, and the block's terms.
-
-    ``term`` points into ``terms``; ``held`` counts the documents that hold a term, ``most`` is its largest part.
-    """
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    return T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("doc_ids", T.ArrayType(id_type)),
-            T.StructField("lengths", longs),
-            T.StructField("begin", longs),
-            T.StructField("term", ints),
-            T.StructField("tf", longs),
-            T.StructField("terms", T.ArrayType(T.BinaryType())),
-            T.StructField("held", ints),
-            T.StructField("most", longs),
-        ]
-    )
+MAXIMA = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("terms", T.ArrayType(T.BinaryType())),
+        T.StructField("held", T.ArrayType(T.IntegerType())),
+        T.StructField("most", T.ArrayType(T.IntegerType())),
+    ]
+)
 
 
-def forward(texts: pa.Array) -> dict[str, np.ndarray | list[bytes]]:
-    """Entries of a block's documents, ordered by document and term."""
-    found = [terms_of(t) if t else [] for t in texts.cast(pa.binary()).to_pylist()]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    terms = sorted(set().union(*found))
-    number = {t: i for i, t in enumerate(terms)}
-    of = np.fromiter((number[t] for one in found for t in one), np.int64, int(lengths.sum()))
-    entry, tf = np.unique(np.repeat(np.arange(len(found)), lengths) * max(1, len(terms)) + of, return_counts=True)
-    doc, term = np.divmod(entry, max(1, len(terms)))
-    return {"lengths": lengths, "begin": np.searchsorted(doc, np.arange(len(found) + 1)), "term": term, "tf": tf, "terms": terms}
+def listed(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """Consecutive values as lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
 
 
-def lists(array: pa.Array) -> list[np.ndarray]:
-    """The lists of numbers of a column, as numpy arrays."""
-    values, at = array.values.to_numpy(zero_copy_only=False), array.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(at, at[1:])]
+def inside(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists, and how many each row has."""
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Index:
@@ -111,56 +103,78 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     without terms are kept and never found; repeated rows are documents of their own; an empty table gives an empty
     index; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = block_schema(rows.schema["id"].dataType)
-    plain = T.StructType(whole.fields[:7])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType(
+        [
+            T.StructField("block", T.LongType()),
+            rows.schema[0],
+            T.StructField("n", T.LongType()),
+            T.StructField("terms", T.ArrayType(T.BinaryType())),
+            T.StructField("tf", T.ArrayType(T.IntegerType())),
+        ]
+    )
+    arrow = arrow_schema(schema)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, 1, block_bytes):
-                yield record(forward(part.column(1)) | {"block": number, "doc_ids": part.column(0)}, plain)
+                found = [Counter(terms_of(t)) if t else Counter() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                made = [
+                    pa.array(np.full(len(found), number)),
+                    part.column(0),
+                    pa.array([sum(c.values()) for c in found], pa.int64()),
+                    listed(pa.array([t for c in found for t in c], pa.binary()), sizes),
+                    listed(pa.array([n for c in found for n in c.values()], pa.int32()), sizes),
+                ]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(made, arrow)], schema=arrow)
                 number += 1
             release()
 
-    once, first_path = stored(rows.mapInArrow(cut, plain))
-    total = once.select(
-        F.sum(F.size(F.filter("lengths", lambda n: n > 0))).alias("documents"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)).alias("terms")
-    ).first()
-    documents, terms = total["documents"] or 0, total["terms"] or 0
-
-    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                lengths, begin, term, tf = (lists(row.column(name))[0] for name in ("lengths", "begin", "term", "tf"))
-                n = len(row.column("terms").flatten())
-                most = np.zeros(n, np.int64)
-                np.maximum.at(most, term, parts(tf, np.repeat(lengths, np.diff(begin)), documents, terms))
-                held = np.bincount(term, minlength=n).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*row.columns, pa.array([held], pa.list_(pa.int32())), pa.array([most], pa.list_(pa.int64()))], names=whole.fieldNames()
-                )
-            release()
-
-    blocks, path = stored(once.mapInArrow(measured, whole))
-    remove(spark, first_path)
-    return Index(blocks, path, documents, terms)
-
-
-def record(made: dict, schema: T.StructType) -> pa.RecordBatch:
-    """One row of arrays as Arrow takes it."""
-    arrow = arrow_schema(schema)
-    arrays = []
-    for field in arrow:
-        value = made[field.name]
-        if pa.types.is_list(field.type):
-            inner = value.cast(field.type.value_type) if isinstance(value, pa.Array) else pa.array(value, field.type.value_type)
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner).cast(field.type))
-        else:
-            arrays.append(pa.array([value], field.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+    forward, path = stored(rows.mapInArrow(cut, schema))
+    total = forward.agg(F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    documents, terms = total["documents"], total["terms"]
+    maxima, path_of_maxima = stored(forward.select("block", "n", "terms", "tf").mapInArrow(lambda batches: largest(batches, documents, terms), MAXIMA))
+    return Index(forward, maxima, (path, path_of_maxima), documents, terms)
+
+
+def largest(batches: Iterable[pa.RecordBatch], documents: int, terms: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``MAXIMA`` for forward rows whose blocks follow each other; a block cut by a task's end has rows from both."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        block = table.column("block").to_numpy()
+        ends = np.r_[np.flatnonzero(np.diff(block)) + 1, len(block)] if len(block) else np.zeros(0, np.int64)
+        begin = 0
+        for end in ends[:-1].tolist():
+            yield maxima_of(table.slice(begin, end - begin), documents, terms)
+            begin = end
+        rest = table.slice(begin).combine_chunks()
+        del table
+        release()
+    if rest is not None and rest.num_rows:
+        yield maxima_of(rest, documents, terms)
+
+
+def maxima_of(rows: pa.Table, documents: int, terms: int) -> pa.RecordBatch:
+    rows = rows.combine_chunks().to_batches()[0]
+    values, sizes = inside(rows.column("terms"))
+    tf = rows.column("tf").flatten().to_numpy().astype(np.int64)
+    coded = values.dictionary_encode()
+    at, n = coded.indices.to_numpy(), len(coded.dictionary)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, at, parts(tf, np.repeat(rows.column("n").to_numpy(), sizes), documents, terms))
+    held = np.bincount(at, minlength=n)
+    row = np.full(-(-n // TERMS_A_ROW), TERMS_A_ROW)
+    row[-1:] = n - TERMS_A_ROW * (len(row) - 1)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(row), rows.column("block")[0].as_py())),
+            *(listed(a, row) for a in (coded.dictionary, pa.array(held, pa.int32()), pa.array(most, pa.int32()))),
+        ],
+        names=MAXIMA.fieldNames(),
+    )
 
 
 class Queries:
@@ -178,62 +192,49 @@ class Queries:
         self.weights = np.zeros(len(self.terms), np.int64)
 
     def within(self, terms: pa.Array) -> np.ndarray:
-        """The place among the queries' terms of each term of a block, -1 where no query asks for it."""
+        """The place among the queries' terms of each of these terms, -1 where no query asks for it."""
         return pc.fill_null(pc.index_in(terms, value_set=pa.array(self.terms, terms.type)), -1).to_numpy(zero_copy_only=False)
 
     def bounds(self, within: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """What a document of a block can score at most, for each query."""
-        largest = np.zeros(len(self.terms), np.int64)
+        """What a document can score at most by these terms, for each query."""
+        part = np.zeros(len(self.terms), np.int64)
         asked = within >= 0
-        largest[within[asked]] = most[asked]
-        return np.add.reduceat((largest * self.weights)[self.flat], self.begin)
-
-
-class Block:
-    """The entries of a block that some query asks for, weighted, by document."""
-
-    def __init__(self, row: pa.RecordBatch, within: np.ndarray, queries: Queries, documents: int, terms: int) -> None:
-        self.ids = row.column("doc_ids").flatten()
-        lengths, begin, term, tf = (lists(row.column(name))[0] for name in ("lengths", "begin", "term", "tf"))
-        asked = within[term]
-        kept = np.flatnonzero(asked >= 0)
-        owner = np.repeat(np.arange(len(lengths)), np.diff(begin))[kept]
-        self.term = asked[kept]
-        self.value = parts(tf[kept], lengths[owner], documents, terms) * queries.weights[self.term]
-        self.begin = np.searchsorted(owner, np.arange(len(lengths) + 1))
-
-    def scores(self, terms: np.ndarray, size: int) -> np.ndarray:
-        """Of all documents of the block for the query that has these terms."""
-        own = np.zeros(size, bool)
-        own[terms] = True
-        total = np.r_[0, np.cumsum(np.where(own[self.term], self.value, 0))]
-        return total[self.begin[1:]] - total[self.begin[:-1]]
-
-
-def opened(batch: pa.RecordBatch, queries: Queries, floors: list[int], k: int, index: tuple[int, int], count: Callable[[int], None] | None = None) -> Iterator[list[tuple]]:
-    """For each query its best documents of a batch of blocks, as ``(-score, no id, id)``, none worse than the query's floor."""
-    within = [queries.within(batch.column("terms").slice(i, 1).flatten()) for i in range(batch.num_rows)]
-    bounds = np.array([queries.bounds(w, m) for w, m in zip(within, lists(batch.column("most")))])
-    blocks: dict[int, Block] = {}
-    for q, terms in enumerate(queries.of):
-        best: list[tuple] = []
-        floor = max(1, floors[q])
-        for i in np.argsort(-bounds[:, q], kind="stable").tolist():
-            if bounds[i, q] < floor:
-                break
-            if i not in blocks:
-                blocks[i] = Block(batch.slice(i, 1), within[i], queries, *index)
-            if count:
-                count(1)
-            scores = blocks[i].scores(terms, len(queries.terms))
-            at = np.flatnonzero(scores >= floor)
-            ids = blocks[i].ids.take(pa.array(at)).to_pylist()
-            best += [(-s, x is None, x) for s, x in zip(scores[at].tolist(), ids)]
-            if len(best) > k:
-                best = heapq.nsmallest(k, best, key=lambda b: b if not b[1] else b[:2])
-            if len(best) == k:
-                floor = max(floor, -max(b[0] for b in best))
-        yield best
+        np.add.at(part, within[asked], most[asked])  # rows from both sides of a cut add up to a larger bound
+        return np.add.reduceat((part * self.weights)[self.flat], self.begin)
+
+
+def best_of(rows: pa.RecordBatch, queries: Queries, floors: list[int], k: int, index: tuple[int, int]) -> Iterator[tuple[int, list[tuple]]]:
+    """For each query that opens some of these forward rows (column ``asked``) its best, as ``(-score, no id, id)``, none below its floor."""
+    values, sizes = inside(rows.column("terms"))
+    within = queries.within(values)
+    kept = np.flatnonzero(within >= 0)
+    row = np.repeat(np.arange(rows.num_rows), sizes)[kept]
+    term = within[kept]
+    tf = rows.column("tf").flatten().to_numpy()[kept].astype(np.int64)
+    value = parts(tf, rows.column("n").to_numpy()[row], *index) * queries.weights[term]
+    begin = np.searchsorted(row, np.arange(rows.num_rows + 1))
+    asked, times = inside(rows.column("asked"))
+    asked, opens = asked.to_numpy(zero_copy_only=False), np.repeat(np.arange(rows.num_rows), times)
+    order = np.argsort(asked, kind="stable")
+    asked, opens = asked[order], opens[order]
+    ids = rows.column("doc_id")
+    own = np.zeros(len(queries.terms), bool)
+    for q, places in zip(*grouped(asked, opens)):
+        own[:] = False
+        own[queries.of[q]] = True
+        total = np.r_[0, np.cumsum(np.where(own[term], value, 0))]
+        scores = total[begin[places + 1]] - total[begin[places]]
+        places = places[scores >= max(1, floors[q])]
+        scores = total[begin[places + 1]] - total[begin[places]]
+        best = [(-s, x is None, x) for s, x in zip(scores.tolist(), ids.take(pa.array(places)).to_pylist())]
+        if best:
+            yield q, heapq.nsmallest(k, best, key=lambda b: b if not b[1] else b[:2])
+
+
+def grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Sorted keys once each, and the values of each."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    return (keys[np.r_[0, cuts]].tolist(), np.split(values, cuts)) if len(keys) else ([], [])
 
 
 def search(index: Index, queries: DataFrame, k: int = 50, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -244,13 +245,13 @@ def search(index: Index, queries: DataFrame, k: int = 50, id_col: str = "item_id
     or empty, has no result; a repeated row has its results again; documents with a null id rank after their equals.
     An empty index or query set gives an empty table; other columns are ignored, whatever their names.
     """
-    spark = index.blocks.sparkSession
+    spark = index.forward.sparkSession
     rows = queries.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType(
         [
             T.StructField(id_col, rows.schema["id"].dataType),
             T.StructField("rank", T.IntegerType()),
-            T.StructField("doc_id", index.blocks.schema["doc_ids"].dataType.elementType),
+            T.StructField("doc_id", index.forward.schema["doc_id"].dataType),
             T.StructField("score", T.LongType()),
         ]
     )
@@ -259,75 +260,88 @@ def search(index: Index, queries: DataFrame, k: int = 50, id_col: str = "item_id
     while group := list(islice(asked, TOGETHER)):
         own = Queries([r["id"] for r in group], [r["text"] for r in group])
         if own.names and index.terms:
-            found = found.unionByName(checkpoint(_group(index, own, k, schema)))
+            weigh(index, own)
+            names = spark.createDataFrame(list(enumerate(own.names)), T.StructType([T.StructField("query", T.LongType()), schema[0]]))
+            best = ranked(index, own, k).join(F.broadcast(names), "query").select(*schema.fieldNames())
+            found = found.unionByName(checkpoint(best))
     return found
 
 
-def _group(index: Index, queries: Queries, k: int, schema: T.StructType) -> DataFrame:
-    spark = index.blocks.sparkSession
-    size = index.documents, index.terms
+def weigh(index: Index, queries: Queries) -> None:
+    """Gives the queries' terms their weights, by how many documents of the whole index hold them."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(queries.terms), np.int64)
         for batch in batches:
             at = queries.within(batch.column(0).flatten())
-            held = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            df += np.bincount(at[at >= 0], held[at >= 0], len(df)).astype(np.int64)
+            np.add.at(df, at[at >= 0], batch.column(1).flatten().to_numpy()[at >= 0])
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
-    df = index.blocks.select("terms", "held").mapInArrow(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = index.maxima.select("terms", "held").mapInArrow(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     for r in df.collect():  # a row for each term of the queries
         queries.weights[r["term"]] = weight(index.documents, r["df"])
-    shared = spark.sparkContext.broadcast(queries)
+
+
+def block_bounds(index: Index, queries: Queries) -> DataFrame:
+    """``block, query, bound``: what a document of a block can score at most, where that is above 0."""
+    shared = index.forward.sparkSession.sparkContext.broadcast(queries)
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        best: list[list[tuple[int, int]]] = [[] for _ in own.of]
         for batch in batches:
-            for i, most in enumerate(lists(batch.column("most"))):
-                bounds = own.bounds(own.within(batch.column("terms").slice(i, 1).flatten()), most)
-                block = batch.column("block")[i].as_py()
-                for q in np.flatnonzero(bounds).tolist():
-                    heapq.heappush(best[q], (int(bounds[q]), block))
-                    if len(best[q]) > SEED_BLOCKS:
-                        heapq.heappop(best[q])
-        flat = [(q, block, bound) for q, one in enumerate(best) for bound, block in one]
-        yield pa.RecordBatch.from_pylist([dict(zip(("query", "block", "bound"), x)) for x in flat], schema=pa.schema([("query", pa.int64()), ("block", pa.int64()), ("bound", pa.int64())]))
-
-    bounds = index.blocks.select("block", "terms", "most").mapInArrow(bounded, "query long, block long, bound long")
-    first = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= SEED_BLOCKS)
-    id_type = index.blocks.schema["doc_ids"].dataType.elementType
-
-    def scored(blocks: DataFrame, floors: list[int]) -> DataFrame:
+            values, sizes = inside(batch.column("terms"))
+            within, most = own.within(values), batch.column("most").flatten().to_numpy()
+            of = np.repeat(batch.column("block").to_numpy(), sizes)
+            order = np.argsort(of, kind="stable")
+            for block, places in zip(*grouped(of[order], order)):
+                bounds = own.bounds(within[places], most[places])
+                some = np.flatnonzero(bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some), pa.array(bounds[some])], names=["block", "query", "bound"])
+
+    # a block's terms are in one row each, so that the bounds of its rows add up
+    partial = index.maxima.select("block", "terms", "most").mapInArrow(bounded, "block long, query long, bound long")
+    return partial.groupBy("block", "query").agg(F.sum("bound").alias("bound"))
+
+
+def ranked(index: Index, queries: Queries, k: int) -> DataFrame:
+    """``query, doc_id, score, rank``: first the few blocks of the largest bounds, then all others whose bound is not below the k-th score."""
+    spark = index.forward.sparkSession
+    size = index.documents, index.terms
+    shared = spark.sparkContext.broadcast(queries)
+    id_field = index.forward.schema["doc_id"]
+    out = T.StructType([T.StructField("query", T.LongType()), id_field, T.StructField("score", T.LongType())])
+    arrow = arrow_schema(out)
+    bounds = checkpoint(block_bounds(index, queries))
+    order = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SEED_BLOCKS).drop("n")
+
+    def scored(opened: DataFrame, floors: list[int]) -> DataFrame:
         kept = spark.sparkContext.broadcast(floors)
-        out = T.StructType([T.StructField("query", T.LongType()), T.StructField("doc_id", id_type), T.StructField("score", T.LongType())])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, floor = shared.value, list(kept.value)
             for batch in batches:
                 rows = []
-                for q, best in enumerate(opened(batch, own, floor, k, size)):
+                for q, best in best_of(batch, own, floor, k, size):
                     rows += [(q, x, -s) for s, _, x in best]
                     if len(best) == k:
-                        floor[q] = max(floor[q], -max(b[0] for b in best))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, arrow_schema(out))], schema=arrow_schema(out)
-                )
+                        floor[q] = max(floor[q], -best[-1][0])
+                columns = list(zip(*rows)) if rows else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
                 release()
 
-        ranked = blocks.mapInArrow(run, out)
-        order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-        return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        blocks = opened.groupBy("block").agg(F.collect_list(F.col("query").cast("int")).alias("asked"))
+        rows = index.forward.join(small(blocks, SENT_BLOCKS), "block").select("doc_id", "n", "terms", "tf", "asked")
+        best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+        return rows.mapInArrow(run, out).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    # at most SEED_BLOCKS blocks for each query of a group
-    seeds = index.blocks.join(F.broadcast(checkpoint(first.select("block").distinct())), "block", "left_semi")
     floors = [0] * len(queries.of)
-    for r in scored(seeds, floors).where(F.col("rank") == k).select("query", "score").collect():  # a row for each query
+    for r in scored(checkpoint(first), floors).where(F.col("rank") == k).select("query", "score").collect():  # a row for each query
         floors[r["query"]] = r["score"]
-    names = spark.createDataFrame(list(enumerate(queries.names)), T.StructType([T.StructField("query", T.LongType()), schema[0]]))
-    found = scored(index.blocks, floors)
-    return found.join(F.broadcast(names), "query").select(*schema.fieldNames())
+    least = spark.createDataFrame(list(enumerate(floors)), "query long, floor long")
+    reach = bounds.join(F.broadcast(least), "query").where("bound >= floor")
+    return scored(checkpoint(reach.select("block", "query")), floors)
 
 
 def search_sql(k: int = 50) -> str:

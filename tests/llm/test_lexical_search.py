@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.llm import lexical_search as search
 from sparkloom.llm.queries import SQL, op11_lexical
@@ -62,34 +61,46 @@ def test_equal_to_brute_force_in_small_blocks(spark, seed):
     items = [(i, " ".join(random.Random(i).choices([f"w{j}" for j in range(60)], k=5))) for i in range(12)] + [(50, None), (51, "!!"), (52, docs[0][1])]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     index = search.build(frame, block_bytes=2000)
-    assert index.blocks.count() > 20
+    assert index.forward.select("block").distinct().count() > 20
     got = rows(search.search(index, spark.createDataFrame(items, "item_id long, text string"), k=7))
     assert got == sorted(brute(docs, items, 7), key=lambda r: (str(r[0]), r[1]))
     index.drop()
 
 
-def test_bounds_leave_blocks_closed():
-    """Blocks that can't hold one of the best are not scored, and the best are the same without bounds."""
+def test_bounds_leave_blocks_closed(spark):
+    """Blocks that can't hold one of the best are not opened, and the bound of a block is at least its documents' best score."""
     docs = [(i, f"common common filler{i % 7} filler{i % 11}" + (" rare rare rare" if i in (17, 18, 19) else "")) for i in range(400)]
-    frames = []
-    n_docs, n_terms = len(docs), sum(len(terms(t)) for _, t in docs)
-    for a in range(0, 400, 10):
-        part = docs[a : a + 10]
-        own = search.forward(pa.array([t for _, t in part]))
-        value = search.parts(own["tf"], np.repeat(own["lengths"], np.diff(own["begin"])), n_docs, n_terms)
-        most = np.zeros(len(own["terms"]), np.int64)
-        np.maximum.at(most, own["term"], value)
-        full = own | {"block": a, "doc_ids": pa.array([i for i, _ in part]), "held": np.bincount(own["term"]).astype(np.int32), "most": most}
-
-        frames.append(search.record(full, search.block_schema(T.LongType())))
-    batch = pa.Table.from_batches(frames).combine_chunks().to_batches()[0]
+    index = search.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block_bytes=1000)
     queries = search.Queries([1], ["rare common"])
-    df = Counter(t for _, x in docs for t in set(terms(x)))
-    queries.weights = np.array([search.weight(n_docs, df[t.decode()]) for t in queries.terms])
-    seen = []
-    best = next(search.opened(batch, queries, [0], 3, (n_docs, n_terms), seen.append))
-    assert [(x, -s) for s, _, x in sorted(best)] == [(d, s) for _, _, d, s in brute(docs, [(1, "rare common")], 3)]
-    assert len(seen) == 1  # of 40 blocks: the one that holds them
+    search.weigh(index, queries)
+    wanted = brute(docs, [(1, "rare common")], 400)
+    bounds = {r["block"]: r["bound"] for r in search.block_bounds(index, queries).collect()}
+    of = {r["doc_id"]: r["block"] for r in index.forward.select("doc_id", "block").collect()}
+    assert len(bounds) > 20
+    for block, bound in bounds.items():
+        assert bound >= max(s for _, _, d, s in wanted if of[d] == block)
+    third = wanted[2][3]
+    assert sum(b >= third for b in bounds.values()) <= 3  # of all blocks: those that hold the three
+    got = search.search(index, spark.createDataFrame([(1, "rare common")], "item_id long, text string"), k=3)
+    assert rows(got) == wanted[:3]
+    index.drop()
+
+
+def test_cut_blocks_have_larger_bounds():
+    """A block whose rows come in two tasks gets rows of maxima from both; bounds only grow."""
+    made = pa.table({"block": [5, 5, 5, 6], "n": [2, 3, 2, 1], "terms": pa.array([[b"a", b"b"], [b"a"], [b"b"], [b"a"]], pa.list_(pa.binary())), "tf": pa.array([[1, 1], [3], [2], [1]], pa.list_(pa.int32()))})
+    queries = search.Queries([0], ["a b"])
+    queries.weights[:] = 1
+
+    def bound(batches, block):
+        found = [r for b in search.largest(batches, 4, 8) for r in b.to_pylist() if r["block"] == block]
+        within = queries.within(pa.array([t for r in found for t in r["terms"]], pa.binary()))
+        return queries.bounds(within, np.array([m for r in found for m in r["most"]]))[0]
+
+    whole = made.combine_chunks().to_batches()
+    both = [made.slice(0, 2).combine_chunks().to_batches()[0], made.slice(2).combine_chunks().to_batches()[0]]
+    assert bound(whole, 5) == bound(both, 5)  # batches of one task are joined
+    assert bound(both[:1], 5) + bound(both[1:], 5) >= bound(whole, 5) > bound(whole, 6)
 
 
 def test_nulls_repeats_ties_strings_and_empty_tables(spark, docs, empty):
