@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, gif, html_text, lexical_search, merkle, mixing, pii, secret_scan, sentencepiece, sharding, simhash, toxicity
+from . import bpe_count, gif, html_text, lexical_search, merkle, mixing, pii, secret_scan, sentencepiece, sharding, simhash, token_align, toxicity
 from .common import checkpoint, table, unsigned_hex
 
 
@@ -85,6 +85,11 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned over every text."""
+    return token_align.score(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""
     found = secret_scan.find(table(spark, sf_dir, "documents"))
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pii,
         op10_merkle,
         op11_lexical,
+        op12_align,
         op13_secrets,
     )
 }
