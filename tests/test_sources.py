@@ -100,3 +100,23 @@ def test_audit_rows_regression_and_gauges(spark):
     log = spark.createDataFrame([("match", True, True, None, None), ("under", True, False, True, None)], "classification string, " + ", ".join(f"ai_{f} boolean, human_{f} boolean" for f in flags))
     r = relational.domain_audit(log, flags, []).first()
     assert (r.total, r.under_rate, r[f"{flags[0]}_match_rate"], r[f"{flags[1]}_match_rate"]) == (2, 50.0, 50.0, 50.0)
+
+
+def test_rankings_follow_rewritten_documents(spark, tmp_path):
+    """In one session, an index is made anew once its documents change, and kept while they don't."""
+    from sparkloom.queries import QUERIES, search
+
+    folder = str(tmp_path)
+    texts = lambda word: spark.createDataFrame([(i, f"{word} {word} filler{i}", "src0", "en", 20) for i in range(6)], "doc_id long, text string, source string, lang string, n_chars long")
+    spark.createDataFrame([(0, "walnut"), (1, "cedar")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    texts("walnut").write.parquet(f"{folder}/documents.parquet")
+    found = lambda: {r["qid"] for r in QUERIES["bm25_topk"](spark, folder).collect()}
+    assert found() == {0}
+    first = search.INDEX.of(spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert search.INDEX.of(spark.read.parquet(f"{folder}/documents.parquet"), folder) is first
+    texts("cedar").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    assert found() == {1}
+    texts("walnut").withColumn("doc_id", F.col("doc_id") + 10).write.mode("append").parquet(f"{folder}/documents.parquet")
+    assert found() == {0, 1}
+    search.INDEX.forget()
+    assert found() == {0, 1}
