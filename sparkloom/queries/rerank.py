@@ -12,6 +12,7 @@ from ..operators import rules as U
 from ..operators import routing as O
 from ..operators.ingest import discourse_units
 from ..operators.relational import top_per_group
+from ..operators.set_join import bank_matches
 from ..operators.vector import cosine, hash_embedding, mean_pool, windows
 from ..plans.cut import checkpoint, small
 from ..streaming.throttle import throttle
@@ -269,6 +270,28 @@ def qa_shortcut(t: Tables) -> DataFrame:
     return found.select("conv_id", "turn", F.round("score", 5).alias("score"))
 
 
+#: Words that no question is met through (fixed values).
+QA_STOP_WORDS = ("de", "la", "el", "los", "las", "con", "sin", "para", "por", "del", "que", "como", "en", "y", "o")
+QA_TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in QA_STOP_WORDS) + "))"
+
+
+@query(
+    f"""WITH d AS (SELECT conv_id, turn, {QA_TOKENS.format('text')} AS k FROM conversations),
+    o AS (SELECT conv_id, turn, list(w ORDER BY i)[:16] AS q FROM (SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, unnest(k) AS w, generate_subscripts(k, 1) AS i FROM d) GROUP BY ALL) GROUP BY ALL),
+    b AS (SELECT item_id, {QA_TOKENS.format('text')} AS k FROM benchmark),
+    m AS (SELECT conv_id, turn, item_id, len(list_intersect(q, k)) AS n, len(q) AS nq, len(list_distinct(k)) AS nb, array_to_string(q, ' ') AS lq, array_to_string(k, ' ') AS lb FROM o, b WHERE len(q) >= 2),
+    s AS (SELECT conv_id, turn, item_id, 0.75 * n / nq + 0.15 * n / nb + CASE WHEN contains(lb, lq) THEN 0.10 WHEN contains(lq, lb) THEN 0.06 ELSE 0 END AS score FROM m WHERE n >= 2)
+    SELECT conv_id, turn, item_id, round(score, 5)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id)::INT AS rank
+    FROM (SELECT conv_id, turn, item_id, round(score, 9) AS score FROM s WHERE score >= 0.24)) WHERE rank <= 2"""
+)
+def qa_matches(t: Tables) -> DataFrame:
+    """H8: the two benchmark passages that a turn's first 16 terms match best, if well enough."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    tokens = F.filter(words, lambda w: ~w.isin(*QA_STOP_WORDS))
+    found = bank_matches(t.conversations.select("conv_id", "turn", tokens.alias("k")), t.benchmark.select("item_id", tokens.alias("k")), ["conv_id", "turn"], "item_id", "k")
+    return found.select("conv_id", "turn", "item_id", F.round("score", 5).alias("score"), "rank")
+
+
 @query("SELECT doc_id, len(w)::INT AS windows FROM (SELECT doc_id, range(0, greatest(0, ceil((length(text) - 2000) / 1760.0))::INT + 1) AS w FROM documents)")
 def embedding_windows(t: Tables) -> DataFrame:
     """V5."""
