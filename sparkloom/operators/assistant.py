@@ -291,8 +291,8 @@ def page_relevance(asked: Column, title: Column, snippet: Column, words_of) -> C
     return F.when(F.size(asked) == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
-def web_candidates(pages: DataFrame, key: str, url: str, title: str, snippet: str, asked: Column, allowed: list[str], words_of, links: DataFrame | None = None, blend: float = 0.35) -> DataFrame:
-    """``key, url, authority, relevance, quality, rank``: candidate pages that may be shown, best first.
+def web_candidates(pages: DataFrame, key: str, url: str, title: str, snippet: str, asked: Column, allowed: list[str], words_of, links: DataFrame | None = None, blend: float = 0.35, most: int = 1000) -> DataFrame:
+    """``key, url, authority, relevance, quality, rank``: the ``most`` best candidate pages that may be shown, best first.
 
     Hosts outside ``allowed``, spam, repeated addresses and near copies of an earlier candidate go. Quality is .62 authority + .38 relevance,
     and where ``links (url, link)`` knows the page, .35 of its link score in place of as much of it.
@@ -305,9 +305,7 @@ def web_candidates(pages: DataFrame, key: str, url: str, title: str, snippet: st
     rows = rows.where(G.spam_score(F.col("title"), F.col("snippet"), F.col("url")) < 3)
     first = rows.groupBy("url").agg(F.min(key).alias(key))
     rows = G.checkpoint(rows.join(first, ["url", key], "left_semi"))
-    found = G.checkpoint(G.signatures(rows, key, F.concat_ws(" ", "title", "snippet"), 16))
-    members, near = G.near_signatures(found, key, 16, 0.85)
-    kept = G.first_wins(G.checkpoint(members), near, key).where("kept").select(key)
+    kept = G.near_page_filter(rows, key, F.concat_ws(" ", "title", "snippet"), 16, 0.85).where("kept").select(key)
     rows = rows.join(kept, key, "left_semi")
     rows = rows.withColumn("authority", G.host_authority(F.col("host"))).withColumn("relevance", page_relevance(asked, F.col("title"), F.col("snippet"), words_of))
     quality = F.least(F.lit(1.0), 0.62 * F.col("authority") + 0.38 * F.col("relevance"))
@@ -315,7 +313,7 @@ def web_candidates(pages: DataFrame, key: str, url: str, title: str, snippet: st
         rows = rows.join(links.select("url", "link"), "url", "left")
         quality = F.when(F.col("link").isNotNull(), (1 - blend) * quality + blend * F.col("link")).otherwise(quality)
     scored = rows.select(key, "url", "title", *(F.round(c, 6).alias(n) for n, c in (("authority", F.col("authority")), ("relevance", F.col("relevance")), ("quality", quality))))
-    best = scored.orderBy(F.desc("quality"), F.desc("title"), key).limit(1000)
+    best = scored.orderBy(F.desc("quality"), F.desc("title"), key).limit(most)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("quality"), F.desc("title"), key))).drop("title")
 
 

@@ -130,17 +130,18 @@ def shingles(text: Column, size: int = 3) -> Column:
 def signatures(rows: DataFrame, key: str, text: Column, seeds: int = 24) -> DataFrame:
     """``key, signature``: for each seed the least of the first 16 hexadecimal digits of the SHA-1 of seed:shingle.
 
-    Shingles are exploded, so hashing runs in generated code and the least numbers are aggregated before the shuffle. A
-    number of 64 bits is compared without its sign, by flipping the highest bit.
+    Shingles are exploded by seed, so that the generated code is one hash and one least number (for all seeds together it grows too
+    large to be compiled), and least numbers are aggregated before the shuffle. A number of 64 bits is compared without its
+    sign, by flipping the highest bit.
     """
     top = F.lit(-(2**63))
-    long = rows.select(key, F.explode(shingles(text)).alias("s"))
-
-    def number(k: int) -> Column:
-        return F.conv(F.left(F.sha1(F.concat(F.lit(f"{k}:"), "s")), F.lit(16)), 16, -10).cast("long").bitwiseXOR(top)
-
-    least = long.groupBy(key).agg(*(F.min(number(k)).alias(f"m{k}") for k in range(seeds)))
-    return least.select(key, F.array(*(F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseXOR(top))), 16, "0") for k in range(seeds))).alias("signature"))
+    long = rows.select(key, F.explode(shingles(text)).alias("s")).select(key, "s", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("k"))
+    number = F.conv(F.left(F.sha1(F.concat(F.col("k").cast("string"), F.lit(":"), "s")), F.lit(16)), 16, -10).cast("long").bitwiseXOR(top)
+    least = long.groupBy(key, "k").agg(F.min(number).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("k", "m")))
+    return least.groupBy(key).agg(ordered.alias("x")).select(
+        key, F.transform("x", lambda x: F.lpad(F.lower(F.hex(x["m"].bitwiseXOR(top))), 16, "0")).alias("signature")
+    )
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -148,8 +149,8 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
-def near_signatures(found: DataFrame, key: str, seeds: int = 24, threshold: float = 0.90) -> tuple[DataFrame, DataFrame]:
-    """``key, class`` (the smallest key with the same signature) and links ``a, b, similarity`` between classes, none lost.
+def with_bands(found: DataFrame, key: str, seeds: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``key, class`` (the smallest key with the same signature), and ``class, signature, bands`` of each class.
 
     Two signatures that reach the threshold differ in m places at most, so of m + 1 bands of places they agree on one.
     """
@@ -157,11 +158,65 @@ def near_signatures(found: DataFrame, key: str, seeds: int = 24, threshold: floa
     edges = [seeds * i // (apart + 1) for i in range(apart + 2)]
     classes = found.groupBy("signature").agg(F.min(key).alias("class"))
     bands = F.array(*(F.xxhash64(F.lit(i), F.slice("signature", a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
-    banded = classes.select("class", "signature", F.explode(bands).alias("band"))
+    return found.join(classes, "signature").select(key, "class"), classes.select("class", "signature", bands.alias("bands"))
+
+
+def links_of(classes: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of all classes that share a band and reach the threshold."""
+    banded = classes.select("class", "signature", F.explode("bands").alias("band"))
     a, b = banded.toDF("a", "sa", "band"), banded.toDF("b", "sb", "band")
     met = a.join(b, "band").where("a < b").withColumn("similarity", signature_similarity(F.col("sa"), F.col("sb")))
-    links = met.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity")).distinct()
-    return found.join(classes, "signature").select(key, "class"), links
+    return met.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity")).distinct()
+
+
+def near_signatures(found: DataFrame, key: str, seeds: int = 24, threshold: float = 0.90) -> tuple[DataFrame, DataFrame]:
+    """``key, class`` (the smallest key with the same signature) and links ``a, b, similarity`` between classes, none lost."""
+    members, classes = with_bands(found, key, seeds, threshold)
+    return members, links_of(classes, threshold)
+
+
+#: Pairs for each class left that are made at once; a round of leaders that decides less than a tenth is the last one.
+FEW_PAIRS = 20
+
+
+def first_leaders(found: DataFrame, key: str, seeds: int = 24, threshold: float = 0.90, cut=checkpoint, most: int = 1000) -> DataFrame:
+    """``key, kept``: a page stays unless it is like an earlier page that stays; copies of a page go.
+
+    A class that is the first undecided one in all of its bands is like none before it that could stay, so it leads. A round compares
+    every class with the leaders of its bands alone, and those that are like one go; so a band crowded with near copies costs one
+    comparison each. Once few pairs are left, or a round decides little (classes that share a band and are not alike), the rest is linked and decided.
+    """
+    members, classes = with_bands(found, key, seeds, threshold)
+    members, undecided = cut(members), cut(classes)
+    kept = None
+    for _ in range(most):
+        banded = undecided.select("class", "signature", F.explode("bands").alias("band"))
+        bands = cut(banded.groupBy("band").agg(F.min("class").alias("first"), F.count("*").alias("n")))
+        size = bands.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if not size["n"] or size["pairs"] <= FEW_PAIRS * size["n"]:
+            break
+        places = banded.join(bands, "band")
+        leaders = cut(places.groupBy("class", "signature").agg(F.bool_and(F.col("first") == F.col("class")).alias("leads")).where("leads"))
+        kept = leaders.select("class") if kept is None else kept.unionByName(leaders.select("class"))
+        of_band = bands.join(leaders.select(F.col("class").alias("first"), F.col("signature").alias("led_by")), "first").select("band", "first", "led_by")
+        alike = banded.join(of_band, "band").where(F.col("class") != F.col("first")).where(signature_similarity(F.col("signature"), F.col("led_by")) >= threshold)
+        out = alike.select("class").unionByName(leaders.select("class")).distinct()
+        before = undecided.count()
+        undecided = cut(undecided.join(out, "class", "left_anti"))
+        if undecided.count() > 0.9 * before:
+            break
+    rest = first_wins(undecided.select("class", F.col("class").alias("page")), links_of(undecided, threshold), "page", cut, most)
+    stays = rest.where("kept").select(F.col("page").alias("class"))
+    stays = (stays if kept is None else stays.unionByName(kept)).withColumn("stays", F.lit(True))
+    marked = members.join(stays, "class", "left")
+    return marked.select(key, ((F.col(key) == F.col("class")) & F.col("stays").isNotNull()).alias("kept"))
+
+
+def near_page_filter(pages: DataFrame, key: str, text: Column, seeds: int = 24, threshold: float = 0.90) -> DataFrame:
+    """``key, kept`` of every page in the order of its key; a page without words, null or empty, is nobody's copy and stays."""
+    worded = F.coalesce(F.rlike(F.lower(text), F.lit("[a-z0-9]{3,}")), F.lit(False))
+    found = checkpoint(signatures(pages.where(worded), key, text, seeds))
+    return first_leaders(found, key, seeds, threshold).unionByName(pages.where(~worded).select(key, F.lit(True).alias("kept")))
 
 
 def first_wins(members: DataFrame, links: DataFrame, key: str, cut=checkpoint, most: int = 1000) -> DataFrame:

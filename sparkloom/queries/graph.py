@@ -206,8 +206,7 @@ def near_page_pairs(t: Tables) -> DataFrame:
 @query()
 def near_page_filter(t: Tables) -> DataFrame:
     """Which pages a crawl in the order of page_id would keep."""
-    members, links = _near_pages(t)
-    return G.first_wins(checkpoint(members), links, "page_id")
+    return G.near_page_filter(t.pages, "page_id", F.col("html"), SEEDS, 0.90)
 
 
 # evaluation
