@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..plans.scan import segmented_scan
 from . import graph as G
 
 
@@ -333,18 +338,42 @@ ALERTS = (
 )
 
 
-def held_alerts(gauges: DataFrame, time: str, rules=ALERTS) -> DataFrame:
+class Hold:
+    """A machine of ``plans.scan`` over rows ``holds``: the time (``__at``) since which a rule has held without a break, or none."""
+
+    start: int | None = None
+
+    def summarise(self, rows: pd.DataFrame) -> tuple[bool, int | None]:
+        """Whether the rule broke, and since when it holds at the end, from this segment alone."""
+        broken = np.flatnonzero(~rows["holds"].to_numpy(bool))
+        first = int(broken[-1]) + 1 if len(broken) else 0
+        return len(broken) > 0, int(rows["__at"].iloc[first]) if first < len(rows) else None
+
+    def apply(self, summary: tuple[bool, int | None], state: int | None) -> int | None:
+        broke, since = summary
+        return since if broke or state is None else state
+
+    def replay(self, rows: pd.DataFrame, state: int | None) -> dict[str, Any]:
+        holds, at = rows["holds"].to_numpy(bool), rows["__at"].to_numpy(np.int64)
+        place = np.arange(len(at))
+        broken = np.maximum.accumulate(np.where(holds, -1, place))  # the last break up to each row
+        since = at[np.minimum(broken + 1, len(at) - 1)]
+        if state is not None:
+            since = np.where(broken < 0, state, since)
+        return {"held": np.where(holds, at - since, -1)}
+
+
+def held_alerts(gauges: DataFrame, time: str, rules=ALERTS, rows_a_part: int = 1_000_000) -> DataFrame:
     """``time, alert, severity`` wherever a rule has held at all samples of ``gauges`` for its minutes.
 
-    Samples stand at most a minute apart. The run of samples that a rule holds at begins after the last one at which it didn't.
+    Samples stand at most a minute apart. The run of samples that a rule holds at begins after the last one at which it didn't. An
+    alert's samples are split over tasks by time (``plans.scan``).
     """
     out = None
-    order = Window.partitionBy("alert").orderBy(time)
     for name, severity, predicate, minutes in rules:
         holds = F.coalesce(F.expr(predicate), F.lit(False))
         part = gauges.select(F.col(time), F.lit(name).alias("alert"), F.lit(severity).alias("severity"), F.lit(minutes).alias("minutes"), holds.alias("holds"))
         out = part if out is None else out.union(part)
-    broken = F.last(F.when(~F.col("holds"), F.col(time)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    run = F.min(F.when(F.col("holds"), F.col(time))).over(Window.partitionBy("alert", "broken"))
-    marked = out.withColumn("broken", broken).withColumn("since", run)
-    return marked.where(F.col("holds") & (F.col(time).cast("long") - F.col("since").cast("long") >= 60 * F.col("minutes"))).select(time, "alert", "severity")
+    timed = out.where(F.col(time).isNotNull()).withColumn("__at", F.unix_seconds(F.col(time).cast("timestamp")))
+    scanned = segmented_scan(timed, "alert", ["__at"], Hold(), "held long", rows_a_part)
+    return scanned.where(F.col("holds") & (F.col("held") >= 60 * F.col("minutes"))).select(time, "alert", "severity")

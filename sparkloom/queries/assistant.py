@@ -201,7 +201,17 @@ def spam_score(t: Tables) -> DataFrame:
 GAUGES = """WITH m AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, 100.0 * count(*) FILTER (value > 80) / count(*) AS high, 100.0 * count(*) FILTER (value < 10) / count(*) AS low FROM events GROUP BY 1)"""
 
 
-@query()
+_D = ("scasest", "cardio_risk", "resuscitation", "quality")
+_GAUGE = f"""g AS (SELECT minute, failed AS agent_runs_failed, high AS agent_fallback_rate, {', '.join(f'low AS {d}_under_rate, high AS {d}_over_rate' for d in _D)},
+    100 - high - low AS quality_match_rate, n AS quality_total FROM m)"""
+_RULES = " UNION ALL ".join(f"SELECT minute, '{n}' AS alert, '{s}' AS severity, {k} AS minutes, coalesce({p}, false) AS holds FROM g" for n, s, p, k in A.ALERTS)
+
+
+@query(
+    f"""{GAUGES}, {_GAUGE}, r AS ({_RULES}), i AS (SELECT *, count(*) FILTER (NOT holds) OVER (PARTITION BY alert ORDER BY minute) AS island FROM r),
+    w AS (SELECT *, min(minute) FILTER (holds) OVER (PARTITION BY alert, island) AS since FROM i)
+    SELECT minute, alert, severity FROM w WHERE holds AND epoch(minute) - epoch(since) >= 60 * minutes"""
+)
 def alert_holds(t: Tables) -> DataFrame:
     """The eleven rules over gauges of each minute, with the time that they must hold."""
     g = t.events.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(

@@ -350,7 +350,14 @@ def toxic_threshold(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(U.toxic_threshold(F.col("value")), 6).alias("threshold"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS ta, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, 0::BIGINT AS n, 0::DOUBLE AS first, 0 AS c, 0::DOUBLE AS until, NULL::BIGINT AS event_id, false AS blocked FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT user_id, n, CASE WHEN b THEN first WHEN NOT failed THEN 0 WHEN fresh THEN ta ELSE first END, CASE WHEN b THEN c WHEN NOT failed THEN 0 WHEN fresh THEN 1 ELSE c + 1 END,
+    CASE WHEN b THEN until WHEN failed AND NOT fresh AND c + 1 >= 5 THEN ta + 600 ELSE 0 END, event_id, b FROM (SELECT o.*, first, c, until, until > 0 AND ta < until AS b,
+    c = 0 OR until <> 0 OR ta - first > 300 AS fresh FROM s JOIN o ON o.user_id IS NOT DISTINCT FROM s.user_id AND o.n = s.n + 1))
+    SELECT user_id, event_id, blocked, c::INT AS failures FROM s WHERE n > 0"""
+)
 def login_throttle(t: Tables) -> DataFrame:
     """Errors are failed attempts."""
     return throttle(t.events.withColumn("failed", F.col("event_type") == "error"), "user_id", "ts", "event_id", "failed")
