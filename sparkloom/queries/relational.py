@@ -526,6 +526,19 @@ def event_sessions(t: Tables) -> DataFrame:
     return found.select("user_id", F.col("w.start").alias("start"), "n")
 
 
+@query(
+    """SELECT c.event_id AS click_id, p.event_id AS purchase_id, epoch_us(p.ts) // 1000000 - epoch_us(c.ts) // 1000000 AS seconds FROM events c JOIN events p ON c.user_id = p.user_id
+    WHERE c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 HOURS"""
+)
+def click_to_purchase(t: Tables) -> DataFrame:
+    """The batch form of the join of two streams: a user's purchases within six hours of a click."""
+    from ..streaming.windows import within
+
+    side = lambda kind, short: t.events.where(F.col("event_type") == kind).select(F.col("event_id").alias(f"{kind}_id"), F.col("user_id").alias(f"{short}_user"), F.col("ts").alias(f"{short}_ts"))
+    met = within(side("click", "c"), side("purchase", "p"), ("c_user", "p_user"), ("c_ts", "p_ts"), 6 * 3600)
+    return met.select("click_id", "purchase_id", (F.unix_seconds(F.col("p_ts").cast("timestamp")) - F.unix_seconds(F.col("c_ts").cast("timestamp"))).alias("seconds"))
+
+
 @query("SELECT event_id, (2 ** (event_id % 3 + 1) * 3 ** (user_id % 4 + 1) * 5 ** (event_id % 2 + 1))::BIGINT::VARCHAR AS code, true AS same FROM events")
 def number_codes(t: Tables) -> DataFrame:
     """Three steps of a plan as one number, and whether it gives them back."""
