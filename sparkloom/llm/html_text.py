@@ -2,9 +2,10 @@
 
 A page is cut into blocks at block-level tags. Blocks of elements that are never main text (menus, forms, footers,
 comments, adverts and the like) are boilerplate. The first pass classifies every other block from its share of stop
-words, its length and its share of characters in links; in an article, prose needs less to be good, but a list of links
-is boilerplate there as well. What stays ambiguous, mostly short blocks, takes in the second pass the label of the
-nearest decided block before or after it.
+words, its length and its share of characters in links; in an article, prose needs less to be good, and links are
+boilerplate only as a list of several, as headlines and single sentences may be linked. On a page whose language has no
+stop words here, length and links decide alone. What stays ambiguous, mostly short blocks, takes in the second pass the
+label of the nearest decided block before or after it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ STOP_WORDS = frozenset(
 
 #: Thresholds of the first pass (fixed values of the method): share of characters in links, lengths, stop-word shares.
 MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.30
+#: Blocks of links that make a list, and the share of stop words in a page's text below which its language is not known.
+LIST_RUN, STOP_KNOWN = 3, 0.04
 
 #: Elements whose content is dropped: of the first, all is plain text up to their end tag; the others may be nested.
 PLAIN = frozenset("script style title textarea iframe xmp noembed".split())
@@ -46,7 +49,7 @@ AWAY_TAGS = frozenset("nav footer aside form menu dialog head".split())
 MAIN_TAGS = frozenset("article main".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 AWAY_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
+    "ad ads adv adslot adbox adunit adspace adbanner adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notification alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer "
     "comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe "
     "subscription signup login search masthead topbar toolbar widget skip legal copyright".split()
@@ -78,6 +81,8 @@ class Block:
     linked: int
     region: int | None  # 1 in the article, -1 in boilerplate elements, None elsewhere
     label: str = ""
+    run: int = LIST_RUN  # how many blocks of links stand together here, a list where nothing is told of it
+    known: bool = True  # whether the page's language has stop words
 
 
 @dataclass
@@ -228,16 +233,40 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def words_of(block: Block) -> list[str]:
+    return LETTERS.findall(block.text.lower())
+
+
+def described(found: list[Block]) -> list[Block]:
+    """Blocks with what their page tells of them: runs of blocks of links, and whether the language is known."""
+    linked = [b.region == 1 and b.linked > MAX_LINKS * len(b.text) for b in found]
+    at = 0
+    while at < len(found):
+        end = at
+        while end < len(found) and linked[end]:
+            end += 1
+        for b in found[at:end]:
+            b.run = end - at
+        at = max(end, at + 1)
+    words = [w for b in found if b.region != -1 for w in words_of(b)]
+    known = not words or sum(map(STOP_WORDS.__contains__, words)) >= STOP_KNOWN * len(words)
+    for b in found:
+        b.known = known
+    return found
+
+
 def first_pass(block: Block) -> str:
     """good, bad, near (ambiguous, rather good) or short (ambiguous)."""
     if block.region == -1:
         return "bad"
     length = len(block.text)
-    words = LETTERS.findall(block.text.lower())
+    words = words_of(block)
     stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+    if not block.known and words and length >= SHORT:
+        stops = STOP_HIGH  # nothing speaks against prose
     inside = block.region == 1
     if block.linked / length > MAX_LINKS:
-        return "bad"
+        return "short" if inside and block.run < LIST_RUN else "bad"
     if length < SHORT:
         if inside:
             return "good" if stops >= STOP_HIGH else "near" if stops >= STOP_LOW else "short"
@@ -288,7 +317,7 @@ def _decided(order: list[int], labels: list[str]) -> dict[int, int | None]:
 
 def main_text(page: str) -> tuple[str, int, int]:
     """The main text of a page, its number of blocks and how many of them are kept."""
-    found = classify(blocks(page))
+    found = classify(described(blocks(page)))
     kept = [b.text for b in found if b.label == "good"]
     return " ".join(kept), len(found), len(kept)
 

@@ -215,6 +215,26 @@ def test_density_decides(monkeypatch):
     assert html_text.main_text(page)[0] != got and html_text.main_text(bare)[0] != prose.strip()
 
 
+def test_linked_headlines_and_sentences_stay():
+    prose = "The cat of the house is in the garden and it was on the wall for a while with the dog. " * 3
+    page = f"<article><h2><a href=/x>Why the cat stays</a></h2><p>{prose}</p><p>See <a href=y>the full report of the house</a>.</p><p><a href=z>One linked line alone</a></p></article>"
+    assert html_text.main_text(page)[0] == f"Why the cat stays {prose}See the full report of the house. One linked line alone"
+    alone = "<article><h2><a href=/x>Only a linked headline</a></h2></article>"
+    assert html_text.main_text(alone)[0] == "Only a linked headline"
+    items = "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(html_text.LIST_RUN))
+    assert html_text.main_text(f"<article><p>{prose}</p><ul>{items}</ul></article>")[0] == prose.strip()
+
+
+def test_pages_in_languages_without_stop_words():
+    """Without marks of an article, length and links decide; menus and short lines around them go."""
+    russian = "Кошка сидит на стене старого дома, а собака смотрит на неё из сада и долго лает, пока хозяин не выйдет. " * 4
+    page = f"<body><div><a href=/>Главная</a> <a href=/n>Новости</a></div><p>{russian}</p><p>{russian}</p><div>Все права</div></body>"
+    assert html_text.main_text(page)[0] == f"{russian}{russian}".strip()
+    assert html_text.main_text(f'<body><div class="adslot-top">{russian}</div><p>{russian}</p></body>')[0] == russian.strip()
+    listing = "".join(f"<li><a href=/{i}>Ещё одна длинная строка меню номер {i}, которая ведёт на другую страницу сайта</a></li>" for i in range(5))
+    assert html_text.main_text(f"<body><ul>{listing}</ul></body>")[0] == ""
+
+
 @pytest.mark.parametrize("tag", ["button", "svg", "select", "object", "script", "iframe", "textarea"])
 def test_unclosed_elements_keep_the_rest_of_the_page(tag):
     prose = "The cat of the house is in the garden and it was on the wall for a while with the dog. " * 4
