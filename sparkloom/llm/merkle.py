@@ -1,14 +1,15 @@
 """Document fingerprints by Merkle trees over paragraphs and sections, with DataFrame functions alone.
 
-A text is cut, without loss, into sections after blank lines and before lines with a heading's mark or one of a few
-first letters (so that long runs of lines form sections as well, whose limits depend on the line after them alone), and
-into paragraphs after line ends. A paragraph's node is its SHA-256, a section's that of its paragraphs' nodes, the
+A text is cut, without loss, by what stands at a cut and never by how far it lies from the beginning, so that an edit
+changes the pieces that it touches and no others. Paragraphs end at line ends; sections end at blank lines and after lines
+whose last sign is a cut sign. The leaves of a paragraph end behind white space after a cut sign, behind punctuation, and
+behind cut signs of scripts that know no spaces. Cut signs are a fixed share of all code points, by a rule on their
+numbers. A leaf's node is its SHA-256, a paragraph's that of its leaves' nodes, a section's that of its paragraphs', the
 root's that of the sections'; each level hashes its own prefix, so that no node of one level passes for another's. Equal
-roots mean equal texts; where roots differ, the branches whose nodes differ locate all edits. Below the paragraphs lie
-the leaves, pieces of up to 12 characters that start anew after each punctuation mark, by one rule for texts of all
-lengths. A fingerprint holds the root and the ``SKETCH`` least hashes of the leaves: the whole set of a short text, a
-sample by hash of a long one's. Its length is thus bounded, and the share of common leaves can be estimated from two
-fingerprints, with a standard deviation of at most 0.05, exactly if both texts have few leaves.
+roots mean equal texts; where roots differ, the branches whose nodes differ locate all edits. A fingerprint holds the root
+and the ``SKETCH`` least of the leaves' nodes: the whole set of a short text, a sample by hash of a long one's. Its length
+is thus bounded, and the share of common leaves can be estimated from two fingerprints, with a standard deviation of at
+most 0.05, exactly if both texts have few leaves.
 """
 
 from __future__ import annotations
@@ -18,8 +19,24 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-SECTION = "(?<=\n\n)|(?<=\n)(?=[#A-D])"
-LEAF = "(?s)[^.!?,;\n]{1,12}[.!?,;\n]*|[.!?,;\n]+"
+
+def cut_signs(first: int, last: int, run: int, share: int) -> str:
+    """The inside of a character class: between two code points, every ``share``-th run of ``run`` of them, counted from 0."""
+    begins = [c for c in range(first - first % (run * share), last + 1, run * share) if c >= first]
+    return "".join(f"\\x{{{c:x}}}" + (f"-\\x{{{min(last, c + run - 1):x}}}" if run > 1 else "") for c in begins)
+
+
+#: Cut signs: a quarter of the ASCII signs and of letters of scripts with spaces, an eighth of those of scripts without.
+ASCII, SPACED = cut_signs(0x21, 0x7E, 1, 4), cut_signs(0x80, 0x2DFF, 8, 4)
+UNSPACED = cut_signs(0x0E00, 0x0EFF, 1, 8) + cut_signs(0x1000, 0x109F, 1, 8) + cut_signs(0x1780, 0x17FF, 1, 8) + cut_signs(0x2E80, 0xD7FF, 16, 8)
+#: Punctuation marks that end a leaf.
+PUNCTUATION = ".!?,;、。！，；？،۔।"
+#: Where nothing cuts within so many signs, a leaf is so many short words, else so many signs.
+MOST, WORDS = 64, 4
+SECTION = rf"(?<=\n\n)|(?:(?<=[{ASCII}{PUNCTUATION}]\n)|(?<=[^\x00-\x7f]\n)(?<=[{SPACED}{UNSPACED}]\n))(?!\n)"
+#: Behind white space that follows a cut sign, behind punctuation, or behind a cut sign of a script without spaces.
+CUT = rf"(?<=[{ASCII}]\s)|(?<=[^\x00-\x7f]\s)(?<=[{SPACED}]\s)|(?<=[{PUNCTUATION}])|(?<=[^\x00-\x7f])(?<=[{UNSPACED}])"
+LEAF = rf"(?s).{{1,{MOST}}}?(?:{CUT}|\z)|(?:\S{{1,15}}\s){{{WORDS}}}|.{{1,{MOST}}}"
 #: Leaves that a fingerprint holds, of 32 bits each: 64 + 1 + 512 characters at most.
 SKETCH = 96
 
@@ -29,8 +46,23 @@ def paragraphs(text: Column) -> Column:
     return F.transform(F.split(text, SECTION, -1), lambda s: F.split(s, "(?<=\n)", -1))
 
 
+def leaf_nodes(cut: Column) -> Column:
+    """Of every section of every paragraph, its leaves' nodes."""
+
+    def leaves(p: Column) -> Column:
+        return F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda g: F.sha2(F.concat(F.lit("leaf:"), g), 256))
+
+    return F.transform(cut, lambda s: F.transform(s, leaves))
+
+
+def nodes_of(leaves: Column) -> Column:
+    """The nodes of paragraphs, by section, from their leaves' nodes."""
+    return F.transform(leaves, lambda s: F.transform(s, lambda p: F.sha2(F.concat(F.lit("paragraph:"), F.array_join(p, "")), 256)))
+
+
 def paragraph_nodes(cut: Column) -> Column:
-    return F.transform(cut, lambda s: F.transform(s, lambda p: F.sha2(F.concat(F.lit("paragraph:"), p), 256)))
+    """The nodes of paragraphs, by section."""
+    return nodes_of(leaf_nodes(cut))
 
 
 def section_nodes(nodes: Column) -> Column:
@@ -41,16 +73,15 @@ def root(sections: Column) -> Column:
     return F.sha2(F.concat(F.lit("root:"), F.array_join(sections, "")), 256)
 
 
-def sketch(text: Column) -> Column:
-    """The least hashes of the text's leaves, in order."""
-    leaves = F.array_distinct(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)))
-    hashes = F.array_distinct(F.transform(leaves, lambda g: F.xxhash64(g).bitwiseAND(0xFFFFFFFF)))
+def sketch(leaves: Column) -> Column:
+    """The first 32 bits of the least of a text's leaves' nodes, in order."""
+    hashes = F.array_distinct(F.transform(F.flatten(F.flatten(leaves)), lambda g: F.left(g, F.lit(8))))
     return F.slice(F.sort_array(hashes), 1, SKETCH)
 
 
 def fingerprint(root_node: Column, leaves: Column) -> Column:
     """The root and the sketch, as text."""
-    coded = F.base64(F.unhex(F.array_join(F.transform(leaves, lambda g: F.lpad(F.hex(g), 8, "0")), "")))
+    coded = F.base64(F.unhex(F.array_join(leaves, "")))
     return F.concat_ws(":", root_node, F.regexp_replace(coded, "[\r\n]", ""))
 
 
@@ -131,26 +162,23 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    both = with_next(own.withColumn("leaves", sketch(F.col("text"))), "id", "text", ["leaves"])
+    own = own.withColumn("tree", leaf_nodes(paragraphs(F.col("text"))))
+    own = own.select("id", "text", sketch(F.col("tree")).alias("leaves"), nodes_of(F.col("tree")).alias("nodes"))
+    both = with_next(own, "id", "text", ["leaves"])
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    both = both.select(
-        "id",
-        n.cast("long").alias("n_chars"),
-        "leaves",
-        "next_leaves",
-        F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter)).alias("edited"),
-        paragraph_nodes(paragraphs(F.col("text"))).alias("nodes"),
-    )
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
+    both = both.select("id", n.cast("long").alias("n_chars"), "leaves", "next_leaves", "nodes", edited.alias("edited"))
+    both = both.withColumn("tree", leaf_nodes(paragraphs(F.col("edited"))))
     both = both.select(
         "id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "leaves",
         "next_leaves",
-        sketch(F.col("edited")).alias("edited_leaves"),
+        sketch(F.col("tree")).alias("edited_leaves"),
         "nodes",
-        paragraph_nodes(paragraphs(F.col("edited"))).alias("edited_nodes"),
+        nodes_of(F.col("tree")).alias("edited_nodes"),
     )
     both = both.withColumn("sections", section_nodes(F.col("nodes"))).withColumn("edited_sections", section_nodes(F.col("edited_nodes")))
     both = both.withColumn("edit_branches", differing(F.col("nodes"), F.col("edited_nodes")))

@@ -136,8 +136,64 @@ def test_one_row_of_repeats_stays_whatever_the_columns_are_called(spark):
     assert kept[0][0].asDict().keys() == set(docs.columns)
 
 
+def cut_sign(c, spaced):
+    """Whether a sign is one of those that cut, by the rule on its number."""
+    o = ord(c)
+    if spaced:
+        return 0x21 <= o <= 0x7E and o % 4 == 0 or 0x80 <= o <= 0x2DFF and o // 8 % 4 == 0
+    return any(a <= o <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF))) and o % 8 == 0 or 0x2E80 <= o <= 0xD7FF and o // 16 % 8 == 0
+
+
 def leaf_set(text):
-    return set(re.findall(r"(?s)[^.!?,;\n]{1,12}[.!?,;\n]*|[.!?,;\n]+", text))
+    """The leaves of all paragraphs, sign by sign."""
+    out = set()
+    for paragraph in re.split("(?<=\n)", text):
+        cuts, space = set(), " \t\n\x0b\f\r"
+        for i, c in enumerate(paragraph):
+            if c in space and i and cut_sign(paragraph[i - 1], True) or c in ".!?,;、。！，；？،۔।" or ord(c) > 127 and cut_sign(c, False):
+                cuts.add(i + 1)
+        at = 0
+        while at < len(paragraph):
+            end = next((e for e in range(at + 1, min(at + 64, len(paragraph)) + 1) if e in cuts or e == len(paragraph)), None)
+            if end is None:
+                words = re.match(r"(?a:(\S{1,15}\s){4})", paragraph[at:])
+                end = at + (words.end() if words else 64)
+            out.add(paragraph[at:end])
+            at = end
+    return out
+
+
+def section_cut(text):
+    """Sections of paragraphs, line by line."""
+    lines = [x for x in re.split("(?<=\n)", text)]
+    out = [[lines[0]]]
+    for last, line in zip(lines, lines[1:]):
+        sign = last[-2:-1]
+        blank = last == "\n" and len(out[-1]) > 1 or text == ""
+        cuts = sign and (cut_sign(sign, True) or sign in ".!?,;、。！，；？،۔।" or ord(sign) > 127 and cut_sign(sign, False)) and not line.startswith("\n")
+        if last == "\n" and (len(out) > 1 or len(out[-1]) > 1) or cuts or blank:
+            out.append([])
+        out[-1].append(line)
+    return [[*s, ""] if s[-1].endswith("\n") else s for s in out]
+
+
+def test_one_letter_changes_little(spark):
+    """An insertion at the start, in the middle or before the end, in texts without punctuation and in scripts without spaces."""
+    r = random.Random(8)
+    english = " ".join("".join(r.choice("etaoinshrdlucmfw") for _ in range(r.randrange(2, 9))) for _ in range(400))
+    chinese = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(2000))
+    marked = "".join(chr(r.randrange(0x4E00, 0x9FA5)) + ("。" if i % 17 == 0 else "") for i in range(2000))
+    cyrillic = " ".join("".join(chr(r.randrange(0x430, 0x450)) for _ in range(r.randrange(2, 9))) for _ in range(400))
+    thai = "".join(chr(r.randrange(0xE01, 0xE3A)) for _ in range(2000))
+    texts = [english, chinese, marked, cyrillic, thai]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars >= 500").collect()]
+    rows = [(3 * i + k, t) for i, text in enumerate(texts) for k, t in enumerate((text, "q" + text))]
+    got = {x.doc_id: x for x in merkle.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    low = [i for i in range(len(texts)) if got[3 * i].near_next <= 0.9]
+    assert low == [] and len(texts) > 500
+    middle = [(2 * i + k, t) for i, text in enumerate(texts[:5]) for k, t in enumerate((text, text[:777] + "日" + text[777:]))]
+    got = {x.doc_id: x for x in merkle.edits(spark.createDataFrame(middle, "doc_id long, text string")).collect()}
+    assert all(got[2 * i].near_next > 0.9 for i in range(5))
 
 
 def test_likeness_equals_that_of_the_leaves(spark):
@@ -157,8 +213,7 @@ def test_likeness_equals_that_of_the_leaves(spark):
             want = 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
             assert abs(near - want) < (1e-9 if len(a | b) <= merkle.SKETCH else 0.2), (i, near, want)
         assert len(row.fingerprint) <= 64 + 1 + 512
-        cut = lambda x: [re.split("(?<=\n)", s) for s in re.split("(?<=\n\n)|(?<=\n)(?=[#A-D])", x)]
-        a, b = cut(t), cut(new)
+        a, b = section_cut(t), section_cut(new)
         want = []
         for k in range(max(len(a), len(b))):
             x, y = a[k] if k < len(a) else [], b[k] if k < len(b) else []
