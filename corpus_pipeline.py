@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing, pii, sentencepiece, simhash, toxicity
-from sparkloom.llm.common import rewritten, table
+from sparkloom.llm.common import remove, stored, table
 from sparkloom.llm.queries import tokenizer_path
 
 
@@ -52,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next, and then deleted.
+
+    The last stage reads what the one before it wrote whenever its rows are asked for, so that table alone stays.
+    """
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = rewritten(docs)
+            before = path
+            docs, path = stored(docs)
+            if before is not None:
+                remove(spark, before)
     return docs

@@ -134,11 +134,6 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def rewritten(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
-    return stored(df)[0]
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -247,13 +247,15 @@ class Model:
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str, text_col: str) -> DataFrame:
     """Up to ``limit`` labelled rows outside the held-out fold, chosen by a hash of their id: ``id, y, text, sign, apart``.
 
-    ``sign`` is a hash that near copies mostly share; they are all apart for calibration or all examples.
+    ``sign`` is a hash that near copies mostly share; they are all apart for calibration or all examples. Of an id that several
+    documents share, the one whose text has the least hash is taken.
     """
     learnt = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col))
     learnt = learnt.groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
     chosen = learnt.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(limit)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.join(F.broadcast(chosen), "id").select("id", "y", "text")
+    found = rows.join(F.broadcast(chosen), "id").select("id", "y", "text", F.xxhash64("text").alias("hash"))
+    found = found.join(found.groupBy("id").agg(F.min("hash").alias("hash")), ["id", "hash"], "left_semi").dropDuplicates(["id"]).drop("hash")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

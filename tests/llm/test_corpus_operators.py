@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparkloom.llm import components, merkle, mixing, queries, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -241,6 +243,16 @@ def test_block_max_search_is_exact(monkeypatch, frequent):
         assert [(-c, i) for c, i in zip(cosine.tolist(), rows.tolist())] == sorted(all_)[:15]
 
 
+def test_sample_takes_one_row_of_a_repeated_id(spark):
+    """A labelled id that 10,000 rows share brings one of them, the same whatever their order."""
+    texts = [(i, f"text {i} of some words") for i in range(40)] + [(7, f"copy {n % 50} of the words") for n in range(10_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("hash", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    taken = [sorted(map(tuple, toxicity.sample_labelled(d, labels, "toxic", 30, "doc_id", "text").select("id", "y", "text").collect())) for d in (docs, docs.repartition(7).orderBy(F.desc("text")))]
+    assert taken[0] == taken[1] and len(taken[0]) <= 30 and len({i for i, _, _ in taken[0]}) == len(taken[0])
+    assert toxicity.train(docs, labels).index.labels.size <= 40
+
+
 def edited(texts, i):
     text, nxt = texts[i], texts[(i + 1) % len(texts)]
     q = len(text) // 4
