@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rank import global_rank
+
 
 def ranking_metrics(rows: DataFrame, qid: str, rank: str, gain: str, total: str, k: int) -> DataFrame:
     """Precision, recall, F1, average precision, reciprocal rank and NDCG of each query's first k results.
@@ -103,7 +105,7 @@ def cluster_quality(rows: DataFrame, truth: str, cluster: str, beta: float = 1.0
 
 
 def heaps_zipf(docs: DataFrame, tokens: Column, order: str) -> DataFrame:
-    """``log10(vocabulary) = a + b log10(tokens)`` fitted over documents in order, and mean and deviation of rank * frequency.
+    """``log10(vocabulary) = a + b log10(tokens)`` fitted over documents in order.
 
     A term is new where it first stands, so the vocabulary so far is a running sum of first places. Running sums over
     the documents, one number each, are made within ranges of the order and then shifted by the ranges before.
@@ -126,3 +128,21 @@ def heaps_zipf(docs: DataFrame, tokens: Column, order: str) -> DataFrame:
     points = run.join(F.broadcast(ends), "part").select(F.log10(F.col("t") + F.col("t0")).alias("x"), F.log10(F.col("v") + F.col("v0")).alias("y"))
     points = points.where("x is not null and y is not null")
     return points.agg(F.round(F.regr_slope("y", "x"), 5).alias("heaps_b"), F.round(F.regr_intercept("y", "x"), 5).alias("heaps_a"), F.count("*").alias("points"))
+
+
+def zipf_ranks(docs: DataFrame, tokens: Column) -> DataFrame:
+    """``rank, term, cf, product`` of every term, most frequent first, ties by term; ``product`` is rank * cf.
+
+    Ranks are global, from ranges of the order and the sizes of those before (``plans.rank``).
+    """
+    counts = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    ranked = global_rank(counts, [F.desc("cf"), F.asc("term")])
+    return ranked.select("rank", "term", "cf", (F.col("rank") * F.col("cf")).alias("product"))
+
+
+def zipf_fit(ranks: DataFrame, top: int = 25) -> DataFrame:
+    """Mean and deviation (of the whole population) of rank * cf, over the ``top`` terms and over all: one row."""
+    head = F.when(F.col("rank") <= top, F.col("product"))
+    return ranks.agg(
+        F.count("*").alias("terms"), F.avg(head).alias("top_mean"), F.stddev_pop(head).alias("top_deviation"), F.avg("product").alias("mean"), F.stddev_pop("product").alias("deviation")
+    )

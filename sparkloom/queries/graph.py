@@ -319,3 +319,23 @@ def cluster_quality(t: Tables) -> DataFrame:
 def heaps_zipf(t: Tables) -> DataFrame:
     """A15."""
     return E.heaps_zipf(t.documents, X.ir_tokens(F.col("text")), "doc_id")
+
+
+ZIPF = r"""z AS (SELECT term, count(*) AS cf FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9#\-\+/]+')) AS term FROM documents) GROUP BY term),
+    r AS (SELECT row_number() OVER (ORDER BY cf DESC, term) AS rank, term, cf FROM z)"""
+
+
+@query(f"WITH {ZIPF} SELECT rank, term, cf, rank * cf AS product FROM r")
+def zipf_ranks(t: Tables) -> DataFrame:
+    """Rank and frequency of every term."""
+    return E.zipf_ranks(t.documents, X.ir_tokens(F.col("text")))
+
+
+@query(
+    f"""WITH {ZIPF}, p AS (SELECT rank, rank * cf AS product FROM r) SELECT count(*) AS terms, round(avg(product) FILTER (rank <= 25), 4) AS top_mean,
+    round(stddev_pop(product) FILTER (rank <= 25), 4) AS top_deviation, round(avg(product), 4) AS mean, round(stddev_pop(product), 4) AS deviation FROM p"""
+)
+def zipf_fit(t: Tables) -> DataFrame:
+    """How even rank * frequency is, over the first 25 terms and over all."""
+    fit = E.zipf_fit(E.zipf_ranks(t.documents, X.ir_tokens(F.col("text"))))
+    return fit.select("terms", *(F.round(c, 4).alias(c) for c in ("top_mean", "top_deviation", "mean", "deviation")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import cluster_rounds as R
 from ..operators import learn as L
 from ..operators.relational import top_per_group
 from ..plans.cut import checkpoint, small
@@ -167,6 +168,19 @@ def buckshot_clusters(t: Tables) -> DataFrame:
     return L.buckshot(t.embeddings, "vec_id", "embedding", 8)
 
 
+@query()
+def choose_k(t: Tables) -> DataFrame:
+    """K3: the number of clusters of vectors, all from three to eight in the same passes; the vocabulary is the number of dimensions."""
+    found = R.choose_k(t.embeddings, "vec_id", "embedding", vocabulary=t.embeddings.select(F.size("embedding")).first()[0])
+    return found.select("k", F.round("rss", 6).alias("rss"), F.round("aic", 6).alias("aic"), "chosen")
+
+
+@query()
+def divisive_clusters(t: Tables) -> DataFrame:
+    """K5: six clusters by splits."""
+    return R.divisive(t.embeddings, "vec_id", "embedding", 6)
+
+
 RISK = {"l_quantity": (25.0, 25.0, 14.0, 0.8), "l_discount": (0.05, 0.05, 0.03, -0.5), "l_tax": (0.04, 0.04, 0.02, 0.3)}
 Z = {n: f"((coalesce({n}, {med}) - {mean}) / {dev})" for n, (med, mean, dev, _) in RISK.items()}
 
