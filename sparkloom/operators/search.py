@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ir_tokens, jaccard, kgrams
+from ..functions.text import ir_tokens, jaccard, kgrams, soundex_strict
 from ..plans.cut import checkpoint, small
 from .relational import top_per_group
 
@@ -52,6 +52,51 @@ def spelling(vocab: DataFrame, words: DataFrame, word: str, pool: int = 128, lea
     return top_per_group(near, [word], [F.asc("distance"), F.desc("df"), F.asc("term")], 1, "nth").select(word, "term", "distance", "df")
 
 
+def sound_index(vocab: DataFrame) -> DataFrame:
+    """``vocab`` with each term's first letter, length and Soundex code, the keys that candidates are found by."""
+    return vocab.select("term", "df", F.left("term", F.lit(1)).alias("head"), F.length("term").alias("size"), soundex_strict(F.col("term")).alias("sound"))
+
+
+def corrections(
+    asked: DataFrame, vocab: DataFrame, index: DataFrame, doc: str, rare: int = 4, pool: int = 128, near_pool: int = 10, least: float = 0.18, most: int = 2
+) -> DataFrame:
+    """``word, left, right, term, tier, distance, context, df`` for the words that are corrected.
+
+    ``asked`` holds words with their neighbours, ``left`` and ``right``, null where there is none. A word of five letters or more that
+    ``rare`` documents or fewer hold is tried. Candidates begin with its letter, have a length within ``most`` of its own (three at least), and are
+    the ``pool`` most frequent such terms, or the ``near_pool`` where the word has a neighbour; those whose 3-grams are too unlike go. Of those
+    within ``most`` edits the least distance wins, then the number of documents in which the neighbours stand beside the candidate, then df.
+    Where there is none, one with the same Soundex code does, by neighbours and df. A correction is adopted only if documents of ``index`` hold it.
+    """
+    words = asked.select("word", "left", "right").distinct().where((F.length("word") >= 5) & ~F.contains("word", F.lit(" ")))
+    keyed = sound_index(vocab)
+    held = words.join(keyed.select(F.col("term").alias("word"), F.col("df").alias("own")), "word", "left").where(F.coalesce("own", F.lit(0)) <= rare).drop("own")
+    held = checkpoint(held)
+    # of each first letter and length, no more than the pool can be among the candidates
+    heads = top_per_group(keyed, ["head", "size"], [F.desc("df"), F.asc("term")], pool, "nth").drop("nth")
+    length = F.length("word")
+    sizes = F.sequence(F.greatest(F.lit(3), length - most), length + most)
+    own = held.select("word").distinct().select("word", F.left("word", F.lit(1)).alias("head"), F.explode(sizes).alias("size"))
+    near = own.join(heads, ["head", "size"]).drop("head", "size")
+    near = top_per_group(near, ["word"], [F.desc("df"), F.asc("term")], pool, "nth").where(F.col("term") != F.col("word"))
+    near = near.where(jaccard(kgrams(F.col("word")), kgrams(F.col("term"))) >= least)
+    distance = F.levenshtein("word", "term", most)
+    near = near.withColumn("distance", F.when(distance >= 0, distance)).withColumn("alike", F.coalesce(soundex_strict(F.col("word")) == F.col("sound"), F.lit(False)) & (F.col("sound") != ""))
+    near = near.where(F.col("distance").isNotNull() | F.col("alike"))
+    beside = F.col("left").isNotNull() | F.col("right").isNotNull()
+    met = checkpoint(held.join(near, "word").where(~beside | (F.col("nth") <= near_pool)))
+    pairs = met.select(F.col("left").alias("a"), F.col("term").alias("b")).union(met.select(F.col("term").alias("a"), F.col("right").alias("b"))).dropna()
+    counted = checkpoint(bigram_counts(index, pairs, doc))
+    before, after = counted.select(F.col("a").alias("left"), F.col("b").alias("term"), F.col("n").alias("n_left")), counted.select(F.col("a").alias("term"), F.col("b").alias("right"), F.col("n").alias("n_right"))
+    scored = met.join(before, ["left", "term"], "left").join(after, ["term", "right"], "left")
+    scored = scored.withColumn("context", F.coalesce("n_left", F.lit(0)) + F.coalesce("n_right", F.lit(0)))
+    scored = scored.withColumn("tier", F.when(F.col("distance").isNotNull(), "edit").otherwise("sound")).withColumn("__l", F.coalesce("left", F.lit(""))).withColumn("__r", F.coalesce("right", F.lit("")))
+    order = [F.asc("tier"), F.asc("distance"), F.desc("context"), F.desc("df"), F.asc("term")]
+    best = top_per_group(scored, ["word", "__l", "__r"], order, 1, "first")
+    adopted = best.join(index.select("term").distinct(), "term", "left_semi")
+    return adopted.select("word", "left", "right", "term", "tier", "distance", "context", "df")
+
+
 def bigram_counts(index: DataFrame, pairs: DataFrame, doc: str) -> DataFrame:
     """``a, b, n``: in how many documents the words of each pair ``(a, b)`` stand side by side in this order."""
     places = index.select("term", doc, F.explode("places").alias("place"))

@@ -122,6 +122,40 @@ def spell_suggest(t: Tables) -> DataFrame:
     return S.spelling(S.vocabulary(_index(t), "chunk_id"), words, "word")
 
 
+def _sound(x: str) -> str:
+    """The Soundex code of a term, in SQL."""
+    letters = f"regexp_replace(upper({x}), '[^A-Z]', '', 'g')"
+    once = f"translate({letters}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000')"
+    for digit in "0123456":
+        once = f"regexp_replace({once}, '{digit}+', '{digit}', 'g')"
+    return f"CASE WHEN {letters} = '' THEN '' ELSE rpad(left({letters}, 1) || replace(substr({once}, 2), '0', ''), 4, '0') END"
+
+
+@query(
+    f"""WITH {POST}, {VOCAB}, k AS (SELECT item_id, unnest({TOK}) AS word, generate_subscripts({TOK}, 1) AS i FROM benchmark),
+    o AS (SELECT word, lag(word) OVER (PARTITION BY item_id ORDER BY i) AS l, lead(word) OVER (PARTITION BY item_id ORDER BY i) AS r FROM k),
+    w AS (SELECT DISTINCT word, l, r FROM o LEFT JOIN v ON o.word = v.term WHERE length(word) >= 5 AND coalesce(df, 0) <= 4),
+    c AS (SELECT u.word, v.term, v.df, row_number() OVER (PARTITION BY u.word ORDER BY v.df DESC, v.term) AS n FROM (SELECT DISTINCT word FROM w) u JOIN v ON left(u.word, 1) = left(v.term, 1)
+      AND length(v.term) BETWEEN greatest(3, length(u.word) - 2) AND length(u.word) + 2),
+    g AS (SELECT word, term, df, n, levenshtein(word, term) AS lev, {_sound('word')} = {_sound('term')} AND {_sound('term')} <> '' AS alike FROM c WHERE n <= 128 AND word <> term
+      AND len(list_intersect({_grams('word')}, {_grams('term')})) / len(list_distinct(list_concat({_grams('word')}, {_grams('term')}))) >= 0.18),
+    m AS (SELECT w.word, l, r, term, df, CASE WHEN lev <= 2 THEN lev END AS distance FROM w JOIN g ON w.word = g.word WHERE (lev <= 2 OR alike) AND (n <= 10 OR l IS NULL AND r IS NULL)),
+    b AS (SELECT x.term AS a, y.term AS b, count(DISTINCT x.chunk_id) AS n FROM p x JOIN p y ON x.chunk_id = y.chunk_id AND y.place = x.place + 1
+      WHERE (x.term, y.term) IN (SELECT (l, term) FROM m UNION SELECT (term, r) FROM m) GROUP BY ALL),
+    s AS (SELECT m.*, coalesce(b1.n, 0) + coalesce(b2.n, 0) AS context FROM m LEFT JOIN b b1 ON b1.a = l AND b1.b = term LEFT JOIN b b2 ON b2.a = term AND b2.b = r)
+    SELECT word, l AS left_word, r AS right_word, term, CASE WHEN distance IS NULL THEN 'sound' ELSE 'edit' END AS tier, distance::INT AS distance, context, df FROM (SELECT *, row_number() OVER
+      (PARTITION BY word, l, r ORDER BY distance IS NULL, distance, context DESC, df DESC, term) AS nth FROM s) WHERE nth = 1"""
+)
+def spell_cascade(t: Tables) -> DataFrame:
+    """Corrections of the rare words of the benchmark passages by edits, neighbours, df and, last, sound."""
+    index = checkpoint(_index(t))
+    order = Window.partitionBy("item_id").orderBy("i")
+    words = t.benchmark.select("item_id", F.posexplode(X.ir_tokens(F.col("text"))).alias("i", "word"))
+    asked = words.select("word", F.lag("word").over(order).alias("left"), F.lead("word").over(order).alias("right"))
+    found = S.corrections(asked, S.vocabulary(index, "chunk_id"), index, "chunk_id")
+    return found.withColumnRenamed("left", "left_word").withColumnRenamed("right", "right_word")
+
+
 @query(
     """SELECT a.p_partkey, CASE WHEN levenshtein(a.p_name, a.p_type) > 12 THEN 13 ELSE levenshtein(a.p_name, a.p_type) END::INT AS distance FROM part a"""
 )
@@ -138,7 +172,7 @@ def kgram_jaccard(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(X.jaccard(X.kgrams(F.col("p_name")), X.kgrams(F.col("p_type"))), 6).alias("j"))
 
 
-@query()
+@query(f"SELECT c_custkey, {_sound('c_name')} AS code FROM customer")
 def soundex_codes(t: Tables) -> DataFrame:
     """B11."""
     return t.customer.select("c_custkey", X.soundex_strict(F.col("c_name")).alias("code"))
