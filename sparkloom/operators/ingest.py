@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,55 +12,64 @@ from pyspark.sql import functions as F
 
 ROOT = "Documento"
 
-HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*$")
-CHECK = re.compile(r"^\s*[-*]\s+\[[ xX]\]\s+")
-ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
+#: Marks of lines; a heading's and a table's stand at the line's beginning, a check item is a list item as well.
+HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
+TABLE = re.compile(r"^\|.+\|$")
+CHECK = re.compile(r"^\s*[-*+]\s+\[[-xX]\]\s+")
+ITEM = re.compile(r"^\s*[-*+]\s+")
+
+
+def line_kind(line: str) -> str:
+    """What a line begins, the first that fits: heading, fence, table, check list, list, paragraph, or nothing."""
+    if HEADING.match(line):
+        return "section_header"
+    if line.strip().startswith("```"):
+        return "code_block"
+    for kind, mark in (("table", TABLE), ("checklist", CHECK), ("list", ITEM)):
+        if mark.match(line):
+            return kind
+    return "paragraph" if line.strip() else ""
+
+
+def goes_on(kind: str, line: str) -> bool:
+    """Whether a line belongs to the block of this kind before it; lists take indented lines, and plain ones check items as well."""
+    if kind in ("checklist", "list") and line.startswith(("    ", "\t")):
+        return True
+    found = line_kind(line)
+    return found == kind and kind != "section_header" or (kind, found) == ("list", "checklist")
 
 
 def markdown_blocks(text: str) -> list[tuple[str, str, str]]:
-    """(type, text, section path) of a Markdown text in order.
+    """(type, text, section path) of a Markdown text in order; texts are whole lines as they stand.
 
-    Of heading, fence, table, check list, list and paragraph the first that fits a line decides its block; a heading of
-    level n replaces the path from its n-th part on.
+    A heading of level n replaces the path from its n-th part on; a fenced block ends with its fence or the text. Check items
+    interrupt no paragraph but as items of a list, which do.
     """
     out: list[tuple[str, str, str]] = []
     path = [ROOT]
-    kind, lines = "", []
+    kind, lines, fenced = "", [], False
 
     def flush() -> None:
-        nonlocal kind, lines
-        body = "\n".join(lines).strip()
-        if body:
-            out.append((kind, body, " > ".join(path)))
-        kind, lines = "", []
-
-    fenced = False
-    for line in text.splitlines():
-        bare = line.strip()
+        if lines:
+            out.append((kind, "\n".join(lines), " > ".join(path)))
+            lines.clear()
+
+    for line in text.split("\n"):
         if fenced:
             lines.append(line)
-            if bare.startswith("```"):
-                fenced = False
-                flush()
-            continue
-        if m := HEADING.match(bare):
-            flush()
-            path = [*path[: len(m[1])], m[2]]
-            out.append(("section_header", m[2], " > ".join(path)))
+            fenced = line_kind(line) != "code_block" and not line.strip().startswith("```")
             continue
-        if bare.startswith("```"):
-            flush()
-            kind, lines, fenced = "code_block", [line], True
+        if lines and kind != "code_block" and goes_on(kind, line):
+            lines.append(line)
             continue
-        new = "table" if bare.startswith("|") else "checklist" if CHECK.match(line) else "list" if ITEM.match(line) else "paragraph"
-        if not bare:
-            flush()
-        elif kind and kind != new:
-            flush()
-            kind, lines = new, [line]
-        else:
-            kind = new
+        flush()
+        kind = line_kind(line)
+        if kind == "section_header":
+            level, title = HEADING.match(line).groups()
+            path = [*path[: len(level)], title]
+        if kind:
             lines.append(line)
+        fenced = kind == "code_block"
     flush()
     return out
 
@@ -80,73 +90,115 @@ def tokens_of(text: str) -> int:
     return max(1, len(text) // 4)
 
 
-def _pieces(text: str, budget: int) -> list[str]:
-    """Parts of a text within a budget: lines, else sentences, else words."""
+def _packed(units: list[str], budget: int) -> list[str]:
+    """Units put together with spaces, as many as a budget allows; one above it stands alone."""
+    out: list[list[str]] = []
+    used = 0
+    for unit in units:
+        cost = tokens_of(unit)
+        if not out or used + cost > budget:
+            out.append([])
+            used = 0
+        out[-1].append(unit)
+        used += cost
+    return [" ".join(group) for group in out]
+
+
+def pieces(text: str, budget: int) -> list[str]:
+    """Parts of a text within a budget: of its lines, else of its sentences (which also end at : and ;), else of its words.
+
+    A line or sentence that is too long by itself falls into its words at once. Only a single word can be above the budget.
+    """
     if tokens_of(text) <= budget:
         return [text]
-    for cut in (text.split("\n"), re.split(r"(?<=[.!?])\s+", text), text.split()):
-        parts = [p for p in cut if p.strip()]
-        if len(parts) > 1:
-            glue = "\n" if "\n" in text and cut[0] != text else " "
-            merged: list[str] = []
-            for p in parts:
-                if merged and tokens_of(merged[-1] + glue + p) <= budget:
-                    merged[-1] += glue + p
-                else:
-                    merged.append(p)
-            return [q for m in merged for q in (_pieces(m, budget) if len(merged) > 1 else [m])]
-    return [text]
-
-
-def _tail(text: str, budget: int) -> str:
-    """The longest run of last words within a budget, each word costing one at least."""
-    kept: list[str] = []
-    used = 0
-    for word in reversed(text.split()):
-        used += tokens_of(word)
-        if used > budget:
-            break
-        kept.append(word)
-    return " ".join(reversed(kept))
+    lines = [line.strip() for line in text.splitlines() if line.strip()]
+    units = lines if len(lines) > 1 else [x.strip() for x in re.split(r"(?<=[.!?:;])\s+", text) if x.strip()]
+    if len(units) < 2:
+        return _packed(text.split(), budget) or [text]
+    out: list[str] = []
+    for long, run in groupby(units, key=lambda u: tokens_of(u) > budget):
+        out += [part for unit in run for part in _packed(unit.split(), budget)] if long else _packed(list(run), budget)
+    return out
+
+
+def tail(text: str, budget: int) -> str:
+    """The longest run of last words within a budget, but the last word at least if the budget is not 0."""
+    words = text.split()
+    costs = accumulate(tokens_of(w) for w in reversed(words))
+    n = max(1, sum(1 for used in costs if used <= budget))
+    return " ".join(words[-n:]) if budget > 0 and words else ""
 
 
-def pack(parts: list[tuple[str, str]], size: int = 384, overlap: int = 64) -> list[tuple[str, str, int]]:
-    """Greedy chunks (text, section, tokens) of (text, section) blocks; every further part costs two more."""
-    out: list[tuple[str, str, int]] = []
+def pack(parts: list[tuple[str, ...]], size: int = 384, overlap: int = 64, sections: bool = False, bare: bool = False) -> list[tuple[str, str, int, str]]:
+    """Greedy chunks (text, section, tokens, type) of blocks (text, section, type).
+
+    Each part costs two more. A chunk ends where the next part would make it larger than ``size``, and its last words begin the next
+    one. Section and type are those of its last part; its tokens are estimated from its text. With ``sections`` a chunk also ends
+    where the section does, without overlap; with that or ``bare`` headings are no text of their own.
+    """
+    out: list[tuple[str, str, int, str]] = []
     held: list[str] = []
-    used, section = 0, ROOT
-    budget = max(32, int(0.9 * size))
-    for text, where in parts:
-        for piece in _pieces(text, budget):
-            cost = tokens_of(piece) + (2 if held else 0)
+    used, section, kind = 0, "?", "paragraph"
+
+    def flush(keep: int) -> None:
+        nonlocal used
+        text = "\n".join(held).strip()
+        rest = tail(text, keep)
+        held[:] = [rest] if rest else []
+        used = tokens_of(rest) + 2 if rest else 0
+        if text:
+            out.append((text, section, tokens_of(text), kind))
+
+    for part in parts:
+        text, where, own = part[0].strip(), part[1], part[2] if len(part) > 2 else "paragraph"
+        if not text:
+            continue
+        heading = own == "section_header" and (sections or bare)
+        if sections and held and (heading or where != section):
+            flush(0)
+        if heading:
+            section, kind = where, own
+            continue
+        for piece in pieces(text, max(32, int(0.9 * size))):
+            cost = tokens_of(piece)
             if held and used + cost > size:
-                out.append(("\n\n".join(held), section, used))
-                tail = _tail(out[-1][0], overlap)
-                held = [tail] if tail else []
-                used = tokens_of(tail) if tail else 0
-                cost = tokens_of(piece) + (2 if held else 0)
-            if not held or used == 0:
-                section = where
+                flush(overlap)
             held.append(piece)
-            used += cost
-    if held:
-        out.append(("\n\n".join(held), section, used))
+            used, section, kind = used + cost + 2, where, own
+    flush(0)
     return out
 
 
-def chunks(docs: DataFrame, doc: str, text: str, size: int = 384, overlap: int = 64) -> DataFrame:
-    """D1, D5-D7 for every document: ``doc, chunk_index, chunk_text, section_path, tokens_count``."""
+def with_context(text: str, title: str, section: str, limit: int = 180) -> str:
+    """A chunk's text behind the title of its document and its section, which take up to ``limit`` characters (40 at least)."""
+    head = " | ".join([f"Documento: {title.strip()}"] * bool(title.strip()) + [f"Seccion: {section.strip()}"] * (section.strip() not in ("", "?", ROOT)))
+    limit = max(40, limit)
+    head = head if len(head) <= limit else head[:limit].rstrip(" |")
+    return f"{head}\nContenido: {text}" if head else text
+
+
+def chunks(
+    docs: DataFrame, doc: str, text: str, size: int = 384, overlap: int = 64, title: str | None = None, sections: bool = False, context: bool = False, limit: int = 180
+) -> DataFrame:
+    """D1, D5-D7 for every document: ``doc, chunk_index, chunk_text, section_path, tokens_count, content_type``.
+
+    ``sections`` keeps chunks within sections; ``context`` puts the document's title (column ``title``) and the section before the text.
+    A null text has no chunks, a null title is none.
+    """
     id_type = docs.schema[doc].dataType.simpleString()
+    rows = docs.select(F.col(doc), F.col(text).alias("__text"), (F.col(title) if title else F.lit("")).cast("string").alias("__title"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for d, t in zip(frame[doc], frame[text]):
-                parts = [(b[1], b[2]) for b in markdown_blocks(t or "")]
-                rows += [(d, i, *c) for i, c in enumerate(pack(parts, size, overlap))]
-            yield pd.DataFrame(rows, columns=[doc, "chunk_index", "chunk_text", "section_path", "tokens_count"])
-
-    return docs.select(doc, text).mapInPandas(run, f"{doc} {id_type}, chunk_index int, chunk_text string, section_path string, tokens_count int")
+            out = []
+            for d, t, name in zip(frame[doc], frame["__text"], frame["__title"]):
+                parts = [(body, where, kind) for kind, body, where in markdown_blocks(t or "")]
+                for i, (body, where, n, kind) in enumerate(pack(parts, size, overlap, sections, context)):
+                    whole = with_context(body, name or "", where, limit) if context else body
+                    out.append((d, i, whole, where, tokens_of(whole) if context else n, kind))
+            yield pd.DataFrame(out, columns=[doc, "chunk_index", "chunk_text", "section_path", "tokens_count", "content_type"])
+
+    return rows.mapInPandas(run, f"{doc} {id_type}, chunk_index int, chunk_text string, section_path string, tokens_count int, content_type string")
 
 
 def decorate(text: Column, title: Column, section: Column, limit: int = 180) -> Column:
