@@ -253,3 +253,25 @@ def layout_blocks(t: Tables) -> DataFrame:
     pages = F.array(*(F.struct(F.array(b).alias("blocks")) for b in (block("Title", F.col("source")), block("equation", F.col("lang")), block("other", F.lit("x")))))
     rows = t.documents.select("doc_id", F.to_json(F.struct(pages.alias("pages"))).alias("json"))
     return blocks(rows, "doc_id", "json").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "nth")).alias("n"), "type", "content", "page").select("doc_id", (F.col("n") - 1).alias("nth"), "type", "content", "page")
+
+
+@query("SELECT doc_id, sha256(text) AS key, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) AS first_run, false AS second_run, 8 AS size FROM documents")
+def vector_cache(t: Tables) -> DataFrame:
+    """Which vectors a cache that knows a third of the documents has for all of them, and which must be computed afterwards: none."""
+    from ..operators.vector import hash_embedding
+    from ..plans.cut import checkpoint, new_folder, remove
+    from ..sources.vector_cache import VectorCache
+
+    path = new_folder(t.spark, "vector-cache")
+    cache = VectorCache(t.spark, path)
+    compute = lambda rows: rows.select("key", hash_embedding(F.col("text"), 8).alias("vector"))
+    cache.with_vectors(t.documents.where("doc_id % 3 = 0").select("text"), "text", compute)
+    before = checkpoint(cache.vectors().select("key", F.lit(True).alias("had")))
+    whole = cache.with_vectors(t.documents.select("doc_id", "text"), "text", compute)
+    missed: list[int] = []
+    again = cache.with_vectors(t.documents.select("text"), "text", lambda rows: missed.append(1) or compute(rows))
+    found = whole.join(before, "key", "left").select("doc_id", "key", F.coalesce("had", F.lit(False)).alias("first_run"), F.lit(bool(missed)).alias("second_run"), F.size("vector").alias("size"))
+    del again
+    found = checkpoint(found)
+    remove(t.spark, path)
+    return found

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import catalogue as C
 from ..operators import routing as O
 from ..operators.ingest import discourse_units
 from .registry import Tables, query
@@ -258,3 +259,42 @@ def query_compaction(t: Tables) -> DataFrame:
     """Turns in their parts, and complex ones in eight words."""
     none = F.array().cast("array<string>")
     return t.conversations.select("conv_id", "turn", O.segments(F.col("text")).alias("parts"), O.compacted(F.col("text"), O.complexity(F.col("text")), none).alias("compact"))
+
+
+def _count(words: tuple[str, ...], text: str) -> str:
+    return "(" + " + ".join(f"contains({text}, '{w}')::INT" for w in words) + ")"
+
+
+_FOLD = r"regexp_replace(strip_accents(lower({})), '[^\x00-\x7F]', '', 'g')"
+#: Passages as questions of four kinds, and documents as sections with marks of the catalogue's rules before them.
+_ASKED = "CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' pasos' WHEN 2 THEN text || ' manejo en perforacion' ELSE text || ' acciones en abdomen' END"
+_MARKS = ("", "Manejo y exploracion abdominal. ", "Validacion, perforacion. ", "Analítica, constantes. ", "")
+
+
+@query(
+    f"""WITH q AS (SELECT item_id AS qid, {_FOLD.format(_ASKED)} AS low FROM benchmark),
+    f AS (SELECT qid, list_distinct(regexp_extract_all(low, '[a-z0-9]{{3,}}')) AS w, {_count(C.GENERIC_QUESTION, 'low')} > 0 AS g, {_count(C.SPECIFIC, 'low')} = 0 AS o, {_count(C.ABDOMINAL_QUESTION, 'low')} > 0 AS b FROM q),
+    s AS (SELECT source, doc_id AS section, lang, left(CASE doc_id % 5 {' '.join(f"WHEN {i} THEN '{m}' || text" for i, m in enumerate(_MARKS))} END, 620) AS t FROM documents),
+    m AS (SELECT *, {_FOLD.format('t')} AS low FROM s), k AS (SELECT *, list_distinct(regexp_extract_all(low, '[a-z0-9]{{3,}}')) AS w, 2 * {_count(C.OPERATIONAL, 'low')} - 2 * {_count(C.NOT_OPERATIONAL, 'low')} AS mg,
+      3 * {_count(C.NEUTRAL, 'low')} - 3 * {_count(C.SPECIFIC, 'low')} AS mo, 3 * {_count(C.ABDOMINAL, 'low')} AS mb FROM m),
+    c AS (SELECT CASE lang WHEN 'de' THEN 'gastro_hepato' ELSE lang END AS domain, source FROM (SELECT DISTINCT lang, source FROM documents WHERE lang IN ('de', 'en'))),
+    x AS (SELECT qid, domain, c.source, section, t, len(list_intersect(f.w, k.w)) + CASE WHEN g THEN mg ELSE 0 END + CASE WHEN g AND o THEN mo ELSE 0 END + CASE WHEN b AND domain = 'gastro_hepato' THEN mb ELSE 0 END AS score
+      FROM f, c JOIN k ON k.source = c.source),
+    y AS (SELECT *, row_number() OVER (PARTITION BY qid, domain, source ORDER BY score DESC, section) AS r FROM x WHERE score > 0)
+    SELECT qid, rank, domain, source, section_text, score FROM (SELECT qid, domain, source, left(t, 280) AS section_text, score::BIGINT AS score,
+      row_number() OVER (PARTITION BY qid ORDER BY score DESC, domain, source)::INT AS rank FROM y WHERE r = 1) WHERE rank <= 3"""
+)
+def catalogue_sources(t: Tables) -> DataFrame:
+    """The three best of the sources of two languages for each passage, by their best documents."""
+    n, text = F.col("item_id") % 4, F.col("text")
+    asked = F.when(n == 0, text).when(n == 1, F.concat(text, F.lit(" pasos"))).when(n == 2, F.concat(text, F.lit(" manejo en perforacion"))).otherwise(F.concat(text, F.lit(" acciones en abdomen")))
+    questions = t.benchmark.select(F.col("item_id").alias("qid"), asked.alias("text"))
+    mark = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    sections = t.documents.select("source", F.col("doc_id").alias("section"), F.left(F.concat(mark, "text"), F.lit(C.LONG_SECTION)).alias("text"))
+    domains = t.spark.createDataFrame([(0, "en", "English", ""), (1, "gastro_hepato", "German", "")], "nth int, domain string, label string, summary string")
+    matched = questions.select("qid").crossJoin(F.broadcast(domains))
+    named = F.when(F.col("lang") == "de", "gastro_hepato").otherwise(F.col("lang"))
+    listed = t.documents.where(F.col("lang").isin("de", "en")).select(named.alias("domain"), "source").distinct()
+    listed = listed.select("domain", F.row_number().over(Window.partitionBy("domain").orderBy("source")).alias("nth"), F.col("source").alias("title"), "source")
+    found = C.catalogue_sources(questions, matched, listed, sections, "qid").where("source <> 'domain_catalog'")
+    return found.select("qid", "rank", "domain", "source", F.col("snippet").alias("section_text"), "score")
