@@ -2,8 +2,8 @@
 
 A text is cut, without loss, by what stands at a cut and never by how far it lies from the beginning, so that an edit
 changes the pieces that it touches and no others. Paragraphs end at line ends; sections end at blank lines and after lines
-whose last sign is a cut sign. The leaves of a paragraph end behind white space after a cut sign, behind punctuation, and
-behind cut signs of scripts that know no spaces. Cut signs are a fixed share of all code points, by a rule on their
+whose last sign is a cut sign. The leaves of a paragraph are a few words each and begin at words that begin with a cut
+sign; in scripts that know no spaces they end behind cut signs and marks. Cut signs are a fixed share of all code points, by a rule on their
 numbers. A leaf's node is its SHA-256, a paragraph's that of its leaves' nodes, a section's that of its paragraphs', the
 root's that of the sections'; each level hashes its own prefix, so that no node of one level passes for another's. Equal
 roots mean equal texts; where roots differ, the branches whose nodes differ locate all edits. A fingerprint holds the root
@@ -29,14 +29,18 @@ def cut_signs(first: int, last: int, run: int, share: int) -> str:
 #: Cut signs: a quarter of the ASCII signs and of letters of scripts with spaces, an eighth of those of scripts without.
 ASCII, SPACED = cut_signs(0x21, 0x7E, 1, 4), cut_signs(0x80, 0x2DFF, 8, 4)
 UNSPACED = cut_signs(0x0E00, 0x0EFF, 1, 8) + cut_signs(0x1000, 0x109F, 1, 8) + cut_signs(0x1780, 0x17FF, 1, 8) + cut_signs(0x2E80, 0xD7FF, 16, 8)
-#: Punctuation marks that end a leaf.
-PUNCTUATION = ".!?,;、。！，；？،۔।"
-#: Where nothing cuts within so many signs, a leaf is so many short words, else so many signs.
-MOST, WORDS = 64, 4
-SECTION = rf"(?<=\n\n)|(?:(?<=[{ASCII}{PUNCTUATION}]\n)|(?<=[^\x00-\x7f]\n)(?<=[{SPACED}{UNSPACED}]\n))(?!\n)"
-#: Behind white space that follows a cut sign, behind punctuation, or behind a cut sign of a script without spaces.
-CUT = rf"(?<=[{ASCII}]\s)|(?<=[^\x00-\x7f]\s)(?<=[{SPACED}]\s)|(?<=[{PUNCTUATION}])|(?<=[^\x00-\x7f])(?<=[{UNSPACED}])"
-LEAF = rf"(?s).{{1,{MOST}}}?(?:{CUT}|\z)|(?:\S{{1,15}}\s){{{WORDS}}}|.{{1,{MOST}}}"
+#: Scripts that know no spaces, by their code points, with the marks that end their clauses.
+DENSE = r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{d7ff}\x{ff01}\x{ff0c}\x{ff1b}\x{ff1f}"
+MARKS = "、。！，；？"
+#: Words of a leaf, and signs of a word, where nothing cuts before.
+WORDS, LONG = 5, 32
+_GUARD = r"(?=[\x00-\x7f])"
+SECTION = rf"(?<=\n)(?:(?<=\n\n)|(?:(?<=[{ASCII}]\n)|(?<=[^\x00-\x7f]\n)(?<=[{SPACED}{UNSPACED}]\n))(?!\n))"
+_WORD = rf"[^\s{DENSE}]{{1,{LONG}}}+"
+LEAF = (
+    rf"(?s){_WORD}(?:\s++(?![{ASCII}])(?:{_GUARD}|(?![{SPACED}])){_WORD}){{0,{WORDS - 1}}}+\s*+|\s++"
+    rf"|[{DENSE}&&[^{UNSPACED}{MARKS}]]{{1,{LONG}}}+[{UNSPACED}{MARKS}]?|[{UNSPACED}{MARKS}]"
+)
 #: Leaves that a fingerprint holds, of 32 bits each: 64 + 1 + 512 characters at most.
 SKETCH = 96
 

@@ -145,19 +145,37 @@ def cut_sign(c, spaced):
 
 
 def leaf_set(text):
-    """The leaves of all paragraphs, sign by sign."""
+    """The leaves of all paragraphs, word by word."""
+    space, marks = " \t\n\x0b\f\r", "、。！，；？"
+    dense = lambda c: any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xD7FF))) or c in marks
     out = set()
     for paragraph in re.split("(?<=\n)", text):
-        cuts, space = set(), " \t\n\x0b\f\r"
-        for i, c in enumerate(paragraph):
-            if c in space and i and cut_sign(paragraph[i - 1], True) or c in ".!?,;、。！，；？،۔।" or ord(c) > 127 and cut_sign(c, False):
-                cuts.add(i + 1)
+        kinds = ["space" if c in space else "dense" if dense(c) else "word" for c in paragraph]
+
+        def run(i, most):
+            j = i
+            while j < len(paragraph) and kinds[j] == kinds[i] and j - i < most:
+                j += 1
+            return j
+
         at = 0
         while at < len(paragraph):
-            end = next((e for e in range(at + 1, min(at + 64, len(paragraph)) + 1) if e in cuts or e == len(paragraph)), None)
-            if end is None:
-                words = re.match(r"(?a:(\S{1,15}\s){4})", paragraph[at:])
-                end = at + (words.end() if words else 64)
+            end = at
+            if kinds[at] == "dense":
+                while end < len(paragraph) and kinds[end] == "dense" and end - at < 32 and not (paragraph[end] in marks or cut_sign(paragraph[end], False)):
+                    end += 1
+                if end < len(paragraph) and (paragraph[end] in marks or cut_sign(paragraph[end], False)):
+                    end += 1
+            elif kinds[at] == "space":
+                end = run(at, 10**9)
+            else:
+                end, words = run(at, 32), 1
+                while end < len(paragraph) and kinds[end] == "space":
+                    then = run(end, 10**9)
+                    if words == 5 or then == len(paragraph) or kinds[then] != "word" or cut_sign(paragraph[then], True):
+                        end = then
+                        break
+                    end, words = run(then, 32), words + 1
             out.add(paragraph[at:end])
             at = end
     return out
@@ -170,7 +188,7 @@ def section_cut(text):
     for last, line in zip(lines, lines[1:]):
         sign = last[-2:-1]
         blank = last == "\n" and len(out[-1]) > 1 or text == ""
-        cuts = sign and (cut_sign(sign, True) or sign in ".!?,;、。！，；？،۔।" or ord(sign) > 127 and cut_sign(sign, False)) and not line.startswith("\n")
+        cuts = sign and (cut_sign(sign, True) or ord(sign) > 127 and cut_sign(sign, False)) and not line.startswith("\n")
         if last == "\n" and (len(out) > 1 or len(out[-1]) > 1) or cuts or blank:
             out.append([])
         out[-1].append(line)
