@@ -172,7 +172,7 @@ def term_selection(docs: DataFrame, doc: str, label: str, tokens: Column, k: int
     df = cell.groupBy("term").agg(F.sum("a").alias("df"))
     size = docs.groupBy(label).agg(F.count("*").alias("nc"))
     whole = size.agg(F.sum("nc").alias("n_docs"))
-    t = cell.join(df, "term").join(F.broadcast(size), label).crossJoin(F.broadcast(whole))
+    t = cell.join(df, "term").join(small(size), label).crossJoin(F.broadcast(whole))
     n, a = F.col("n_docs").cast("double"), F.col("a").cast("double")
     b, c = F.col("df") - a, F.col("nc") - a
     d = n - a - b - c
@@ -196,9 +196,9 @@ def rocchio(vectors: DataFrame, labels: DataFrame, doc: str, label: str) -> Data
     """``doc, label, score``: cosine with each class's mean vector."""
     lab = vectors.join(labels, doc)
     size = labels.groupBy(label).agg(F.count("*").alias("n"))
-    mean = lab.groupBy(label, "term").agg(F.sum("w").alias("s")).join(F.broadcast(size), label).select(label, "term", (F.col("s") / F.col("n")).alias("c"))
+    mean = lab.groupBy(label, "term").agg(F.sum("w").alias("s")).join(small(size), label).select(label, "term", (F.col("s") / F.col("n")).alias("c"))
     norm = mean.groupBy(label).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    unit = mean.join(F.broadcast(norm), label).select(label, "term", (F.col("c") / F.col("norm")).alias("c"))
+    unit = mean.join(small(checkpoint(norm)), label).select(label, "term", (F.col("c") / F.col("norm")).alias("c"))
     return vectors.join(unit, "term").groupBy(doc, label).agg(F.sum(F.col("w") * F.col("c")).alias("score"))
 
 
@@ -330,7 +330,7 @@ def logistic_risk(rows: DataFrame, features: dict[str, tuple[float, float, float
 def bayes_update(prior: DataFrame, likelihood: DataFrame, key: str, hypothesis: str) -> DataFrame:
     """C11, C14: ``key, hypothesis, posterior``: prior times the product of clipped likelihoods, normalised for each key."""
     clipped = F.ln(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p"))))
-    joint = likelihood.groupBy(key, hypothesis).agg(F.sum(clipped).alias("l")).join(F.broadcast(prior), hypothesis)
+    joint = likelihood.groupBy(key, hypothesis).agg(F.sum(clipped).alias("l")).join(small(prior), hypothesis)
     w = Window.partitionBy(key)
     return joint.select(key, hypothesis, softmax(F.col("l") + F.ln("prior"), w).alias("posterior"))
 

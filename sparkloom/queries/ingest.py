@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ingest as I
+from ..plans.rank import global_rank
 from .registry import Tables, query
 
 
@@ -130,12 +131,11 @@ def specialty_backfill(t: Tables) -> DataFrame:
 BOX = ["event_id", "user_id AS page", "CASE WHEN event_id % 7 > 0 THEN value END AS y0", "CASE WHEN event_id % 5 > 0 THEN value % 10 END AS x0"]
 
 
-@query(f"SELECT event_id, page, row_number() OVER (ORDER BY page, coalesce(y0, 1e9), coalesce(x0, 1e9), event_id)::INT AS place FROM (SELECT {', '.join(BOX)} FROM events) ORDER BY place LIMIT 500")
+@query(f"SELECT event_id, page, row_number() OVER (ORDER BY page, coalesce(y0, 1e9), coalesce(x0, 1e9), event_id)::INT AS place FROM (SELECT {', '.join(BOX)} FROM events)")
 def block_order(t: Tables) -> DataFrame:
-    """The first 500 blocks in reading order; events are blocks, their users pages, and some have no box."""
-    first = I.reading_order(t.events.selectExpr(*BOX), "page", "x0", "y0", "event_id").limit(500)
-    w = Window.orderBy("page", F.coalesce("y0", F.lit(1e9)), F.coalesce("x0", F.lit(1e9)), "event_id")
-    return first.select("event_id", "page", F.row_number().over(w).alias("place"))
+    """All blocks in reading order; events are blocks, their users pages, and some have no box."""
+    order = [F.asc("page"), F.coalesce("y0", F.lit(1e9)).asc(), F.coalesce("x0", F.lit(1e9)).asc(), F.asc("event_id")]
+    return global_rank(t.events.selectExpr(*BOX), order, "place").select("event_id", "page", F.col("place").cast("int").alias("place"))
 
 
 @query(

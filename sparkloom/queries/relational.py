@@ -193,7 +193,7 @@ def lexicon_containment(t: Tables) -> DataFrame:
     """SELECT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 49"""
 )
 def postings_and(t: Tables) -> DataFrame:
-    """P1, P2."""
+    """Lists of ids met by an intersection, which Spark makes a join of both; P2's skips are a way of walking one list, and give the same."""
     a = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id"))
     return a.intersect(t.lineitem.where("l_discount > 0.09 and l_quantity > 49").select("l_suppkey"))
 

@@ -37,8 +37,9 @@ def _has(*terms: str) -> list[str]:
 
 @query(f"WITH {POST} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM p GROUP BY term")
 def vocab_df(t: Tables) -> DataFrame:
-    """Every term with its document and collection frequency."""
-    return _index(t).groupBy("term").agg(F.count_distinct("chunk_id").alias("df"), F.sum(F.size("places").cast("long")).alias("cf"))
+    """Every term with its document and collection frequency; terms are counted in their documents first, without places."""
+    own = t.documents.select("doc_id", F.explode(X.ir_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("WITH {} {} INTERSECT {}".format(POST, *_has("thre", "tion")))
@@ -443,13 +444,13 @@ PAIRED = "pr AS (SELECT DISTINCT a.term AS a, b.term AS b FROM (SELECT item_id,
 
 
 @query(
-    f"""WITH {POST}, k AS (SELECT item_id, list_slice({TOK}, 1, 5) AS w FROM benchmark), {PAIRED},
+    f"""WITH {POST}, k AS (SELECT item_id, {TOK} AS w FROM benchmark), {PAIRED},
     m AS (SELECT x.term AS a, y.term AS b, count(DISTINCT x.chunk_id) AS n FROM p x JOIN p y ON x.chunk_id = y.chunk_id AND y.place = x.place + 1 WHERE (x.term, y.term) IN (SELECT (a, b) FROM pr) GROUP BY ALL)
     SELECT a, b, coalesce(n, 0) AS n FROM pr LEFT JOIN m USING (a, b)"""
 )
 def context_bigrams(t: Tables) -> DataFrame:
-    """How often the first five words of each passage stand side by side in documents."""
-    words = t.benchmark.select(F.slice(X.ir_tokens(F.col("text")), 1, 5).alias("w"))
+    """How often the words of each passage stand side by side in documents."""
+    words = t.benchmark.select(X.ir_tokens(F.col("text")).alias("w"))
     pairs = words.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, greatest(size(w) - 1, 0))").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b"))).alias("p"))
     return S.bigram_counts(_index(t), pairs.select("p.a", "p.b"), "chunk_id")
 
@@ -479,13 +480,13 @@ def ordered_distinct(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT a.vec_id AS qid, b.vec_id, round(1 / (1 + list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0"""
+    """SELECT a.vec_id AS qid, b.vec_id, round(1 / (1 + list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 )
 def distance_scores(t: Tables) -> DataFrame:
-    """V3, V4: every 50th vector and the next."""
+    """V3, V4: every vector and the next."""
     from ..operators.vector import distance_score
 
-    a = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
+    a = t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
     both = a.join(t.embeddings.select("vec_id", "embedding"), F.col("vec_id") == F.col("qid") + 1)
     gap = F.aggregate(F.zip_with("e", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     return both.select("qid", "vec_id", F.round(distance_score(F.sqrt(gap)), 6).alias("score"))

@@ -77,11 +77,14 @@ def test_verifier(spark):
     assert {(x.d, x.score) for x in evidence.verified(frame, "q", "v", "r").collect()} == {("a", 0.8), ("b", 0.795), ("f", 0.6)}
 
 
-def test_compression():
+def test_compression(spark):
     text = "Primera frase sobre sepsis. " + "Otra frase larga sin relacion alguna con la pregunta. " * 3 + "Lactato y sepsis al final."
-    got = evidence.squeeze(text, {"sepsis", "lactato"}, 60)
-    assert got == "Primera frase sobre sepsis. Lactato y sepsis al final."
-    assert evidence.squeeze("corto", set(), 60) == "corto" and evidence.squeeze("x" * 100, set(), 60) == "x" * 60
+    rows = [(1, text, ["sepsis", "lactato"]), (2, "corto", []), (3, "x" * 100, []), (4, None, ["sepsis"]), (5, "", []), (6, " " * 80, []), (7, "A b c. " + "Sepsis " * 12 + ". D.", ["sepsis"])]
+    frame = spark.createDataFrame(rows, "id long, body string, asked array<string>").withColumn("text", F.lit("clash"))
+    got = {r["id"]: r for r in evidence.squeezed(frame, ["id"], "body", "asked", 60).collect()}
+    assert got[1]["text"] == "Primera frase sobre sepsis. Lactato y sepsis al final." and got[1]["chars"] == len(text)
+    assert got[2]["text"] == "corto" and got[3]["text"] == "x" * 60 and got[4]["text"] == got[5]["text"] == "" and got[6]["text"] == " " * 60
+    assert got[7]["text"] == ("Sepsis " * 12)[:60]  # the first one taken stays, however long
 
 
 def test_coherence_measures():
