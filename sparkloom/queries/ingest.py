@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ingest as I
+from ..operators import noise as N
 from ..plans.rank import global_rank
 from .registry import Tables, query
 
@@ -209,6 +210,43 @@ def snippet_clean(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.left(F.trim(bare), F.lit(220)).alias("snippet"))
 
 
+_HEADS = ("", "git pull app/x\n", "short\n\n", "See docs/40_motor.md and C:/notes/old/plan.pdf for the whole of it.\n", "{json}\n")
+#: Documents behind lines of several kinds.
+NOISED = f"CASE doc_id % 5 {' '.join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS))} END || text".replace("\n", "' || chr(10) || '")
+_LINES = "list_filter(regexp_split_to_array({}, '[\n\r]'), lambda x: trim(x) <> '')"
+
+
+def _noisy(x: str) -> str:
+    low = f"lower(trim({x}))"
+    return "(" + " OR ".join(f"contains({low}, '{m}')" for m in N.NOISE) + f" OR length(regexp_replace({low}, '[^\\p{{L}}]', '', 'g')) < {N.LETTERS})"
+
+
+def _noised() -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 5 + 1).cast("int")), "text")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, source, 'docs/' || (doc_id % 100)::VARCHAR || '_' || source AS file, {NOISED} AS t FROM documents), l AS (SELECT doc_id, source, file, {_LINES.format('t')}[1:8] AS h FROM d),
+    n AS (SELECT doc_id, source, len(list_filter(h, lambda x: NOT {_noisy('x')})) = 0 OR NOT doc_id % 100 BETWEEN 40 AND 86 AS noise FROM l), w AS (SELECT *, count(*) FILTER (NOT noise) OVER (PARTITION BY source) = 0 AS fell_back FROM n)
+    SELECT doc_id, source, fell_back FROM w WHERE NOT noise OR fell_back"""
+)
+def noise_rules(t: Tables) -> DataFrame:
+    """Of each source the documents that are no noise by their first lines and by their numbers, or all if none is left."""
+    rows = t.documents.select("doc_id", "source", F.concat(F.lit("docs/"), (F.col("doc_id") % 100).cast("string"), F.lit("_"), "source").alias("file"), _noised().alias("text"))
+    return N.drop_noisy(rows, "source", "text", "file").select("doc_id", "source", "fell_back")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {NOISED} AS t FROM documents), l AS (SELECT doc_id, t, list_transform(list_filter({_LINES.format('t')}, lambda x: NOT {_noisy('x')}), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS k FROM d),
+    c AS (SELECT doc_id, t, list_filter(k, lambda x, i: coalesce(list_sum(list_transform(k[1:i - 1], lambda y: length(y))), 0) < 320) AS k FROM l),
+    m AS (SELECT doc_id, CASE WHEN len(k) = 0 THEN trim(regexp_replace(t, '\\s+', ' ', 'g')) ELSE array_to_string(k, ' ') END AS x FROM c)
+    SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(x, '\\bdocs[\\\\/][^\\s)]+', '', 'gi'), '(?:[A-Za-z]:)?[\\\\/](?:[^\\\\/\\s]+[\\\\/])+[^\\\\/\\s]+(?:\\.(?:md|txt|pdf))?', '', 'gi'), '\\s{{2,}}', ' ', 'g')), 320) AS snippet FROM m"""
+)
+def snippet_chain(t: Tables) -> DataFrame:
+    """Snippets of 320 characters without noise and paths."""
+    return t.documents.select("doc_id", N.clean_snippet(_noised(), 320).alias("snippet"))
+
+
 @query()
 def page_manifest(t: Tables) -> DataFrame:
     """Pages as files with their manifest lines."""

@@ -11,6 +11,7 @@ from ..operators import rerank as K
 from ..operators import rules as U
 from ..operators import routing as O
 from ..operators.ingest import discourse_units
+from ..operators.noise import clean_snippet
 from ..operators.relational import top_per_group
 from ..operators.set_join import bank_matches
 from ..operators.vector import cosine, hash_embedding, mean_pool, windows
@@ -153,8 +154,12 @@ def overlap_compress(t: Tables) -> DataFrame:
     return V.squeezed(_passages(t), ["qid", "doc"], "text", "asked", 400)
 
 
-def _measured(t: Tables) -> DataFrame:
-    rows = _passages(t).withColumn("tokens", X.relevance_list(F.col("text")))
+def _measured(t: Tables, most: int | None = None) -> DataFrame:
+    """Passages with their scores, of whole texts or of clean snippets of ``most`` characters."""
+    rows = _passages(t)
+    if most:
+        rows = rows.withColumn("text", clean_snippet(F.col("text"), most)).where("text <> ''")
+    rows = rows.withColumn("tokens", X.relevance_list(F.col("text")))
     rows = rows.withColumn("overlap", V.overlap(F.col("asked"), F.array_distinct("tokens"))).withColumn("evidence", V.evidence(F.col("text")))
     action = V.actionability(F.col("text"), F.col("overlap"), F.col("retrieval"), F.col("evidence"))["score"]
     return rows.withColumn("action", action)
@@ -183,9 +188,9 @@ def discourse_rerank(t: Tables) -> DataFrame:
 
 @query()
 def evidential_reflection(t: Tables) -> DataFrame:
-    """Of the best documents those that together are evidence enough."""
+    """Of the best documents, by clean snippets of 320 characters, those that together are evidence enough."""
     base = 0.35 * F.col("overlap") + 0.25 * F.col("evidence") + 0.20 * F.col("retrieval") + 0.20 * F.col("action")
-    rows = _measured(t).select("qid", "doc", "asked", F.array_distinct("tokens").alias("tokens"), F.round(base, 4).alias("base"))
+    rows = _measured(t, 320).select("qid", "doc", "asked", F.array_distinct("tokens").alias("tokens"), F.round(base, 4).alias("base"))
     return V.reflect(rows, "qid", "doc", "base", "tokens", "asked")
 
 
