@@ -33,6 +33,8 @@ SEED_BLOCKS = 4
 TOGETHER = 1_000
 #: Terms of a block that make a row of the table of maxima, so that its rows are small.
 TERMS_A_ROW = 256
+#: Rows that a worker unpacks at a time.
+ROWS = 1_000
 #: Rows of forward index up to which what to open is sent to all tasks; beyond, it is joined by a shuffle.
 SENT_BLOCKS = 20_000
 #: Bytes to terms: letters A to Z become small, all signs of ASCII but letters and digits become spaces.
@@ -96,6 +98,14 @@ def inside(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that what is made of them stays small; memory is given back after each batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+        release()
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Index:
     """Indexes every row of ``docs`` by its whole text, in blocks of rows that follow each other as they are stored.
 
@@ -272,7 +282,7 @@ def weigh(index: Index, queries: Queries) -> None:
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(queries.terms), np.int64)
-        for batch in batches:
+        for batch in unpacked(batches):
             at = queries.within(batch.column(0).flatten())
             np.add.at(df, at[at >= 0], batch.column(1).flatten().to_numpy()[at >= 0])
         some = np.flatnonzero(df)
@@ -289,7 +299,7 @@ def block_bounds(index: Index, queries: Queries) -> DataFrame:
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in unpacked(batches):
             values, sizes = inside(batch.column("terms"))
             within, most = own.within(values), batch.column("most").flatten().to_numpy()
             of = np.repeat(batch.column("block").to_numpy(), sizes)
@@ -321,7 +331,7 @@ def ranked(index: Index, queries: Queries, k: int) -> DataFrame:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, floor = shared.value, list(kept.value)
-            for batch in batches:
+            for batch in unpacked(batches):
                 rows = []
                 for q, best in best_of(batch, own, floor, k, size):
                     rows += [(q, x, -s) for s, _, x in best]
@@ -329,7 +339,6 @@ def ranked(index: Index, queries: Queries, k: int) -> DataFrame:
                         floor[q] = max(floor[q], -best[-1][0])
                 columns = list(zip(*rows)) if rows else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-                release()
 
         blocks = opened.groupBy("block").agg(F.collect_list(F.col("query").cast("int")).alias("asked"))
         rows = index.forward.join(small(blocks, SENT_BLOCKS), "block").select("doc_id", "n", "terms", "tf", "asked")
