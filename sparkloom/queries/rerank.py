@@ -139,6 +139,24 @@ def _sentences(t: Tables) -> DataFrame:
     return long.withColumn("tokens", X.relevance_set(F.col("sentence")))
 
 
+CHAIN_TOKENS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]{{{{3,}}}}'), lambda x: x NOT IN {STOP})"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {CHAIN_TOKENS.format('text')} AS k, list_distinct(list_transform(list_filter({CHAIN_TOKENS.format('left(text, 200)')}, lambda x: length(x) >= 5), lambda x: left(x, 5))) AS own FROM documents),
+    r AS (SELECT doc_id, root, count(*) AS c FROM (SELECT doc_id, left(unnest(list_filter(k, lambda x: length(x) >= 5)), 5) AS root FROM d) GROUP BY ALL),
+    g AS (SELECT doc_id, count(*) AS roots, count(*) FILTER (c >= 2) AS chains, coalesce(sum(c) FILTER (c >= 2), 0) AS held FROM r GROUP BY doc_id),
+    h AS (SELECT d.doc_id, count(*) AS hits FROM d JOIN r ON r.doc_id = d.doc_id AND list_contains(own, root) AND c >= 2 GROUP BY d.doc_id),
+    s AS (SELECT doc_id, coalesce(held, 0) / greatest(1, len(k)) AS density, coalesce(hits, 0) / greatest(1, len(own)) AS share, coalesce(chains, 0) / greatest(1, coalesce(roots, 0)) AS variety
+      FROM d LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id))
+    SELECT doc_id, round(density, 6)::DOUBLE AS density, round(share, 6)::DOUBLE AS share, round(variety, 6)::DOUBLE AS variety, round(least(1, 0.55 * density + 0.30 * share + 0.15 * variety), 6)::DOUBLE AS cohesion FROM s"""
+)
+def lexical_chains(t: Tables) -> DataFrame:
+    """How far each whole text chains its words, and takes up those of its first 200 characters."""
+    found = V.chain_shares(t.documents, "doc_id", X.relevance_list(F.col("text")), X.relevance_list(F.left("text", F.lit(200))))
+    return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("density", "share", "variety", "cohesion")))
+
+
 @query()
 def extractive_compress(t: Tables) -> DataFrame:
     """The sentences of a passage's best documents that answer it, in their order."""
