@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cluster_rounds as R
+from ..operators import decision as D
 from ..operators import learn as L
 from ..operators.relational import top_per_group
 from ..plans.cut import checkpoint, small
@@ -214,6 +215,50 @@ def fechner_risk(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(L.fechner(F.col("value") / 10), 6).alias("intensity"))
 
 
+#: Events as questions that name signs and pain.
+QUESTION = """concat_ws(' ', CASE WHEN event_id % 3 = 0 THEN concat('TA: ', CAST(80 + event_id % 100 AS STRING), '/', CAST(50 + event_id % 70 AS STRING)) END,
+    CASE WHEN event_id % 4 = 0 THEN concat('SatO2 ', CAST(85 + event_id % 15 AS STRING), '%') END, CASE WHEN event_id % 5 = 0 THEN concat('K+ ', CAST(4 + event_id % 3 AS STRING), ',', CAST(event_id % 10 AS STRING)) END,
+    CASE event_id % 6 WHEN 0 THEN 'dolor 3 a 8/10' WHEN 1 THEN 'dolor nivel 9' WHEN 2 THEN concat('escala de 7-', CAST(event_id % 11 AS STRING)) END,
+    CASE WHEN event_id % 7 = 0 THEN 'con oliguria, FC >= 120, 38,5 h y cefalea intensa' WHEN event_id % 7 = 1 THEN 'Rechaza; familiar con alérgia en urgencias' END)"""
+_N = lambda pattern, g=1: f"TRY_CAST(replace(nullif(regexp_extract(q, '{pattern}', {g}), ''), ',', '.') AS DOUBLE)"
+_F = lambda x: f"(ln(1 + greatest(0, least(10, {x}))) / ln(11))"
+_SIGNS = (
+    ("sys <= 90", 0.45, "hypotension_critical"), ("sys >= 160 OR dia >= 110", 0.35, "hypertension_severe"), ("sat <= 91", 0.40, "oxygenation_critical"), ("sat > 91 AND sat <= 94", 0.20, "oxygenation_warning"),
+    ("k >= 6", 0.45, "hyperkalemia_critical"), ("k < 6 AND k >= 5.5", 0.25, "hyperkalemia_warning"), ("intensity >= 0.82", 0.15, "pain_high_perceived_intensity"), ("change >= 0.18", 0.15, "pain_perceived_worsening"),
+    *((f"contains(low, '{w}')", 0.08, f"red_flag:{w.replace(' ', '_')}") for w in D.RED_FLAGS), ("event_type = 'signup' AND (sys >= 160 OR dia >= 110)", 0.10, "obstetric_hypertensive_priority"),
+)
+_LOW = r"regexp_replace(strip_accents(lower(q)), '[^\x00-\x7F]', '', 'g')"
+ASKED = f"q AS (SELECT event_id, event_type, {QUESTION} AS q FROM events)"
+
+
+@query(
+    f"""WITH {ASKED}, n AS (SELECT *, {_LOW} AS low, {_N(D.PRESSURE)} AS sys, {_N(D.PRESSURE, 2)} AS dia, {_N(D.SATURATION)} AS sat, {_N(D.POTASSIUM)} AS k, {_N(D.PAIN_RANGE)} AS a, {_N(D.PAIN_RANGE, 2)} AS b, {_N(D.PAIN_LEVEL)} AS l FROM q),
+    f AS (SELECT *, CASE WHEN b IS NOT NULL THEN {_F('b')} WHEN l IS NOT NULL THEN {_F('l')} END AS intensity, CASE WHEN b IS NOT NULL THEN abs({_F('b')} - {_F('a')}) END AS change FROM n),
+    r AS (SELECT *, round(least(1, {' + '.join(f'CASE WHEN {c} THEN {p} ELSE 0 END' for c, p, _ in _SIGNS)}), 9)::DOUBLE AS risk, list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, _, n in _SIGNS)}], lambda x: x IS NOT NULL)[1:8] AS signals FROM f)
+    SELECT event_id, round(intensity, 3) AS intensity, round(change, 3) AS change, round(risk, 3) AS risk, CASE WHEN risk >= 0.6 THEN 'high' WHEN risk >= 0.35 THEN 'medium' ELSE 'low' END AS level, signals FROM r"""
+)
+def decision_risk(t: Tables) -> DataFrame:
+    """C17: perceived pain, added risk and signals of events as questions."""
+    domain = F.when(F.col("event_type") == "signup", "gynecology_obstetrics").otherwise(F.col("event_type"))
+    rows = t.events.select("event_id", domain.alias("domain"), F.expr(QUESTION).alias("q"))
+    found = D.decision_risk(F.col("q"), F.col("domain"))
+    return rows.select("event_id", *(found[n].alias(n) for n in ("intensity", "change", "risk", "level", "signals")))
+
+
+_SPOKEN = ", ".join(f"CASE WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{fact}' END" for words, fact in D.SPOKEN)
+
+
+@query(
+    f"""WITH {ASKED}, n AS (SELECT event_id, q, {_LOW} AS low FROM q), f AS (SELECT event_id, list_concat(list_transform(regexp_extract_all(q, '{D.UNITS}'), lambda x: 'umbral:' || replace(lower(x), ' ', '')),
+    list_transform(regexp_extract_all(q, '{D.COMPARISONS}'), lambda x: 'comparador:' || replace(lower(x), ' ', '')), list_filter([{_SPOKEN}], lambda x: x IS NOT NULL),
+    list_transform(list_filter({list(D.TERMS)}, lambda w: contains(low, w)), lambda w: 'termino:' || w)) AS u FROM n)
+    SELECT event_id, list_filter(u, lambda x, i: list_position(u, x) = i)[1:16] AS facts FROM f"""
+)
+def question_facts(t: Tables) -> DataFrame:
+    """Facts of events as questions."""
+    return t.events.select("event_id", D.question_facts(F.expr(QUESTION)).alias("facts"))
+
+
 BAYES = """k AS (SELECT event_type AS h, count(*) AS nh, avg((value > 50)::INT) AS p FROM events GROUP BY event_type), pr AS (SELECT h, nh / (SELECT count(*) FROM events) AS prior, p FROM k),
  l AS (SELECT user_id, h, sum(ln(greatest(1e-6, least(1 - 1e-6, CASE WHEN value > 50 THEN p ELSE 1 - p END)))) + any_value(ln(prior)) AS s FROM events CROSS JOIN pr GROUP BY user_id, h),
  x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY user_id)) AS e FROM l)"""
