@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .learn import fechner
+from .learn import fechner, logistic_risk
 
 #: How questions name pain, blood pressure, saturation and potassium.
 PAIN_RANGE = r"(?i)(?:dolor|escala)\s*(?:de\s*)?(\d{1,2})\s*(?:a|-)\s*(\d{1,2})(?:\s*/\s*10)?"
@@ -21,6 +21,29 @@ RED_FLAGS = (
 LEVELS = ((0.60, "high", "loss_avoidance_critical"), (0.35, "medium", "loss_avoidance_moderate"), (0.0, "low", "gain_focus_monitoring"))
 MOST_SIGNALS = 8
 
+#: Fixed values of the model of risk: each feature's median, mean, deviation and weight; the bias; the least probability of each priority.
+RISK_MODEL = {
+    "systolic_bp": (118.0, 118.0, 18.0, -0.65),
+    "potassium": (4.1, 4.2, 0.8, 0.95),
+    "creatinine": (1.0, 1.1, 0.7, 0.72),
+    "oliguria_flag": (0.0, 0.1, 0.3, 0.88),
+    "qrs_wide_flag": (0.0, 0.05, 0.2, 0.91),
+    "fever_flag": (0.0, 0.2, 0.4, 0.36),
+    "neutropenia_flag": (0.0, 0.08, 0.27, 0.64),
+    "hypoxemia_flag": (0.0, 0.15, 0.36, 0.77),
+}
+RISK_BIAS, HIGH_RISK, MEDIUM_RISK = -0.2, 0.75, 0.45
+#: How folded texts name the features.
+NAMED = {
+    "systolic_bp": r"\b(?:ta|tas)\s*[:=]?\s*(\d{2,3})(?:\s*/\s*(\d{2,3}))?",
+    "potassium": r"\b(?:k|potasio)\s*[:=]?\s*(\d+(?:[.,]\d+)?)",
+    "creatinine": r"\bcreatinina(?:\s*(?:actual|act))?\s*[:=]?\s*(\d+(?:[.,]\d+)?)",
+}
+SATURATED, LOW_SATURATION = r"\b(?:sat(?:o2)?|saturacion)\s*[:=]?\s*(\d{2,3})", 92
+FLAGGED = {"oliguria_flag": ("oliguria", "anuria"), "qrs_wide_flag": ("qrs ancho",), "fever_flag": ("fiebre", "febril"), "neutropenia_flag": ("neutropenia",), "hypoxemia_flag": ("hipox", "sat")}
+#: Fixed value: a fact that stands for a wide QRS and, where no potassium is named, for one of 6.
+POTASSIUM_FACT, POTASSIUM_OF_FACT = "logic_rule:nephro_hyperkalemia_critical", 6.0
+
 #: Numbers with units, comparisons, and terms that are facts by themselves.
 UNITS = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:mmhg|mg/dl|mmol/l|lpm|%|h|horas|min|ml/kg|cmh2o|ng/ml)\b"
 COMPARISONS = r"(?i)(?:>=|<=|>|<)\s*\d+(?:[.,]\d+)?"
@@ -101,3 +124,33 @@ def question_facts(text: Column) -> Column:
     spoken = F.array_compact(F.array(*(F.when(any_of(words), F.lit(fact)) for words, fact in SPOKEN)))
     terms = F.transform(F.filter(F.array(*map(F.lit, TERMS)), lambda w: F.contains(low, w)), lambda w: F.concat(F.lit("termino:"), w))
     return F.slice(F.array_distinct(F.concat(matches("umbral", UNITS), matches("comparador", COMPARISONS), spoken, terms)), 1, MOST_FACTS)
+
+
+def risk_features(text: Column, facts: Column | None = None) -> dict[str, Column]:
+    """The features of a question and, if given, of the facts known of it (an array); numbers that it doesn't name are null."""
+    low = fold(F.coalesce(text, F.lit("")))
+    told = F.contains(fold(F.concat_ws(" ", facts)), F.lit(POTASSIUM_FACT)) if facts is not None else F.lit(False)
+    found = {name: _number(low, pattern) for name, pattern in NAMED.items()}
+    for name, words in FLAGGED.items():
+        held = F.lit(False)
+        for w in words:
+            held = held | F.contains(low, F.lit(w))
+        if name == "hypoxemia_flag":
+            held = held | F.coalesce(_number(low, SATURATED) < LOW_SATURATION, F.lit(False))
+        found[name] = F.when(held | told if name == "qrs_wide_flag" else held, 1.0).otherwise(0.0)
+    found["potassium"] = F.coalesce(found["potassium"], F.when(told, POTASSIUM_OF_FACT))
+    return found
+
+
+def text_risk(rows: DataFrame, keys: list[str], text: str, facts: str | None = None) -> DataFrame:
+    """``keys, missing, probability, priority, anomaly, is_anomalous`` of each row's question.
+
+    Features that are missing take their median; scaled ones are weighed into a logistic probability, and the mean of their sizes tells
+    how unusual the row is.
+    """
+    found = risk_features(F.col(text), F.col(facts) if facts else None)
+    named = rows.select(*keys, *(found[n].alias(n) for n in RISK_MODEL))
+    scored = logistic_risk(named, RISK_MODEL, RISK_BIAS)
+    missing = F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in RISK_MODEL)))
+    priority = F.when(F.col("risk") >= HIGH_RISK, "high").when(F.col("risk") >= MEDIUM_RISK, "medium").otherwise("low")
+    return scored.select(*keys, missing.alias("missing"), F.col("risk").alias("probability"), priority.alias("priority"), "anomaly", "is_anomalous")

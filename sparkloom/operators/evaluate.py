@@ -146,3 +146,20 @@ def zipf_fit(ranks: DataFrame, top: int = 25) -> DataFrame:
     return ranks.agg(
         F.count("*").alias("terms"), F.avg(head).alias("top_mean"), F.stddev_pop(head).alias("top_deviation"), F.avg("product").alias("mean"), F.stddev_pop("product").alias("deviation")
     )
+
+
+def acceptance(summary: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """``summary`` with ``failures``: for each threshold in order what is missing, is no number, or stays below its least value.
+
+    A metric that ``summary`` has no column for, or that is null, is missing.
+    """
+    found = []
+    for metric, least in thresholds.items():
+        if metric not in summary.columns:
+            found.append(F.lit(f"{metric}:missing"))
+            continue
+        value = F.col(metric).cast("string").try_cast("double")
+        below = F.format_string(f"{metric}:%.4f<{least:.4f}", value)
+        invalid = F.when(value.isNull(), f"{metric}:invalid").when(value < least, below)
+        found.append(F.when(F.col(metric).isNull(), f"{metric}:missing").otherwise(invalid))
+    return summary.withColumn("failures", F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"))

@@ -259,6 +259,24 @@ def question_facts(t: Tables) -> DataFrame:
     return t.events.select("event_id", D.question_facts(F.expr(QUESTION)).alias("facts"))
 
 
+#: The same questions with what the model of risk looks for.
+RISKY = f"""concat_ws(' ', {QUESTION}, CASE event_id % 11 WHEN 0 THEN 'creatinina actual: 2,4 y fiebre' WHEN 1 THEN 'QRS ancho, potasio = 6.3' WHEN 2 THEN 'Neutropenia febril, saturacion 90' WHEN 3 THEN 'k 3,1 hipoxia' END)"""
+_R = {n: _N(p).replace("(q,", "(low,") for n, p in D.NAMED.items()} | {n: "CASE WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + (f" OR {_N(D.SATURATED).replace('(q,', '(low,')} < 92" if n == "hypoxemia_flag" else "") + " THEN 1.0 ELSE 0.0 END" for n, words in D.FLAGGED.items()}
+_S = {n: f"((coalesce({n}, {med}) - {mean}) / {dev})" for n, (med, mean, dev, _) in D.RISK_MODEL.items()}
+
+
+@query(
+    f"""WITH q AS (SELECT event_id, {RISKY} AS q FROM events), l AS (SELECT event_id, {_LOW} AS low FROM q), f AS (SELECT event_id, {', '.join(f'({_R[n]})::DOUBLE AS {n}' for n in D.RISK_MODEL)} FROM l),
+    s AS (SELECT event_id, list_filter([{', '.join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in D.RISK_MODEL)}], lambda x: x IS NOT NULL) AS missing,
+      1 / (1 + exp(-({D.RISK_BIAS} + {' + '.join(f'({w}) * {_S[n]}' for n, (*_, w) in D.RISK_MODEL.items())}))) AS p, ({' + '.join(f'abs({z})' for z in _S.values())}) / 8 AS a FROM f)
+    SELECT event_id, missing, round(p, 4) AS probability, CASE WHEN p >= 0.75 THEN 'high' WHEN p >= 0.45 THEN 'medium' ELSE 'low' END AS priority, round(a, 4) AS anomaly, a >= 1.75 AS is_anomalous FROM s"""
+)
+def text_risk(t: Tables) -> DataFrame:
+    """The model of risk over events as questions."""
+    found = D.text_risk(t.events.select("event_id", F.expr(RISKY).alias("q")), ["event_id"], "q")
+    return found.select("event_id", "missing", F.round("probability", 4).alias("probability"), "priority", F.round("anomaly", 4).alias("anomaly"), "is_anomalous")
+
+
 BAYES = """k AS (SELECT event_type AS h, count(*) AS nh, avg((value > 50)::INT) AS p FROM events GROUP BY event_type), pr AS (SELECT h, nh / (SELECT count(*) FROM events) AS prior, p FROM k),
  l AS (SELECT user_id, h, sum(ln(greatest(1e-6, least(1 - 1e-6, CASE WHEN value > 50 THEN p ELSE 1 - p END)))) + any_value(ln(prior)) AS s FROM events CROSS JOIN pr GROUP BY user_id, h),
  x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY user_id)) AS e FROM l)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import catalogue as C
 from ..operators import routing as O
+from ..operators.evaluate import acceptance
 from ..operators.ingest import discourse_units
 from .registry import Tables, query
 
@@ -175,6 +176,21 @@ def baseline_delta(t: Tables) -> DataFrame:
     return O.compared(t.documents, t.documents.join(t.labels.select("doc_id"), "doc_id"), ["lang"], "n_chars")
 
 
+#: Least values of three metrics of documents by language, one of which nobody measures.
+LEAST = {"mean_chars": 2400.0, "good": 0.9, "ndcg": 0.3}
+
+
+@query(
+    """WITH s AS (SELECT lang, avg(n_chars) AS mean_chars, avg(quality) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang)
+    SELECT lang, list_filter([CASE WHEN mean_chars < 2400 THEN format('mean_chars:{:.4f}<2400.0000', mean_chars) END, CASE WHEN good IS NULL THEN 'good:missing' WHEN good < 0.9 THEN format('good:{:.4f}<0.9000', good) END, 'ndcg:missing'],
+    lambda x: x IS NOT NULL) AS failures FROM s"""
+)
+def acceptance_failures(t: Tables) -> DataFrame:
+    """Which of three thresholds the documents of each language fail."""
+    rows = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left").groupBy("lang").agg(F.avg("n_chars").alias("mean_chars"), F.avg("quality").alias("good"))
+    return acceptance(rows, LEAST).select("lang", "failures")
+
+
 @query(
     """WITH a AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) >= 7),
     b AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM conversations) WHERE length(term) >= 7)

@@ -32,6 +32,11 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def evaluation_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines of questions to evaluate; lines without a ``query``, null or blank, are left out with the malformed ones."""
+    return json_lines(spark, path, schema).where("query IS NOT NULL AND trim(query) <> ''")
+
+
 def not_yet_ingested(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose normalised key is not known yet."""
     return found.join(known.select(key).distinct(), key, "left_anti")

@@ -36,3 +36,23 @@ def test_facts(spark):
     assert got[0] == ["umbral:120lpm", "umbral:65mmhg", "umbral:30min", "comparador:>4", "comparador:<=65", "decision:rechazo_tratamiento", "contexto:acompanante_presente", "seguridad:alergia_reportada",
                       "termino:sepsis", "termino:cpap", "termino:rechaza", "termino:alergia"]
     assert got[1] == got[2] == [] and got[3] == [f"umbral:{i}min" for i in range(16)]
+
+
+def test_model_of_risk(spark):
+    rows = [
+        (1, "TA 90/60, K: 6,5, creatinina act 2.1, oliguria, QRS ancho, fiebre, neutropenia, SatO2 88", None),
+        (2, "", []),
+        (3, None, ["otra", "logic_rule:nephro_hyperkalemia_critical"]),
+        (4, "potasio 5", ["logic_rule:nephro_hyperkalemia_critical"]),
+    ]
+    frame = spark.createDataFrame(rows, "id long, q string, facts array<string>").withColumn("risk", F.lit("clash"))
+    got = {r["id"]: r for r in D.text_risk(frame, ["id"], "q", "facts").collect()}
+    values = {1: (90, 6.5, 2.1, 1, 1, 1, 1, 1), 2: (118, 4.1, 1.0, 0, 0, 0, 0, 0), 3: (118, 6.0, 1.0, 0, 1, 0, 0, 0), 4: (118, 5.0, 1.0, 0, 1, 0, 0, 0)}
+    for i, own in values.items():
+        z = [(v - mean) / dev for v, (_, mean, dev, _) in zip(own, D.RISK_MODEL.values())]
+        linear = D.RISK_BIAS + sum(w * x for x, (*_, w) in zip(z, D.RISK_MODEL.values()))
+        assert got[i]["probability"] == pytest.approx(1 / (1 + math.exp(-linear)))
+        assert got[i]["anomaly"] == pytest.approx(sum(map(abs, z)) / 8)
+    assert got[1]["missing"] == [] and got[1]["priority"] == "high" and got[1]["is_anomalous"]
+    assert got[2]["missing"] == ["systolic_bp", "potassium", "creatinine"] and got[2]["priority"] == "low"
+    assert got[3]["missing"] == ["systolic_bp", "creatinine"]

@@ -120,3 +120,18 @@ def test_rankings_follow_rewritten_documents(spark, tmp_path):
     assert found() == {0, 1}
     search.INDEX.forget()
     assert found() == {0, 1}
+
+
+def test_evaluation_rows_need_a_query(spark, tmp_path):
+    lines = ['{"query": "a", "k": 1}', '{"k": 2}', '{"query": "  "}', "no json", "", '{"query": null}', '{"query": "b"}']
+    (tmp_path / "e.jsonl").write_text("\n".join(lines))
+    assert sorted(r["query"] for r in S.evaluation_rows(spark, str(tmp_path / "e.jsonl"), "query string, k long").collect()) == ["a", "b"]
+
+
+def test_acceptance(spark):
+    from sparkloom.operators.evaluate import acceptance
+
+    rows = spark.createDataFrame([(1, 0.35, "x", None), (2, 0.2, "0.5", 1.0)], "id long, precision double, ndcg string, recall double")
+    got = {r["id"]: r["failures"] for r in acceptance(rows, {"precision": 0.35, "ndcg": 0.6, "recall": 0.1, "none": 1.0}).collect()}
+    assert got == {1: ["ndcg:invalid", "recall:missing", "none:missing"], 2: ["precision:0.2000<0.3500", "ndcg:0.5000<0.6000", "none:missing"]}
+    assert [r["failures"] for r in acceptance(rows, {}).collect()] == [[], []]
