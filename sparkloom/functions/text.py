@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -29,6 +31,26 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^\\x00-\\x7f]", "")
 
 
+@functools.cache
+def _marks() -> tuple[str, str]:
+    """All characters that change when marks are taken off, and what is left; marks themselves stand at the end of the first."""
+    plain, marks = {}, []
+    for c in map(chr, range(0x80, 0x2FA20)):
+        if unicodedata.category(c)[0] == "M":
+            marks.append(c)
+        elif unicodedata.decomposition(c)[:1] not in ("", "<"):
+            left = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"))
+            if left != c:
+                plain[c] = left
+    marks += map(chr, range(0xE0100, 0xE01F0))
+    return "".join(plain) + "".join(marks), "".join(plain.values())
+
+
+def unmarked(text: Column) -> Column:
+    """Lower case without marks, as SQL takes them off: letters that have no plain form stay, so that what stands beside them doesn't meet."""
+    return F.lower(F.translate(text, *_marks()))
+
+
 def ml_tokens(text: Column) -> Column:
     """T_ml: folded runs of three or more a-z, 0-9, repeats kept."""
     return F.regexp_extract_all(fold(text), F.lit("[a-z0-9]{3,}"), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -150,11 +151,11 @@ def contract(text: Column, specialty: Column, inconsistent: Column) -> Column:
 AMBIGUOUS = ("dolor", "fiebre", "mareo", "vomitos", "malestar", "cansancio", "debilidad", "hinchazon", "tos", "cefalea")
 
 
-def ambiguity(text: Column, tokens: Column, intent: Column, keyword_hits: Column, social: Column) -> Column:
-    """Struct of ``score`` and whether to ``ask``: a short query without numbers, known words or a plan, of vague complaints."""
+def ambiguity(text: Column, tokens: Column, intent: Column, keyword_hits: Column, social: Column, folded: Callable[[Column], Column] = plain) -> Column:
+    """Struct of ``score`` and whether to ``ask``: a short query without numbers, known words or a plan, of vague complaints (in the ``folded`` text)."""
     n = F.size(tokens)
     short = F.greatest(F.lit(0.0), (8.0 - F.least(n, F.lit(8))) / 8.0)
-    vague = F.least(F.lit(1.0), _hits(plain(text), AMBIGUOUS) / 2.0)
+    vague = F.least(F.lit(1.0), _hits(folded(text), AMBIGUOUS) / 2.0)
     score = 0.47 * short + F.when(F.rlike(text, F.lit(r"\d")), 0.0).otherwise(0.28) + F.when(keyword_hits <= 0, 0.20).otherwise(0.0) + 0.20 * vague
     score = score - F.when(intent.isin("management_plan", "follow_up_plan"), 0.18).otherwise(0.0)
     score = F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9), 4)

@@ -32,3 +32,10 @@ def test_answer_quality_at_a_tenth(both):
     got, want = both("answer_quality", conversations=(TURNS, rows))
     assert got == want
     assert {r[-1] for r in want if r[2] == 0.1} == {"attention"}
+
+
+def test_query_ambiguity_keeps_letters_without_a_plain_form(both):
+    """The SQL takes marks off and keeps other letters, so a word is not found across them."""
+    texts = ["toßs", "tós", "TÓS seca", "liçense", "license", "ﬁebre", "fiébre y dolor", "x" * 40, "1 tos", "", None]
+    got, want = both("query_ambiguity", conversations=(TURNS, [(i, 0, "user", x) for i, x in enumerate(texts)]))
+    assert got == want
