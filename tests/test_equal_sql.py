@@ -39,3 +39,14 @@ def test_query_ambiguity_keeps_letters_without_a_plain_form(both):
     texts = ["toßs", "tós", "TÓS seca", "liçense", "license", "ﬁebre", "fiébre y dolor", "x" * 40, "1 tos", "", None]
     got, want = both("query_ambiguity", conversations=(TURNS, [(i, 0, "user", x) for i, x in enumerate(texts)]))
     assert got == want
+
+
+def test_spam_score_keeps_letters_without_a_plain_form(both):
+    long = "<html><title>{}</title><p>" + "some plain words " * 5 + "{}</p></html>"
+    cases = [
+        ("geßte", "beßte $$$", "u"), ("t", "bete $$$", "u"), ("t", "béte $$$", "u"), ("Promoción", "ofertà casino", "u"), ("t", "!!!!!!!! bet", "u"),
+        ("t", "$$$", "https://prómo.net"), ("t", "$$$", "https://promo.net"), ("A" * 200, "$$$", "u"),
+    ]
+    rows = [(i, u, long.format(title, words)) for i, (title, words, u) in enumerate(cases)] + [(90, "u", "ß" * 30 + "$$$"), (91, "u", "ß" * 50 + "$$$"), (92, None, "$$$ bet")]
+    got, want = both("spam_score", pages=("page_id long, url string, html string", rows))
+    assert got == want
