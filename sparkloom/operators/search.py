@@ -105,6 +105,15 @@ def bigram_counts(index: DataFrame, pairs: DataFrame, doc: str) -> DataFrame:
     return pairs.distinct().join(met, ["a", "b"], "left").fillna({"n": 0})
 
 
+def text_bigram_counts(texts: DataFrame, pairs: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """B12 without an index: as ``bigram_counts``, of ``texts``, whose neighbouring tokens meet the pairs where they are read; only what meets is shuffled."""
+    asked = small(checkpoint(pairs.dropna().distinct()))
+    words = texts.select(doc, tokens.alias("__w"))
+    beside = F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0))).alias("b"))
+    met = words.select(doc, F.explode(beside).alias("__p")).select(doc, "__p.a", "__p.b").join(asked, ["a", "b"])
+    return pairs.distinct().join(met.groupBy("a", "b").agg(F.count_distinct(doc).alias("n")), ["a", "b"], "left").fillna({"n": 0})
+
+
 def relaxed_union(strict: DataFrame, index: DataFrame, words: list[str], doc: str, explicit: bool, most: int = 16) -> DataFrame:
     """The strict result; where it is empty and the query has no operators of its own, documents with any of its first words."""
     if explicit:
