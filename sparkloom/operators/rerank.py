@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap_f1
-from ..plans.cut import checkpoint
 from .relational import top_per_group
-from .set_join import common_members, least_shared, match_score, overlaps, rare_first
+from .set_join import best_match
 
 
 def mmr(rows: DataFrame, qid: str, doc: str, vec: str, asked: str, lexical: str, k: int, lam: float = 0.70) -> DataFrame:
@@ -118,21 +117,12 @@ def history(turns: DataFrame, conv: str, turn: str, tokens: str, focus: Column,
     return top_per_group(scored, [conv, turn], [F.desc("score"), F.desc("past")], k)
 
 
-def question_shortcut(asked: DataFrame, bank: DataFrame, keys: list[str], tokens: str, item: str, sure: float = 0.24) -> DataFrame:
+def question_shortcut(asked: DataFrame, bank: DataFrame, keys: list[str], tokens: str, item: str) -> DataFrame:
     """H8: ``keys, score``: .75 recall + .15 precision of the best banked question that shares two tokens or more, else 0.
 
-    Pairs that reach ``sure`` are made first, through tokens that are rare in them; only questions without any go on to pairs that share
-    two tokens of whatever kind.
+    Nearly every question shares two common tokens with some banked one, so that no key tells them apart: each is counted against all.
     """
-    own = asked.select(*keys, F.array_distinct(tokens).alias(tokens))
-    common = checkpoint(common_members(bank.select(tokens), tokens))
-    a = checkpoint(rare_first(own, keys, tokens, common))
-    b = checkpoint(rare_first(bank.select(F.col(item).alias("__i"), tokens), ["__i"], tokens, common))
-    score = F.max(match_score(F.col("shared"), F.col("size"), F.col("held"))).alias("score")
-    found = checkpoint(overlaps(a, b, tokens, least_shared(sure)).groupBy(*keys).agg(score))
-    open_ = a.join(found, keys, "left_anti")
-    rest = overlaps(open_, b, tokens, least_shared(0.0)).groupBy(*keys).agg(score)
-    return asked.select(*keys).join(found.unionByName(rest), keys, "left").select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
+    return best_match(asked, bank, keys, tokens)
 
 
 def carry_entity(turns: DataFrame, conv: str, turn: str, entity: Column, back: int = 4) -> DataFrame:

@@ -50,3 +50,12 @@ def test_spam_score_keeps_letters_without_a_plain_form(both):
     rows = [(i, u, long.format(title, words)) for i, (title, words, u) in enumerate(cases)] + [(90, "u", "ß" * 30 + "$$$"), (91, "u", "ß" * 50 + "$$$"), (92, None, "$$$ bet")]
     got, want = both("spam_score", pages=("page_id long, url string, html string", rows))
     assert got == want
+
+
+def test_qa_shortcut_rounds_ties_as_sql(both):
+    """7 of 48 and 21 words score .159375, which the SQL rounds down, and 3 of 15 and 16 score .178125, which it rounds up."""
+    words = lambda *spans: " ".join(f"w{i:03}" for a, b in spans for i in range(a, b))
+    asked = [(n, i, "user", words((0, i), (100, 100 + n - i))) for n in range(10, 60) for i in (3, 7)] + [(99, 0, "user", ""), (98, 0, "user", None)]
+    bank = [(n, words((0, 7), (200, 200 + n - 7))) for n in (8, 16, 21, 30)]
+    got, want = both("qa_shortcut", conversations=(TURNS, asked), benchmark=("item_id long, text string", bank))
+    assert got == want

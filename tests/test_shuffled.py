@@ -2,9 +2,16 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import search as S
+from sparkloom.operators import set_join as J
+from sparkloom.operators.rerank import question_shortcut
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
 def test_bigrams_meet_their_pairs_where_texts_are_read(spark):
@@ -17,3 +24,21 @@ def test_bigrams_meet_their_pairs_where_texts_are_read(spark):
     held = [list(zip(w, w[1:])) for w in ((t or "").split() for _, t in texts)]
     assert {(r.a, r.b): r.n for r in got.collect()} == {p: sum(p in h for h in held) for p in [("a", "b"), ("b", "b"), ("e", "x"), ("x", "e"), (None, "a")]}
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()  # no places are gathered
+
+
+@pytest.mark.parametrize("block", [10_000, 7])
+def test_best_match_shuffles_no_asked_set(spark, block):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    make = lambda n, most: [(i, rng.choices(words, k=rng.randint(0, most))) for i in range(n)]
+    asked, bank = make(70, 20) + [(100, None), (101, []), (102, ["other", None])], make(40, 15) + [(200, None)]
+    frames = spark.createDataFrame(asked, "id long, k array<string>"), spark.createDataFrame(bank, "item long, k array<string>")
+    found = J.best_match(*frames, ["id"], "k", block=block)
+    wanted = {}
+    for i, k in asked:
+        q = set(k or []) - {None}
+        wanted[i] = round(max([0.75 * len(q & set(b)) / len(q) + 0.15 * len(q & set(b)) / len(set(b)) for _, b in bank if b and len(q & set(b)) >= 2], default=0), 9)
+    assert {r.id: round(r.score, 9) for r in found.collect()} == wanted
+    if block == 10_000:
+        assert exchanges(found) == 0
+        assert exchanges(question_shortcut(*frames, ["id"], "k", "item")) == 0
