@@ -7,12 +7,14 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, canonical_url, fold
-from ..plans.cut import checkpoint
+from ..plans.cut import checkpoint, tidy
+from .link_tiles import TIDY, LinkTiles, stepped
 
 ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a\s*>", re.I | re.S)
 TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
@@ -255,55 +257,92 @@ def nodes_of(links: DataFrame) -> DataFrame:
 def page_rank(links: DataFrame, personal: DataFrame | None = None, teleport: float = 0.15, rounds: int = 50, cut=checkpoint) -> DataFrame:
     """``id, rank``: teleport and dangling mass go by ``personal (id, weight)``, evenly without it; ranks sum to one.
 
-    Links out of a node count once each. Links are kept by their source and the state by id, so a round is one shuffle,
-    pre-aggregated, and one job, which also sums the mass of nodes without links for the next round.
+    Links out of a node count once each.
     """
-    links = links.select("src", "dst").distinct()
-    ids = nodes_of(links)
-    degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    base = ids if personal is None else ids.join(personal, "id", "left")
-    weight = F.lit(1.0) if personal is None else F.coalesce(F.col("weight"), F.lit(0.0))
-    total = base.agg(F.sum(weight)).first()[0] or 1.0
-    state = base.select("id", (weight / total).alias("p")).join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.col("p"))
-    out, state = cut(links.repartition("src")), cut(state)
-    dangling = F.sum(F.when(F.col("degree").isNull(), F.col("rank"))).alias("loose")
-    loose = state.agg(dangling).first()[0] or 0.0
-    for _ in range(rounds):
-        given = out.join(state.where("degree is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share")), "src")
-        got = given.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        flow = F.coalesce("got", F.lit(0.0)) + loose * F.col("p")
-        state = state.drop("rank").join(got, "id", "left").select("id", "p", "degree", (teleport * F.col("p") + (1 - teleport) * flow).alias("rank"))
-        seen = Observation()
-        state = cut(state.observe(seen, dangling))
-        loose = seen.get["loose"] or 0.0
-    norm = state.agg(F.sum("rank")).first()[0] or 1.0
-    return state.select("id", (F.col("rank") / norm).alias("rank"))
+    graph = LinkTiles(links, cut)
+    (found,) = page_ranks(graph, [personal], teleport, rounds)
+    graph.close()
+    return found
+
+
+def page_ranks(graph: LinkTiles, personals: list[DataFrame | None], teleport: float = 0.15, rounds: int = 50) -> list[DataFrame]:
+    """G9, G10 for several teleports at once, over one pass of the links a round; a round also sums the mass of nodes without links for the next."""
+    m, size, nodes = len(personals), graph.size, graph.nodes
+    weights = []
+    for i, personal in enumerate(personals):
+        if personal is None:
+            nodes = nodes.withColumn(f"w{i}", F.lit(1.0))
+        else:
+            nodes = nodes.join(personal.select("id", F.col("weight").cast("double").alias(f"w{i}")), "id", "left").fillna({f"w{i}": 0.0})
+    graph_nodes, graph.nodes = graph.nodes, graph.cut(nodes)
+    totals = graph.nodes.agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(m))).first() or [None] * m
+    weights = [F.col(f"w{i}") / (totals[i] or 1.0) for i in range(m)]
+    share = F.when(F.col("degree") > 0, 1.0 / F.col("degree")).otherwise(0.0)
+    fixed = graph.vector(*weights, share, (F.col("degree") == 0).cast("double"))
+    graph.nodes = graph_nodes
+    schema = ", ".join(["b int", "v binary", "rank binary", *(f"loose{i} double" for i in range(m))])
+
+    def given(rank: np.ndarray, own: np.ndarray) -> tuple:
+        """What each node gives to each of its links, its rank, and the mass of nodes without links."""
+        return rank * own[m], rank, *(rank * own[m + 1]).sum(1)
+
+    def start(got, own: np.ndarray) -> tuple:
+        return given(own[:m].copy(), own)
+
+    state, loose = _seen(graph, stepped(fixed.limit(0), fixed, size, start, schema), [f"loose{i}" for i in range(m)])
+    tiles = graph.tiles()
+    for n in range(rounds):
+        mass = np.array(loose)[:, None]
+
+        def step(got, own: np.ndarray, mass=mass) -> tuple:
+            return given(teleport * own[:m] + (1 - teleport) * (got + mass * own[:m]), own)
+
+        state, loose = _seen(graph, stepped(graph.sums(tiles, state, m), fixed, size, step, schema), [f"loose{i}" for i in range(m)])
+        if n % TIDY == TIDY - 1:
+            tidy(graph.spark)
+    names = [f"r{i}" for i in range(m)]
+    found = graph.cut(graph.values(state.select("b", F.col("rank").alias("v")), names))
+    norms = found.agg(*(F.sum(x) for x in names)).first()
+    return [found.select("id", (F.col(x) / (norms[i] or 1.0)).alias("rank")) for i, x in enumerate(names)]
+
+
+def _seen(graph: LinkTiles, state: DataFrame, names: list[str]) -> tuple[DataFrame, list[float]]:
+    """``state`` written down, and sums of its columns from the same job."""
+    seen = Observation()
+    state = graph.cut(state.observe(seen, *(F.sum(x).alias(x) for x in names)))
+    return state, [seen.get[x] or 0.0 for x in names]
 
 
 def hits(links: DataFrame, rounds: int = 20, cut=checkpoint) -> DataFrame:
-    """``id, hub, authority``: L2-normalised in each round, scaled to a maximum of 1 at the end.
-
-    A job sums a step's squares while it writes it, and the next step divides by their root.
-    """
-    links = cut(links.select("src", "dst").distinct())
-    state = cut(nodes_of(links).withColumn("hub", F.lit(1.0)).withColumn("authority", F.lit(1.0)))
-    norm = {"hub": 1.0, "authority": 1.0}
-
-    def step(name: str, of: str, here: str, there: str) -> DataFrame:
-        """``name`` of each node is the sum of ``of`` over its links from ``here`` to ``there``, of length one in all."""
-        given = links.join(state.select(F.col("id").alias(there), (F.col(of) / norm[of]).alias(of)), there)
-        given = given.groupBy(F.col(here).alias("id")).agg(F.sum(of).alias("sum"))
-        new = state.drop(name).join(given, "id", "left").withColumn(name, F.coalesce("sum", F.lit(0.0))).drop("sum")
-        seen = Observation()
-        new = cut(new.observe(seen, F.sum(F.col(name) * F.col(name)).alias("squares")))
-        norm[name] = (seen.get["squares"] or 0.0) ** 0.5 or 1.0
-        return new
-
-    for _ in range(rounds):
-        state = step("authority", "hub", "dst", "src")
-        state = step("hub", "authority", "src", "dst")
-    most = state.agg(F.max("hub"), F.max("authority")).first() or (1.0, 1.0)
-    return state.select("id", (F.col("hub") / (most[0] or 1.0)).alias("hub"), (F.col("authority") / (most[1] or 1.0)).alias("authority"))
+    """``id, hub, authority``: L2-normalised in each round, scaled to a maximum of 1 at the end."""
+    graph = LinkTiles(links, cut)
+    found = tiled_hits(graph, rounds)
+    graph.close()
+    return found
+
+
+def tiled_hits(graph: LinkTiles, rounds: int = 20) -> DataFrame:
+    """G11 over tiles. A job sums a step's squares while it writes it, and the next step divides by their root."""
+    size, schema = graph.size, "b int, v binary, squares double"
+    ones = graph.vector(F.lit(1.0))
+    vector = {"hub": ones, "authority": ones}
+    there, back = graph.tiles(), graph.tiles(back=True)
+    norm = 1.0
+    for n in range(rounds):
+        for name, of, tiles in (("authority", "hub", there), ("hub", "authority", back)):
+
+            def step(got, own: np.ndarray, norm=norm) -> tuple:
+                new = np.zeros_like(own) + got / norm
+                return new, (new * new).sum()
+
+            vector[name], (squares,) = _seen(graph, stepped(graph.sums(tiles, vector[of]), ones, size, step, schema), ["squares"])
+            norm = squares**0.5 or 1.0
+        if n % TIDY == TIDY - 1:
+            tidy(graph.spark)
+    found = graph.values(vector["hub"], ["hub"]).join(graph.values(vector["authority"], ["authority"]), "id")
+    found = graph.cut(found)
+    most = found.agg(F.max("hub"), F.max("authority")).first()
+    return found.select("id", (F.col("hub") / (most[0] or 1.0)).alias("hub"), (F.col("authority") / (most[1] or 1.0)).alias("authority"))
 
 
 def anchor_relevance(anchors: DataFrame, asked: list[str]) -> DataFrame:

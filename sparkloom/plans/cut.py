@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` read from compressed files in the shared folder, and their path, which is to be removed once it is read; for tables with many narrow rows."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the checkpoints and shuffled files of tables that nothing holds any more, which it does when the driver's memory is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has ``rows`` rows at most; it is counted, so it should be cut before."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -20,9 +20,10 @@ def _trade(t: Tables) -> DataFrame:
 
 
 def _links(t: Tables) -> DataFrame:
-    trade = _trade(t)
-    there = trade.select(F.col("c").alias("src"), F.col("s").alias("dst"))
-    return there.union(trade.where("l_returnflag = 'R'").select("s", "c")).distinct()
+    # each pair of nodes once, with whether goods went back; then its one or two links
+    pairs = _trade(t).groupBy("c", "s").agg(F.coalesce(F.bool_or(F.col("l_returnflag") == "R"), F.lit(False)).alias("back"))
+    link = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return pairs.select(F.explode(F.when(F.col("back"), F.array(link("c", "s"), link("s", "c"))).otherwise(F.array(link("c", "s")))).alias("l")).select("l.src", "l.dst")
 
 
 LINKS = """tr AS (SELECT l_suppkey::BIGINT * 2 + 1 AS s, o_custkey::BIGINT * 2 AS c, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -46,15 +47,17 @@ def pagerank(t: Tables) -> DataFrame:
     return G.page_rank(_links(t)).select("id", F.round("rank", 6).alias("rank"))
 
 
-def _suppliers(links: DataFrame) -> DataFrame:
-    return G.nodes_of(links).where("id % 2 = 1").withColumn("weight", F.lit(1.0))
+def _suppliers(graph: G.LinkTiles) -> DataFrame:
+    return graph.nodes.select("id").where("id % 2 = 1").withColumn("weight", F.lit(1.0))
 
 
 @query(_rank_sql("CASE WHEN id % 2 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE"))
 def topic_pagerank(t: Tables) -> DataFrame:
     """Teleport to suppliers alone."""
-    links = checkpoint(_links(t))
-    return G.page_rank(links, _suppliers(links)).select("id", F.round("rank", 6).alias("rank"))
+    graph = G.LinkTiles(_links(t))
+    (found,) = G.page_ranks(graph, [_suppliers(graph)])
+    graph.close()
+    return found.select("id", F.round("rank", 6).alias("rank"))
 
 
 def _hits_sql(rounds: int) -> str:
@@ -96,9 +99,10 @@ def anchor_relevance(t: Tables) -> DataFrame:
 @query()
 def link_score(t: Tables) -> DataFrame:
     """General and topical rank, authority, hub and anchors of all nodes."""
-    links = checkpoint(_links(t))
-    ranks = G.page_rank(links), G.page_rank(links, _suppliers(links))
-    return G.link_score(*ranks, G.hits(links), G.anchor_relevance(_anchors(t), ASKED)).select("id", F.round("score", 6).alias("score"))
+    graph = G.LinkTiles(_links(t))
+    ranks, found = G.page_ranks(graph, [None, _suppliers(graph)]), G.tiled_hits(graph)
+    graph.close()
+    return G.link_score(*ranks, found, G.anchor_relevance(_anchors(t), ASKED)).select("id", F.round("score", 6).alias("score"))
 
 
 @query()
