@@ -18,6 +18,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.cut import checkpoint
 from .relational import top_per_group
@@ -28,6 +29,8 @@ SAMPLE, MOST_LISTS = 100_000, 4_096
 TOGETHER, FILE_ROWS = 10_000, 50_000
 #: Vectors that no angle can be told of, zero vectors and those of other sizes, make a list of their own.
 APART = -1
+#: Cells of a table of queries by rows of a list that a task fills at once.
+CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -176,29 +179,37 @@ def _scored(index: VectorIndex, queries: list[tuple[object, np.ndarray]], opened
     rows = index.lists().where(F.col("list").isin(sorted(by_list))).select("list", "id", "vec")
     kind = rows.schema["id"].dataType.simpleString()
 
+    names_ = pa.array([q for q, _ in queries], to_arrow_type(rows.schema["id"].dataType)) if queries else None
+    told = index.spark.sparkContext.broadcast(names_)
+
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, of = shared.value
+        own_ids = told.value
+        floors = np.full(len(asked), -1.0)  # the k-th score of each query so far but for its own row
+        units = {}
         for batch in batches:
             name, size = batch.column("list").to_numpy(), pc.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
-            out: tuple[list, list, list] = ([], [], [])
             for each in np.unique(name).tolist():
                 for length in np.unique(size[name == each]).tolist():
                     places = np.flatnonzero((name == each) & (size == length))
-                    some = [q for q in of[each] if len(asked[q][1]) == length]
-                    if not some:
+                    if (each, length) not in units:
+                        some = np.array([q for q in of[each] if len(asked[q][1]) == length], np.int64)
+                        units = {(each, length): (some, np.nan_to_num(unit(np.array([asked[q][1] for q in some]).reshape(len(some), length))))}
+                    some, vectors = units[each, length]
+                    if not len(some):
                         continue
                     own = np.nan_to_num(unit(matrix(batch.column("vec").take(pa.array(places)))))
-                    cosine = np.round(np.clip(np.nan_to_num(unit(np.array([asked[q][1] for q in some]))) @ own.T, 0, 1), digits)
-                    ids = batch.column("id").take(pa.array(places)).to_pylist()
-                    for i, q in enumerate(some):
+                    step = max(1, CELLS // len(places))
+                    for first in range(0, len(some), step):
+                        part = some[first : first + step]
+                        cosine = np.round(np.clip(np.nan_to_num(vectors[first : first + step] @ own.T), 0, 1), digits)
                         # all that are not worse than the k-th and the query's own row, so that ties are settled by id later
-                        floor = np.partition(cosine[i], -(k + 1))[-(k + 1)] if len(places) > k + 1 else -1
-                        for j in np.flatnonzero(cosine[i] >= floor).tolist():
-                            if ids[j] != asked[q][0]:
-                                out[0].append(q)
-                                out[1].append(ids[j])
-                                out[2].append(float(cosine[i, j]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], batch.schema.field("id").type), pa.array(out[2], pa.float64())], names=["query", "id", "score"])
+                        if len(places) > k + 1:
+                            floors[part] = np.maximum(floors[part], np.partition(cosine, -(k + 1), axis=1)[:, -(k + 1)])
+                        q, r = np.nonzero(cosine >= floors[part][:, None])
+                        ids, asked_ids = batch.column("id").take(pa.array(places[r])), own_ids.take(pa.array(part[q]))
+                        out = pa.RecordBatch.from_arrays([pa.array(part[q], pa.int32()), ids, pa.array(cosine[q, r])], names=["query", "id", "score"])
+                        yield out.filter(pc.not_equal(ids, asked_ids))
 
     found = rows.mapInArrow(score, f"query int, id {kind}, score double")
     return top_per_group(found, ["query"], [F.desc("score"), F.asc("id")], k)
