@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..plans.cut import checkpoint, small
+from ..plans.cut import checkpoint, small, tidy
 from .relational import top_per_group
 from .vector import dot
 
@@ -184,8 +184,11 @@ def term_selection(docs: DataFrame, doc: str, label: str, tokens: Column, k: int
 
 
 def tfidf(counts: DataFrame, doc: str, n_docs: DataFrame) -> DataFrame:
-    """C4: ``doc, term, w``: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), of unit length."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    """C4: ``doc, term, w``: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), of unit length.
+
+    Terms' frequencies are sent to all tasks where they are few enough; if ``counts`` lie by document, then nothing else is shuffled.
+    """
+    df = small(checkpoint(counts.groupBy("term").agg(F.count("*").alias("df"))))
     raw = counts.join(df, "term").crossJoin(F.broadcast(n_docs))
     raw = raw.withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -193,12 +196,17 @@ def tfidf(counts: DataFrame, doc: str, n_docs: DataFrame) -> DataFrame:
 
 
 def rocchio(vectors: DataFrame, labels: DataFrame, doc: str, label: str) -> DataFrame:
-    """``doc, label, score``: cosine with each class's mean vector."""
+    """``doc, label, score``: cosine with each class's mean vector.
+
+    Means are written once, by class and term; where they are few enough they are sent to all tasks, so that vectors are not shuffled by term.
+    """
     lab = vectors.join(labels, doc)
     size = labels.groupBy(label).agg(F.count("*").alias("n"))
     mean = lab.groupBy(label, "term").agg(F.sum("w").alias("s")).join(small(size), label).select(label, "term", (F.col("s") / F.col("n")).alias("c"))
+    mean = checkpoint(mean)
+    tidy(vectors.sparkSession)
     norm = mean.groupBy(label).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    unit = mean.join(small(checkpoint(norm)), label).select(label, "term", (F.col("c") / F.col("norm")).alias("c"))
+    unit = small(checkpoint(mean.join(small(checkpoint(norm)), label).select(label, "term", (F.col("c") / F.col("norm")).alias("c"))))
     return vectors.join(unit, "term").groupBy(doc, label).agg(F.sum(F.col("w") * F.col("c")).alias("score"))
 
 

@@ -89,7 +89,9 @@ def chi2_select(t: Tables) -> DataFrame:
 def rocchio(t: Tables) -> DataFrame:
     """The nearest class mean."""
     size = t.documents.agg(F.count("*").alias("n_docs"))
-    vectors = L.tfidf(_counts(t).drop("lang"), "doc_id", size)
+    # texts are dealt by id once, so that counts, lengths and scores of a document are made where it lies
+    docs = t.documents.select("doc_id", "lang", "text").repartition("doc_id")
+    vectors = L.tfidf(L.term_counts(docs, "doc_id", "lang", _tokens()).drop("lang"), "doc_id", size)
     scored = L.rocchio(vectors, t.documents.select("doc_id", "lang"), "doc_id", "lang")
     scored = scored.select("doc_id", F.col("lang").alias("guess"), F.round("score", 6).alias("score"))
     return top_per_group(scored, ["doc_id"], [F.desc("score"), F.asc("guess")], 1, "n").drop("n")

@@ -42,3 +42,14 @@ def test_best_match_shuffles_no_asked_set(spark, block):
     if block == 10_000:
         assert exchanges(found) == 0
         assert exchanges(question_shortcut(*frames, ["id"], "k", "item")) == 0
+
+
+def test_rocchio_deals_texts_once(spark, tmp_path):
+    """Terms of documents are never dealt by term, nor by document and term: one exchange of texts, and those of small tables."""
+    from sparkloom.queries import QUERIES
+
+    rows = [(i, f"word{i % 7} other{i % 5} common", "en" if i % 2 else "de") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["rocchio"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    dealt = {line.split("Exchange ")[1].split("ENSURE")[0].split("REPARTITION")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line}
+    assert dealt and not any("term" in x for x in dealt)
